@@ -148,3 +148,17 @@ def gathered(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndar
     ends = np.cumsum(length)
     at = np.arange(total) + np.repeat(start - (ends - length), length)
     return pool[at]
+
+
+def least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest of 0..n-1 that each is connected with by links i - j."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        after = label.copy()
+        np.minimum.at(after, i, low)
+        np.minimum.at(after, j, low)
+        after = after[after]
+        if (after == label).all():
+            return label
+        label = after

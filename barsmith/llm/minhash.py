@@ -11,7 +11,8 @@
    chunks whose members are held against the member closest to the chunk's most
    common values, and those centres against each other; members that
    are still in different components after confirmation are then compared
-   in blocks, so no link between components is lost and groups of near copies do not
+   in blocks, on their full sets, and each block returns only a star per component
+   found there; so no link between components is lost and groups of near copies do not
    make all their pairs.
 4. Candidates are confirmed on the full shingle sets; components of confirmed links follow.
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SpanHashes, drop_stored, mix, partitions, stored, table, text_slices, words
+from .common import LOWER, SpanHashes, drop_stored, gathered, least_labels, mix, partitions, stored, table, text_slices, words
 from .components import components
 
 COORDINATES = 40
@@ -193,22 +194,59 @@ def _merge(matches: int, star: int):
     return run
 
 
-def _across(matches: int):
-    """Pairs of different components in each block pair (kv, salt = a * blocks + b) of a large list."""
+def _common_sizes(sets: pa.Array, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Exact intersection sizes of left's and right's sets, from products of 0/1 matrices a slice of columns at a time."""
+    offsets = sets.offsets.to_numpy()
+    begin, size = offsets[:-1], np.diff(offsets)
+    values = sets.values.to_numpy()
+    flat = [gathered(values, begin[x], size[x]) for x in (left, right)]
+    both = np.intersect1d(*map(np.unique, flat), assume_unique=True)
+    out = np.zeros((len(left), len(right)))
+    row, at = [], []
+    for x, f in zip((left, right), flat, strict=True):
+        k = np.minimum(np.searchsorted(both, f), max(len(both) - 1, 0))
+        hit = both[k] == f if len(both) else np.zeros(len(f), bool)
+        row.append(np.repeat(np.arange(len(x)), size[x])[hit])
+        at.append(k[hit])
+    for c in range(0, len(both), 8192):
+        matrices = []
+        for x, r, k in zip((left, right), row, at, strict=True):
+            m = np.zeros((len(x), min(8192, len(both) - c)), np.float32)
+            some = (k >= c) & (k < c + 8192)
+            m[r[some], k[some] - c] = 1
+            matrices.append(m)
+        out += matrices[0] @ matrices[1].T
+    return out.astype(np.int64)
+
+
+def _across(matches: int, percent: int):
+    """Confirmed links between components in each block pair (kv, salt) of a large list, as stars: (member, least of its tile component)."""
 
     def run(batches):
         for (kv, _), rows in _grouped(batches):
             rep, comp, block = (rows[c].to_numpy() for c in ("rep", "comp", "block"))
-            sig = _matrix(rows["shared"].chunk(0))
-            low, high = block.min(), block.max()
-            left = np.flatnonzero(block == low)
-            right = np.flatnonzero(block == high)
+            sig, sets = _matrix(rows["shared"].chunk(0)), rows["shingles"].chunk(0)
+            n = np.diff(sets.offsets.to_numpy())
+            order = np.argsort(rep, kind="stable")
+            place = np.empty(len(rep), np.int64)
+            place[order] = np.arange(len(rep))
+            label = np.arange(len(rep))
+            left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
             for k in range(0, len(left), 256):
                 part = left[k : k + 256]
-                i, j = np.nonzero((_counted(sig[part], sig[right]) >= matches) & (comp[part][:, None] != comp[right][None, :]))
-                a, b = rep[part[i]], rep[right[j]]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), kv)), pa.array(np.zeros(len(a), bool))], ["u", "v", "kv", "centre"])
+                may = (_counted(sig[part], sig[right]) >= matches) & (comp[part][:, None] != comp[right][None, :])
+                part, may = part[may.any(1)], may[may.any(1)]
+                if not len(part):
+                    continue
+                other, may = right[may.any(0)], may[:, may.any(0)]
+                common = _common_sizes(sets, part, other)
+                i, j = np.nonzero(may & (100 * common >= percent * (n[part][:, None] + n[other][None, :] - common)))
+                if len(i):
+                    label = label[least_labels(len(rep), label[place[part[i]]], label[place[other[j]]])[label]]
+            some = np.flatnonzero(label != np.arange(len(rep)))
+            if len(some):
+                u, v = rep[order[some]], rep[order[label[some]]]
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), kv)), pa.array(np.zeros(len(u), bool))], ["u", "v", "kv", "centre"])
 
     return run
 
@@ -263,12 +301,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
         known = large.join(so_far, F.col("node") == F.col("rep"), "left").select("kv", "f", "rep", "shared", F.coalesce("component", "rep").alias("comp"))
         known = stored(known, "known")
         split = stored(known.groupBy("kv").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("kv"), "split")
-        blocks = F.ceil(F.col("f") / chunk)
-        rows = known.join(split, "kv", "left_semi").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("long"))
+        rows = stored(known.join(split, "kv", "left_semi"), "split")
+        ids = stored(rows.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+        sets_of = stored(shingle_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]), "sets")
+        rows = rows.join(sets_of, F.col("rep") == F.col("doc_id")).withColumn("blocks", F.ceil(F.col("f") / chunk)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("long"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        rows = rows.select("kv", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("salt"), "rep", "comp", "block", "shared")
-        more = _pairs(_sorted_lists(rows).mapInArrow(_across(matches), PAIRS))
-        links = links.unionByName(confirmed(more, docs, width, percent))
+        rows = rows.select("kv", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("salt"), "rep", "comp", "block", "shared", "shingles")
+        more = _sorted_lists(rows).mapInArrow(_across(matches, percent), PAIRS).select("u", "v").distinct()
+        links = links.unionByName(stored(more, "links"))
 
     comps = stored(components(links), "components")
     labels = classes.join(comps, F.col("node") == F.col("rep"), "left").select("n_shingles", "fp1", "fp2", F.coalesce("component", "rep").alias("component"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import least_labels, stored, table
 from .components import components
 
 THRESHOLD = 0.95
@@ -65,19 +65,6 @@ def linked(a: np.ndarray, b: np.ndarray, same: bool, threshold: float = THRESHOL
             yield x[cosine >= threshold], y[cosine >= threshold]
 
 
-def _least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        after = label.copy()
-        np.minimum.at(after, i, low)
-        np.minimum.at(after, j, low)
-        after = after[after]
-        if (after == label).all():
-            return label
-        label = after
-
-
 def _tile(threshold: float):
     def run(key, group):
         a_block, b_block = key[0].as_py(), key[1].as_py()
@@ -96,7 +83,7 @@ def _tile(threshold: float):
                 x, y = left[i], right[j]
                 np.add.at(links, x, n[y])
                 np.add.at(links, y, n[x])
-                label = label[_least_labels(len(rep), label[x], label[y])[label]]
+                label = label[least_labels(len(rep), label[x], label[y])[label]]
         some = links > 0
         return pa.table({"rep": rep[some], "links": links[some], "root": rep[label[some]]})
 
