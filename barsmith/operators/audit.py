@@ -1,0 +1,169 @@
+"""Store audit: every rule yields rows of one issue shape; predicate rules share one scan.
+
+issue: code, trade_date, level, issue_code, expected, actual.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.scalars import ratio
+from .research import limit_ratio
+
+#: Issue codes and levels.
+INTEGRITY = {"DAILY_NULL_FIELD": "ERROR", "DAILY_NON_POSITIVE_PRICE": "ERROR", "DAILY_INVALID_OHLC": "ERROR", "DAILY_NEGATIVE_QUANTITY": "ERROR", "DAILY_INVALID_SUSPEND_FLAG": "ERROR"}
+VOLUME = {"DAILY_ACTIVE_ZERO_VOLUME": "ERROR", "DAILY_ACTIVE_ZERO_AMOUNT": "ERROR", "DAILY_SUSPENDED_WITH_TURNOVER": "ERROR", "DAILY_VWAP_OUT_OF_RANGE": "WARNING"}
+
+
+def issue(level: str, code: str, expected: Column | None = None, actual: Column | None = None) -> list[Column]:
+    text = lambda c: (F.lit(None) if c is None else c).cast("string")
+    return [F.col("code"), F.col("trade_date"), F.lit(level).alias("level"), F.lit(code).alias("issue_code"), text(expected).alias("expected"), text(actual).alias("actual")]
+
+
+def predicates(multiplier: float = 1.0) -> dict[str, Column]:
+    c = F.col
+    active = F.coalesce(c("suspend_flag"), F.lit(0)) == 0
+    null = F.lit(False)
+    for x in ("open", "high", "low", "close", "volume", "amount"):
+        null |= c(x).isNull()
+    vwap = ratio(c("amount"), c("volume") * multiplier)
+    return {
+        "DAILY_NULL_FIELD": null,
+        "DAILY_NON_POSITIVE_PRICE": F.least("open", "high", "low", "close") <= 0,
+        "DAILY_INVALID_OHLC": (c("high") < F.greatest("open", "close", "low")) | (c("low") > F.least("open", "close", "high")),
+        "DAILY_NEGATIVE_QUANTITY": (c("volume") < 0) | (c("amount") < 0),
+        "DAILY_INVALID_SUSPEND_FLAG": ~c("suspend_flag").isin(-1, 0, 1),
+        "DAILY_ACTIVE_ZERO_VOLUME": active & (c("volume") == 0),
+        "DAILY_ACTIVE_ZERO_AMOUNT": active & (c("amount") == 0) & (c("volume") > 0),
+        "DAILY_SUSPENDED_WITH_TURNOVER": ~active & ((c("volume") > 0) | (c("amount") > 0)),
+        "DAILY_VWAP_OUT_OF_RANGE": active & ((vwap < c("low") * 0.99) | (vwap > c("high") * 1.01)),
+    }
+
+
+def rule_issues(bars: DataFrame, rules: dict[str, str], multiplier: float = 1.0) -> DataFrame:
+    """One row per broken (row, rule), in a single scan."""
+    tests = predicates(multiplier)
+    broken = F.explode(F.array_compact(F.array(*[F.when(tests[k], F.struct(F.lit(level).alias("level"), F.lit(k).alias("issue_code"))) for k, level in rules.items()]))).alias("x")
+    return bars.select("code", "trade_date", broken).select("code", "trade_date", "x.level", "x.issue_code", F.lit(None).cast("string").alias("expected"), F.lit(None).cast("string").alias("actual"))
+
+
+def duplicate_keys(bars: DataFrame) -> DataFrame:
+    return bars.groupBy("code", "trade_date").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*issue("ERROR", "DAILY_DUPLICATE_KEY", F.lit(1), F.col("n")))
+
+
+def volume_multiplier(bars: DataFrame) -> DataFrame:
+    """median of amount / (volume * close) and the nearest of 1 and 100 if within a fifth of it, else 1 (ambiguous)."""
+    m = bars.filter("volume > 0 AND close > 0 AND amount > 0").agg(F.median(F.col("amount") / (F.col("volume") * F.col("close"))).alias("median"))
+    near = F.when(F.abs(F.col("median") - 1) <= F.abs(F.col("median") - 100), 1.0).otherwise(100.0)
+    ok = F.abs(F.col("median") / near - 1) <= 0.2
+    return m.select("median", F.when(ok, near).otherwise(1.0).alias("multiplier"), (~ok).alias("ambiguous"))
+
+
+def ordinals(calendar: DataFrame) -> DataFrame:
+    """trade_date, ordinal: a calendar is one row per day, so one task orders it."""
+    return calendar.select("trade_date").distinct().withColumn("ordinal", F.row_number().over(Window.orderBy("trade_date")))
+
+
+def expected_bars(instruments: DataFrame, calendar: DataFrame) -> DataFrame:
+    """code, trade_date, ordinal for each calendar day of each life, by exploding ordinals: an equi-join, not a range join."""
+    days = ordinals(calendar)
+    near = days.agg(F.min("trade_date").alias("a"), F.max("trade_date").alias("z"))
+    lives = instruments.crossJoin(F.broadcast(near)).select("code", F.greatest("open_date", "a").alias("s"), F.least(F.coalesce("expire_date", "z"), "z").alias("e")).filter("s <= e")
+    dates = lives.select("code", F.explode(F.sequence("s", "e")).alias("trade_date"))
+    return dates.join(days, "trade_date")
+
+
+def coverage(expected: DataFrame, bars: DataFrame, key: str) -> DataFrame:
+    have = bars.select("code", "trade_date").distinct().withColumn("here", F.lit(1))
+    out = expected.join(have, ["code", "trade_date"], "left").groupBy(key).agg(F.count(F.lit(1)).alias("expected_rows"), F.count("here").alias("actual_rows"))
+    return out.withColumn("coverage", F.col("actual_rows") / F.col("expected_rows"))
+
+
+def missing_spans(expected: DataFrame, bars: DataFrame) -> DataFrame:
+    """code, first and last missing date, days of each run of consecutive missing calendar days."""
+    gone = expected.join(bars.select("code", "trade_date").distinct(), ["code", "trade_date"], "left_anti")
+    island = F.col("ordinal") - F.row_number().over(Window.partitionBy("code").orderBy("ordinal"))
+    spans = gone.withColumn("island", island).groupBy("code", "island").agg(F.min("trade_date").alias("first_missing"), F.max("trade_date").alias("last_missing"), F.count(F.lit(1)).alias("days"))
+    return spans.drop("island")
+
+
+def internal_gaps(expected: DataFrame, bars: DataFrame) -> DataFrame:
+    """Missing spans strictly between a code's first and last bar."""
+    ends = bars.groupBy("code").agg(F.min("trade_date").alias("lo"), F.max("trade_date").alias("hi"))
+    inner = expected.join(ends, "code").filter("trade_date > lo AND trade_date < hi").select("code", "trade_date", "ordinal")
+    return missing_spans(inner, bars)
+
+
+def lifecycle_issues(bars: DataFrame, instruments: DataFrame) -> DataFrame:
+    x = bars.select("code", "trade_date").join(instruments.select("code", "open_date", "expire_date", F.lit(True).alias("known")), "code", "left")
+    name = F.when(F.col("known").isNull(), "DAILY_LIFECYCLE_UNKNOWN").when(F.col("trade_date") < F.col("open_date"), "DAILY_DATA_BEFORE_LISTING").when(F.col("trade_date") > F.col("expire_date"), "DAILY_DATA_AFTER_DELISTING")
+    return x.select("code", "trade_date", F.when(F.col("known").isNull(), "WARNING").otherwise("ERROR").alias("level"), name.alias("issue_code")).filter("issue_code IS NOT NULL")
+
+
+def delisted_without_bars(instruments: DataFrame, bars: DataFrame) -> DataFrame:
+    return instruments.filter("expire_date IS NOT NULL").join(bars.select("code").distinct(), "code", "left_anti").select("code", F.lit("WARNING").alias("level"), F.lit("DAILY_DELISTED_SYMBOL_MISSING").alias("issue_code"))
+
+
+def pre_close_issues(bars: DataFrame, actions: DataFrame, tolerance: float = 0.005) -> DataFrame:
+    """Days without an action whose pre_close is off yesterday's close by more than 0.01 + tolerance * |close|."""
+    before = F.lag("close").over(Window.partitionBy("code").orderBy("trade_date"))
+    x = bars.select("code", "trade_date", "pre_close", before.alias("before")).filter("before IS NOT NULL AND pre_close IS NOT NULL")
+    x = x.join(actions.select("code", F.col("ex_date").alias("trade_date")).distinct(), ["code", "trade_date"], "left_anti")
+    return x.filter(F.abs(F.col("pre_close") - F.col("before")) > 0.01 + tolerance * F.abs("before"))
+
+
+def adjust_factor_issues(bars: DataFrame, actions: DataFrame, tolerance: float = 0.005) -> DataFrame:
+    """Days with an action whose observed ratio (yesterday's close / pre_close) differs from the declared factor."""
+    before = F.lag("close").over(Window.partitionBy("code").orderBy("trade_date"))
+    declared = actions.groupBy("code", F.col("ex_date").alias("trade_date")).agg(F.max("adjustment_factor").alias("declared"))
+    x = bars.select("code", "trade_date", ratio(before, F.col("pre_close")).alias("observed")).join(declared, ["code", "trade_date"])
+    return x.filter(F.abs(F.col("observed") / F.col("declared") - 1) > tolerance)
+
+
+def actions_without_bar(actions: DataFrame, bars: DataFrame, instruments: DataFrame) -> DataFrame:
+    alive = actions.select("code", F.col("ex_date").alias("trade_date")).distinct().join(instruments.select("code", "open_date", "expire_date"), "code")
+    alive = alive.filter("trade_date >= open_date AND (expire_date IS NULL OR trade_date <= expire_date)").select("code", "trade_date")
+    return alive.join(bars.select("code", "trade_date").distinct(), ["code", "trade_date"], "left_anti")
+
+
+def price_limit_issues(bars: DataFrame, instruments: DataFrame, calendar: DataFrame, actions: DataFrame, new_sessions: int = 5, tolerance: float = 0.002) -> DataFrame:
+    """Close-to-close moves above the board's limit, outside the first sessions after listing and action days."""
+    before = F.lag("close").over(Window.partitionBy("code").orderBy("trade_date"))
+    days = ordinals(calendar)
+    x = bars.select("code", "trade_date", "close", before.alias("before")).join(instruments.select("code", "open_date", "board"), "code").join(days, "trade_date")
+    opened = days.select(F.col("trade_date").alias("open_date"), F.col("ordinal").alias("opened"))
+    x = x.join(opened, "open_date").filter(F.col("ordinal") - F.col("opened") >= new_sessions)
+    x = x.join(actions.select("code", F.col("ex_date").alias("trade_date")).distinct(), ["code", "trade_date"], "left_anti")
+    move, limit = ratio(F.col("close"), F.col("before")) - 1, limit_ratio(F.col("board"), F.lit(False))
+    return x.select("code", "trade_date", move.alias("move"), limit.alias("limit")).filter(F.abs("move") > F.col("limit") + tolerance)
+
+
+def reconcile(minute_daily: DataFrame, daily: DataFrame, multiplier: float = 1.0, tolerance: float = 1e-6) -> DataFrame:
+    """Full outer comparison of codes in both: missing on either side, close or volume mismatch."""
+    both = minute_daily.select("code").intersect(daily.select("code"))
+    a = minute_daily.join(both, "code", "left_semi").select("code", "trade_date", F.col("close").alias("mc"), F.col("volume").alias("mv"))
+    b = daily.join(both, "code", "left_semi").select("code", "trade_date", F.col("close").alias("dc"), F.col("volume").alias("dv"))
+    x = a.join(b, ["code", "trade_date"], "full")
+    reason = (
+        F.when(F.col("dc").isNull(), "CROSS_5M_MISSING_DAILY").when(F.col("mc").isNull(), "CROSS_5M_MISSING_INTRADAY")
+        .when(F.abs(F.col("mc") - F.col("dc")) > tolerance * F.abs("dc"), "CROSS_5M_CLOSE_MISMATCH").when(F.abs(F.col("mv") - F.col("dv") * multiplier) > tolerance * F.abs("mv"), "CROSS_5M_VOLUME_MISMATCH")
+    )
+    return x.select("code", "trade_date", reason.alias("issue_code")).filter("issue_code IS NOT NULL")
+
+
+def price_jumps(bars: DataFrame, limit: float = 0.5) -> DataFrame:
+    before = F.lag("close").over(Window.partitionBy("code").orderBy("trade_date"))
+    return bars.select("code", "trade_date", (ratio(F.col("close"), before) - 1).alias("jump")).filter(F.abs("jump") > limit)
+
+
+def volume_scales(bars: DataFrame, rows: int = 20, least: int = 10, factor: float = 100.0) -> DataFrame:
+    """Volumes at least `factor` times (or below 1/factor of) the median of the previous valid ones."""
+    w = Window.partitionBy("code").orderBy("trade_date").rowsBetween(-rows, -1)
+    x = bars.filter("volume > 0").select("code", "trade_date", "volume", F.count(F.lit(1)).over(w).alias("n"), F.percentile("volume", 0.5).over(w).alias("median"))
+    x = x.filter(F.col("n") >= least).withColumn("scale", ratio(F.col("volume"), F.col("median")))
+    return x.filter((F.col("scale") >= factor) | (F.col("scale") <= 1 / factor)).select("code", "trade_date", "scale")
+
+
+def summary(issues: DataFrame) -> DataFrame:
+    return issues.groupBy("level", "issue_code").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("code").alias("n_codes"))
