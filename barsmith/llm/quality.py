@@ -88,12 +88,10 @@ def base_statistics(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     feeds = np.flatnonzero(data == 10)
     at = np.unique(np.concatenate([off[:-1], feeds + 1]))
     at = at[at < len(data)]
-    stop = np.concatenate([feeds, off[1:]])
-    stop.sort()
-    stop = stop[np.searchsorted(stop, at)]
-    has = np.searchsorted(start, stop) > np.searchsorted(start, at)
-    at, stop = at[has], stop[has]
     owner = np.searchsorted(off, at, "right") - 1
+    stop = np.minimum(np.append(feeds, len(data))[np.searchsorted(feeds, at)], off[owner + 1])
+    has = np.searchsorted(start, stop) > np.searchsorted(start, at)
+    at, stop, owner = at[has], stop[has], owner[has]
     keys = mix(spans(at, stop) + mix(owner.astype(np.uint64) + np.uint64(7)))
     _, seen = np.unique(keys, return_index=True)
     lines = np.bincount(owner, minlength=len(off) - 1) - np.bincount(owner[seen], minlength=len(off) - 1)
