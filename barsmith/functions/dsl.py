@@ -200,7 +200,7 @@ def constant(value: float) -> Node:
     return Node("constant", (), (("value", float(value)),))
 
 
-def call(name: str, *inputs, **parameters) -> Node:
+def call(name: str, /, *inputs, **parameters) -> Node:
     if name in ("column", "constant"):
         return column(parameters["name"]) if name == "column" else constant(parameters["value"])
     if name not in OPERATORS:

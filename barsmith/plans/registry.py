@@ -141,7 +141,7 @@ EXPRESSIONS["op_ts_sum_mean_min_max"] = {f"v_{k}": v for k, v in EXPRESSIONS["op
 for _n, _e in EXPRESSIONS.items():
     query(_n, sql.expression_sql(_e))(lambda s, d, e=_e: dsl.evaluate(daily(s, d), e).select("code", "trade_date", *e))
 for _n, _f in sql.FACTOR_FAMILIES.items():
-    query(_n, sql.family_sql(_n))(lambda s, d, f=_f: factors.build(panel(s, d), f).select("code", "trade_date", *f))
+    query(_n, sql.family_sql(_n))(lambda s, d, f=_f, n=_n: factors.build((daily if n in sql.ON_TICKS else panel)(s, d), f).select("code", "trade_date", *f))
 _GROUPS = {"factors_intraday_path": ["intraday_path_efficiency", "last_30m_return", "positive_bar_ratio", "close_to_vwap"], "factors_intraday_volume": ["last_30m_volume_ratio", "signed_volume_imbalance"], "factors_intraday_volatility": ["realized_vol", "downside_semivol"]}
 for _n, _f in _GROUPS.items():
     query(_n, f"SELECT code, trade_date, {', '.join(_f)} FROM ({sql.INTRADAY_SQL})")(lambda s, d, f=_f: factors.intraday(ticks(s, d)).select("code", "trade_date", *f))
