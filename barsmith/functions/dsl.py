@@ -55,7 +55,8 @@ class Node:
 
     @property
     def lookback(self) -> int:
-        return OPERATORS[self.operator].lookback(dict(self.parameters)) + max((x.lookback for x in self.inputs), default=0)
+        own = OPERATORS[self.operator].lookback(dict(self.parameters)) if self.operator in OPERATORS else 0
+        return own + max((x.lookback for x in self.inputs), default=0)
 
     @property
     def columns(self) -> set[str]:
