@@ -27,7 +27,7 @@ CAP = 3
 #: Weights and schedule slopes, both repeating along the sources.
 WEIGHTS = (1, 2, 3)
 SLOPES = (0.0, -0.5, 0.5)
-ROWS_A_BUCKET = 1000
+ROWS_A_BUCKET = 400
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
