@@ -167,3 +167,12 @@ def volume_scales(bars: DataFrame, rows: int = 20, least: int = 10, factor: floa
 
 def summary(issues: DataFrame) -> DataFrame:
     return issues.groupBy("level", "issue_code").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("code").alias("n_codes"))
+
+
+def continuity_issues(bars: DataFrame, actions: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """Days whose pre_close differs from the last valid close by more than the relative tolerance, those with an action under a code of their own."""
+    w = Window.partitionBy("code").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last(F.when(F.col("close") > 0, F.col("close")), True).over(w)
+    x = bars.select("code", "trade_date", "pre_close", before.alias("before")).filter(F.abs(ratio(F.col("pre_close"), F.col("before")) - 1) > tolerance)
+    acts = actions.select("code", F.col("ex_date").alias("trade_date")).distinct().withColumn("explained", F.lit(True))
+    return x.join(acts, ["code", "trade_date"], "left").select("code", "trade_date", F.lit("INFO").alias("level"), F.when(F.col("explained"), "PRE_CLOSE_DISCONTINUITY_EXPLAINED").otherwise("PRE_CLOSE_DISCONTINUITY").alias("issue_code"), "pre_close", "before")

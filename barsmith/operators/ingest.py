@@ -68,3 +68,9 @@ def changed_partitions(before: DataFrame, now: DataFrame) -> DataFrame:
     x = before.select("name", F.col("bytes").alias("b0"), F.col("sha256").alias("h0")).join(now.select("name", F.col("bytes").alias("b1"), F.col("sha256").alias("h1")), "name", "full")
     change = F.when(F.col("h1").isNull(), "removed").when(F.col("h0").isNull() | (F.col("h0") != F.col("h1")), "dirty").when(F.col("b0") != F.col("b1"), "refreshed")
     return x.select("name", change.alias("change")).filter("change IS NOT NULL")
+
+
+def accumulate_calendar(snapshots: DataFrame) -> DataFrame:
+    """trade_date, calendar_symbol from snapshots (trade_date as yyyyMMdd text, calendar_symbol, seq): unparsable dates go, the latest symbol wins."""
+    day = F.try_to_date(F.when(F.length("trade_date") == 8, F.col("trade_date")), "yyyyMMdd")
+    return snapshots.select(day.alias("trade_date"), "calendar_symbol", "seq").filter("trade_date IS NOT NULL").groupBy("trade_date").agg(F.max_by("calendar_symbol", "seq").alias("calendar_symbol"))

@@ -292,6 +292,9 @@ query("audit_reconcile_5m", sql.rounded([sql.TICKS, sql.DAILY_BARS, "o AS (SELEC
       WHEN m.code IS NULL THEN 'CROSS_5M_MISSING_INTRADAY' WHEN abs(m.close - o2.close) > 1e-6 * abs(o2.close) THEN 'CROSS_5M_CLOSE_MISMATCH' WHEN abs(m.volume - o2.volume) > 1e-6 * abs(m.volume) THEN 'CROSS_5M_VOLUME_MISMATCH' END AS issue_code
       FROM m FULL JOIN o2 ON m.code = o2.code AND m.trade_date = o2.trade_date) WHERE issue_code IS NOT NULL"""))(lambda s, d: audit.reconcile(daily(s, d).filter("volume % 10 <> 0"), _other_daily(s, d)))
 query("selfcheck_jump", sql.rounded([sql.TICKS, sql.DAILY_BARS], f"SELECT * FROM (SELECT code, trade_date, close / nullif(lag(close) OVER ({sql.W}), 0) - 1 AS jump FROM daily) WHERE abs(jump) > 0.5", "jump"))(lambda s, d: audit.price_jumps(daily(s, d)))
+query("selfcheck_pre_close", sql.rounded([*sql.CHECKS, sql.ACTIONS, f"o AS (SELECT code, trade_date, pre_close, last_value(CASE WHEN close > 0 THEN close END IGNORE NULLS) OVER ({sql.W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM bars)"],
+      "SELECT code, trade_date, 'INFO' AS level, CASE WHEN EXISTS (SELECT 1 FROM actions a WHERE a.code = o.code AND a.ex_date = o.trade_date) THEN 'PRE_CLOSE_DISCONTINUITY_EXPLAINED' ELSE 'PRE_CLOSE_DISCONTINUITY' END AS issue_code, pre_close, before FROM o WHERE abs(pre_close / before - 1) > 1e-6", "pre_close before"))(
+    lambda s, d: audit.continuity_issues(audited(s, d), actions(s, d)))
 query("selfcheck_volume_scale", sql.rounded([sql.FILLS, sql.PANEL, f"v AS (SELECT code, trade_date, volume, count(*) OVER w AS n, quantile_cont(volume, 0.5) OVER w AS median FROM panel WHERE volume > 0 WINDOW w AS ({sql.W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))"],
       "SELECT code, trade_date, volume / median AS scale FROM v WHERE n >= 10 AND (volume / median >= 3 OR volume / median <= 1 / 3.0::DOUBLE)", "scale"))(lambda s, d: audit.volume_scales(panel(s, d), factor=3.0))
 
@@ -328,6 +331,9 @@ query("ingest_missing_pairs", sql.rounded([sql.TICKS, sql.DAILY_BARS], "SELECT c
     lambda s, d: ingest.missing_pairs((b := daily(s, d)).select("code").distinct(), b.select("trade_date").distinct(), b))
 query("ingest_upsert_state", sql.rounded([], """SELECT o_orderkey AS name, o_totalprice * CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS bytes FROM orders WHERE o_orderkey % 7 <> 0""", "bytes"))(
     lambda s, d: ingest.upsert((o := read_table(s, d, "orders").select(F.col("o_orderkey").alias("name"), F.col("o_totalprice").alias("bytes"))), o.filter("name % 3 = 0").withColumn("bytes", F.col("bytes") * 2), ["name"], o.filter("name % 7 = 0").select("name")))
+_SNAPSHOT = "CASE o_orderkey % 5 WHEN 3 THEN '20241332' WHEN 4 THEN '2024011' ELSE strftime(o_orderdate, '%Y%m%d') END"
+query("ingest_calendar_accumulate", sql.rounded([], f"SELECT day AS trade_date, arg_max(o_orderpriority, o_orderkey) AS calendar_symbol FROM (SELECT *, CASE WHEN length(t) = 8 THEN try_strptime(t, '%Y%m%d')::DATE END AS day FROM (SELECT *, {_SNAPSHOT} AS t FROM orders)) WHERE day IS NOT NULL GROUP BY 1"))(
+    lambda s, d: ingest.accumulate_calendar(read_table(s, d, "orders").select(F.when(F.col("o_orderkey") % 5 == 3, "20241332").when(F.col("o_orderkey") % 5 == 4, "2024011").otherwise(F.date_format("o_orderdate", "yyyyMMdd")).alias("trade_date"), F.col("o_orderpriority").alias("calendar_symbol"), F.col("o_orderkey").alias("seq"))))
 query("ingest_changed_partitions", sql.rounded([], "SELECT o_orderkey AS name, CASE o_orderkey % 5 WHEN 0 THEN 'removed' WHEN 1 THEN 'dirty' ELSE 'refreshed' END AS change FROM orders WHERE o_orderkey % 5 IN (0, 1, 2)"))(
     lambda s, d: ingest.changed_partitions(
         (o := read_table(s, d, "orders").select(F.col("o_orderkey").alias("name"), F.col("o_custkey").alias("bytes"), F.col("o_orderpriority").alias("sha256"))),
