@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SpanHashes, drop_stored, gathered, least_labels, mix, partitions, stored, table, text_slices, words
+from .common import LOWER, SpanHashes, drop_stored, gathered, least_labels, mix, partitions, stored, table, text_slices, tidy, words
 from .components import components
 
 COORDINATES = 40
@@ -102,7 +102,7 @@ def signatures(docs: DataFrame, width: int, coordinates: int = COORDINATES) -> D
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * coordinates, pa.int32()), pa.array(sig.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), *(pa.array(x.view(np.int64)) for x in fp), lists], ["doc_id", "n_shingles", "fp1", "fp2", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, sig array<int>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, fp1 long, fp2 long, sig array<int>")
 
 
 def postings(reps: DataFrame, matches: int) -> DataFrame:
@@ -267,7 +267,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(np.bincount(d, minlength=j - i))])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(s.view(np.int64)))], ["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, shingles array<long>")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -290,9 +290,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
     posted = postings(classes.select("rep", "sig"), matches)
     chunks = F.when(F.col("f") > star, F.ceil(F.col("f") / chunk)).otherwise(1)
     salt = F.pmod(F.xxhash64("rep"), chunks).cast("long")
-    first = stored(_sorted_lists(posted.select("kv", salt.alias("salt"), "f", "rep", "shared")).mapInArrow(_merge(matches, star), PAIRS), "first")
+    first = stored(_sorted_lists(posted.select("kv", salt.alias("salt"), "f", "rep", "shared")).mapInArrow(tidy(_merge(matches, star)), PAIRS), "first")
     centres = first.filter("centre").select("kv", F.col("u").alias("rep")).join(posted.filter(F.col("f") > chunk).select("kv", "rep", "f", "shared"), ["kv", "rep"])
-    second = _sorted_lists(centres.select("kv", F.lit(0).cast("long").alias("salt"), "f", "rep", "shared")).mapInArrow(_merge(matches, star), PAIRS)
+    second = _sorted_lists(centres.select("kv", F.lit(0).cast("long").alias("salt"), "f", "rep", "shared")).mapInArrow(tidy(_merge(matches, star)), PAIRS)
     links = confirmed(_pairs(first.unionByName(second)), docs, width, percent)
 
     large = posted.filter(F.col("f") > star)
@@ -307,7 +307,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
         rows = rows.join(sets_of, F.col("rep") == F.col("doc_id")).withColumn("blocks", F.ceil(F.col("f") / chunk)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("long"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         rows = rows.select("kv", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("salt"), "rep", "comp", "block", "shared", "shingles")
-        more = _sorted_lists(rows).mapInArrow(_across(matches, percent), PAIRS).select("u", "v").distinct()
+        more = _sorted_lists(rows).mapInArrow(tidy(_across(matches, percent)), PAIRS).select("u", "v").distinct()
         links = links.unionByName(stored(more, "links"))
 
     comps = stored(components(links), "components")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SpanHashes, mix, per_document, table, text_slices, words
+from .common import LOWER, SpanHashes, mix, per_document, table, text_slices, tidy, words
 
 BUCKETS = 1 << 17
 #: At most so many trusted rows (those of least hash) fit the target; the raw counts use every document.
@@ -57,7 +57,7 @@ def _counter(trusted: np.ndarray, buckets: int):
 
 def log_ratios(docs: DataFrame, trusted: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
     """log(p_target / p_raw) of each bucket; the result has `buckets` numbers however many documents there are."""
-    counts = docs.select("doc_id", "text").mapInArrow(_counter(trusted, buckets), "bucket long, raw long, target long")
+    counts = docs.select("doc_id", "text").mapInArrow(tidy(_counter(trusted, buckets)), "bucket long, raw long, target long")
     rows = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(buckets), np.zeros(buckets)
     raw[rows.bucket], target[rows.bucket] = rows.raw, rows.target
@@ -145,7 +145,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buck
                     ["doc_id", *out, "llr", "base_failed", "kept"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(score, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(score), SCHEMA)
 
 
 def op1_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:

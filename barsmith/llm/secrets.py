@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .automaton import Automaton
-from .common import table, text_slices
+from .common import table, text_slices, tidy
 
 #: Kind, automaton pattern, either case, exact expression, least length (of the group named).
 RULES = [
@@ -90,7 +90,7 @@ def scan(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 MASK = b"[SECRET]"
@@ -118,7 +118,7 @@ def redact(docs: DataFrame) -> DataFrame:
             arrays[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(tidy(run), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

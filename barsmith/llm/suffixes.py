@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SpanHashes, drop_stored, partitions, stored, table, text_slices
+from .common import SpanHashes, drop_stored, partitions, stored, table, text_slices, tidy
 
 LENGTH, CORE = 400, 100
 SHALLOW = 64
@@ -337,7 +337,7 @@ def _with_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, group: int = GROUP, grains: tuple = GRAINS) -> DataFrame:
     """Spans (doc, s, e) that cover exactly the bytes in strings of `length` that start twice or more; docs: doc (unique), text."""
-    rows = stored(docs.mapInArrow(_anchor_rows(length, core), _ROWS), "anchors")
+    rows = stored(docs.mapInArrow(tidy(_anchor_rows(length, core)), _ROWS), "anchors")
     found = []
     for grain in (*grains, None):
         classes = stored(rows.groupBy("key", "seg1", "seg2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "at", "least", "most")).alias("x")), "classes")
@@ -350,12 +350,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, grou
         met = stored(classes.select("key", "x.*").join(heads, "key"), "met")
         drop_stored(classes, heads)
         some = met if grain is None else met.filter(F.col("classes") <= group)
-        parts = _with_text(docs, some.select("doc", "key", "at", "least", "most")).mapInArrow(_segments(length), "key long, doc long, at long, least int, most int, raw binary")
-        found.append(stored(parts.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_decide(length), _SPANS), "spans"))
+        parts = _with_text(docs, some.select("doc", "key", "at", "least", "most")).mapInArrow(tidy(_segments(length)), "key long, doc long, at long, least int, most int, raw binary")
+        found.append(stored(parts.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key").mapInArrow(tidy(_decide(length)), _SPANS), "spans"))
         hot = met.filter(F.col("classes") > group)
         if grain is None or not hot.limit(1).count():
             break
-        rows = stored(_with_text(docs, hot.select("doc", "key", "at", "least", "most")).mapInArrow(_refined(length, core, grain), _ROWS), "anchors")
+        rows = stored(_with_text(docs, hot.select("doc", "key", "at", "least", "most")).mapInArrow(tidy(_refined(length, core, grain)), _ROWS), "anchors")
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
@@ -402,7 +402,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, core: int = CORE, group: int =
                     kept.append(rest)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(off)), pa.array(removed, pa.int64()), pa.array(spans_of, pa.int64()), pa.array(digest), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return joined.mapInArrow(run, SCHEMA + ", kept binary")
+    return joined.mapInArrow(tidy(run), SCHEMA + ", kept binary")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
