@@ -13,6 +13,7 @@ Null and empty texts are a document of the end id alone; repeated ids are docume
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
 import unicodedata
@@ -23,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD, SpanHashes, partitions, shared_dir, table, text_slices, words
+from .common import LOWER, WORD, SpanHashes, gathered, partitions, shared_dir, table, text_slices, tidy, words
 from .vocabulary import WordCodes
 
-SHARD_TOKENS = 1 << 21
+SHARD_TOKENS = 1 << 22
 END_ID = 1
-_MAGIC = b"WAVM0001"
+_MAGIC = b"WAVM0002"
 _STEP = 512
 
 
@@ -48,14 +49,15 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
-        used = np.zeros(1 << 16, bool)
+        used = np.zeros(int(ids.max(initial=0)) + 1, bool)
         used[ids] = True
-        alphabet = np.flatnonzero(used).astype(np.uint16)
-        code = np.zeros(1 << 16, np.uint16)
+        alphabet = np.flatnonzero(used).astype(np.uint32) if len(ids) else np.zeros(0, np.uint32)
+        kind = np.uint16 if len(alphabet) <= 1 << 16 else np.uint32
+        code = np.zeros(len(used), kind)
         code[alphabet] = np.arange(len(alphabet))
         x, planes = code[ids], []
         for level in range(max(len(alphabet) - 1, 0).bit_length() - 1, -1, -1):
-            bit = (x >> np.uint16(level)) & np.uint16(1) != 0
+            bit = (x & kind(1 << level)) != 0
             planes.append(np.packbits(bit))
             x = np.concatenate([x[~bit], x[bit]])
         return cls(len(ids), alphabet, planes)
@@ -127,12 +129,13 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids: planes are undone from the last one up."""
-        x = np.zeros(self.n, np.uint16)
+        kind = np.uint16 if len(self.alphabet) <= 1 << 16 else np.uint32
+        x = np.zeros(self.n, kind)
         for level in range(len(self.planes) - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level])[: self.n].astype(bool)
-            up = np.empty(self.n, np.uint16)
+            bit = np.unpackbits(self.planes[level], count=self.n).view(bool)
+            up = np.empty(self.n, kind)
             up[~bit] = x[: self.zeros[level]]
-            up[bit] = x[self.zeros[level] :] | np.uint16(1 << (len(self.planes) - 1 - level))
+            up[bit] = x[self.zeros[level] :] | kind(1 << (len(self.planes) - 1 - level))
             x = up
         return self.alphabet[x]
 
@@ -142,7 +145,7 @@ def pack(doc_ids: list, sizes: np.ndarray, ids: np.ndarray) -> bytes:
     w = WaveletMatrix.build(ids)
     null = np.array([x is None for x in doc_ids], np.uint8)
     parts = [_MAGIC, struct.pack("<4q", len(doc_ids), w.n, len(w.alphabet), len(w.planes)), null.tobytes(),
-             np.array([x or 0 for x in doc_ids], "<i8").tobytes(), sizes.astype("<i8").tobytes(), w.alphabet.astype("<u2").tobytes()]
+             np.array([x or 0 for x in doc_ids], "<i8").tobytes(), sizes.astype("<i8").tobytes(), w.alphabet.astype("<u4").tobytes()]
     for plane, rank in zip(w.planes, w.ranks, strict=True):
         parts += [plane.tobytes(), rank.astype("<u4").tobytes()]
     return b"".join(parts)
@@ -161,7 +164,7 @@ def unpack(raw: bytes) -> tuple[list, np.ndarray, WaveletMatrix]:
         at += x.nbytes
         return x
 
-    null, ids, sizes, alphabet = read("u1", docs), read("<i8", docs), read("<i8", docs), read("<u2", letters)
+    null, ids, sizes, alphabet = read("u1", docs), read("<i8", docs), read("<i8", docs), read("<u4", letters)
     planes, ranks = [], []
     for _ in range(levels):
         planes.append(read("u1", -(-n // 8)))
@@ -169,67 +172,132 @@ def unpack(raw: bytes) -> tuple[list, np.ndarray, WaveletMatrix]:
     return [None if z else int(x) for z, x in zip(null, ids, strict=True)], sizes, WaveletMatrix(n, alphabet, planes, ranks)
 
 
-#: Byte kinds inside words: 1 letters (ASCII, and two-byte ones from U+00C0 to U+027F), 2 digits, 3 punctuation.
-_KIND = np.full(256, 3, np.uint8)
-_KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
-_KIND[48:58] = 2
-_KIND[~WORD] = 0
-#: Bytes whose word is given to the tokenizer whole: contractions, special tokens, controls, other characters.
-_WHOLE = np.zeros(256, bool)
-_WHOLE[[39, 60, 127, *range(9), *range(14, 32), 0xC0, 0xC1, 0xC2, *range(0xCA, 256)]] = True
+def _verified(tokenizer, c: str, kind: int) -> bool:
+    """Whether c beside letters, digits and punctuation is cut where (and only where) its kind changes."""
+    ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    for other, x in ((1, "a"), (2, "7"), (3, "!")):
+        for left, right in ((c, x), (x, c)):
+            if kind != other and ids(left + right) != ids(left) + ids(right):
+                return False
+    if kind == 3:  # punctuation that starts a contraction joins letters
+        return all(ids(c + x) == ids(c) + ids(x) for x in ("s", "t", "re", "ve", "m", "ll", "d"))
+    return kind != 1 or all(len(tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(x))) == 1 for x in (c + "a", "a" + c, c + c))
 
 
-def tokenizer_runs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(folded bytes, starts, ends, first of each document) of runs that the tokenizer splits at.
+class Runs:
+    """The places at which a tokenizer splits any text, found by trying each character on it.
 
-    It drops white space, never joins across it, and separates letters, digits and
-    other characters; so a text's ids are those of these runs in a row.
+    It must drop white space and never join across it. Letters (ASCII and two-byte), ASCII digits
+    and ASCII punctuation that it cuts from each other are runs; a word with any other
+    character is given to it whole.
     """
-    start, end, first = words(data, off)
-    if not len(start):
-        return data, start, end, first
-    odd = _WHOLE[data]
-    odd[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
-    upto = np.concatenate([[0], np.cumsum(odd)])
-    whole = upto[end] > upto[start]
-    kind = _KIND[data]
-    cut = np.zeros(len(data), bool)
-    cut[1:] = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
-    folded = LOWER[data]
-    for s, e in zip(start[whole].tolist(), end[whole].tolist(), strict=True):
-        cut[s:e] = False
-        folded[s:e] = data[s:e]
-    cut[start] = True
-    starts = np.flatnonzero(cut)
-    word = np.searchsorted(start, starts, "right") - 1
-    return folded, starts, np.minimum(np.append(starts[1:], len(data)), end[word]), np.searchsorted(starts, off)
-
-
-def word_encoder(path: str) -> WordCodes:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    last = np.zeros(1 << 16, bool)
-    for piece, i in tokenizer.get_vocab().items():
-        last[i] = piece.endswith("</w>")
-
-    def encode(raw: list[bytes], _) -> tuple[np.ndarray, np.ndarray]:
-        strings = [w.decode() for w in raw]
-        plain = [w.isalpha() and w.isascii() or w.lower().isalpha() and unicodedata.is_normalized("NFC", w) for w in strings]
-        # letters alone are one run, whose last id alone ends a word: many go in one call
-        line = tokenizer.encode_batch_fast([" ".join(w for w, p in zip(strings, plain, strict=True) if p)], add_special_tokens=False)[0].ids
-        rest = iter([x.ids for x in tokenizer.encode_batch_fast([w for w, p in zip(strings, plain, strict=True) if not p], add_special_tokens=False)])
-        ids = np.array(line, np.uint16)
-        stops = np.flatnonzero(last[ids]) + 1
-        if len(stops) != sum(plain):
-            raise ValueError("a run of letters was not one word to the tokenizer")
-        begins = iter(zip(np.append(0, stops[:-1]).tolist(), stops.tolist(), strict=True))
-        parts = [line[slice(*next(begins))] if p else next(rest) for p in plain]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        return np.fromiter((x for one in parts for x in one), np.uint16, int(sizes.sum())), sizes
-
-    return WordCodes(encode)
+
+    def __init__(self, tokenizer):
+        special = {t.content[0] for t in tokenizer.get_added_tokens_decoder().values()}
+        self.kind = np.full(256, 1, np.uint8)
+        self.odd = np.ones(256, bool)
+        self.odd[0xC2:0xE0] = False  # lead bytes: judged with the next one
+        self.odd[0x80:0xC0] = False
+        self.pairs = np.ones((32, 64), bool)
+        for code in [*range(33, 127), *range(0x80, 0x800)]:
+            c = chr(code)
+            kind = {"L": 1, "N": 2}.get(unicodedata.category(c)[0], 3)
+            fine = c not in special and not c.isspace() and (code < 127 or kind == 1) and _verified(tokenizer, c, kind)
+            if code < 127:
+                self.kind[code], self.odd[code] = kind, not fine
+            else:
+                self.pairs[(code >> 6), code & 63] = not fine
+        self.kind[~WORD] = 0
+
+    def oddities(self, data: np.ndarray) -> np.ndarray:
+        odd = self.odd[data]
+        lead = np.flatnonzero((data[:-1] >= 0xC2) & (data[:-1] < 0xE0))
+        odd[lead] = self.pairs[data[lead] & 31, data[lead + 1] & 63]
+        return odd
+
+    def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, ASCII letters of runs in lower case; starts, ends, first of each document) of the runs; a text's ids are those of its runs in a row."""
+        start, end, first = words(data, off)
+        if not len(start):
+            return data, start, end, first
+        upto = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(self.oddities(data), out=upto[1:])
+        whole = upto[end] > upto[start]
+        kind = self.kind[data]
+        cut = np.zeros(len(data), bool)
+        cut[1:] = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+        folded = LOWER[data]
+        for s, e in zip(start[whole].tolist(), end[whole].tolist(), strict=True):
+            cut[s:e] = False
+            folded[s:e] = data[s:e]
+        cut[start] = True
+        starts = np.flatnonzero(cut)
+        return folded, starts, _ends(starts, start, end, len(data)), np.searchsorted(starts, off)
+
+
+def _ends(starts: np.ndarray, word_start: np.ndarray, word_end: np.ndarray, n: int) -> np.ndarray:
+    """Where each run ends: at the next run's start or its word's end."""
+    word = np.zeros(n, np.int32)
+    word[word_start] = 1
+    return np.minimum(np.append(starts[1:], n), word_end[np.cumsum(word)[starts] - 1])
+
+
+class ShardEncoder:
+    """Ids of runs by the tokenizers library, each different run once while its cache holds it."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        for piece, i in vocabulary.items():
+            self.last[i] = piece.endswith("</w>")
+        self.kind = np.uint16 if len(self.last) <= 1 << 16 else np.uint32
+        self.runs = Runs(self.tokenizer)
+        self.codes = WordCodes(self._encode, self.kind)
+
+    def _one_by_one(self, raw: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(raw, add_special_tokens=False)]
+        return np.array([i for x in found for i in x], self.kind), np.array([len(x) for x in found], np.int64)
+
+    def _letters(self, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Runs of letters, in one call: the last id of each run, and no other, ends a word."""
+        line = np.full(len(raw) + len(size), 32, np.uint8)
+        line[np.arange(len(raw)) + np.repeat(np.arange(len(size)), size)] = raw
+        text = line.tobytes().decode()
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+        stops = np.flatnonzero(self.last[ids]) + 1
+        if len(stops) != len(size):
+            return self._one_by_one(text.split(" ")[:-1])
+        return ids, np.diff(stops, prepend=0)
+
+    def _encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = end - start
+        raw = gathered(data, start, size)
+        begin = np.cumsum(size) - size
+        plain = (self.runs.kind[raw[begin]] == 1) & ~np.logical_or.reduceat(self.runs.oddities(np.append(raw, np.uint8(0)))[:-1], begin)
+        ids, sizes = self._letters(gathered(raw, begin[plain], size[plain]), size[plain]) if plain.any() else (np.zeros(0, self.kind), np.zeros(0, np.int64))
+        whole = raw.tobytes()
+        more, more_sizes = self._one_by_one([whole[b : b + n].decode() for b, n in zip(begin[~plain].tolist(), size[~plain].tolist(), strict=True)])
+        counts, at = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+        counts[plain], counts[~plain] = sizes, more_sizes
+        at[plain], at[~plain] = np.cumsum(sizes) - sizes, len(ids) + np.cumsum(more_sizes) - more_sizes
+        return gathered(np.concatenate([ids, more]), at, counts), counts
+
+    def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all documents, ids per document)."""
+        folded, start, end, first = self.runs(data, off)
+        ids, per_run = self.codes(folded, start, end, SpanHashes(folded)(start, end))
+        upto = np.concatenate([[0], np.cumsum(per_run)])[first]
+        return ids, np.diff(upto)
+
+
+@functools.lru_cache(maxsize=1)
+def shard_encoder(path: str) -> ShardEncoder:
+    """One per worker process: tasks share the tokenizer and its cache."""
+    return ShardEncoder(path)
 
 
 def write_shards(docs: DataFrame, tokenizer: str, path: str, shard_tokens: int = SHARD_TOKENS, slices: int | None = None) -> None:
@@ -240,7 +308,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, shard_tokens: int =
     def run(batches):
         from pyspark import TaskContext
 
-        codes = word_encoder(tokenizer)
+        encoder = shard_encoder(tokenizer)
         task, number, held, ids, sizes = TaskContext.get().partitionId(), 0, 0, [], []
         names: list = []
 
@@ -257,11 +325,9 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, shard_tokens: int =
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             for i, j, data, off in text_slices(batch.column(1)):
-                folded, start, end, first = tokenizer_runs(data, off)
-                got, per_word = codes(folded, start, end, SpanHashes(folded)(start, end))
-                upto = np.concatenate([[0], np.cumsum(per_word)])[first]
-                ids.append(np.insert(got, upto[1:], END_ID))
-                sizes.append(np.diff(upto) + 1)
+                got, counts = encoder(data, off)
+                ids.append(np.insert(got, np.cumsum(counts), END_ID))
+                sizes.append(counts + 1)
                 names += doc_ids[i:j]
                 held += len(ids[-1])
                 if held >= shard_tokens:
@@ -269,7 +335,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, shard_tokens: int =
         if names:
             yield close()
 
-    ordered.mapInArrow(run, "task int, number int, n_docs long, n_tokens long, payload binary").write.option("compression", "uncompressed").option("maxRecordsPerFile", 1).parquet(path)
+    ordered.mapInArrow(tidy(run), "task int, number int, n_docs long, n_tokens long, payload binary").write.option("compression", "uncompressed").option("maxRecordsPerFile", 1).parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -292,7 +358,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
                     ["doc_id", "inside", "n_tokens", "ids_crc32", "task", "number"],
                 )
 
-    docs = shards.select("task", "number", "payload").mapInArrow(run, "doc_id long, inside long, n_tokens long, ids_crc32 long, task int, number int")
+    docs = shards.select("task", "number", "payload").mapInArrow(tidy(run), "doc_id long, inside long, n_tokens long, ids_crc32 long, task int, number int")
     return docs.join(starts, ["task", "number"]).select("doc_id", (F.col("inside") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", F.struct("task", "number").alias("shard"))
 
 
