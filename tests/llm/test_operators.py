@@ -3,17 +3,12 @@
 import hashlib
 import random
 import re
-import zlib
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
-import public_tokenizers
 import pytest
 
-from barsmith.llm import chat, components, minhash, mixing, pieces, quality, secrets, suffixes, urls, vectors, wavelet
-from barsmith.llm.automaton import Automaton
-from barsmith.llm.common import text_slices
+from barsmith.llm import chat, components, minhash, quality, suffixes, urls, vectors
 
 SF = "/root/testdata/sf0.001"
 EDGE = [None, "", " \n ", "one", "one two", "a" * 3000, "é" * 900, "the same line\nthe same line\n" * 30, "password: hunter22, AKIA" + "A1" * 9 + " and " + "0f" * 15]
@@ -96,31 +91,6 @@ def test_suffix_dedup_edges(spark):
     assert suffixes.dedup(empty_docs(spark)).count() == 0
 
 
-def test_wavelet_matrix_and_shards(spark, tmp_path):
-    rng = np.random.default_rng(1)
-    x = rng.integers(0, 50, 3000).astype(np.uint16)
-    _, _, w = wavelet.unpack(wavelet.pack([7, None], np.array([1000, 2000]), x))
-    assert (w.decode() == x).all()
-    for i in (0, 511, 512, 2999):
-        assert w.access(i) == x[i] and w.rank(int(x[i]), i) == int((x[:i] == x[i]).sum())
-    assert w.occurrences(9) == np.flatnonzero(x == 9).tolist() and w.count(60) == 0
-    with pytest.raises(IndexError):
-        w.select(9, w.count(9))
-    assert (wavelet.unpack(wavelet.pack([1], np.array([1]), np.array([1], np.uint16)))[2].decode() == [1]).all()
-    from tokenizers import Tokenizer
-
-    path = public_tokenizers.path("word_bpe_49k.json")
-    whole = Tokenizer.from_file(path)
-    odd = ["don't I'm 12a3,x! <|endoftext|> İstanbul a÷b 漢字 é́ _x_ \x1c", "naïve—no… Ça"]
-    texts = [*[t or "" for t in EDGE], *odd]
-    wavelet.write_shards(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), path, str(tmp_path / "w"), shard_tokens=50)
-    got = wavelet.read_shards(spark, str(tmp_path / "w")).orderBy("doc_id").collect()
-    ids = [x.ids + [1] for x in whole.encode_batch(texts, add_special_tokens=False)]
-    assert [r.n_tokens for r in got] == [len(x) for x in ids]
-    assert [r.start for r in got] == np.cumsum([0] + [len(x) for x in ids])[:-1].tolist()
-    assert [r.ids_crc32 for r in got] == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
-
-
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(12, 16))
@@ -172,28 +142,6 @@ def test_components_of_a_chain(spark):
     assert got == {**dict.fromkeys(range(31), 0), 100: 100, 101: 100}
 
 
-def test_mixing(spark):
-    placed = mixing.assign_positions(docs_of(spark), rows_a_bucket=7).select("doc_id", "source", "__mix.*").collect()
-    again = mixing.assign_positions(docs_of(spark), rows_a_bucket=1000).select("doc_id", "__mix.*").collect()
-    assert {r.doc_id: r.positions for r in placed} == {r.doc_id: r.positions for r in again}
-    largest = max(r["size"] for r in placed)
-    for s in {r.source for r in placed}:
-        own = [r for r in placed if r.source == s]
-        assert abs(sum(r["size"] * len(r.positions) for r in own) - own[0].target) <= largest
-    assert all(len(r.positions) <= 3 and all(0 <= p <= 1 for p in r.positions) for r in placed)
-    assert abs(sum({r.source: r.target for r in placed}.values()) - sum(r["size"] for r in placed)) < 1e-6 * len(placed)
-    order = mixing.curriculum(edge_docs(spark))
-    assert order.columns == edge_docs(spark).columns
-    assert mixing.assign_positions(edge_docs(spark)).count() == len(EDGE) + 2
-    assert mixing.curriculum(empty_docs(spark)).count() == 0
-
-
-def test_mixing_caps(spark):
-    t = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 10), (None, 20)], "source string, source_size long")
-    got = {r.source: r.target for r in mixing.targets(t).collect()}
-    assert got["c"] == 30 and got["a"] == 30 and got[None] == 60 and got["b"] == 1040 - 120
-
-
 def test_chat(spark):
     turns = [(1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (4, 0, "user", None), (5, 0, "user", ""), (5, 0, "user", ""), (6, 1, "user", "a"), (6, 2, "assistant", "c"), (None, 0, None, "z")]
     got = {r.conv_id: r for r in chat.collapse(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
@@ -201,56 +149,6 @@ def test_chat(spark):
     assert got[2].rendered == "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n" and got[5].n_turns == 1
 
 
-def test_automaton_agrees_with_re():
-    rng = random.Random(3)
-    rules = [(r"ab*(c|d){2,3}x?", False), (r"[0-9]{3}", False), (r"key\x20*[:=]q+", True)]
-    a = Automaton(rules)
-    for _ in range(60):
-        t = "".join(rng.choice("abcdx01 kKeEyY:=q,\n") for _ in range(60)).encode()
-        data, off = np.frombuffer(t, np.uint8), np.array([0, len(t)])
-        start, end, met = a.scan(data, off)
-        for s, e, m in zip(start, end, met, strict=True):
-            for r, (p, fold) in enumerate(rules):
-                assert bool(int(m) >> r & 1) == bool(re.search(p.encode(), t[s:e], re.I if fold else 0))
-
-
-def test_secrets(spark):
-    base = [("assign", re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 1, 6), ("access", re.compile(rb"AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile(rb"[0-9a-f]+"), 0, 24)]
-    docs = docs_of(spark).select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(EDGE)], "doc_id long, text string"))
-    texts = {r.doc_id: r.text or "" for r in docs.collect()}
-    for r in secrets.scan(docs).collect():
-        t, found = texts[r.doc_id].encode(), []
-        for k, (kind, exp, group, least) in enumerate(base):
-            found += [(len(t[: m.start()].decode()), k, f"{kind}:{len(t[: m.start()].decode())}:{len(t[: m.end()].decode())}") for m in exp.finditer(t) if len(m.group(group)) >= least]
-        said = ",".join(x[2] for x in sorted(found))
-        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
-        assert set(said.split(",")) - {""} <= set(r.spans.split(","))
-    clean = secrets.redact(edge_docs(spark)).collect()
-    assert len(clean) == len(EDGE) + 2 and "hunter22" not in "".join(r.text or "" for r in clean) and clean[0].text is None
-
-
 @pytest.mark.parametrize(("url", "verdict"), [(None, "allow"), ("no scheme casino", "block"), ("http://a.b/casinox", "allow"), ("http://a.b/ads?free", "block"), ("http://a.b/ads/ads", "allow"), ("https://EXAMPLE.com/en/77", "allow"), ("https://x.example.com/en/6", "block"), ("http://com?/en/", "allow")])
 def test_urls(spark, url, verdict):
     assert urls.judge(spark.createDataFrame([(1, url)], "page_id long, url string")).first().verdict == verdict
-
-
-def test_pieces():
-    import sentencepiece
-
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    texts = [*[t or "" for t in EDGE], "  a  b ", "日本 語\n\t x", "ünïcode 🎉 " * 3]
-    model = open(path, "rb").read()
-    plain, dropped = pieces.Encoder(model, dropout=0.0), pieces.Encoder(model, dropout=0.5)
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    for i, j, data, off in text_slices(pa.array(texts)):
-        ids, n, exact = plain(data, off, np.arange(i, j))
-        assert exact.all() and ids.tolist() == [x for t in texts for x in sp.encode(t)]
-        a, m, exact = dropped(data, off, np.arange(i, j))
-        assert exact.all() and m.sum() > n.sum()
-        ends = np.cumsum(m)
-        assert [dropped.pieces.decode(a[e - c : e].tolist()) for c, e in zip(m, ends, strict=True)] == texts
-        assert (dropped(data, off, np.arange(i, j))[0] == a).all()
-    words = [b" merging", b"   many spaces"]
-    keys = np.array([5, 6], np.uint64)
-    ids, n = dropped.pieces.segment_all(words, keys, 0.3)
-    assert ids.tolist() == [x for w, k in zip(words, keys.tolist(), strict=True) for x in dropped.pieces.segment(w.decode(), k, 0.3)]
