@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from barsmith.llm import chat, components, minhash, quality, suffixes, urls, vectors
+from barsmith.llm import chat, components, minhash, quality, suffixes, vectors
 
 SF = "/root/testdata/sf0.001"
 EDGE = [None, "", " \n ", "one", "one two", "a" * 3000, "é" * 900, "the same line\nthe same line\n" * 30, "password: hunter22, AKIA" + "A1" * 9 + " and " + "0f" * 15]
@@ -147,8 +147,3 @@ def test_chat(spark):
     got = {r.conv_id: r for r in chat.collapse(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
     assert set(got) == {2, 4, 5, 6, None}
     assert got[2].rendered == "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n" and got[5].n_turns == 1
-
-
-@pytest.mark.parametrize(("url", "verdict"), [(None, "allow"), ("no scheme casino", "block"), ("http://a.b/casinox", "allow"), ("http://a.b/ads?free", "block"), ("http://a.b/ads/ads", "allow"), ("https://EXAMPLE.com/en/77", "allow"), ("https://x.example.com/en/6", "block"), ("http://com?/en/", "allow")])
-def test_urls(spark, url, verdict):
-    assert urls.judge(spark.createDataFrame([(1, url)], "page_id long, url string")).first().verdict == verdict
