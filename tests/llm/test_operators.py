@@ -1,6 +1,5 @@
 """Operators against brute force and hand-made edge cases: nulls, empties, ties, repeats, long texts, odd columns."""
 
-import hashlib
 import random
 import re
 from collections import Counter
@@ -8,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from barsmith.llm import chat, components, minhash, quality, suffixes, vectors
+from barsmith.llm import chat, components, minhash, quality
 
 SF = "/root/testdata/sf0.001"
 EDGE = [None, "", " \n ", "one", "one two", "a" * 3000, "é" * 900, "the same line\nthe same line\n" * 30, "password: hunter22, AKIA" + "A1" * 9 + " and " + "0f" * 15]
@@ -48,64 +47,6 @@ def test_quality_base_and_threshold(spark):
     assert quality.judge(empty_docs(spark), labels.limit(0)).count() == 0
 
 
-def brute_removed(texts, length):
-    raw = [(t or "").encode() for t in texts]
-    seen = Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
-    out = []
-    for b in raw:
-        m = np.zeros(len(b) + 1, int)
-        for i in range(len(b) - length + 1):
-            if seen[b[i : i + length]] > 1:
-                m[i] += 1
-                m[i + length] -= 1
-        cov = np.cumsum(m)[: len(b)] > 0
-        out.append((int(cov.sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~cov])).hexdigest()))
-    return out
-
-
-def test_deep_shallow_sorts():
-    rng = random.Random(1)
-    for shallow in (0, 8, 64):
-        s = list({bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 40))) for _ in range(80)})
-        order, shared = suffixes.deep_shallow(s, shallow)
-        ranked = sorted(s)
-        assert [s[i] for i in order] == ranked
-        assert shared[1:] == [suffixes._common(a, b) for a, b in zip(ranked, ranked[1:])]
-
-
-@pytest.mark.parametrize("group", [1000, 4])
-def test_suffix_dedup_brute_force(spark, group):
-    rng = random.Random(5)
-    vocabulary = ["".join(rng.choice("abcd") for _ in range(rng.randint(2, 6))) for _ in range(40)]
-    passage = " ".join(rng.choice(vocabulary) for _ in range(20))
-    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(3, 40))) + (passage if rng.random() < 0.5 else "") + " ".join(rng.choice(vocabulary[:6]) for _ in range(20)) for _ in range(80)] + ["a" * 200, "", None, "x" * 39]
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = suffixes.dedup(rows, 40, 10, group).orderBy("doc_id").collect()
-    assert [(r.n_removed, r.kept_sha256) for r in got] == brute_removed(texts, 40)
-
-
-def test_suffix_dedup_edges(spark):
-    got = suffixes.dedup(edge_docs(spark)).collect()
-    assert len(got) == len(EDGE) + 2
-    assert {(r.doc_id, r.n_removed) for r in got if r.n_removed} == {(5, 3000), (6, 1800), (7, 840)}
-    assert suffixes.dedup(empty_docs(spark)).count() == 0
-
-
-def test_vectors(spark):
-    rng = np.random.default_rng(2)
-    base = rng.normal(size=(12, 16))
-    v = [base[i % 12] + rng.normal(size=16) * 0.09 for i in range(60)] + [base[0]] * 3
-    rows = [(i, [float(np.float32(y)) for y in x]) for i, x in enumerate(v)] + [(100, None), (101, [0.0] * 16), (102, [float("nan")] * 16), (103, [None] * 16), (104, [1.0, 2.0]), (105, [])]
-    got = {r.vec_id: r for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
-    x = np.array([r[1] for r in rows[:63]])
-    u = x / np.linalg.norm(x, axis=1)[:, None]
-    linked = u @ u.T >= 0.95
-    np.fill_diagonal(linked, False)
-    label = vectors.least_labels(63, *np.nonzero(linked))
-    assert [(got[i].n_links, got[i].component_id) for i in range(63)] == [(int(linked[i].sum()), int(label[i])) for i in range(63)]
-    assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in range(100, 106))
-
-
 def brute_components(texts, width, percent):
     sets = []
     for t in texts:
