@@ -1,56 +1,74 @@
 """Chat formatting: cumulative-snapshot collapse, then rendering of maximal conversations.
 
-Turns of a conversation are ordered by (turn, role, text); identical rows count
-once. Two position-keyed 64-bit hashes are rolled over the turns, so equal
-prefixes have equal hashes. A conversation whose whole is a proper prefix of
-another's, or equals one of a smaller id, is removed by an anti join; the rest
-are rendered. Null role or text renders as empty but differs from "" in
-comparison; rows with a null conv_id form one conversation of that id.
+Turns of a conversation are ordered by (turn, role, text), nulls first; identical rows count
+once. Turns are hashed where they are read, and two position-keyed 64-bit hashes
+are rolled over them, so equal prefixes have equal hashes. A conversation whose whole is a
+proper prefix of another's, or equals one of a smaller id, is removed by an anti
+join; only the texts of the rest are shuffled, once, and rendered. Texts order turns of one
+place and role only where there are several, so only those are shuffled for that.
+
+Null role or text renders as empty but differs from "" in comparison. A row with a null conv_id
+is a conversation of its own (equal ones are one), the first of its copies if there are any. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
+_PLACE = ["conv_id", "own", "turn", "role"]
 
 
-def rolling(turns: DataFrame) -> DataFrame:
-    """conv_id, pos (from 1), n (turns), h1, h2 (of the prefix that ends here), rendered turn."""
-    rows = turns.select("conv_id", "turn", "role", "text").distinct()
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+def _hashed(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text, a and b (hashes of role and text), own (0, or the row's hash where conv_id is null)."""
     missing = F.when(F.col("role").isNull(), 1).otherwise(0) + F.when(F.col("text").isNull(), 2).otherwise(0)
+    rows = turns.select("conv_id", "turn", "role", "text", F.xxhash64(missing, "role", F.lit(0), "text").alias("a"), F.xxhash64("text", F.lit(1), "role", missing).alias("b"))
+    return rows.withColumn("own", F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "a", "b")).otherwise(0))
+
+
+def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
+    out = left[names[0]].eqNullSafe(right[names[0]])
+    for n in names[1:]:
+        out = out & left[n].eqNullSafe(right[n])
+    return out
+
+
+def rolling(turns: DataFrame) -> DataFrame:
+    """conv_id, own, pos (from 1), n (turns), h1, h2 (of the prefix that ends here)."""
+    hashed = _hashed(turns)
+    rows = hashed.select(*_PLACE, "a", "b").distinct()
+    ties = rows.groupBy(*_PLACE).agg(F.count(F.lit(1)).alias("several")).filter("several > 1")
+    texts = hashed.join(ties, _same(hashed, ties, _PLACE), "left_semi").select(*_PLACE, "a", "b", "text").distinct()
+    ranks = texts.select(*_PLACE, "a", "b", F.row_number().over(Window.partitionBy(*_PLACE).orderBy(F.col("text").asc_nulls_first())).alias("k"))
+    ranked = rows.join(ranks, _same(rows, ranks, [*_PLACE, "a", "b"]), "left").select(*[rows[c] for c in (*_PLACE, "a", "b")], F.coalesce(ranks["k"], F.lit(0)).alias("k"))
+    whole = Window.partitionBy("conv_id", "own")
+    upto = whole.orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), "k").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        rows.withColumn("pos", F.row_number().over(order).cast("long"))
-        .withColumn("a", F.xxhash64("pos", missing, "role", F.lit(0), "text"))
-        .withColumn("b", F.xxhash64("text", F.lit(1), "role", missing, "pos", "a"))
-        .select(
-            "conv_id", "pos", F.count(F.lit(1)).over(Window.partitionBy("conv_id")).alias("n"),
-            F.bit_xor("a").over(upto).alias("h1"), F.bit_xor("b").over(upto).alias("h2"),
-            F.concat(F.lit(OPEN), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(CLOSE)).alias("said"),
-        )
+        ranked.withColumn("pos", F.count(F.lit(1)).over(upto)).withColumn("x", F.xxhash64("pos", "a")).withColumn("y", F.xxhash64("b", "pos"))
+        .select("conv_id", "own", "pos", F.count(F.lit(1)).over(whole).alias("n"), F.bit_xor("x").over(upto).alias("h1"), F.bit_xor("y").over(upto).alias("h2"))
     )
 
 
 def maximal(rolled: DataFrame) -> DataFrame:
-    """conv_id of conversations that are no proper prefix of another and the first of their copies."""
-    whole = rolled.filter("pos = n").groupBy("n", "h1", "h2").agg(F.min(F.struct(F.col("conv_id").isNotNull(), "conv_id")).alias("first"))
+    """conv_id and own of conversations that are no proper prefix of another and the first of their copies."""
+    first = F.min(F.struct(F.col("conv_id").isNotNull(), "conv_id", "own")).alias("first")
+    whole = rolled.filter("pos = n").groupBy("n", "h1", "h2").agg(first)
     proper = rolled.filter("pos < n").select(F.col("pos").alias("n"), "h1", "h2").distinct()
-    return whole.join(proper, ["n", "h1", "h2"], "left_anti").select(F.col("first.conv_id").alias("kept_id"))
+    return whole.join(proper, ["n", "h1", "h2"], "left_anti").select(F.col("first.conv_id").alias("conv_id"), F.col("first.own").alias("own"))
 
 
 def collapse(turns: DataFrame) -> DataFrame:
     """One row per maximal conversation: conv_id, n_turns, rendered."""
-    rolled = rolling(turns)
-    kept = rolled.join(maximal(rolled), F.col("conv_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return kept.groupBy("conv_id").agg(
-        F.max("n").alias("n_turns"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "said"))), lambda x: x["said"]), "").alias("rendered"),
-    )
+    kept = maximal(rolling(turns))
+    rows = _hashed(turns).select("conv_id", "own", "turn", "role", "text")
+    own = rows.join(kept, _same(rows, kept, ["own", "conv_id"]), "left_semi")
+    said = F.array_sort(F.collect_set(F.struct("turn", "role", "text")))
+    blank = F.lit("")
+    text = F.transform(said, lambda x: F.concat(F.lit(OPEN), F.coalesce(x["role"], blank), F.lit("\n"), F.coalesce(x["text"], blank), F.lit(CLOSE)))
+    return own.groupBy("conv_id", "own").agg(F.size(said).cast("long").alias("n_turns"), F.array_join(text, "").alias("rendered")).drop("own")
 
 
 def op7_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:

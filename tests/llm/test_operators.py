@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from barsmith.llm import chat, components, minhash, quality
+from barsmith.llm import components, minhash, quality
 
 SF = "/root/testdata/sf0.001"
 EDGE = [None, "", " \n ", "one", "one two", "a" * 3000, "é" * 900, "the same line\nthe same line\n" * 30, "password: hunter22, AKIA" + "A1" * 9 + " and " + "0f" * 15]
@@ -81,10 +81,3 @@ def test_components_of_a_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101)], "u long, v long")
     got = {r.node: r.component for r in components.components(e).collect()}
     assert got == {**dict.fromkeys(range(31), 0), 100: 100, 101: 100}
-
-
-def test_chat(spark):
-    turns = [(1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (4, 0, "user", None), (5, 0, "user", ""), (5, 0, "user", ""), (6, 1, "user", "a"), (6, 2, "assistant", "c"), (None, 0, None, "z")]
-    got = {r.conv_id: r for r in chat.collapse(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
-    assert set(got) == {2, 4, 5, 6, None}
-    assert got[2].rendered == "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n" and got[5].n_turns == 1
