@@ -5,15 +5,23 @@ one counted over trusted documents, one over every document. A document's score
 is the mean of log(p_target / p_raw) over its own n-grams, so length does not
 matter, and every document is kept or rejected by the same fixed threshold.
 
+Hashing merges n-grams, so the ratio is that of coarser features: over target documents its mean can
+only be smaller than without hashing (the divergence of merged outcomes is never larger), which errs towards
+keeping less extreme scores. The table of ratios has BUCKETS numbers however large the corpus is.
+
+Labels are split by a hash of the id: one half of the good ones fits the target (at most TRUSTED rows), the
+other half never does; THRESHOLD was chosen, and is tested, on that half.
+
 Null or wordless texts have no n-grams: their score is null and they fail the
-base rules. With no trusted documents every score is 0 and only base rules reject.
+base rules. With no trusted documents every score is 0 and only base rules reject. Rows with a null
+id are judged, never trusted; repeated ids are judged row by row; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, SpanHashes, mix, per_document, table, text_slices, tidy, words
@@ -21,6 +29,7 @@ from .common import LOWER, SpanHashes, mix, per_document, table, text_slices, ti
 BUCKETS = 1 << 17
 #: At most so many trusted rows (those of least hash) fit the target; the raw counts use every document.
 TRUSTED = 20_000
+#: On check-sized data every held-out good document scores above -0.15, and 99 % of the bad ones below this.
 THRESHOLD = -0.25
 SMOOTHING = 1.0
 #: The characters counted as symbols.
@@ -40,7 +49,8 @@ def _counter(trusted: np.ndarray, buckets: int):
     def count(batches):
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch in batches:
-            good = np.isin(batch.column(0).to_numpy(zero_copy_only=False), trusted) if len(trusted) else np.zeros(len(batch), bool)
+            ids = batch.column(0)
+            good = np.isin(ids.fill_null(0).to_numpy(), trusted) & ids.is_valid().to_numpy(zero_copy_only=False)
             for i, j, data, off in text_slices(batch.column(1)):
                 start, end, first = words(data, off)
                 bucket, doc = ngram_buckets(SpanHashes(LOWER[data])(start, end), first, buckets)
@@ -66,9 +76,14 @@ def log_ratios(docs: DataFrame, trusted: np.ndarray, buckets: int = BUCKETS) ->
     return np.log((target + SMOOTHING) / (target.sum() + SMOOTHING * buckets)) - np.log((raw + SMOOTHING) / (raw.sum() + SMOOTHING * buckets))
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Whether a label is kept from the target."""
+    return F.pmod(F.xxhash64(doc_id, F.lit("held out")), F.lit(2)) == 1
+
+
 def trusted_ids(labels: DataFrame, limit: int = TRUSTED) -> np.ndarray:
-    """Ids labelled good and never bad, at most `limit` of them, chosen by hash."""
-    good = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1")
+    """Ids labelled good and never bad, of those not held out at most `limit`, chosen by hash."""
+    good = labels.filter("doc_id IS NOT NULL").filter(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1")
     rows = good.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).toPandas()
     return np.sort(rows.doc_id.to_numpy(np.int64))
 

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from barsmith.llm import components, minhash, quality
+from barsmith.llm import components, minhash
 
 SF = "/root/testdata/sf0.001"
 EDGE = [None, "", " \n ", "one", "one two", "a" * 3000, "é" * 900, "the same line\nthe same line\n" * 30, "password: hunter22, AKIA" + "A1" * 9 + " and " + "0f" * 15]
@@ -27,26 +27,6 @@ def docs_of(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
 
 
-def test_quality_base_and_threshold(spark):
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    got = {r.doc_id: r for r in quality.judge(docs_of(spark), labels).collect()}
-    for d in docs_of(spark).collect():
-        t = d.text
-        w = [x.decode() for x in WORD.findall(t.encode())]
-        seen = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
-        rep = {i + k for i in range(len(w) - 4) if seen[tuple(w[i : i + 5])] > 1 for k in range(5)}
-        lines = [x for x in t.split("\n") if WORD.search(x.encode())]
-        r = got[d.doc_id]
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(rep))
-        assert r.base_failed == (len(w) < 10 or 100 * len(rep) > 20 * len(w))
-        assert r.kept == (not r.base_failed and r.llr >= quality.THRESHOLD)
-    truth = {r.doc_id: r.quality for r in labels.collect()}
-    hits = [got[i].kept == bool(q) for i, q in truth.items() if not got[i].base_failed]
-    assert sum(hits) / len(hits) > 0.9
-    assert quality.judge(edge_docs(spark), labels).count() == len(EDGE) + 2
-    assert quality.judge(empty_docs(spark), labels.limit(0)).count() == 0
-
-
 def brute_components(texts, width, percent):
     sets = []
     for t in texts:
