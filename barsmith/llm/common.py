@@ -32,7 +32,6 @@ LOWER[65:91] += 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -70,7 +69,10 @@ def tidy(run: Callable) -> Callable:
     """run (an Arrow batch function) that hands the memory it freed back to the system when its task ends.
 
     Python workers outlive tasks; without this each keeps the most that any of its tasks held.
+    As every such function passes here on the driver, this also ships the package to the executors.
     """
+    if spark := SparkSession.getActiveSession():
+        ship(spark)
 
     @functools.wraps(run)
     def tidied(batches):
@@ -134,12 +136,12 @@ def _powers(kind: str, n: int) -> np.ndarray:
 
 
 class SpanHashes:
-    """64-bit hashes of any byte spans of one slice, from one prefix sum of a polynomial mod 2**64."""
+    """64-bit hashes of any spans of one slice (bytes; 64-bit numbers if codes is None), from one prefix sum of a polynomial mod 2**64."""
 
-    def __init__(self, data: np.ndarray, codes: np.ndarray = _CODE):
+    def __init__(self, data: np.ndarray, codes: np.ndarray | None = _CODE):
         n = len(data)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(codes[data] * _powers("up", n + 1)[:n], out=self.sums[1:])
+        np.cumsum((data if codes is None else codes[data]) * _powers("up", n + 1)[:n], out=self.sums[1:])
         self.down = _powers("down", n + 1)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -32,21 +32,22 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SpanHashes, drop_stored, partitions, stored, table, text_slices, tidy
+from .common import SpanHashes, drop_stored, gathered, partitions, per_document, stored, table, text_slices, tidy, words
 
 LENGTH, CORE = 400, 100
+WINDOW_WORDS, CORE_WORDS = 50, 25
 SHALLOW = 64
 GROUP = 200
 GRAINS = (32, 1)
 _PLACES = 1 << 26
 
 
-def anchors(data: np.ndarray, length: int, core: int, spans: SpanHashes, base: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(at, least, most) of one text: anchors and the bytes that their windows reach to the left of them."""
-    n = len(data)
+def anchors(n: int, length: int, core: int, spans: SpanHashes, base: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(at, least, most) of the n places from base on: anchors and how far their windows reach to the left of them."""
     if n < length:
         return (np.zeros(0, np.int64),) * 3
     w = length - core + 1
@@ -63,13 +64,18 @@ def anchors(data: np.ndarray, length: int, core: int, spans: SpanHashes, base: i
     return chosen[first], chosen[first] - last, chosen[first] - first
 
 
-_ROWS = "key long, seg1 long, seg2 long, doc long, at long, least int, most int"
+_ROWS = "key long, seg1 long, seg2 long, doc long, at long, least int, most int, rows int, reach int"
 
 
-def _row(keys, one, two, doc, at, least, most) -> pa.RecordBatch:
+def _row(keys, one, two, doc, at, least, most, length: int) -> pa.RecordBatch:
+    """Neighbouring rows of one class in one document whose windows overlap (runs of a byte or a short period) are one: `rows` of them, the last `reach` bytes on."""
+    new = np.ones(len(at), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] - at[:-1] > length)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(at)) - 1
     return pa.RecordBatch.from_arrays(
-        [*(pa.array(x.view(np.int64)) for x in (keys, one, two)), pa.array(doc), pa.array(at), pa.array(least, pa.int32()), pa.array(most, pa.int32())],
-        ["key", "seg1", "seg2", "doc", "at", "least", "most"],
+        [*(pa.array(x[first].view(np.int64)) for x in (keys, one, two)), pa.array(doc[first]), pa.array(at[first]), *(pa.array(x, pa.int32()) for x in (least[first], most[first], last - first + 1, at[last] - at[first]))],
+        ["key", "seg1", "seg2", "doc", "at", "least", "most", "rows", "reach"],
     )
 
 
@@ -82,7 +88,16 @@ def _hash_rows(spans: SpanHashes, base, at, least, most, doc, length: int, core:
         keys = spans(base + at, base + at + core)
     whole = spans(begin, end)
     place = most.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + least.astype(np.uint64)
-    return _row(keys, whole + place, spans(base + at - least, end) ^ (spans(begin, base + at) + place), doc, at, least, most)
+    return _row(keys, whole + place, spans(base + at - least, end) ^ (spans(begin, base + at) + place), doc, at, least, most, length)
+
+
+def _listed(column: pa.Array, names: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(offsets of each row's list, the lists' fields) of a list column of structs; null lists are empty."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    flat = column.flatten()
+    return offsets, [flat.field(k).to_numpy(zero_copy_only=False) for k in (flat.type.get_field_index(n) for n in names)]
 
 
 def _anchor_rows(length: int, core: int):
@@ -96,7 +111,7 @@ def _anchor_rows(length: int, core: int):
                     a, b = int(off[d]), int(off[d + 1])
                     step = _PLACES - length
                     for s in range(a, b, step):
-                        at, least, most = anchors(data[s : min(b, s + step + length - 1)], length, core, spans, s)
+                        at, least, most = anchors(min(b - s, step + length - 1), length, core, spans, s)
                         if len(at):
                             found.append((np.full(len(at), s), at + s - a, least, most, np.full(len(at), ids[i + d]), np.full(len(at), a)))
                 if found:
@@ -111,20 +126,20 @@ def _refined(length: int, core: int, grain: int):
 
     def run(batches):
         for batch in batches:
-            listed = batch.column(2).to_pylist()
+            lists, (at, least, most) = _listed(batch.column(2), ("at", "least", "most"))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j, data, off in text_slices(batch.column(1)):
                 spans = SpanHashes(data)
-                out = [[], [], [], [], []]
-                for d in range(i, j):
-                    for x in listed[d]:
-                        low = np.arange(x["least"] // grain, x["most"] // grain + 1) * grain
-                        least, most = np.maximum(low, x["least"]), np.minimum(low + grain - 1, x["most"])
-                        for o, v in zip(out, (np.full(len(low), off[d - i]), np.full(len(low), x["at"]), least, most, np.full(len(low), ids[d])), strict=True):
-                            o.append(v)
-                if out[0]:
-                    base, at, least, most, doc = map(np.concatenate, out)
-                    yield _cut_rows(spans, base, at, least, most, doc, length, grain)
+                owner = np.repeat(np.arange(i, j), np.diff(lists[i : j + 1]))
+                here = slice(lists[i], lists[j])
+                low, high = least[here] // grain, most[here] // grain
+                pieces = high - low + 1
+                k = np.repeat(np.arange(len(owner)), pieces)
+                block = (np.arange(len(k)) - np.repeat(np.cumsum(pieces) - pieces, pieces) + low[k]) * grain
+                if len(k):
+                    yield _cut_rows(
+                        spans, off[owner[k] - i], at[here][k], np.maximum(block, least[here][k]).astype(np.int64), np.minimum(block + grain - 1, most[here][k]).astype(np.int64), ids[owner[k]], length, grain
+                    )
 
     return run
 
@@ -136,7 +151,7 @@ def _cut_rows(spans: SpanHashes, base, at, least, most, doc, length: int, grain:
     keys = spans(base + at - low, base + at - high + length) * np.uint64(3) + low.astype(np.uint64)
     begin, end = base + at - most, base + at - least + length
     place = most.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + least.astype(np.uint64)
-    return _row(keys, spans(begin, end) + place, spans(base + at - least, end) ^ (spans(begin, base + at) + place), doc, at, least, most)
+    return _row(keys, spans(begin, end) + place, spans(base + at - least, end) ^ (spans(begin, base + at) + place), doc, at, least, most, 0)
 
 
 # ---- deep-shallow sorting
@@ -277,16 +292,20 @@ def _segments(length: int):
 
     def run(batches):
         for batch in batches:
-            ids, listed = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            lists, (key, at, least, most) = _listed(batch.column(2), ("key", "at", "least", "most"))
             for i, j, data, off in text_slices(batch.column(1)):
-                rows = []
-                for d in range(i, j):
-                    a = int(off[d - i])
-                    raw = data[a : int(off[d - i + 1])].tobytes()
-                    rows += [(x["key"], ids[d], x["at"], x["least"], x["most"], raw[x["at"] - x["most"] : x["at"] - x["least"] + length]) for x in listed[d]]
-                if rows:
-                    k, doc, at, least, most, raw = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(least, pa.int32()), pa.array(most, pa.int32()), pa.array(raw, pa.binary())], ["key", "doc", "at", "least", "most", "raw"])
+                owner = np.repeat(np.arange(i, j), np.diff(lists[i : j + 1]))
+                for k in range(0, len(owner), 4096):
+                    here = slice(lists[i] + k, min(lists[i] + k + 4096, lists[j]))
+                    own = owner[k : k + 4096]
+                    size = (most[here] - least[here]).astype(np.int64) + length
+                    raw = gathered(data, off[own - i] + at[here] - most[here], size)
+                    ends = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+                    segments = pa.Array.from_buffers(pa.binary(), len(size), [None, ends.buffers()[1], pa.py_buffer(raw.tobytes())])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key[here]), pa.array(ids[own]), pa.array(at[here]), pa.array(least[here], pa.int32()), pa.array(most[here], pa.int32()), segments], ["key", "doc", "at", "least", "most", "raw"]
+                    )
 
     return run
 
@@ -340,9 +359,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, grou
     rows = stored(docs.mapInArrow(tidy(_anchor_rows(length, core)), _ROWS), "anchors")
     found = []
     for grain in (*grains, None):
-        classes = stored(rows.groupBy("key", "seg1", "seg2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "at", "least", "most")).alias("x")), "classes")
+        classes = stored(rows.groupBy("key", "seg1", "seg2").agg(F.sum("rows").alias("n"), F.min(F.struct("doc", "at", "least", "most")).alias("x")), "classes")
         several = stored(classes.filter("n > 1").select("key", "seg1", "seg2"), "several")
-        found.append(stored(rows.join(several, ["key", "seg1", "seg2"], "left_semi").select("doc", (F.col("at") - F.col("most")).alias("s"), (F.col("at") - F.col("least") + length).alias("e")), "spans"))
+        found.append(stored(rows.join(several, ["key", "seg1", "seg2"], "left_semi").select("doc", (F.col("at") - F.col("most")).alias("s"), (F.col("at") + F.col("reach") - F.col("least") + length).alias("e")), "spans"))
         drop_stored(rows, several)
         if grain is None and grains[-1] == 1:
             break
@@ -362,45 +381,90 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, grou
     return out
 
 
-def _united(spans: list[dict]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for s, e in sorted((x["s"], x["e"]) for x in spans):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return [(s, e) for s, e in out]
+def _passage_rows(window: int, core: int):
+    """(key, doc, at): of each `window` words the least-hashed `core` words in a row, by the place of their first word."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for i, j, data, off in text_slices(batch.column(1)):
+                start, end, first = words(data, off)
+                if len(start) < window:
+                    continue
+                spans = SpanHashes(SpanHashes(data)(start, end), None)
+                found = []
+                for d in np.flatnonzero(np.diff(first) >= window).tolist():
+                    a, n = int(first[d]), int(first[d + 1] - first[d])
+                    for s in range(0, n - window + 1, _PLACES - window):
+                        at, _, _ = anchors(min(n - s, _PLACES - 1), window, core, spans, a + s)
+                        found.append((at + a + s, np.full(len(at), i + d), at + s))
+                if found:
+                    place, doc, at = map(np.concatenate, zip(*found, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(spans(place, place + core).view(np.int64)), pa.array(ids[doc]), pa.array(at)], ["key", "doc", "at"])
 
+    return run
+
+
+def shared_passages(docs: DataFrame, window: int = WINDOW_WORDS, core: int = CORE_WORDS) -> DataFrame:
+    """(doc, at): places of runs of `core` words that another document holds too; docs: doc, text.
+
+    A passage of `window` words or more that two documents share has such a run in both; none is of fewer than `core` words.
+    """
+    rows = stored(docs.mapInArrow(tidy(_passage_rows(window, core)), "key long, doc long, at long"), "passages")
+    several = stored(rows.groupBy("key").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).filter("x <> y").select("key"), "several")
+    out = stored(rows.join(several, "key", "left_semi").select("doc", "at"), "met")
+    drop_stored(rows, several)
+    return out
 
-SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
+def _cover(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places lie in any [start, end)."""
+    edge = np.bincount(start, minlength=n + 1) - np.bincount(end, minlength=n + 1)
+    return np.cumsum(edge[:n]) > 0
 
-def dedup(docs: DataFrame, length: int = LENGTH, core: int = CORE, group: int = GROUP) -> DataFrame:
-    """One row of SCHEMA and `kept` (the remaining bytes) per row of docs (doc_id, text)."""
+
+SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long"
+
+
+def dedup(docs: DataFrame, length: int = LENGTH, core: int = CORE, group: int = GROUP, window: int = WINDOW_WORDS, core_words: int = CORE_WORDS) -> DataFrame:
+    """One row of SCHEMA and `kept` (the remaining bytes) per row of docs (doc_id, text).
+
+    n_passage_words: words of the input in runs of core_words or more that another document holds too (see shared_passages);
+    it reports passages that are too short to be removed, and does not change what is removed.
+    """
     shared = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL").limit(1).count()
     own = docs.select("doc_id", "text", (F.xxhash64("doc_id", "text") if shared else F.col("doc_id").cast("long")).alias("doc"))
-    spans = repeated_spans(own.select("doc", "text"), length, core, group)
-    lists = spans.distinct().groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("x"))
+    spans = repeated_spans(own.select("doc", "text"), length, core, group).select("doc", "s", "e", F.lit(False).alias("words"))
+    passages = shared_passages(own.select("doc", "text"), window, core_words).select("doc", F.col("at").alias("s"), (F.col("at") + core_words).alias("e"), F.lit(True).alias("words"))
+    lists = spans.unionByName(passages).groupBy("doc").agg(F.collect_list(F.struct("s", "e", "words")).alias("x"))
     joined = own.join(lists, "doc", "left").select("doc_id", "text", "x")
 
     def run(batches):
         for batch in batches:
-            listed = batch.column(2).to_pylist()
+            lists, (starts, ends, of_words) = _listed(batch.column(2), ("s", "e", "words"))
             for i, j, data, off in text_slices(batch.column(1)):
-                removed, spans_of, digest, kept = [], [], [], []
-                for d in range(i, j):
-                    raw = data[off[d - i] : off[d - i + 1]].tobytes()
-                    cut = _united(listed[d] or [])
-                    parts, at = [], 0
-                    for s, e in cut:
-                        parts.append(raw[at:s])
-                        at = e
-                    rest = b"".join([*parts, raw[at:]])
-                    removed.append(len(raw) - len(rest))
-                    spans_of.append(len(cut))
-                    digest.append(hashlib.sha256(rest).hexdigest())
-                    kept.append(rest)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(off)), pa.array(removed, pa.int64()), pa.array(spans_of, pa.int64()), pa.array(digest), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                owner = np.repeat(np.arange(i, j), np.diff(lists[i : j + 1]))
+                here = slice(lists[i], lists[j])
+                lead, word = off[owner - i], of_words[here].astype(bool)
+                gone = _cover((lead + starts[here])[~word], (lead + ends[here])[~word], len(data))
+                n_removed = per_document(gone.astype(np.int64), off)
+                begin = gone.copy()
+                begin[1:] &= ~gone[:-1]
+                begin[off[:-1][off[:-1] < len(data)]] = gone[off[:-1][off[:-1] < len(data)]]
+                left = data[~gone]
+                kept_off = off - np.concatenate([[0], np.cumsum(n_removed)])
+                raw = memoryview(left.tobytes())
+                digest = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(kept_off[:-1].tolist(), kept_off[1:].tolist(), strict=True)]
+                passage = np.zeros(j - i, np.int64)
+                if word.any():
+                    _, _, first = words(data, off)
+                    lead = first[owner[word] - i]
+                    passage = per_document(_cover(lead + starts[here][word], lead + ends[here][word], int(first[-1])).astype(np.int64), first)
+                kept = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.array(kept_off, pa.int32()).buffers()[1], pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, j - i), pa.array(np.diff(off)), pa.array(n_removed), pa.array(per_document(begin.astype(np.int64), off)), pa.array(digest), pa.array(passage), kept],
+                    ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", "kept"],
+                )
 
     return joined.mapInArrow(tidy(run), SCHEMA + ", kept binary")
 
