@@ -6,7 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Texts that stand for an open-ended lifecycle date.
-DATE_SENTINELS = ["", "NAN", "NONE", "NAT", "NULL", "0", "99999999", "19700101", "19700102", "19700103", "19700104", "19700105", "19700106", "19700427", "19700428"]
+DATE_SENTINELS = ["", "nan", "none", "nat", "null", "0", "99999999", "19700101", "19700102", "19700103", "19700104", "19700105", "19700106", "19700427", "19700428"]
+#: First digits of the codes of each board, tried in this order.
+BOARD_PREFIXES = {
+    "star": ["688", "689"],
+    "chinext": ["300", "301"],
+    "bse": ["430", "920", "83", "87", "88"],
+    "main": ["600", "601", "603", "605", "000", "001", "002", "003"],
+}
 
 
 def finite(c: Column) -> Column:
@@ -28,11 +35,15 @@ def normalize_security_code(c: Column) -> Column:
 
 
 def classify_board(c: Column) -> Column:
+    """The board of a code by the first digits of what stands before its suffix; unknown unless that is digits only."""
     number = F.split(c, r"\.")[0]
-    return (
-        F.when(number.rlike("^68[89]"), "star").when(number.rlike("^30[01]"), "chinext").when(number.rlike("^(430|920|83|87|88)"), "bse")
-        .when(number.rlike("^(60[0135]|00[0-3])"), "main").otherwise("unknown")
-    )
+    out = F.lit("unknown")
+    for board, prefixes in reversed(BOARD_PREFIXES.items()):
+        starts = number.startswith(prefixes[0])
+        for p in prefixes[1:]:
+            starts |= number.startswith(p)
+        out = F.when(starts, board).otherwise(out)
+    return F.when(number.rlike("^[0-9]+$"), out).otherwise("unknown")
 
 
 def is_risk_warned(name: Column) -> Column:
@@ -40,11 +51,17 @@ def is_risk_warned(name: Column) -> Column:
     return F.coalesce((n.contains("ST") | n.contains("退")) & ~n.isin("NAN", "NONE"), F.lit(False))
 
 
-def normalize_lifecycle_date(c: Column) -> Column:
-    """yyyyMMdd text to a date; sentinels and unparsable texts to NULL."""
-    text = F.upper(F.trim(c.cast("string")))
+def is_date_sentinel(c: Column) -> Column:
+    """Whether a text stands for no date: itself, or the first eight of its digits if it has so many. NULL is one."""
+    text = F.lower(F.trim(c.cast("string")))
     digits = F.regexp_replace(text, "[^0-9]", "")
-    return F.when(~text.isin(DATE_SENTINELS) & ~digits.isin(DATE_SENTINELS) & (F.length(digits) >= 8), F.try_to_date(F.substring(digits, 1, 8), "yyyyMMdd"))
+    return F.coalesce(text.isin(DATE_SENTINELS) | ((F.length(digits) >= 8) & F.substring(digits, 1, 8).isin(DATE_SENTINELS)), F.lit(True))
+
+
+def normalize_lifecycle_date(c: Column) -> Column:
+    """A date from the first eight digits of a text; sentinels and unparsable texts are NULL."""
+    digits = F.regexp_replace(c.cast("string"), "[^0-9]", "")
+    return F.when(~is_date_sentinel(c) & (F.length(digits) >= 8), F.try_to_date(F.substring(digits, 1, 8), "yyyyMMdd"))
 
 
 def normalize_date(c: Column) -> Column:

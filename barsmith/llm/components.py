@@ -13,7 +13,7 @@ def _sum(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component: its smallest node) of every node with an edge; edges: long columns u, v.
+    """(node, component: its smallest node) of every node with an edge; edges: long columns u, v. Reads a stored table.
 
     Each round halves paths, so rounds grow with the logarithm of the longest one.
     Minima are pre-aggregated and written before they are joined back, so that
@@ -33,4 +33,6 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before:
             break
     roots = e.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out._barsmith_path = e._barsmith_path
+    return out

@@ -35,6 +35,8 @@ from .components import components
 COORDINATES = 40
 MISSED = 1e-8
 STAR, CHUNK = 48, 400
+#: 64-bit words of the filter of ids (4 MB).
+FILTER_WORDS = 1 << 19
 
 
 def matches_needed(similarity: float, coordinates: int = COORDINATES, missed: float = MISSED) -> int:
@@ -112,7 +114,9 @@ def postings(reps: DataFrame, matches: int) -> DataFrame:
     by_rep = entries.join(often, "kv").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "kv"))).alias("e")).filter(F.size("e") >= matches)
     posted = F.slice("e", F.lit(1), F.size("e") - (matches - 1))
     out = by_rep.select("rep", F.transform("e", lambda x: x["kv"]).alias("shared"), F.explode(posted).alias("p"))
-    return stored(out.select(F.col("p.kv").alias("kv"), F.col("p.f").alias("f"), "rep", "shared"), "postings")
+    out = stored(out.select(F.col("p.kv").alias("kv"), F.col("p.f").alias("f"), "rep", "shared"), "postings")
+    drop_stored(often)
+    return out
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -259,26 +263,63 @@ def _pairs(raw: DataFrame) -> DataFrame:
     return raw.filter("NOT centre AND u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+def _words_and_masks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = mix(ids.astype(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
+    one = np.uint64(1)
+    return (h % np.uint64(FILTER_WORDS)).astype(np.int64), one << (h >> np.uint64(40) & np.uint64(63)) | one << (h >> np.uint64(50) & np.uint64(63))
+
+
+def id_filter(ids: DataFrame) -> np.ndarray | None:
+    """FILTER_WORDS 64-bit words of a Bloom filter of ids (doc_id, different), or None if they would fill it; its size does not grow with them."""
+    if ids.count() > 4 * FILTER_WORDS:
+        return None
+
     def run(batches):
         for batch in batches:
+            word, mask = _words_and_masks(batch.column(0).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask.view(np.int64))], ["word", "mask"])
+
+    rows = ids.select("doc_id").mapInArrow(tidy(run), "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    out = np.zeros(FILTER_WORDS, np.uint64)
+    out[rows.word.to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def shingle_sets(docs: DataFrame, width: int, ids: DataFrame) -> DataFrame:
+    """doc_id, shingles (their hashes) of each different row of docs whose id is in ids (doc_id, different).
+
+    Where a filter of the ids fits its bound, only the sets of documents that pass it are shuffled, and no text.
+    """
+    words_of = id_filter(ids)
+    passed = docs.sparkSession.sparkContext.broadcast(words_of)
+    if words_of is None:
+        docs = docs.join(ids, "doc_id", "left_semi")
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(0)
+            if passed.value is not None:
+                word, mask = _words_and_masks(column.fill_null(0).to_numpy(zero_copy_only=False))
+                may = (passed.value[word] & mask == mask) & column.is_valid().to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array(may))
             for i, j, data, off in text_slices(batch.column(1)):
                 s, d = shingles(data, off, width)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(d, minlength=j - i))])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(s.view(np.int64)))], ["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, shingles array<long>")
+    sets = docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, shingles array<long>")
+    return sets.join(ids, "doc_id", "left_semi") if words_of is not None else sets
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (u, v) whose whole shingle sets have 100 * intersection >= percent * union."""
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) with 100 * intersection >= percent * union of any of their rows' sets (doc_id, shingles)."""
     pairs = stored(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = stored(shingle_sets(docs.select("doc_id", "text").join(stored(ids, "ids"), "doc_id", "left_semi"), width), "sets")
     a = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
     b = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
     both = pairs.join(a, "u").join(b, "v").withColumn("common", F.size(F.array_intersect("a", "b")))
-    return stored(both.filter(F.col("common") * 100 >= F.lit(percent) * (F.size("a") + F.size("b") - F.col("common"))).select("u", "v").distinct(), "links")
+    out = stored(both.filter(F.col("common") * 100 >= F.lit(percent) * (F.size("a") + F.size("b") - F.col("common"))).select("u", "v").distinct(), "links")
+    drop_stored(pairs)
+    return out
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordinates: int = COORDINATES, star: int = STAR, chunk: int = CHUNK) -> DataFrame:
@@ -293,7 +334,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
     first = stored(_sorted_lists(posted.select("kv", salt.alias("salt"), "f", "rep", "shared")).mapInArrow(tidy(_merge(matches, star)), PAIRS), "first")
     centres = first.filter("centre").select("kv", F.col("u").alias("rep")).join(posted.filter(F.col("f") > chunk).select("kv", "rep", "f", "shared"), ["kv", "rep"])
     second = _sorted_lists(centres.select("kv", F.lit(0).cast("long").alias("salt"), "f", "rep", "shared")).mapInArrow(tidy(_merge(matches, star)), PAIRS)
-    links = confirmed(_pairs(first.unionByName(second)), docs, width, percent)
+    ids = stored(posted.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+    sets_of = stored(shingle_sets(docs, width, ids), "sets")
+    links = confirmed(_pairs(first.unionByName(second)), sets_of, percent)
+    scratch = [classes, posted, first, ids, sets_of, links]
 
     large = posted.filter(F.col("f") > star)
     if large.limit(1).count():
@@ -301,28 +345,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
         known = large.join(so_far, F.col("node") == F.col("rep"), "left").select("kv", "f", "rep", "shared", F.coalesce("component", "rep").alias("comp"))
         known = stored(known, "known")
         split = stored(known.groupBy("kv").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("kv"), "split")
-        rows = stored(known.join(split, "kv", "left_semi"), "split")
-        ids = stored(rows.select(F.col("rep").alias("doc_id")).distinct(), "ids")
-        sets_of = stored(shingle_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]), "sets")
+        rows = stored(known.join(split, "kv", "left_semi"), "rows")
+        scratch += [so_far, known, split, rows]
         rows = rows.join(sets_of, F.col("rep") == F.col("doc_id")).withColumn("blocks", F.ceil(F.col("f") / chunk)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("long"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         rows = rows.select("kv", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("salt"), "rep", "comp", "block", "shared", "shingles")
         more = _sorted_lists(rows).mapInArrow(tidy(_across(matches, percent)), PAIRS).select("u", "v").distinct()
-        links = links.unionByName(stored(more, "links"))
+        more = stored(more, "links")
+        scratch.append(more)
+        links = links.unionByName(more)
 
-    comps = stored(components(links), "components")
+    comps = components(links)
     labels = classes.join(comps, F.col("node") == F.col("rep"), "left").select("n_shingles", "fp1", "fp2", F.coalesce("component", "rep").alias("component"))
     labels = stored(labels, "labels")
     out = sets.select("doc_id", "n_shingles", "fp1", "fp2").join(labels, ["n_shingles", "fp1", "fp2"], "left")
     component = F.coalesce("component", "doc_id")
     own = F.col("doc_id").isNotNull()
     out = out.select("doc_id", "n_shingles", F.when(own, component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
-    drop_stored(first, posted)
+    drop_stored(comps, *scratch)
     return out
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents whose component has a smaller id, and without repeats of a kept id's row beyond the first."""
+    """docs without the documents whose component has a smaller id; all rows of a kept id stay, and those without an id."""
     kept = stored(near_duplicates(docs, width, percent).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "kept")
     named = docs.join(kept, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
     return named.unionByName(docs.filter("doc_id IS NULL"))

@@ -176,7 +176,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, block:
     comps = components(both.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     labels = classes.select("h", "embedding", "rep", "n").join(links, "rep", "left").join(comps, F.col("node") == F.col("rep"), "left")
     labels = stored(labels.select("h", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component")), "labels")
-    drop_stored(classes, small, met, settled)
+    drop_stored(classes, small, met, settled, comps)
     out = rows.select("vec_id", F.when(F.col("usable"), F.col("h")).alias("h"), F.when(F.col("usable"), F.col("embedding")).alias("embedding")).join(labels, ["h", "embedding"], "left")
     component = F.coalesce("component", "vec_id")
     own = F.col("vec_id").isNotNull()

@@ -110,36 +110,3 @@ def rolling_ic(ic: DataFrame, date: str = "target_date") -> DataFrame:
         for c in ("ic", "rank_ic"):
             out = out.withColumn(f"{c}_{n}", F.when(F.count(c).over(w) >= least, F.avg(c).over(w)))
     return out
-
-
-LIMITS = {"star": 0.2, "chinext": 0.2, "bse": 0.3, "main": 0.1, "unknown": 0.1}
-
-
-def limit_ratio(board: Column, is_st: Column) -> Column:
-    out = F.lit(0.1)
-    for name, value in LIMITS.items():
-        out = F.when(board == name, value).otherwise(out)
-    return F.when((board == "main") & F.coalesce(is_st, F.lit(False)), 0.05).otherwise(out)
-
-
-def mark_eligibility(dataset: DataFrame, context: DataFrame, cutoff, entry: str = "open", exit: str = "close", missing: str = "allow", tolerance: float = 1e-6) -> DataFrame:
-    """dataset with eligible and reason ("buy:...;sell:..."): limit-up or suspended buys, limit-down or suspended sells.
-
-    Limit prices are pre_close * (1 +- ratio), rounded to cents: an interpretation, the source gives none.
-    Samples that end at or after cutoff are not judged. missing: allow or exclude rows without context.
-    """
-    limit = limit_ratio(F.col("execution_board"), F.col("execution_is_st"))
-    top, bottom = (F.round(F.col("execution_pre_close") * (1 + s * limit), 2) for s in (1, -1))
-    unknown = "unknown_context" if missing == "exclude" else None
-
-    def reasons(price: str, blocked: Column, name: str, side: str) -> Column:
-        return F.when(F.col("execution_pre_close").isNull(), F.lit(unknown)).when(F.col("execution_suspended"), f"suspended_{side}").when(blocked, name)
-
-    buy = context.select(F.col("execution_date").alias("target_date"), "code", reasons(entry, F.col(f"execution_{entry}") >= top - tolerance, "limit_up_buy", "buy").alias("__buy"), F.lit(True).alias("__has_buy"))
-    sell = context.select(F.col("execution_date").alias("target_end_date"), "code", reasons(exit, F.col(f"execution_{exit}") <= bottom + tolerance, "limit_down_sell", "sell").alias("__sell"), F.lit(True).alias("__has_sell"))
-    out = dataset.join(buy, ["target_date", "code"], "left").join(sell, ["target_end_date", "code"], "left")
-    b = F.when(F.col("__has_buy").isNull(), F.lit(unknown)).otherwise(F.col("__buy"))
-    s = F.when(F.col("__has_sell").isNull(), F.lit(unknown)).otherwise(F.col("__sell"))
-    judged = F.col("target_end_date") < F.lit(cutoff).cast("date")
-    reason = F.when(judged, F.concat_ws(";", F.concat(F.lit("buy:"), b), F.concat(F.lit("sell:"), s))).otherwise("")
-    return out.select(*[F.col(f"`{c}`") for c in dataset.columns], reason.alias("reason"), (reason == "").alias("eligible"))

@@ -10,66 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dsl, factors, scalars
-from ..operators import audit, backtest, ingest, market, models, research, search
+from ..operators import backtest, daily_check, eligibility, ingest, market, models, research, search
 from ..sources.driver import actions, fills, lifecycle, ticks
 from ..sources.readers import invalid_bars, read_table
 from ..streaming.kline import run_once, stream_kline
 from . import sql
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-SPLIT = dt.date(2024, 1, 20)
-
-
-def tidy(df: DataFrame) -> DataFrame:
-    """Doubles to six decimals, as the SQL gives them."""
-    return df.select(*[(F.round(F.col(f"`{c}`") + 1.23e-8, 6) + 0.0).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
-
-
-def query(name: str, oracle: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: tidy(f(spark, sf_dir))
-        if oracle:
-            ORACLE_SQL[name] = oracle
-        return f
-
-    return add
-
-
-def daily(s, d) -> DataFrame:
-    return market.daily(ticks(s, d))
-
-
-def panel(s, d) -> DataFrame:
-    return market.daily(fills(s, d))
-
-
-def audited(s, d) -> DataFrame:
-    """Daily bars with defects planted by volume, for the audit rules to find."""
-    hit = lambda k: F.col("volume") % k == 0
-    x = daily(s, d).withColumn("pre_close", F.when(hit(7), 1.03).otherwise(1.0) * F.lag("close").over(Window.partitionBy("code").orderBy("trade_date")))
-    return x.select(
-        "code", "trade_date", "open", F.when(hit(13), F.col("low") * 0.9).otherwise(F.col("high")).alias("high"), "low", "close", F.when(hit(17), 0).otherwise(F.col("volume")).alias("volume"),
-        (F.col("close") * F.when(hit(19), 0).otherwise(F.col("volume"))).alias("amount"), F.when(hit(11), 1).when(hit(23), 5).otherwise(0).alias("suspend_flag"), "pre_close",
-    )
-
-
-def predictions(s, d) -> DataFrame:
-    out = research.forward_targets(dsl.evaluate(daily(s, d), {"score": sql.SCORE}), "inday")
-    return out.select("target_date", "target_end_date", "code", "score", "target_return")
-
-
-def portfolio(s, d) -> DataFrame:
-    return backtest.daily_returns(backtest.top_n(predictions(s, d), 10), 0.0003, 0.001)
-
-
-def labelled(s, d) -> DataFrame:
-    return predictions(s, d).filter("score IS NOT NULL").withColumn("label", research.direction_label(F.col("target_return")).cast("int"))
-
-
-def ic_of(s, d) -> DataFrame:
-    return research.daily_ic(predictions(s, d), "score")
-
+from .base import ORACLE_SQL, QUERIES, SPLIT, audited, daily, ic_of, labelled, panel, portfolio, predictions, query
 
 # ---- sources and market
 
@@ -236,27 +182,16 @@ query("bt_history_dedup", sql.rounded([*sql.PREDICTIONS, "u AS (SELECT * FROM pr
 query("bt_yearly_returns", sql.rounded(sql.PORTFOLIO, "SELECT year(target_date)::INT AS year, count(*) AS days, product(1 + net) - 1 AS total_return FROM port GROUP BY 1", "total_return"))(lambda s, d: backtest.yearly(portfolio(s, d)))
 query("bt_random_baseline")(lambda s, d: backtest.random_baseline(predictions(s, d), 10, 100))
 
-# ---- audit
-
-query("audit_integrity_rules", sql.rules_sql(audit.INTEGRITY))(lambda s, d: audit.rule_issues(audited(s, d), audit.INTEGRITY))
-query("audit_volume_rules", sql.rules_sql(audit.VOLUME))(lambda s, d: audit.rule_issues(audited(s, d), audit.VOLUME))
-query("audit_duplicate_keys", sql.rounded([sql.TICKS], "SELECT code, trade_date, 'ERROR' AS level, 'DAILY_DUPLICATE_KEY' AS issue_code, '1' AS expected, count(*)::VARCHAR AS actual FROM ticks GROUP BY 1, 2 HAVING count(*) > 1"))(lambda s, d: audit.duplicate_keys(ticks(s, d)))
-query("audit_summary", sql.rounded([f"i AS ({sql.rules_sql(audit.INTEGRITY | audit.VOLUME)})"], "SELECT level, issue_code, count(*) AS n, count(DISTINCT code) AS n_codes FROM i GROUP BY 1, 2"))(lambda s, d: audit.summary(audit.rule_issues(audited(s, d), audit.INTEGRITY | audit.VOLUME)))
-query("audit_volume_multiplier", sql.rounded([*sql.CHECKS, "m AS (SELECT median(amount / (volume * close)) AS median FROM bars WHERE volume > 0 AND close > 0 AND amount > 0)", "n AS (SELECT median, CASE WHEN abs(median - 1) <= abs(median - 100) THEN 1.0 ELSE 100.0 END AS near FROM m)"],
-      "SELECT median, (CASE WHEN abs(median / near - 1) <= 0.2 THEN near ELSE 1.0 END)::DOUBLE AS multiplier, abs(median / near - 1) > 0.2 AS ambiguous FROM n", "median multiplier"))(lambda s, d: audit.volume_multiplier(audited(s, d)))
+# ---- lives and expected bars
 
 
 def _expected(s, d) -> tuple[DataFrame, DataFrame]:
     bars = daily(s, d)
-    return audit.expected_bars(lifecycle(bars), bars), bars
+    return daily_check.expected_bars(lifecycle(bars), bars), bars
 
 
-for _key in ("trade_date", "code"):
-    query(f"audit_coverage_{'date' if _key == 'trade_date' else 'symbol'}", sql.rounded(sql.EXPECTED, f"SELECT e.{_key}, count(*) AS expected_rows, count(d.code) AS actual_rows, count(d.code) / count(*)::DOUBLE AS coverage FROM expected e LEFT JOIN daily d USING (code, trade_date) GROUP BY 1".replace("e.code, count", "code, count").replace("e.trade_date, count", "trade_date, count"), "coverage"))(
-        lambda s, d, k=_key: audit.coverage(*_expected(s, d), k))
 _SPANS = "SELECT code, min(trade_date) AS first_missing, max(trade_date) AS last_missing, count(*) AS days FROM (SELECT *, ordinal - row_number() OVER (PARTITION BY code ORDER BY ordinal) AS island FROM gone) GROUP BY code, island"
-query("audit_missing_spans", sql.rounded(sql.EXPECTED, _SPANS))(lambda s, d: audit.missing_spans(*_expected(s, d)))
-query("ingest_internal_gaps", sql.rounded(sql.EXPECTED, _SPANS.replace("FROM gone", "FROM gone JOIN (SELECT code, min(trade_date) AS lo, max(trade_date) AS hi FROM daily GROUP BY code) USING (code) WHERE trade_date > lo AND trade_date < hi")))(lambda s, d: audit.internal_gaps(*_expected(s, d)))
+query("ingest_internal_gaps", sql.rounded(sql.EXPECTED, _SPANS.replace("FROM gone", "FROM gone JOIN (SELECT code, min(trade_date) AS lo, max(trade_date) AS hi FROM daily GROUP BY code) USING (code) WHERE trade_date > lo AND trade_date < hi")))(lambda s, d: daily_check.internal_gaps(*_expected(s, d)))
 
 
 def _shifted(s, d) -> DataFrame:
@@ -267,36 +202,6 @@ def _shifted(s, d) -> DataFrame:
 
 
 _SHIFT = [*_LIFE, f"sh AS (SELECT code, (open_date + CASE WHEN code::BIGINT % 7 = 0 THEN 3 ELSE 0 END)::DATE AS open_date, CASE WHEN code::BIGINT % 5 = 0 THEN DATE '{SPLIT}' ELSE expire_date END AS expire_date, board FROM life WHERE code::BIGINT % 10 <> 0)"]
-query("audit_lifecycle", sql.rounded(_SHIFT, """SELECT * FROM (SELECT d.code, d.trade_date, CASE WHEN s.code IS NULL THEN 'WARNING' ELSE 'ERROR' END AS level, CASE WHEN s.code IS NULL THEN 'DAILY_LIFECYCLE_UNKNOWN' WHEN d.trade_date < s.open_date THEN 'DAILY_DATA_BEFORE_LISTING'
-      WHEN d.trade_date > s.expire_date THEN 'DAILY_DATA_AFTER_DELISTING' END AS issue_code FROM daily d LEFT JOIN sh s ON d.code = s.code) WHERE issue_code IS NOT NULL"""))(lambda s, d: audit.lifecycle_issues(daily(s, d), _shifted(s, d)))
-query("audit_delisted_without_bars", sql.rounded(_SHIFT, f"SELECT code, 'WARNING' AS level, 'DAILY_DELISTED_SYMBOL_MISSING' AS issue_code FROM sh WHERE expire_date IS NOT NULL AND code NOT IN (SELECT code FROM daily WHERE trade_date > DATE '{SPLIT}')"))(
-    lambda s, d: audit.delisted_without_bars(_shifted(s, d), daily(s, d).filter(F.col("trade_date") > F.lit(SPLIT))))
-query("audit_pre_close", sql.rounded([*sql.CHECKS, sql.ACTIONS, f"o AS (SELECT code, trade_date, pre_close, lag(close) OVER ({sql.W}) AS before FROM bars)"], """SELECT code, trade_date, pre_close, before FROM o WHERE before IS NOT NULL AND pre_close IS NOT NULL AND abs(pre_close - before) > 0.01 + 0.005 * abs(before)
-      AND NOT EXISTS (SELECT 1 FROM actions a WHERE a.code = o.code AND a.ex_date = o.trade_date)""", "pre_close before"))(lambda s, d: audit.pre_close_issues(audited(s, d), actions(s, d)))
-query("audit_adjust_factor", sql.rounded([*sql.CHECKS, sql.ACTIONS, f"o AS (SELECT code, trade_date, lag(close) OVER ({sql.W}) / nullif(pre_close, 0) AS observed FROM bars)", "a AS (SELECT code, ex_date AS trade_date, max(adjustment_factor) AS declared FROM actions GROUP BY 1, 2)"],
-      "SELECT code, trade_date, observed, declared FROM o JOIN a USING (code, trade_date) WHERE abs(observed / declared - 1) > 0.005", "observed declared"))(lambda s, d: audit.adjust_factor_issues(audited(s, d), actions(s, d)))
-query("audit_action_without_bar", sql.rounded([*_SHIFT, sql.ACTIONS], f"SELECT DISTINCT a.code, a.ex_date AS trade_date FROM actions a JOIN sh s ON a.code = s.code WHERE a.ex_date >= s.open_date AND (s.expire_date IS NULL OR a.ex_date <= s.expire_date) AND NOT EXISTS (SELECT 1 FROM daily d WHERE d.code = a.code AND d.trade_date = a.ex_date AND d.volume > 40)"))(
-    lambda s, d: audit.actions_without_bar(actions(s, d), daily(s, d).filter("volume > 40"), _shifted(s, d)))
-query("audit_price_limits", sql.rounded([*sql.EXPECTED, sql.ACTIONS, f"m AS (SELECT d.code, d.trade_date, close / nullif(lag(close) OVER (PARTITION BY d.code ORDER BY d.trade_date), 0) - 1 AS move, c.ordinal - p.ordinal AS age, CASE l.board WHEN 'main' THEN 0.1 ELSE 0.2 END::DOUBLE AS \"limit\" FROM daily d JOIN life l ON d.code = l.code JOIN cal c ON c.trade_date = d.trade_date JOIN cal p ON p.trade_date = l.open_date)"],
-      'SELECT code, trade_date, move, "limit" FROM m WHERE age >= 5 AND abs(move) > "limit" + 0.002 AND NOT EXISTS (SELECT 1 FROM actions a WHERE a.code = m.code AND a.ex_date = m.trade_date)', 'move "limit"'))(
-    lambda s, d: audit.price_limit_issues(daily(s, d), lifecycle(b := daily(s, d)), b, actions(s, d)))
-
-
-def _other_daily(s, d) -> DataFrame:
-    k = F.col("volume")
-    return daily(s, d).filter(k % 6 != 0).select("code", "trade_date", F.when(k % 8 == 0, F.col("close") * 1.01).otherwise(F.col("close")).alias("close"), F.when(k % 9 == 0, k + 1).otherwise(k).alias("volume"))
-
-
-query("audit_reconcile_5m", sql.rounded([sql.TICKS, sql.DAILY_BARS, "o AS (SELECT code, trade_date, CASE WHEN volume % 8 = 0 THEN close * 1.01 ELSE close END AS close, CASE WHEN volume % 9 = 0 THEN volume + 1 ELSE volume END AS volume FROM daily WHERE volume % 6 <> 0)",
-      "m AS (SELECT * FROM daily WHERE volume % 10 <> 0 AND code IN (SELECT code FROM o))", "o2 AS (SELECT * FROM o WHERE code IN (SELECT code FROM daily WHERE volume % 10 <> 0))"], """SELECT * FROM (SELECT coalesce(m.code, o2.code) AS code, coalesce(m.trade_date, o2.trade_date) AS trade_date, CASE WHEN o2.code IS NULL THEN 'CROSS_5M_MISSING_DAILY'
-      WHEN m.code IS NULL THEN 'CROSS_5M_MISSING_INTRADAY' WHEN abs(m.close - o2.close) > 1e-6 * abs(o2.close) THEN 'CROSS_5M_CLOSE_MISMATCH' WHEN abs(m.volume - o2.volume) > 1e-6 * abs(m.volume) THEN 'CROSS_5M_VOLUME_MISMATCH' END AS issue_code
-      FROM m FULL JOIN o2 ON m.code = o2.code AND m.trade_date = o2.trade_date) WHERE issue_code IS NOT NULL"""))(lambda s, d: audit.reconcile(daily(s, d).filter("volume % 10 <> 0"), _other_daily(s, d)))
-query("selfcheck_jump", sql.rounded([sql.TICKS, sql.DAILY_BARS], f"SELECT * FROM (SELECT code, trade_date, close / nullif(lag(close) OVER ({sql.W}), 0) - 1 AS jump FROM daily) WHERE abs(jump) > 0.5", "jump"))(lambda s, d: audit.price_jumps(daily(s, d)))
-query("selfcheck_pre_close", sql.rounded([*sql.CHECKS, sql.ACTIONS, f"o AS (SELECT code, trade_date, pre_close, last_value(CASE WHEN close > 0 THEN close END IGNORE NULLS) OVER ({sql.W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM bars)"],
-      "SELECT code, trade_date, 'INFO' AS level, CASE WHEN EXISTS (SELECT 1 FROM actions a WHERE a.code = o.code AND a.ex_date = o.trade_date) THEN 'PRE_CLOSE_DISCONTINUITY_EXPLAINED' ELSE 'PRE_CLOSE_DISCONTINUITY' END AS issue_code, pre_close, before FROM o WHERE abs(pre_close / before - 1) > 1e-6", "pre_close before"))(
-    lambda s, d: audit.continuity_issues(audited(s, d), actions(s, d)))
-query("selfcheck_volume_scale", sql.rounded([sql.FILLS, sql.PANEL, f"v AS (SELECT code, trade_date, volume, count(*) OVER w AS n, quantile_cont(volume, 0.5) OVER w AS median FROM panel WHERE volume > 0 WINDOW w AS ({sql.W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))"],
-      "SELECT code, trade_date, volume / median AS scale FROM v WHERE n >= 10 AND (volume / median >= 3 OR volume / median <= 1 / 3.0::DOUBLE)", "scale"))(lambda s, d: audit.volume_scales(panel(s, d), factor=3.0))
 
 # ---- ingest
 
@@ -365,20 +270,34 @@ query("search_equivalence_dedup")(lambda s, d: search.fingerprints(daily(s, d),
 query("search_genetic")(lambda s, d: search.genetic_search(context(s, d), ["open", "high", "low", "close", "volume"], SPLIT, population=6, generations=2, elites=2))
 
 
-def _eligibility(s, d) -> DataFrame:
+def _eligibility(s, d, missing: str = "allow") -> DataFrame:
     b = daily(s, d)
     w = Window.partitionBy("code").orderBy("trade_date")
     k = F.col("code").cast("long")
     ctx = b.select(
         F.col("trade_date").alias("execution_date"), "code", F.col("open").alias("execution_open"), F.col("close").alias("execution_close"), F.lag("close").over(w).alias("execution_pre_close"),
-        F.when(F.pmod(k, F.lit(3)) == 0, "star").when(F.pmod(k, F.lit(3)) == 1, "main").otherwise("chinext").alias("execution_board"), (k % 4 == 0).alias("execution_is_st"), (F.col("volume") % 11 == 0).alias("execution_suspended"))
-    return research.mark_eligibility(context(s, d).select("target_date", "target_end_date", "code", "target_return"), ctx, SPLIT).select("target_date", "code", "reason", "eligible")
-
-
-query("eligibility_marks", sql.rounded([sql.TICKS, sql.DAILY_BARS, *sql.target_ctes("inday"), f"""cx AS (SELECT trade_date, code, open, close, lag(close) OVER ({sql.W}) AS pc, volume % 11 = 0 AS susp, CASE WHEN code::BIGINT % 3 = 1 AND code::BIGINT % 4 = 0 THEN 0.05 WHEN code::BIGINT % 3 = 1 THEN 0.1 ELSE 0.2 END::DOUBLE AS lim FROM daily)""",
-      """rz AS (SELECT t.target_date, t.code, CASE WHEN b.pc IS NULL THEN NULL WHEN b.susp THEN 'suspended_buy' WHEN b.open >= round(b.pc * (1 + b.lim), 2) - 1e-6 THEN 'limit_up_buy' END AS buy, CASE WHEN e.pc IS NULL THEN NULL WHEN e.susp THEN 'suspended_sell' WHEN e.close <= round(e.pc * (1 - e.lim), 2) + 1e-6 THEN 'limit_down_sell' END AS sell, t.target_end_date
+        F.when(F.pmod(k, F.lit(3)) == 0, "star").when(F.pmod(k, F.lit(3)) == 1, "main").otherwise("chinext").alias("execution_board"), (k % 4 == 0).alias("execution_is_st"),
+        F.when(k % 9 == 0, 2).otherwise(100).alias("execution_sessions_since_listing"), (F.col("volume") % 13 == 0).alias("execution_has_corporate_action"), (F.col("volume") % 11 == 0).alias("execution_suspended"),
+    ).filter(F.col("execution_pre_close") > 0)
+    dataset = context(s, d).select("target_date", "target_end_date", "code", "target_return")
+    return eligibility.mark_eligibility(dataset, ctx.filter("day(execution_date) <> 9"), list(eligibility.FILTERS), cutoff=SPLIT, missing=missing)
+
+
+_ELIGIBLE = [
+    sql.TICKS, sql.DAILY_BARS, *sql.target_ctes("inday"),
+    f"""cx AS (SELECT * FROM (SELECT trade_date, code, open, close, lag(close) OVER ({sql.W}) AS pc, volume % 11 = 0 AS susp, volume % 13 = 0 OR (code::BIGINT % 9 = 0 AND code::BIGINT % 3 <> 1) AS free,
+      CASE WHEN code::BIGINT % 3 = 1 AND code::BIGINT % 4 = 0 THEN 0.05 WHEN code::BIGINT % 3 = 1 THEN 0.1 ELSE 0.2 END::DOUBLE AS lim FROM daily) WHERE pc > 0 AND day(trade_date) <> 9)""",
+    """sides AS (SELECT t.target_date, t.target_end_date, t.code, t.target_return, b.code IS NULL AS buy_lost, e.code IS NULL AS sell_lost,
+      CASE WHEN b.susp THEN 'suspended_buy' WHEN NOT b.free AND b.open >= round_even(b.pc * (1 + b.lim) / 0.01 + 1e-9, 0) * 0.01 - 1e-6 THEN 'limit_up_buy' END AS buy,
+      CASE WHEN e.susp THEN 'suspended_sell' WHEN NOT e.free AND e.close <= round_even(e.pc * (1 - e.lim) / 0.01 + 1e-9, 0) * 0.01 + 1e-6 THEN 'limit_down_sell' END AS sell
       FROM targets t LEFT JOIN cx b ON b.trade_date = t.target_date AND b.code = t.code LEFT JOIN cx e ON e.trade_date = t.target_end_date AND e.code = t.code)""",
-      f"rr AS (SELECT target_date, code, CASE WHEN target_end_date < DATE '{SPLIT}' THEN concat_ws(';', 'buy:' || buy, 'sell:' || sell) ELSE '' END AS reason FROM rz)"], "SELECT *, reason = '' AS eligible FROM rr"))(_eligibility)
+    f"judged AS (SELECT *, target_end_date < DATE '{SPLIT}' AS j FROM sides)",
+]
+for _policy, _lost in (("allow", "NULL"), ("exclude", "'missing_context'")):
+    query(f"eligibility_{'marks' if _policy == 'allow' else 'exclude'}", sql.rounded([*_ELIGIBLE, f"rr AS (SELECT target_date, code, CASE WHEN j THEN concat_ws(';', 'buy:' || CASE WHEN buy_lost THEN {_lost} ELSE buy END, 'sell:' || CASE WHEN sell_lost THEN {_lost} ELSE sell END) ELSE '' END AS reason FROM judged)"], "SELECT *, reason = '' AS eligible FROM rr"))(
+        lambda s, d, p=_policy: _eligibility(s, d, p).select("target_date", "code", "reason", "eligible"))
+query("eligibility_statistics", sql.rounded(_ELIGIBLE, """SELECT 'limit_up_buy' AS filter, 'buy' AS side, count(*) AS candidate_count, count(*) FILTER (NOT buy_lost AND buy IS NOT NULL) AS blocked_count, count(*) FILTER (buy_lost) AS unknown_count FROM judged WHERE j
+  UNION ALL SELECT 'limit_down_sell', 'sell', count(*), count(*) FILTER (NOT sell_lost AND sell IS NOT NULL), count(*) FILTER (sell_lost) FROM judged WHERE j"""))(lambda s, d: eligibility.statistics(_eligibility(s, d), list(eligibility.FILTERS)))
 
 FEATURES = {"f1": "returns(close, periods=1)", "f2": "cs_rank(volume)", "f3": "cs_rank(close)"}
 
@@ -402,3 +321,8 @@ def _stream(s, d) -> DataFrame:
 
 
 query("stream_kline", sql.kline_sql("15m"))(_stream)
+
+# ---- queries of further modules register themselves
+
+from . import daily_check as _daily_check  # noqa: E402, F401
+from . import self_check as _self_check  # noqa: E402, F401

@@ -51,10 +51,26 @@ def test_minhash(spark, width, percent, star, chunk):
     assert [(r.n_shingles, r.component_id) for r in got] == brute_components(texts, width, percent)
 
 
+def test_minhash_with_and_without_the_filter(spark, monkeypatch):
+    rows = docs_of(spark)
+    want = sorted(map(tuple, minhash.near_duplicates(rows, 3, 85).collect()))
+    monkeypatch.setattr(minhash, "FILTER_WORDS", 1)
+    assert sorted(map(tuple, minhash.near_duplicates(rows, 3, 85).collect())) == want
+
+
 def test_minhash_edges(spark):
-    got = minhash.near_duplicates(edge_docs(spark)).collect()
-    assert len(got) == len(EDGE) + 2 and all(r.kept for r in got)
-    assert minhash.near_duplicates(empty_docs(spark)).count() == 0
+    got = sorted(map(tuple, minhash.near_duplicates(edge_docs(spark)).collect()), key=lambda x: (x[0] is not None, x[0] or 0))
+    shingle_counts = [1, 0, 0, 0, 1, 1, 1, 1, 1, 3, 1]
+    ids = [None, 0, 1, 2, 3, 3, 4, 5, 6, 7, 8]
+    assert [x[0] for x in got] == ids and [x[1] for x in got] == shingle_counts
+    assert [x[2] for x in got] == ids and all(x[3] for x in got)
+    empty = minhash.near_duplicates(empty_docs(spark))
+    assert empty.count() == 0 and minhash.keep_one(empty_docs(spark)).count() == 0
+    texts = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "v w x y z"), (2, "v w x y z"), (None, "a b c d e f"), (3, None)]
+    rows = spark.createDataFrame([(i, t, i, "x") for i, t in texts], "doc_id long, text string, kept long, component_id string")
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in minhash.near_duplicates(rows).collect()) == [(0, 0), (1, 1), (1, 1), (1, 1), (2, 1), (3, 3)]
+    left = minhash.keep_one(rows)
+    assert left.columns == rows.columns and sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (1, "v w x y z"), (3, "")]
 
 
 def test_components_of_a_chain(spark):
