@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dsl, factors, scalars
-from ..operators import backtest, daily_check, eligibility, ingest, market, models, research, search
+from ..operators import backtest, daily_check, eligibility, ingest, market, research, search
 from ..sources.driver import actions, fills, lifecycle, ticks
 from ..sources.readers import invalid_bars, read_table
 from ..streaming.kline import run_once, stream_kline
@@ -299,20 +299,6 @@ for _policy, _lost in (("allow", "NULL"), ("exclude", "'missing_context'")):
 query("eligibility_statistics", sql.rounded(_ELIGIBLE, """SELECT 'limit_up_buy' AS filter, 'buy' AS side, count(*) AS candidate_count, count(*) FILTER (NOT buy_lost AND buy IS NOT NULL) AS blocked_count, count(*) FILTER (buy_lost) AS unknown_count FROM judged WHERE j
   UNION ALL SELECT 'limit_down_sell', 'sell', count(*), count(*) FILTER (NOT sell_lost AND sell IS NOT NULL), count(*) FILTER (sell_lost) FROM judged WHERE j"""))(lambda s, d: eligibility.statistics(_eligibility(s, d), list(eligibility.FILTERS)))
 
-FEATURES = {"f1": "returns(close, periods=1)", "f2": "cs_rank(volume)", "f3": "cs_rank(close)"}
-
-
-def dataset(s, d) -> DataFrame:
-    out = research.forward_targets(dsl.evaluate(daily(s, d), FEATURES), "inday").select("target_date", "target_end_date", "code", *FEATURES, "target_return")
-    return out.withColumn("label", research.direction_label(F.col("target_return")).cast("int"))
-
-
-query("experiment_passthrough", sql.rounded([sql.TICKS, sql.DAILY_BARS, *sql.expression_ctes("daily", FEATURES, "ft"), *sql.target_ctes("inday", "ft")], f"SELECT target_date, code, f3 AS score, target_return FROM targets WHERE f3 IS NOT NULL AND target_date >= DATE '{SPLIT}'", "score target_return"))(
-    lambda s, d: models.passthrough(dataset(s, d), list(FEATURES)).filter(F.col("target_date") >= F.lit(SPLIT)).select("target_date", "code", "score", "target_return"))
-for _m in ("logistic", "tree", "ridge"):
-    query(f"experiment_{_m}")(lambda s, d, m=_m: models.single_fit(dataset(s, d), list(FEATURES), m, SPLIT).select("target_date", "code", "score", "target_return"))
-
-
 def _stream(s, d) -> DataFrame:
     source = s.readStream.schema(read_table(s, d, "events").schema).parquet(f"{d}/events.parquet*")
     k = F.get_json_object("props", "$.k").cast("long")
@@ -325,4 +311,5 @@ query("stream_kline", sql.kline_sql("15m"))(_stream)
 # ---- queries of further modules register themselves
 
 from . import daily_check as _daily_check  # noqa: E402, F401
+from . import experiment as _experiment  # noqa: E402, F401
 from . import self_check as _self_check  # noqa: E402, F401
