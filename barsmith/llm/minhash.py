@@ -286,9 +286,10 @@ def id_filter(ids: DataFrame) -> np.ndarray | None:
 
 
 def shingle_sets(docs: DataFrame, width: int, ids: DataFrame) -> DataFrame:
-    """doc_id, shingles (their hashes) of each different row of docs whose id is in ids (doc_id, different).
+    """doc_id, shingles (their hashes) of the rows of docs whose id is in ids (doc_id, different), and of a few others.
 
-    Where a filter of the ids fits its bound, only the sets of documents that pass it are shuffled, and no text.
+    Where a filter of the ids fits its bound, nothing is shuffled for this; the others are those it lets pass, and
+    joins on the ids leave them out.
     """
     words_of = id_filter(ids)
     passed = docs.sparkSession.sparkContext.broadcast(words_of)
@@ -307,8 +308,7 @@ def shingle_sets(docs: DataFrame, width: int, ids: DataFrame) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(np.bincount(d, minlength=j - i))])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(s.view(np.int64)))], ["doc_id", "shingles"])
 
-    sets = docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, shingles array<long>")
-    return sets.join(ids, "doc_id", "left_semi") if words_of is not None else sets
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, shingles array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -23,6 +23,31 @@ def forward_targets(daily: DataFrame, kind: str) -> DataFrame:
     return out.filter("target_end_date IS NOT NULL AND target_return IS NOT NULL")
 
 
+RESERVED = {"trade_date", "feature_date", "target_date", "target_end_date", "code", "target_return", "label", "eligible", "reason"}
+
+
+def report_returns(daily: DataFrame) -> DataFrame:
+    """daily with the day's close-to-close and open-to-close returns and the next close over this one, by rows of each code."""
+    w = Window.partitionBy("code").orderBy("trade_date")
+    c, o = F.col("close"), F.col("open")
+    return daily.withColumns({
+        "previous_close_to_close_return": ratio(c, F.lag("close").over(w)) - 1, "previous_open_to_close_return": ratio(c, o) - 1, "target_close_to_previous_close_return": ratio(F.lead("close").over(w), c) - 1,
+    })
+
+
+def direction_dataset(features: DataFrame, names: list[str], kind: str = "inday", threshold: float = 0.005) -> DataFrame:
+    """feature_date, target dates, code, the named features, report returns, target_return and label of rows with a finite target."""
+    if reserved := set(names) & RESERVED:
+        raise ValueError(f"reserved names: {sorted(reserved)}")
+    if missing := set(names) - set(features.columns):
+        raise ValueError(f"no such features: {sorted(missing)}")
+    if not 0 <= threshold < float("inf"):
+        raise ValueError("the threshold is a finite return, not below 0")
+    out = forward_targets(report_returns(features), kind)
+    reports = ["previous_close_to_close_return", "previous_open_to_close_return", "target_close_to_previous_close_return"]
+    return out.select("feature_date", "target_date", "target_end_date", "code", *names, *reports, "target_return", direction_label(F.col("target_return"), threshold).alias("label"))
+
+
 def direction_label(value: Column, threshold: float = 0.005) -> Column:
     """1 if value exceeds threshold by more than 8 ulp, else 0."""
     return F.when(finite(value) - threshold > 8 * sys.float_info.epsilon * max(1.0, abs(threshold)), 1).otherwise(0).cast("byte")
@@ -49,11 +74,17 @@ def ic_summary(ic: DataFrame) -> DataFrame:
     )
 
 
+def period_summary(dataset: DataFrame) -> DataFrame:
+    """One row: samples, different dates and codes, first and last date."""
+    return dataset.agg(F.count(F.lit(1)).alias("samples"), F.countDistinct("target_date").alias("dates"), F.countDistinct("code").alias("codes"), F.min("target_date").alias("first_date"), F.max("target_date").alias("last_date"))
+
+
 def period_ic(ic: DataFrame, total_samples: DataFrame, min_daily_samples: int = 2) -> DataFrame:
-    """Coverage, means, ratios of means to deviations and positive shares of a period; thin dates count as missing."""
+    """Coverage, means, ratios of means to deviations and positive shares of a period, dates in all, valid and thin; thin dates count as missing."""
     enough = F.col("samples") >= min_daily_samples
-    x = ic.withColumns({c: F.when(enough, F.col(c)) for c in ("ic", "rank_ic")})
+    x = ic.withColumn("thin", ~enough).withColumns({c: F.when(enough, F.col(c)) for c in ("ic", "rank_ic")})
     out = x.agg(
+        F.count(F.lit(1)).alias("dates"), F.count("rank_ic").alias("rank_ic_dates"), F.sum(F.col("thin").cast("long")).alias("thin_dates"),
         F.sum("samples").alias("samples"), F.count("ic").alias("ic_dates"), F.avg("samples").alias("mean_cross_section"), F.avg("ic").alias("mean_ic"), F.avg("rank_ic").alias("mean_rank_ic"),
         ratio(F.avg("ic"), F.stddev_samp("ic")).alias("icir"), ratio(F.avg("rank_ic"), F.stddev_samp("rank_ic")).alias("rank_icir"),
         F.avg(F.when(F.col("ic").isNotNull(), (F.col("ic") > 0).cast("double"))).alias("positive_ic_ratio"), F.avg(F.when(F.col("rank_ic").isNotNull(), (F.col("rank_ic") > 0).cast("double"))).alias("positive_rank_ic_ratio"),
@@ -61,18 +92,19 @@ def period_ic(ic: DataFrame, total_samples: DataFrame, min_daily_samples: int =
     return out.crossJoin(F.broadcast(total_samples)).withColumn("coverage", ratio(F.col("samples"), F.col("total"))).drop("total")
 
 
-def auc(scored: DataFrame, score: str, label: str) -> DataFrame:
-    """Tie-aware area under the curve, from counts per different score, scores dealt into ranges.
+def auc(scored: DataFrame, score: str, label: str, ranges: int = 256) -> DataFrame:
+    """Tie-aware area under the curve, from counts per different score, scores dealt into ranges of about equal numbers of different scores.
 
-    Running counts are summed per range first, so no task orders all scores.
+    Running counts are summed per range first, so no task orders all scores, however concentrated they are.
     """
     by_score = scored.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    by_score = by_score.withColumn("neg", F.col("n") - F.col("pos")).withColumn("range", F.floor(F.col("s") * 256))
-    ranges = by_score.groupBy("range").agg(F.sum("neg").alias("neg_in"))
+    edges = by_score.agg(F.percentile_approx("s", [k / ranges for k in range(1, ranges)], 10_000).alias("edges"))
+    by_score = by_score.crossJoin(F.broadcast(edges)).withColumn("range", F.size(F.filter("edges", lambda e: e < F.col("s")))).drop("edges").withColumn("neg", F.col("n") - F.col("pos"))
+    totals = by_score.groupBy("range").agg(F.sum("neg").alias("neg_in"))
     ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select("range", F.coalesce(F.sum("neg_in").over(ahead), F.lit(0)).alias("neg_before"))
+    totals = totals.select("range", F.coalesce(F.sum("neg_in").over(ahead), F.lit(0)).alias("neg_before"))
     inside = Window.partitionBy("range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    x = by_score.join(ranges, "range").withColumn("below", F.col("neg_before") + F.coalesce(F.sum("neg").over(inside), F.lit(0)))
+    x = by_score.join(totals, "range").withColumn("below", F.col("neg_before") + F.coalesce(F.sum("neg").over(inside), F.lit(0)))
     wins = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
     return x.agg(ratio(wins, F.sum("pos") * F.sum("neg")).alias("auc"))
 

@@ -97,14 +97,9 @@ for _n, _f in _GROUPS.items():
 for _k in ("inday", "close", "open"):
     query(f"targets_{_k}", sql.rounded([sql.TICKS, sql.DAILY_BARS, *sql.target_ctes(_k)], "SELECT code, feature_date, target_date, target_end_date, target_return FROM targets", "target_return"))(
         lambda s, d, k=_k: research.forward_targets(daily(s, d), k).select("code", "feature_date", "target_date", "target_end_date", "target_return"))
-query("direction_dataset", sql.rounded(sql.LABELLED, "SELECT target_date, code, score, target_return, label FROM lab", "score target_return"))(lambda s, d: labelled(s, d).select("target_date", "code", "score", "target_return", "label"))
 query("daily_ic", sql.rounded(sql.IC, "SELECT * FROM ic", "ic rank_ic"))(ic_of)
 query("ic_summary", sql.rounded(sql.IC, "SELECT count(*) AS dates, count(ic) AS ic_dates, avg(ic) AS mean_ic, avg(rank_ic) AS mean_rank_ic, avg(ic) / nullif(stddev_samp(ic), 0) AS icir, avg((ic > 1e-12)::INT) AS ic_win_rate FROM ic", "mean_ic mean_rank_ic icir ic_win_rate"))(
     lambda s, d: research.ic_summary(ic_of(s, d)))
-query("period_ic_metrics", sql.rounded([*sql.IC, "e AS (SELECT samples, CASE WHEN samples >= 20 THEN ic END AS ic, CASE WHEN samples >= 20 THEN rank_ic END AS rank_ic FROM ic)"], """SELECT sum(samples)::BIGINT AS samples, count(ic) AS ic_dates, avg(samples) AS mean_cross_section, avg(ic) AS mean_ic,
-  avg(rank_ic) AS mean_rank_ic, avg(ic) / nullif(stddev_samp(ic), 0) AS icir, avg(rank_ic) / nullif(stddev_samp(rank_ic), 0) AS rank_icir, avg((ic > 0)::INT) AS positive_ic_ratio, avg((rank_ic > 0)::INT) AS positive_rank_ic_ratio,
-  sum(samples) / (SELECT count(*) FROM predictions)::DOUBLE AS coverage FROM e""", "mean_cross_section mean_ic mean_rank_ic icir rank_icir positive_ic_ratio positive_rank_ic_ratio coverage"))(
-    lambda s, d: research.period_ic(ic_of(s, d), predictions(s, d).agg(F.count(F.lit(1)).alias("total")), 20))
 query("classification_metrics", sql.rounded(sql.LABELLED, """SELECT count(*) AS n, avg(hit) AS accuracy, (avg(hit) FILTER (label = 1) + avg(hit) FILTER (label = 0)) / 2 AS balanced_accuracy, avg((score - label) ** 2) AS brier,
   avg(-(label * ln(p) + (1 - label) * ln(1 - p))) AS log_loss FROM (SELECT *, ((score >= 0.5)::INT = label)::INT::DOUBLE AS hit, least(greatest(score, 1e-12), 1 - 1e-12) AS p FROM lab)""", "accuracy balanced_accuracy brier log_loss"))(
     lambda s, d: research.classification(labelled(s, d), "score", "label"))
@@ -166,21 +161,12 @@ query("bt_metrics", sql.rounded(sql.PORTFOLIO, "SELECT count(*) AS days, product
     lambda s, d: backtest.compound_metrics(portfolio(s, d)).withColumn("annual_return", F.log10(F.col("annual_return") + 1)))
 query("bt_spreads", sql.rounded([*_BUCKETS, "sp AS (SELECT avg(target_return) FILTER (bucket = 'top') - avg(target_return) FILTER (bucket = 'bottom') AS x FROM bk GROUP BY target_date)"], "SELECT count(x) AS days, avg(x) * 252 AS annual_spread, stddev_samp(x) * sqrt(252) AS spread_volatility, avg(x) / nullif(stddev_samp(x), 0) * sqrt(252) AS spread_sharpe FROM sp", "annual_spread spread_volatility spread_sharpe"))(
     lambda s, d: backtest.spread_metrics(backtest.buckets(predictions(s, d), 10)))
-query("bt_deciles", sql.rounded([*sql.PREDICTIONS, """q AS (SELECT *, row_number() OVER (PARTITION BY target_date ORDER BY score, code DESC) - 1 AS pos FROM ranked)""", """e AS (SELECT *, (CASE WHEN size >= 10 THEN pos * 10 // size + 1 WHEN size = 1 THEN 10 ELSE round_even(pos * 9 / greatest(size - 1, 1)::DOUBLE, 0) + 1 END)::INT AS decile FROM q)""",
-      "f AS (SELECT target_date, decile, avg(target_return) AS m, count(*) AS n FROM e GROUP BY 1, 2)"], "SELECT decile, count(*) AS days, sum(n)::BIGINT AS samples, avg(m) AS mean_return FROM f GROUP BY 1", "mean_return"))(lambda s, d: backtest.deciles(predictions(s, d)))
 query("bt_drawdown_curve", sql.rounded(sql.PORTFOLIO, "SELECT * FROM dd", "gross net equity peak drawdown"))(lambda s, d: backtest.drawdown(backtest.equity(portfolio(s, d))))
-query("bt_drawdown_episodes", sql.rounded([*sql.PORTFOLIO, """i AS (SELECT *, row_number() OVER (ORDER BY target_date) AS idx, sum((drawdown >= 0)::INT) OVER (ORDER BY target_date) AS island, lag(target_date) OVER (ORDER BY target_date) AS previous,
-      lead(target_date) OVER (ORDER BY target_date) AS following FROM dd)"""], """SELECT first(previous ORDER BY idx) AS peak_date, min(target_date) AS start_date, arg_min(target_date, (drawdown, idx)) AS trough_date, last(following ORDER BY idx) AS recovery_date, min(drawdown) AS depth, count(*) AS days_under,
-      last(following ORDER BY idx) IS NOT NULL AS recovered FROM i WHERE drawdown < 0 GROUP BY island""", "depth"))(lambda s, d: backtest.drawdown_episodes(backtest.equity(portfolio(s, d))))
 query("bt_slippage", sql.rounded([*sql.PORTFOLIO, "lv AS (SELECT unnest([0.0, 0.0005, 0.002])::DOUBLE AS slippage)"], "SELECT slippage, count(*) AS days, product((1 + gross) * (1 - slippage) * (1 - 0.0003) / ((1 + slippage) * (1 + 0.0003))) - 1 AS total_return FROM port, lv GROUP BY 1", "total_return"))(
     lambda s, d: backtest.slippage_sensitivity(portfolio(s, d), [0.0, 0.0005, 0.002], 0.0003))
 query("bt_top_vs_rest", sql.rounded(sql.PREDICTIONS, """SELECT avg((target_return > 0)::INT) FILTER (place <= 10) AS top_hit_rate, avg((target_return > 0)::INT) FILTER (place > 10) AS rest_hit_rate, avg(target_return) FILTER (place <= 10) AS top_mean,
       avg(target_return) FILTER (place > 10) AS rest_mean, avg(target_return) FILTER (place <= 10) - avg(target_return) FILTER (place > 10) AS difference FROM ranked""", "top_hit_rate rest_hit_rate top_mean rest_mean difference"))(lambda s, d: backtest.top_vs_rest(predictions(s, d), 10))
-query("bt_history_dedup", sql.rounded([*sql.PREDICTIONS, "u AS (SELECT * FROM predictions UNION ALL SELECT target_date, target_end_date, code, score / 2, target_return FROM predictions)", "v AS (SELECT *, max(score) OVER (PARTITION BY target_date, code) AS best FROM u)"],
-      "SELECT target_date, code, max(score) AS score, min(target_return) AS target_return, count(DISTINCT target_return) AS n_returns FROM v WHERE score = best GROUP BY 1, 2", "score target_return"))(
-    lambda s, d: backtest.dedup_history((p := predictions(s, d)).unionByName(p.withColumn("score", F.col("score") / 2))))
 query("bt_yearly_returns", sql.rounded(sql.PORTFOLIO, "SELECT year(target_date)::INT AS year, count(*) AS days, product(1 + net) - 1 AS total_return FROM port GROUP BY 1", "total_return"))(lambda s, d: backtest.yearly(portfolio(s, d)))
-query("bt_random_baseline")(lambda s, d: backtest.random_baseline(predictions(s, d), 10, 100))
 
 # ---- lives and expected bars
 
@@ -310,6 +296,7 @@ query("stream_kline", sql.kline_sql("15m"))(_stream)
 
 # ---- queries of further modules register themselves
 
+from . import backtest as _backtest  # noqa: E402, F401
 from . import daily_check as _daily_check  # noqa: E402, F401
 from . import experiment as _experiment  # noqa: E402, F401
 from . import self_check as _self_check  # noqa: E402, F401
