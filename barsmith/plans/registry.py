@@ -299,4 +299,5 @@ query("stream_kline", sql.kline_sql("15m"))(_stream)
 from . import backtest as _backtest  # noqa: E402, F401
 from . import daily_check as _daily_check  # noqa: E402, F401
 from . import experiment as _experiment  # noqa: E402, F401
+from . import landing as _landing_queries  # noqa: E402, F401
 from . import self_check as _self_check  # noqa: E402, F401
