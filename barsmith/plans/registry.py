@@ -301,3 +301,4 @@ from . import daily_check as _daily_check  # noqa: E402, F401
 from . import experiment as _experiment  # noqa: E402, F401
 from . import landing as _landing_queries  # noqa: E402, F401
 from . import self_check as _self_check  # noqa: E402, F401
+from . import store as _store  # noqa: E402, F401
