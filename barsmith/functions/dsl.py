@@ -12,7 +12,9 @@ from __future__ import annotations
 import ast
 import hashlib
 import json
+import keyword
 import math
+import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -38,7 +40,8 @@ class Node:
     def canonical(self) -> str:
         parts = [x.canonical for x in self.inputs] + [f"{k}={v!r}" for k, v in self.parameters]
         if self.operator == "column":
-            return str(self.param("name"))
+            name = str(self.param("name"))
+            return name if name.isidentifier() and not keyword.iskeyword(name) and unicodedata.normalize("NFKC", name) == name else f"column({name!r})"
         return f"{self.operator}({', '.join(parts)})"
 
     @property
@@ -73,6 +76,16 @@ class Node:
     def to_json(self) -> str:
         return json.dumps(self.to_dict(), sort_keys=True)
 
+    @classmethod
+    def from_json(cls, text: str) -> Node:
+        """The tree of to_json(), each node validated anew."""
+        return cls.from_dict(json.loads(text))
+
+    @property
+    def causal(self) -> bool:
+        """Whether no operator looks ahead (of those registered: none can be called that does)."""
+        return all(x.causal for x in self.inputs) and (self.operator not in OPERATORS or OPERATORS[self.operator].lookback(dict(self.parameters)) >= 0)
+
     def __add__(self, o):
         return call("add", self, o)
 
@@ -390,6 +403,8 @@ def levels(nodes: list[Node]) -> dict[Node, int]:
 def evaluate(frame: DataFrame, expressions: dict[str, Node | str]) -> DataFrame:
     """frame with one double column per expression (booleans as 1.0 and 0.0)."""
     nodes = {name: parse(e) if isinstance(e, str) else e for name, e in expressions.items()}
+    if ahead := [name for name, n in nodes.items() if not n.causal]:
+        raise ValueError(f"these look ahead: {ahead}")
     missing = set().union(*(n.columns for n in nodes.values())) - set(frame.columns) if nodes else set()
     if missing:
         raise ValueError(f"unknown columns {sorted(missing)}")

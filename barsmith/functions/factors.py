@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import files
 from . import dsl
 from .scalars import finite, ratio
 
@@ -34,20 +38,128 @@ DAILY: dict[str, str] = {
 }
 INTRADAY = ("realized_vol", "downside_semivol", "intraday_path_efficiency", "last_30m_return", "last_30m_volume_ratio", "positive_bar_ratio", "signed_volume_imbalance", "close_to_vwap")
 FACTORS: dict[str, dsl.Node | str] = dict(DAILY)
+#: How a factor scales when all prices of a code do: degree 0 unless listed; None: not homogeneous.
+PRICE_HOMOGENEITY: dict[str, int | None] = {"alpha_001": None}
 
 
-def register_factor(name: str, expression: dsl.Node | str) -> None:
-    """A named daily factor; other expressions may use it as if it were a column."""
+def register_factor(name: str, expression: dsl.Node | str, price_homogeneity: int | None = 0) -> None:
+    """A named daily factor; other expressions may use its name as if it were a column."""
+    if not name.isidentifier():
+        raise ValueError(f"{name!r} is no identifier")
     if name in FACTORS or name in INTRADAY:
         raise ValueError(f"factor {name} exists")
+    if isinstance(price_homogeneity, bool) or not isinstance(price_homogeneity, (int, type(None))):
+        raise TypeError("price_homogeneity is a whole number or None")
     FACTORS[name] = dsl.parse(expression) if isinstance(expression, str) else expression
+    if price_homogeneity != 0:
+        PRICE_HOMOGENEITY[name] = price_homogeneity
+
+
+def requires_intraday(name: str) -> bool:
+    return name in INTRADAY
+
+
+def daily_capable() -> list[str]:
+    return sorted(FACTORS)
+
+
+def homogeneity(name: str) -> int | None:
+    if name not in FACTORS and name not in INTRADAY:
+        raise ValueError(f"no factor {name}")
+    return PRICE_HOMOGENEITY.get(name, 0)
+
+
+def resolved(expression: dsl.Node | str, columns: set[str]) -> tuple[dsl.Node, set[str]]:
+    """The expression with registered factors' names (that are no columns) replaced by their expressions; and the intraday factors it needs."""
+    intraday: set[str] = set()
+
+    def walk(n: dsl.Node, within: tuple[str, ...]) -> dsl.Node:
+        if n.operator != "column":
+            return dsl.Node(n.operator, tuple(walk(x, within) for x in n.inputs), n.parameters)
+        name = n.param("name")
+        if name in columns:
+            return n
+        if name in INTRADAY:
+            intraday.add(name)
+            return n
+        if name not in FACTORS:
+            raise ValueError(f"unknown column or factor {name!r}")
+        if name in within:
+            raise ValueError(f"factors in a circle: {' > '.join([*within, name])}")
+        own = FACTORS[name]
+        return walk(dsl.parse(own) if isinstance(own, str) else own, (*within, name))
 
+    return walk(dsl.parse(expression) if isinstance(expression, str) else expression, ()), intraday
 
-def build(daily: DataFrame, names: list[str]) -> DataFrame:
-    """daily (code, trade_date, open, high, low, close, volume) with the named factors; intraday ones need bars."""
-    if wrong := [n for n in names if n in INTRADAY]:
+
+def select_factors(names: list[str] | None, has_bars: bool) -> list[str]:
+    """The factors to build: those named, or all that the source allows; naming an intraday one without minute bars is an error."""
+    if names is None:
+        if not has_bars:
+            warnings.warn(f"no minute bars: {', '.join(INTRADAY)} are left out", stacklevel=2)
+        return [*FACTORS, *(INTRADAY if has_bars else ())]
+    if unknown := [n for n in names if n not in FACTORS and n not in INTRADAY]:
+        raise ValueError(f"no such factors: {unknown}")
+    if not has_bars and (wrong := [n for n in names if n in INTRADAY]):
         raise ValueError(f"need minute bars: {wrong}")
-    return dsl.evaluate(daily, {n: FACTORS[n] for n in names})
+    return list(names)
+
+
+def build(daily: DataFrame, names: list[str] | None = None, bars: DataFrame | None = None, expressions: dict[str, dsl.Node | str] | None = None) -> DataFrame:
+    """daily (code, trade_date, open, high, low, close, volume) with the named factors and expressions, which may use factors by name.
+
+    bars: minute bars, for intraday factors; those needed are one aggregation, joined by day.
+    """
+    chosen = select_factors(names if names is not None or not expressions else [], bars is not None)
+    columns = set(daily.columns)
+    wanted: dict[str, dsl.Node] = {}
+    from_bars = {n for n in chosen if n in INTRADAY}
+    for name, e in [*((n, FACTORS[n]) for n in chosen if n in FACTORS), *(expressions or {}).items()]:
+        if name in columns or name in wanted:
+            raise ValueError(f"{name!r} is there already")
+        wanted[name], needed = resolved(e, columns)
+        from_bars |= needed
+    if from_bars and bars is None:
+        raise ValueError(f"need minute bars: {sorted(from_bars)}")
+    out = daily.join(intraday(bars).select(*dsl.KEYS, *sorted(from_bars)), list(dsl.KEYS), "left") if from_bars else daily
+    out = dsl.evaluate(out, wanted)
+    return out.select(*[F.col(f"`{c}`") for c in daily.columns], *[c for c in chosen if c in INTRADAY], *wanted)
+
+
+class FactorCache:
+    """Factor columns kept as Parquet by what they compute and from what: (namespace, canonical expression, digest of the input).
+
+    A file whose keys differ from the input's is not used. Tables are written whole before they count.
+    """
+
+    def __init__(self, path: str):
+        self.path = path.rstrip("/")
+
+    @staticmethod
+    def digest(daily: DataFrame) -> str:
+        """Order-free digest of all rows and columns, from one aggregation."""
+        row = F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in sorted(daily.columns)])
+        got = daily.agg(F.count(F.lit(1)), F.bit_xor(row), F.sum(F.pmod(row, F.lit(1 << 31)))).first()
+        return hashlib.sha256("|".join([*sorted(daily.columns), *map(str, got)]).encode()).hexdigest()[:16]
+
+    def build(self, daily: DataFrame, expressions: dict[str, dsl.Node | str], namespace: str = "default") -> DataFrame:
+        """daily with the expressions' columns; those cached for this input are read, the others computed once and written."""
+        columns, spark = set(daily.columns), daily.sparkSession
+        nodes = {name: resolved(e, columns)[0] for name, e in expressions.items()}
+        digest = self.digest(daily)
+        where = {name: f"{self.path}/{namespace}/{n.identity}-{digest}" for name, n in nodes.items()}
+        missing = {name: n for name, n in nodes.items() if not files.exists(spark, f"{where[name]}/_SUCCESS")}
+        if missing:
+            computed = dsl.evaluate(daily, missing)
+            for name in missing:
+                computed.select(*dsl.KEYS, F.col(name).alias("value")).write.mode("overwrite").parquet(where[name])
+        out = daily
+        for name in nodes:
+            held = spark.read.parquet(where[name])
+            if held.count() != daily.count():
+                raise ValueError(f"cached {name} does not fit its input")
+            out = out.join(held.withColumnRenamed("value", name), list(dsl.KEYS), "left")
+        return out
 
 
 def intraday(bars: DataFrame, last: int = 6) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dsl, factors, scalars
-from ..operators import backtest, daily_check, eligibility, ingest, market, research, search
+from ..operators import backtest, daily_check, eligibility, ingest, market, research
 from ..sources.driver import actions, fills, lifecycle, ticks
 from ..sources.readers import invalid_bars, read_table
 from ..streaming.kline import run_once, stream_kline
@@ -230,32 +230,13 @@ query("ingest_changed_partitions", sql.rounded([], "SELECT o_orderkey AS name, C
         (o := read_table(s, d, "orders").select(F.col("o_orderkey").alias("name"), F.col("o_custkey").alias("bytes"), F.col("o_orderpriority").alias("sha256"))),
         o.filter("name % 5 <> 0").withColumn("sha256", F.when(F.col("name") % 5 == 1, "x").otherwise(F.col("sha256"))).withColumn("bytes", F.when(F.col("name") % 5 == 2, F.col("bytes") + 1).otherwise(F.col("bytes")))))
 
-# ---- search and models
-
-GRID = search.grid(["close", "volume"], [search.Stage((("returns", {"periods": (1, 3)}), ("ts_mean", {"window": (3,)}))), search.Stage((None, ("cs_rank", {})))])
+# ---- eligibility
 
 
 def context(s, d) -> DataFrame:
     return research.forward_targets(daily(s, d), "inday").select("code", "trade_date", "open", "high", "low", "close", "volume", "target_date", "target_end_date", "target_return")
 
 
-def _board(s, d) -> DataFrame:
-    return search.leaderboard(search.scores(context(s, d), GRID), SPLIT)
-
-
-_NAMES = [n.identity for n in GRID]
-_BOARD = [sql.TICKS, sql.DAILY_BARS, *sql.target_ctes("inday"), *sql.expression_ctes("targets", {n.identity: n for n in GRID}),
-          "lg AS (" + " UNION ALL ".join(f"SELECT '{i}' AS factor_id, target_date, target_return AS t, {i} AS s FROM valued WHERE {i} IS NOT NULL" for i in _NAMES) + ")",
-          "rk AS (SELECT *, rank() OVER (PARTITION BY factor_id, target_date ORDER BY s) + (count(*) OVER (PARTITION BY factor_id, target_date, s) - 1) / 2.0 AS rs, rank() OVER (PARTITION BY factor_id, target_date ORDER BY t) + (count(*) OVER (PARTITION BY factor_id, target_date, t) - 1) / 2.0 AS rt FROM lg)",
-          f"di AS (SELECT factor_id, target_date, {sql.CORR.format('rs', 'rt')} AS rank_ic FROM rk GROUP BY 1, 2)",
-          f"ag AS (SELECT factor_id, count(rank_ic) FILTER (target_date < DATE '{SPLIT}') AS selection_dates, avg(rank_ic) FILTER (target_date < DATE '{SPLIT}') AS raw, stddev_samp(rank_ic) FILTER (target_date < DATE '{SPLIT}') AS sd, avg(rank_ic) FILTER (target_date >= DATE '{SPLIT}') AS held FROM di GROUP BY 1)",
-          "bd AS (SELECT factor_id, CASE WHEN raw < 0 THEN -1 ELSE 1 END AS direction, selection_dates, raw * CASE WHEN raw < 0 THEN -1 ELSE 1 END AS selection_rank_ic, raw / nullif(sd, 0) * CASE WHEN raw < 0 THEN -1 ELSE 1 END AS selection_rank_icir, held * CASE WHEN raw < 0 THEN -1 ELSE 1 END AS holdout_rank_ic, raw IS NOT NULL AND selection_dates >= 5 AS eligible FROM ag)"]
-query("search_leaderboard_grid", sql.rounded(_BOARD, "SELECT * FROM bd", "selection_rank_ic selection_rank_icir holdout_rank_ic"))(_board)
-query("search_holdout_topk", sql.rounded(_BOARD, "SELECT factor_id, holdout_rank_ic FROM bd ORDER BY eligible DESC, selection_rank_ic DESC NULLS LAST, factor_id LIMIT 3", "holdout_rank_ic"))(lambda s, d: search.top(_board(s, d), 3).select("factor_id", "holdout_rank_ic"))
-query("search_equivalence_dedup")(lambda s, d: search.fingerprints(daily(s, d), [*GRID, dsl.parse("close + 0"), dsl.parse("close * 1")]).groupBy("fingerprint").agg(F.min("factor_id").alias("factor_id"), F.count(F.lit(1)).alias("n")))
-query("search_genetic")(lambda s, d: search.genetic_search(context(s, d), ["open", "high", "low", "close", "volume"], SPLIT, population=6, generations=2, elites=2))
-
-
 def _eligibility(s, d, missing: str = "allow") -> DataFrame:
     b = daily(s, d)
     w = Window.partitionBy("code").orderBy("trade_date")
@@ -300,5 +281,7 @@ from . import backtest as _backtest  # noqa: E402, F401
 from . import daily_check as _daily_check  # noqa: E402, F401
 from . import experiment as _experiment  # noqa: E402, F401
 from . import landing as _landing_queries  # noqa: E402, F401
+from . import search as _search  # noqa: E402, F401
 from . import self_check as _self_check  # noqa: E402, F401
+from . import sources as _sources  # noqa: E402, F401
 from . import store as _store  # noqa: E402, F401
