@@ -50,3 +50,34 @@ def test_future_does_not_change_history(spark):
 def test_cross_section_ties(spark):
     df = frame(spark, [1.0]).unionByName(frame(spark, [1.0], "B")).unionByName(frame(spark, [3.0], "C")).unionByName(frame(spark, [None], "D"))
     assert values(dsl.evaluate(df, {"x": "cs_rank(close)"})) == [0.5, 0.5, 1.0, None]
+
+
+def test_odd_column_names_have_ids_of_their_own(spark):
+    odd, plain = dsl.column("add(close, open)"), dsl.parse("add(close, open)")
+    assert odd.canonical == "column('add(close, open)')" and odd.identity != plain.identity and dsl.parse(odd.canonical) == odd
+    assert dsl.column("class").canonical == "column('class')" and dsl.column("close").canonical == "close"
+    df = frame(spark, [1.0, 2.0]).withColumnRenamed("volume", "add(close, open)")
+    assert values(dsl.evaluate(df, {"x": odd, "y": plain}), "x") == [10.0, 10.0]
+
+
+def test_json_round_trip():
+    n = dsl.parse("where(close > ts_mean(close, window=3), power(open, exponent=2), 0.5)")
+    assert dsl.Node.from_json(n.to_json()) == n
+    with pytest.raises(ValueError, match="takes"):
+        dsl.Node.from_dict({"operator": "add", "inputs": [{"operator": "column", "inputs": [], "parameters": {"name": "close"}}], "parameters": {}})
+
+
+def test_what_looks_ahead_is_not_evaluated(spark):
+    ahead = dsl.Node("delay", (dsl.column("close"),), (("periods", -1),))
+    assert not ahead.causal and not dsl.Node("negative", (ahead,)).causal and dsl.parse("delay(close, periods=1)").causal
+    with pytest.raises(ValueError, match="look ahead"):
+        dsl.evaluate(frame(spark, [1.0]), {"x": ahead})
+
+
+def test_registered_operator(spark):
+    from pyspark.sql import functions as F
+
+    dsl.register_operator("twice_for_test", 1)(lambda a: a * 2)
+    assert values(dsl.evaluate(frame(spark, [1.5]), {"x": "twice_for_test(close)"})) == [3.0]
+    with pytest.raises(ValueError, match="exists"):
+        dsl.register_operator("twice_for_test", 1)(F.abs)

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from barsmith.operators import audit, backtest, market
+from barsmith.operators import backtest, market
 from barsmith.sources import readers, writers
 
 SF = "/root/testdata/sf0.001"
@@ -15,7 +15,7 @@ def day(n):
     return dt.date(2024, 1, n)
 
 
-@pytest.mark.parametrize("name", ["flagship_top_n", "kline_60m", "kline_pre_close_chain", "op_ts_rank", "factors_ma", "auc_tie_aware", "bt_drawdown_episodes", "audit_missing_spans", "selfcheck_pre_close", "ingest_calendar_accumulate", "finance_pit_asof", "stream_kline"])
+@pytest.mark.parametrize("name", ["report_returns", "finance_pit_wide", "experiment_walk_forward", "search_equivalence_dedup", "selfcheck_rows", "landing_kline_batch", "bt_random_baseline", "flagship_top_n", "kline_60m", "kline_pre_close_chain", "op_ts_rank", "factors_ma", "auc_tie_aware", "bt_drawdown_episodes", "audit_missing_spans", "selfcheck_pre_close", "ingest_calendar_accumulate", "finance_pit_asof", "stream_kline"])
 def test_against_sql(spark, name):
     got = entry.queries()[name](spark, SF)
     con = duckdb.connect()
@@ -46,20 +46,6 @@ def test_drawdown_includes_the_start(spark):
     assert len(row) == 1 and row[0].peak_date is None and row[0].recovery_date == day(3) and row[0].days_under == 2
 
 
-def test_expected_bars_have_inclusive_ends(spark):
-    life = spark.createDataFrame([("A", day(2), day(3)), ("B", day(3), None)], "code string, open_date date, expire_date date")
-    cal = spark.createDataFrame([(day(n),) for n in (1, 2, 3, 4)], "trade_date date")
-    got = {(r.code, r.trade_date.day) for r in audit.expected_bars(life, cal).collect()}
-    assert got == {("A", 2), ("A", 3), ("B", 3), ("B", 4)}
-
-
-def test_continuity_skips_invalid_closes_and_marks_actions(spark):
-    bars = spark.createDataFrame([("A", day(1), 10.0, None), ("A", day(2), 0.0, 10.0), ("A", day(3), 9.0, 10.5), ("A", day(4), 9.0, 8.0)], "code string, trade_date date, close double, pre_close double")
-    acts = spark.createDataFrame([("A", day(4))], "code string, ex_date date")
-    got = {(r.trade_date.day, r.before, r.issue_code) for r in audit.continuity_issues(bars, acts).collect()}
-    assert got == {(3, 10.0, "PRE_CLOSE_DISCONTINUITY"), (4, 9.0, "PRE_CLOSE_DISCONTINUITY_EXPLAINED")}
-
-
 def test_store_round_trip(spark, tmp_path):
     rows = [("A", dt.datetime(2024, m, 1, 9), float(m)) for m in (1, 2, 3)]
     df = spark.createDataFrame(rows, "code string, trade_time timestamp, close double")
