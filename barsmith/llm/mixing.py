@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 CAP = 3
 #: Weights and schedule slopes, both repeating along the sources.
@@ -133,7 +133,8 @@ def training_order(docs: DataFrame, rows_a_bucket: int = ROWS_A_BUCKET) -> DataF
     Copies are dealt into ranges of positions; a copy's place is the count of copies in the ranges before its own and its rank there.
     """
     buckets = _buckets(docs, rows_a_bucket)
-    slim = _measured(docs.select("doc_id", "source", "text")).drop("text", "source")
+    # texts are read once: what follows reads some 70 bytes a row
+    slim = stored(_measured(docs.select("doc_id", "source", "text")).drop("text", "source"), "sizes")
     placed = assign_positions(slim, buckets, ["doc_id", "__h", "__tie"])
     copies = placed.select("*", F.posexplode_outer("__mix.positions").alias("__copy", "__position")).withColumn("__range", F.floor(F.col("__position") * buckets))
     counts = copies.filter("__position IS NOT NULL").groupBy("__range").agg(F.count(F.lit(1)).alias("__words")).select(F.lit(0).alias("__s"), F.col("__range").alias("__b"), "__words")
