@@ -37,6 +37,8 @@ MISSED = 1e-8
 STAR, CHUNK = 48, 400
 #: 64-bit words of the filter of ids (4 MB).
 FILTER_WORDS = 1 << 19
+#: So many ids at most are broadcast (some 16 MB).
+BROADCAST_IDS = 1_000_000
 
 
 def matches_needed(similarity: float, coordinates: int = COORDINATES, missed: float = MISSED) -> int:
@@ -367,10 +369,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents whose component has a smaller id; all rows of a kept id stay, and those without an id."""
-    kept = stored(near_duplicates(docs, width, percent).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "kept")
-    named = docs.join(kept, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+    """docs without the documents whose component has a smaller id; all rows of a kept id stay, and those without an id.
+
+    The ids to go are broadcast if there are at most BROADCAST_IDS of them, else joined by a shuffle.
+    """
+    gone = stored(near_duplicates(docs, width, percent).filter("NOT kept").select("doc_id").distinct(), "gone")
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_minhash_inverted(spark: SparkSession, sf_dir: str) -> DataFrame:
