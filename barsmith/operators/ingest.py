@@ -31,8 +31,8 @@ def reason_counts(classified: DataFrame) -> DataFrame:
 
 
 def reason_samples(classified: DataFrame, limit: int = 10, seed: int = 1) -> DataFrame:
-    """At most `limit` rows per reason other than kept, by hash order."""
-    order = Window.partitionBy("reason").orderBy(F.xxhash64(F.lit(seed), "code", "trade_date"), "code", "trade_date")
+    """At most `limit` rows per reason other than kept, by hash order; each task keeps no more of a reason before the shuffle."""
+    order = Window.partitionBy("reason").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "code", "trade_date")), "code", "trade_date", "volume")
     return classified.filter("reason <> 'kept'").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= limit).drop("k")
 
 
@@ -53,8 +53,10 @@ def correct_prices(bars: DataFrame) -> DataFrame:
 
 
 def missing_pairs(codes: DataFrame, dates: DataFrame, bars: DataFrame) -> DataFrame:
-    """codes x dates (a dimension grid of the expected store) without a bar."""
-    return codes.crossJoin(F.broadcast(dates)).join(bars.select("code", "trade_date"), ["code", "trade_date"], "left_anti")
+    """codes x dates without a bar: each code explodes the one array of dates, and existing pairs are anti-joined by key."""
+    days = dates.agg(F.sort_array(F.collect_set("trade_date")).alias("days"))
+    pairs = codes.select("code").distinct().crossJoin(F.broadcast(days)).select("code", F.explode("days").alias("trade_date"))
+    return pairs.join(bars.select("code", "trade_date"), ["code", "trade_date"], "left_anti")
 
 
 def upsert(state: DataFrame, changes: DataFrame, keys: list[str], removed: DataFrame | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import finance, landing
+from ..sources import readers
 from ..sources.readers import read_table
 from . import sql
 from .base import daily, query
@@ -215,3 +216,17 @@ query("landing_action_issues", sql.rounded(ACTIONS, "SELECT code, strptime(ex_da
 query("landing_action_partitions", sql.rounded([sql.TICKS, sql.DAILY_BARS, *ACTIONS, "ok AS (SELECT * FROM vr WHERE k % 7 <> 0)"], "SELECT ex_date, count(k) AS rows FROM (SELECT ex_date, k FROM ok UNION ALL SELECT DISTINCT strftime(trade_date, '%Y%m%d'), NULL FROM daily WHERE trade_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-25') GROUP BY 1"))(
     lambda s, d: landing.action_partitions(landing.parse_actions(vendor_actions(s, d), "20240105", "20240120"), _dates(s, d))
 )
+
+# ---- minute rows of the vendor's files
+
+
+def _minute_text(s, d) -> DataFrame:
+    e = read_table(s, d, "events")
+    k = c("event_id")
+    time = F.when(k % 3 == 0, F.date_format("ts", "yyyyMMddHHmm")).when(k % 17 == 0, "soon").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    price = c("value").cast("string")
+    return e.select(F.concat(F.lit(" u"), c("user_id").cast("string")).alias("code"), time.alias("trade_time"), *[F.when(k % 5 == 0, "-").otherwise(price).alias(n) for n in ("open", "high", "low", "close")], (k % 100 + 0.6).cast("string").alias("volume"), F.lit("1").alias("amount"))
+
+
+query("landing_minute_rows", sql.rounded([], """SELECT 'U' || user_id AS code, (CASE WHEN event_id % 3 = 0 THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END)::TIMESTAMP AS trade_time, CASE WHEN event_id % 5 <> 0 THEN value END AS close, (event_id % 100 + 1)::BIGINT AS volume, ts::DATE AS trade_date
+  FROM events WHERE event_id % 3 = 0 OR event_id % 17 <> 0""", "close"))(lambda s, d: readers.normalised_bars(_minute_text(s, d)).select("code", "trade_time", "close", "volume", "trade_date"))

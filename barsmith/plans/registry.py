@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import dsl, factors, scalars
 from ..operators import backtest, daily_check, eligibility, ingest, market, research
+from ..scratch import shared_dir
 from ..sources.driver import actions, fills, lifecycle, ticks
 from ..sources.readers import invalid_bars, read_table
-from ..streaming.kline import run_once, stream_kline
+from ..streaming.kline import run_available, stream_kline
 from . import sql
 from .base import ORACLE_SQL, QUERIES, SPLIT, audited, daily, ic_of, labelled, panel, portfolio, predictions, query
 
@@ -27,8 +28,8 @@ query("kline_pre_close_chain", sql.rounded([sql.TICKS, f"k AS ({sql.kline_sql('1
   FROM (SELECT *, last_value(CASE WHEN close <> 0 THEN close END IGNORE NULLS) OVER (PARTITION BY code ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pre_close FROM k)""",
   "close pre_close change pct_change intraday_pct_change"))(
     lambda s, d: market.with_pre_close(market.kline(ticks(s, d), "1d")).select("code", "bucket", "close", "pre_close", "change", "pct_change", "intraday_pct_change"))
-query("snapshot_at", sql.rounded([sql.TICKS], "SELECT code, seq, close, volume FROM ticks WHERE trade_time = (SELECT max(ts) FROM events)", "close"))(
-    lambda s, d: ticks(s, d).join(F.broadcast(ticks(s, d).agg(F.max("trade_time").alias("trade_time"))), "trade_time").select("code", "seq", "close", "volume"))
+query("snapshot_at", sql.rounded([sql.TICKS], "SELECT code, seq, close, volume FROM ticks WHERE trade_time = (SELECT max(ts) FROM events) AND code <> '1'", "close"))(
+    lambda s, d: market.snapshot(ticks(s, d).filter("code <> '1'"), ticks(s, d).agg(F.max("trade_time")).first()[0]).select("code", "seq", "close", "volume"))
 query("raw_bar_filter_page", sql.rounded([sql.TICKS], "SELECT code, trade_time, seq, close, volume, (SELECT count(*) FROM ticks WHERE close BETWEEN 50 AND 300 AND volume >= 10 AND hour(trade_time) BETWEEN 9 AND 15) AS total FROM ticks WHERE close BETWEEN 50 AND 300 AND volume >= 10 AND hour(trade_time) BETWEEN 9 AND 15 ORDER BY trade_time, seq LIMIT 50 OFFSET 20", "close"))(
     lambda s, d: market.raw_page(ticks(s, d).select("code", "trade_time", "seq", "close", "volume"), [F.col("close").between(50, 300), F.col("volume") >= 10, F.hour("trade_time").between(9, 15)], ["trade_time", "seq"], 50, 20))
 query("symbol_search", sql.rounded([sql.TICKS], "SELECT DISTINCT code FROM ticks WHERE contains(code, '7') ORDER BY code LIMIT 20"))(lambda s, d: market.search_symbols(ticks(s, d), " 7 ", 20))
@@ -204,7 +205,8 @@ _LAND = [*_SHIFT, "ld AS (SELECT code, CASE WHEN volume % 29 = 0 THEN NULL WHEN
          WHEN parsed_date < open_date AND volume = 0 THEN 'before_listing_padding' WHEN parsed_date < open_date THEN 'before_listing_with_data' WHEN parsed_date > expire_date THEN 'after_delisting' ELSE 'kept' END AS reason FROM cl)"""]
 query("ingest_classify_rows", sql.rounded(_LAND, "SELECT * FROM rs"))(lambda s, d: ingest.classify(_landing(s, d), _shifted(s, d)))
 query("ingest_reason_counts", sql.rounded(_LAND, f"SELECT r.reason, count(rs.reason) AS n FROM (SELECT unnest({ingest.REASONS}) AS reason) r LEFT JOIN rs ON rs.reason = r.reason GROUP BY 1"))(lambda s, d: ingest.reason_counts(ingest.classify(_landing(s, d), _shifted(s, d))))
-query("ingest_reason_samples")(lambda s, d: ingest.reason_samples(ingest.classify(_landing(s, d), _shifted(s, d))))
+query("ingest_reason_samples", sql.rounded(_LAND, "SELECT * FROM rs WHERE reason <> 'kept' QUALIFY row_number() OVER (PARTITION BY reason ORDER BY md5(concat_ws('|', '1', code, trade_date)), code, trade_date, volume) <= 10"))(
+    lambda s, d: ingest.reason_samples(ingest.classify(_landing(s, d), _shifted(s, d))))
 
 
 def _errata(s, d) -> DataFrame:
@@ -270,7 +272,7 @@ def _stream(s, d) -> DataFrame:
     source = s.readStream.schema(read_table(s, d, "events").schema).parquet(f"{d}/events.parquet*")
     k = F.get_json_object("props", "$.k").cast("long")
     bars = source.select(F.col("user_id").cast("string").alias("code"), F.col("ts").cast("timestamp").alias("trade_time"), F.col("event_id").alias("seq"), *(F.col("value").alias(c) for c in ("open", "high", "low", "close")), k.alias("volume"))
-    return run_once(s, stream_kline(bars, "15m"), f"kline_{uuid.uuid4().hex}")
+    return run_available(s, stream_kline(bars, "15m"), f"{shared_dir(s)}/barsmith/kline-{uuid.uuid4().hex}")
 
 
 query("stream_kline", sql.kline_sql("15m"))(_stream)

@@ -1,4 +1,4 @@
-"""Streaming K-lines: the batch resampling as a watermarked aggregation."""
+"""Streaming K-lines: the batch resampling as a watermarked aggregation, kept in files."""
 
 from __future__ import annotations
 
@@ -17,8 +17,19 @@ def stream_kline(bars: DataFrame, period: str, lateness: str = "1 day") -> DataF
     return agg.select("code", F.col("w.start").alias("bucket"), "open", "high", "low", "close", F.round("volume").cast("long").alias("volume"))
 
 
-def run_once(spark: SparkSession, lines: DataFrame, name: str) -> DataFrame:
-    """All available input as one streaming run into a table of that name in memory (small results)."""
-    query = lines.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+def run_available(spark: SparkSession, lines: DataFrame, path: str) -> DataFrame:
+    """Run on all input that is there and return the K-lines so far.
+
+    Each micro-batch writes the lines it changed below path, under its own number, and a checkpoint makes a rerun go on
+    where the last one stopped; a batch that is run again overwrites its own folder. The newest state of a line counts.
+    """
+
+    def keep(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/lines/batch={batch}")
+
+    query = lines.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    names = [f.name for f in lines.schema.fields]
+    written = spark.read.schema(lines.schema.add("batch", "long")).option("basePath", f"{path}/lines").parquet(f"{path}/lines")
+    rest = F.struct(*[n for n in names if n not in ("code", "bucket")])
+    return written.groupBy("code", "bucket").agg(F.max_by(rest, "batch").alias("x")).select("code", "bucket", "x.*")
