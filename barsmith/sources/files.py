@@ -34,11 +34,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def read_text(spark: SparkSession, path: str) -> str:
+def read_text(spark: SparkSession, path: str, limit: int = (1 << 31) - 1) -> str:
+    """The text of a small file, or the first `limit` bytes of any."""
     fs, p = _path(spark, path)
     stream = fs.open(p)
     try:
-        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        return bytes(stream.readNBytes(limit)).decode(errors="strict" if limit > 1 << 30 else "ignore")
     finally:
         stream.close()
 

@@ -14,6 +14,15 @@ from ..operators.issues import SCHEMA as ISSUE_SCHEMA
 from . import files
 
 MARKER = "_SUCCESS.json"
+#: The columns of each dataset's files, in order; others follow them.
+CONTRACTS = {
+    "kline_1d": ["code", "trade_date", "open", "high", "low", "close", "pre_close", "volume", "amount", "suspend_flag"],
+    "instrument_info": ["code", "instrument_name", "open_date", "expire_date", "is_trading", "instrument_status"],
+    "trading_calendar": ["trade_date", "calendar_symbol"],
+    "corporate_actions": [
+        "code", "ex_date", "cash_dividend_per_share", "bonus_share_per_share", "capitalization_per_share", "rights_issue_per_share", "rights_issue_price", "share_reform_flag", "adjustment_factor",
+    ],
+}
 c = F.col
 
 
@@ -64,7 +73,12 @@ def text_schema(columns: list[str]) -> T.StructType:
 
 
 def read(spark: SparkSession, root: str, dataset: str, columns: list[str], values: list[Partition] | None = None) -> DataFrame:
-    """Rows of all, or of the given, partitions: every column as text, and source_file."""
+    """Rows of all, or of the given, partitions: the dataset's first columns as text, and source_file; ValueError if the first file has others."""
+    found = files.listed(spark, f"{root}/{dataset}/*/*.csv" if values is None else f"{values[0].path}/*.csv" if values else f"{root}/{dataset}/none")
+    if found:
+        header = files.read_text(spark, found[0].path, 1 << 16).split("\n", 1)[0].lstrip("\ufeff").strip().split(",")
+        if header[: len(columns)] != columns:
+            raise ValueError(f"{found[0].path} has the columns {header}, not {columns}")
     reader = spark.read.option("header", "true").schema(text_schema(columns))
     if values is None:
         rows = reader.csv(f"{root}/{dataset}/*/*.csv")
@@ -92,13 +106,16 @@ def identity(df: DataFrame, partition: str, keys: list[str]) -> DataFrame:
     return df.groupBy(c(partition).cast("string").alias("value")).agg(F.sha2(F.concat_ws("-", F.count(F.lit(1)), F.bit_xor(row), F.sum(F.pmod(row, F.lit(1 << 31)))), 256).alias("identity"))
 
 
-def write(df: DataFrame, root: str, dataset: str, partition: str, keys: list[str], columns: list[str], scope: dict | None = None, overwrite: bool = False) -> dict[str, str]:
+def write(df: DataFrame, root: str, dataset: str, partition: str, keys: list[str], columns: list[str] | None = None, scope: dict | None = None, overwrite: bool = False) -> dict[str, str]:
     """Land df (rows with `partition`) and mark its partitions; {value: "written" or "skipped"}.
 
     A partition with a marker of the same scope is skipped unless overwrite; one of another scope is refused. A key may
-    not repeat within a partition. Rows are sorted by key; columns beyond `columns` follow in alphabetical order.
+    not repeat within a partition. Rows are sorted by key; columns beyond `columns` (by default the dataset's contract, those
+    df lacks left empty) follow in alphabetical order.
     """
     spark = df.sparkSession
+    columns = columns or CONTRACTS[dataset]
+    df = df.withColumns({n: F.lit(None).cast("string") for n in columns if n not in df.columns})
     if df.groupBy(partition, *keys).count().filter("count > 1").limit(1).count():
         raise ValueError(f"repeated {keys} in {dataset}")
     scope_text = json.dumps(scope or {}, sort_keys=True)
