@@ -146,7 +146,9 @@ def deciles(predictions: DataFrame, score: str = "score") -> DataFrame:
 
 
 def slippage_sensitivity(daily: DataFrame, levels: list[float], commission: float) -> DataFrame:
-    """Total return per slippage level, recosted from daily gross means."""
+    """Total return per slippage level, recosted from daily gross means; no levels give no rows."""
+    if not levels:
+        return daily.sparkSession.createDataFrame([], "slippage double, days long, total_return double")
     grid = F.explode(F.array(*[F.struct(F.lit(float(s)).alias("slippage"), F.lit(cost_multiplier(commission, s)).alias("m")) for s in sorted(set(levels))])).alias("x")
     x = daily.select("gross", grid)
     return x.groupBy(F.col("x.slippage").alias("slippage")).agg(F.count(F.lit(1)).alias("days"), (F.product((1 + F.col("gross")) * F.col("x.m")) - 1).alias("total_return"))

@@ -11,6 +11,14 @@ MINUTES = {"5m": "5 minutes", "15m": "15 minutes", "30m": "30 minutes", "60m": "
 CALENDAR = {"1d": "day", "1w": "week", "1mo": "month"}
 
 
+def bucket_of(time: Column, period: str) -> Column:
+    """The start of the K-line that a time falls into."""
+    if period in MINUTES:
+        seconds = 60 * int(MINUTES[period].split()[0])
+        return F.timestamp_seconds(F.floor(F.unix_timestamp(time) / seconds) * seconds)
+    return F.date_trunc(CALENDAR[period], time)
+
+
 def _bucket(period: str) -> Column:
     if period in MINUTES:
         return F.window("trade_time", MINUTES[period])["start"]

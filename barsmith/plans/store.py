@@ -50,11 +50,11 @@ def landed_actions(s, d) -> DataFrame:
 def landed_tree(s, d) -> str:
     """A landing tree below a new scratch folder."""
     root = f"{shared_dir(s)}/barsmith/landed-{uuid.uuid4().hex}"
-    source.write(landed_bars(s, d), root, "kline_1d", "date", ["code"], daily_store.KLINE)
-    source.write(landed_lives(s, d), root, "instrument_info", "snapshot", ["code"], ["code", "instrument_name", "open_date", "expire_date"])
-    source.write(landed_actions(s, d), root, "corporate_actions", "ex_date", ["code"], ["code", "ex_date", *ACTION_TERMS])
+    source.write(landed_bars(s, d), root, "kline_1d", "date", ["code"])
+    source.write(landed_lives(s, d), root, "instrument_info", "snapshot", ["code"])
+    source.write(landed_actions(s, d), root, "corporate_actions", "ex_date", ["code"])
     days = daily(s, d).select(F.lit("latest").alias("snapshot"), F.date_format("trade_date", "yyyyMMdd").alias("trade_date"), F.lit("SH").alias("calendar_symbol")).distinct()
-    source.write(days, root, "trading_calendar", "snapshot", ["trade_date"], ["trade_date", "calendar_symbol"])
+    source.write(days, root, "trading_calendar", "snapshot", ["trade_date"])
     return root
 
 
@@ -108,7 +108,7 @@ def _incremental(s, d) -> DataFrame:
     """One day changed, one gone; an automatic run brings the store up to date."""
     store = synced(s, d)
     changed = landed_bars(s, d).filter("date = '20240110'").withColumn("close", F.lit("7.5"))
-    source.write(changed, store.landed, "kline_1d", "date", ["code"], daily_store.KLINE, overwrite=True)
+    source.write(changed, store.landed, "kline_1d", "date", ["code"], overwrite=True)
     files.delete(s, f"{store.landed}/kline_1d/date=20240111")
     store.sync()
     return store.bars(suspended=True).select(*_BARS)

@@ -95,6 +95,27 @@ class MarketServiceSource(MarketDataSource):
     def list_symbols(self, limit: int) -> list[str]:
         return [r.code for r in market.search_symbols(self._bars(), "", limit).collect()]
 
+    def kline(self, code: str, start, end, period: str = "15m") -> DataFrame:
+        """K-lines of a code whose buckets start in [start aligned down, end], with pre_close seeded from before."""
+        if str(start) > str(end):
+            raise ValueError("start after end")
+        lines = market.with_pre_close(market.kline(self._dated(read_bars(self.spark, self.path, None, end, [code.strip().upper()], closed=True)), period))
+        first = market.bucket_of(F.lit(start).cast("timestamp"), period)
+        return lines.filter(F.col("bucket") >= first)
+
+    def snapshot(self, at, codes: list[str] | None = None) -> DataFrame:
+        return market.snapshot(read_bars(self.spark, self.path, at, at, codes, closed=True), at)
+
+    def raw(self, conditions: list, limit: int = 100, offset: int = 0) -> DataFrame:
+        """A page of the bars that meet all conditions, in order of time and code, with their total."""
+        return market.raw_page(self._bars(), conditions, ["trade_time", "code"], limit, offset)
+
+    @staticmethod
+    def _dated(bars: DataFrame) -> DataFrame:
+        if "trade_date" not in bars.columns:
+            bars = bars.withColumn("trade_date", F.to_date("trade_time"))
+        return bars if "seq" in bars.columns else bars.withColumn("seq", F.lit(0))
+
     def load_bars(self, codes, start, end) -> DataFrame:
         """Bars of [start, end], valid and of different (code, trade_time); no codes, no bars."""
         bars = read_bars(self.spark, self.path, start, end, codes, closed=True)
@@ -102,10 +123,7 @@ class MarketServiceSource(MarketDataSource):
         return validated(bars, key)
 
     def build_features(self, bars, names=None, expressions=None, cache=None) -> DataFrame:
-        if "trade_date" not in bars.columns:
-            bars = bars.withColumn("trade_date", F.to_date("trade_time"))
-        if "seq" not in bars.columns:
-            bars = bars.withColumn("seq", F.lit(0))
+        bars = self._dated(bars)
         return factors.build(market.daily(bars), names, bars, expressions)
 
 

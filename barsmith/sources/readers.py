@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import csv
 import datetime as dt
+import io
+import itertools
+import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -37,6 +44,28 @@ def read_landing_csv(spark: SparkSession, path: str, columns: list[str]) -> Data
     return spark.read.option("header", "true").schema(T.StructType([T.StructField(c, T.StringType()) for c in columns])).csv(path)
 
 
+def read_zipped_csv(spark: SparkSession, pattern: str, columns: list[str], encoding: str = "utf-8-sig") -> DataFrame:
+    """Rows of every CSV member of the zip files that match: all text, with archive and member. Archives are opened on executors, one at a time and member by member."""
+    ship(spark)
+    raw = spark.read.format("binaryFile").load(pattern).select("path", "content")
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
+                    for member in archive.infolist():
+                        if member.is_dir() or not member.filename.lower().endswith(".csv"):
+                            continue
+                        with archive.open(member) as stream:
+                            rows = csv.DictReader(io.TextIOWrapper(stream, encoding))
+                            for part in iter(lambda: list(itertools.islice(rows, 10_000)), []):
+                                arrays = [pa.array([r.get(n) for r in part], pa.string()) for n in columns]
+                                names = [pa.array([x] * len(part), pa.string()) for x in (path.rsplit("/", 1)[-1], member.filename)]
+                                yield pa.RecordBatch.from_arrays([*arrays, *names], [*columns, "archive", "member"])
+
+    return raw.mapInArrow(run, ", ".join(f"`{n}` string" for n in [*columns, "archive", "member"]))
+
+
 def normalised_bars(raw: DataFrame) -> DataFrame:
     """Vendor minute rows, all text (code, trade_time as yyyy-MM-dd HH:mm[:ss] or yyyyMMddHHmm[ss], prices, volume, amount), as the store has them: times parsed, volume rounded, unparsable values NULL."""
     text = F.regexp_replace(F.col("trade_time"), "[^0-9]", "")
