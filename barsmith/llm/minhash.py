@@ -13,7 +13,7 @@
    are still in different components after confirmation are then compared
    in blocks, on their full sets, and each block returns only a star per component
    found there; so no link between components is lost and groups of near copies do not
-   make all their pairs.
+   make all their pairs. Very large lists are first split by a second shared entry.
 4. Candidates are confirmed on the full shingle sets; components of confirmed links follow.
 
 Null and wordless texts have the empty set and link with nothing. Repeated ids with different
@@ -35,6 +35,8 @@ from .components import components
 COORDINATES = 40
 MISSED = 1e-8
 STAR, CHUNK = 48, 400
+#: Lists of more chunks than this are split by a second entry before members are compared.
+REFINE = 25
 #: 64-bit words of the filter of ids (4 MB).
 FILTER_WORDS = 1 << 19
 #: So many ids at most are broadcast (some 16 MB).
@@ -324,6 +326,24 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out
 
 
+def _refined(rows: DataFrame, matches: int, chunk: int) -> DataFrame:
+    """rows (kv, f, rep, shared, comp) with lists of more than REFINE chunks split by a second entry.
+
+    Two members that share `matches` entries share matches - 1 besides the list's own, so each is posted under its
+    rarest others, all but matches - 2 of them: the rarest that both have is among those of either. Comparing blocks of a
+    list takes rows in the square of its members, this some entries for each.
+    """
+    if matches < 2:
+        return rows
+    c = F.col
+    big = c("f") > REFINE * chunk
+    others = F.filter("shared", lambda e: e != c("kv"))
+    posted = F.slice(others, F.lit(1), F.greatest(F.size(others) - (matches - 2), F.lit(0)))
+    sub = rows.filter(big).select("rep", "shared", "comp", "kv", F.explode(posted).alias("e")).select(F.xxhash64("kv", "e").alias("kv"), "rep", "shared", "comp")
+    met = sub.groupBy("kv").agg(F.count(F.lit(1)).alias("f"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("kv", "f")
+    return rows.filter(~big).unionByName(sub.join(met, "kv"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordinates: int = COORDINATES, star: int = STAR, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text)."""
     matches = matches_needed(percent / 100, coordinates)
@@ -349,6 +369,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
         split = stored(known.groupBy("kv").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("kv"), "split")
         rows = stored(known.join(split, "kv", "left_semi"), "rows")
         scratch += [so_far, known, split, rows]
+        rows = _refined(rows, matches, chunk)
         rows = rows.join(sets_of, F.col("rep") == F.col("doc_id")).withColumn("blocks", F.ceil(F.col("f") / chunk)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("long"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         rows = rows.select("kv", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("salt"), "rep", "comp", "block", "shared", "shingles")

@@ -42,8 +42,9 @@ def brute_components(texts, width, percent):
     return [(len(s), x) for s, x in zip(sets, label, strict=True)]
 
 
-@pytest.mark.parametrize(("width", "percent", "star", "chunk"), [(3, 85, 48, 400), (5, 80, 2, 3)])
-def test_minhash(spark, width, percent, star, chunk):
+@pytest.mark.parametrize(("width", "percent", "star", "chunk", "refine"), [(3, 85, 48, 400, 25), (5, 80, 2, 3, 25), (5, 80, 2, 2, 1)])
+def test_minhash(spark, monkeypatch, width, percent, star, chunk, refine):
+    monkeypatch.setattr(minhash, "REFINE", refine)
     docs = docs_of(spark).orderBy("doc_id").toPandas()
     base = docs.text[0].split()
     texts = [*docs.text, *(" ".join(base[:k] + ["changed"] + base[k + 1 :]) for k in range(0, min(len(base), 40), 4)), None, "", "one", "ONE", "one two"]
