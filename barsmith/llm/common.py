@@ -11,6 +11,7 @@ import ctypes
 import functools
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..scratch import shared_dir
 from ..shipping import ship
+from ..sources import files
 
 SLICE_BYTES = 1 << 20
 _M64 = (1 << 64) - 1
@@ -34,6 +36,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SCOPES: list[list[DataFrame]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: a lineage cut that outlives executors."""
     spark = df.sparkSession
@@ -41,16 +46,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._barsmith_path = path
+    if _SCOPES:
+        _SCOPES[-1].append(out)
     return out
 
 
 def drop_stored(*frames: DataFrame) -> None:
     """Delete stored() tables that no later plan reads."""
     for df in frames:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._barsmith_path)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        files.delete(df.sparkSession, df._barsmith_path)
+
+
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Tables stored() inside are deleted at the end: for work whose result has been written by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        drop_stored(*_SCOPES.pop())
 
 
 def tidy(run: Callable) -> Callable:
