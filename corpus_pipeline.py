@@ -12,7 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from barsmith.llm import minhash, mixing, pieces, quality, secrets
-from barsmith.llm.common import shared_dir, stored, table
+from barsmith.llm.common import scratch_scope, shared_dir, stored, table
+from barsmith.sources import files
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages in a row, each written to the shared folder and read by the next; what a stage needed goes once its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         path = f"{shared_dir(spark)}/barsmith/pipeline-{k}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch_scope():
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            files.delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
