@@ -19,56 +19,56 @@ from pyspark.sql import functions as F
 from .common import table
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
-_PLACE = ["conv_id", "own", "turn", "role"]
+_PLACE = ["key", "turn", "role"]
 
 
 def _hashed(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text, a and b (hashes of role and text), own (0, or the row's hash where conv_id is null)."""
+    """conv_id, turn, role, text, a and b (hashes of role and text), key (the conversation: its id, or the row's hash where that is null)."""
     missing = F.when(F.col("role").isNull(), 1).otherwise(0) + F.when(F.col("text").isNull(), 2).otherwise(0)
     rows = turns.select("conv_id", "turn", "role", "text", F.xxhash64(missing, "role", F.lit(0), "text").alias("a"), F.xxhash64("text", F.lit(1), "role", missing).alias("b"))
-    return rows.withColumn("own", F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "a", "b")).otherwise(0))
+    own = F.concat(F.lit("\0row "), F.xxhash64("turn", "a", "b").cast("string"))
+    return rows.withColumn("key", F.coalesce(F.col("conv_id").cast("string"), own))
 
 
 def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    out = left[names[0]].eqNullSafe(right[names[0]])
-    for n in names[1:]:
+    out = left["key"] == right["key"]
+    for n in names:
         out = out & left[n].eqNullSafe(right[n])
     return out
 
 
 def rolling(turns: DataFrame) -> DataFrame:
-    """conv_id, own, pos (from 1), n (turns), h1, h2 (of the prefix that ends here)."""
+    """key, conv_id, pos (from 1), n (turns), h1, h2 (of the prefix that ends here)."""
     hashed = _hashed(turns)
-    rows = hashed.select(*_PLACE, "a", "b").distinct()
+    rows = hashed.select("conv_id", *_PLACE, "a", "b").distinct()
     ties = rows.groupBy(*_PLACE).agg(F.count(F.lit(1)).alias("several")).filter("several > 1")
-    texts = hashed.join(ties, _same(hashed, ties, _PLACE), "left_semi").select(*_PLACE, "a", "b", "text").distinct()
+    texts = hashed.join(ties, _same(hashed, ties, ["turn", "role"]), "left_semi").select(*_PLACE, "a", "b", "text").distinct()
     ranks = texts.select(*_PLACE, "a", "b", F.row_number().over(Window.partitionBy(*_PLACE).orderBy(F.col("text").asc_nulls_first())).alias("k"))
-    ranked = rows.join(ranks, _same(rows, ranks, [*_PLACE, "a", "b"]), "left").select(*[rows[c] for c in (*_PLACE, "a", "b")], F.coalesce(ranks["k"], F.lit(0)).alias("k"))
-    whole = Window.partitionBy("conv_id", "own")
+    ranked = rows.join(ranks, _same(rows, ranks, ["turn", "role", "a", "b"]), "left").select(*[rows[c] for c in ("conv_id", *_PLACE, "a", "b")], F.coalesce(ranks["k"], F.lit(0)).alias("k"))
+    whole = Window.partitionBy("key")
     upto = whole.orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), "k").rowsBetween(Window.unboundedPreceding, 0)
     return (
         ranked.withColumn("pos", F.count(F.lit(1)).over(upto)).withColumn("x", F.xxhash64("pos", "a")).withColumn("y", F.xxhash64("b", "pos"))
-        .select("conv_id", "own", "pos", F.count(F.lit(1)).over(whole).alias("n"), F.bit_xor("x").over(upto).alias("h1"), F.bit_xor("y").over(upto).alias("h2"))
+        .select("key", "conv_id", "pos", F.count(F.lit(1)).over(whole).alias("n"), F.bit_xor("x").over(upto).alias("h1"), F.bit_xor("y").over(upto).alias("h2"))
     )
 
 
 def maximal(rolled: DataFrame) -> DataFrame:
-    """conv_id and own of conversations that are no proper prefix of another and the first of their copies."""
-    first = F.min(F.struct(F.col("conv_id").isNotNull(), "conv_id", "own")).alias("first")
+    """key of conversations that are no proper prefix of another and the first of their copies."""
+    first = F.min(F.struct(F.col("conv_id").isNotNull(), "conv_id", "key")).alias("first")
     whole = rolled.filter("pos = n").groupBy("n", "h1", "h2").agg(first)
     proper = rolled.filter("pos < n").select(F.col("pos").alias("n"), "h1", "h2").distinct()
-    return whole.join(proper, ["n", "h1", "h2"], "left_anti").select(F.col("first.conv_id").alias("conv_id"), F.col("first.own").alias("own"))
+    return whole.join(proper, ["n", "h1", "h2"], "left_anti").select(F.col("first.key").alias("key"))
 
 
 def collapse(turns: DataFrame) -> DataFrame:
-    """One row per maximal conversation: conv_id, n_turns, rendered."""
-    kept = maximal(rolling(turns))
-    rows = _hashed(turns).select("conv_id", "own", "turn", "role", "text")
-    own = rows.join(kept, _same(rows, kept, ["own", "conv_id"]), "left_semi")
+    """One row per maximal conversation: conv_id, n_turns, rendered. Texts are dealt by conversation once, for the join and the rendering."""
+    rows = _hashed(turns).select("key", "conv_id", "turn", "role", "text")
+    own = rows.join(maximal(rolling(turns)), "key", "left_semi")
     said = F.array_sort(F.collect_set(F.struct("turn", "role", "text")))
     blank = F.lit("")
     text = F.transform(said, lambda x: F.concat(F.lit(OPEN), F.coalesce(x["role"], blank), F.lit("\n"), F.coalesce(x["text"], blank), F.lit(CLOSE)))
-    return own.groupBy("conv_id", "own").agg(F.size(said).cast("long").alias("n_turns"), F.array_join(text, "").alias("rendered")).drop("own")
+    return own.groupBy("key").agg(F.max("conv_id").alias("conv_id"), F.size(said).cast("long").alias("n_turns"), F.array_join(text, "").alias("rendered")).drop("key")
 
 
 def op7_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
