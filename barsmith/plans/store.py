@@ -58,13 +58,24 @@ def landed_tree(s, d) -> str:
     return root
 
 
-def synced(s, d) -> daily_store.DailyStore:
+def new_store(s, d) -> daily_store.DailyStore:
     landed = landed_tree(s, d)
     out = daily_store.DailyStore(s, landed.replace("landed-", "store-"), landed)
     out.sync("rebuild")
     return out
 
 
+_SYNCED: dict[tuple[str, str], daily_store.DailyStore] = {}
+
+
+def synced(s, d) -> daily_store.DailyStore:
+    """A store of this application that queries only read."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _SYNCED:
+        _SYNCED[key] = new_store(s, d)
+    return _SYNCED[key]
+
+
 LIVES = [
     sql.TICKS, sql.DAILY_BARS,
     f"lf AS (SELECT code, (first + CASE WHEN n % 7 = 0 THEN 3 ELSE 0 END)::DATE AS open_date, CASE WHEN n % 5 = 0 THEN DATE '{SPLIT}' END AS expire_date FROM (SELECT code, code::BIGINT AS n, min(trade_date) AS first FROM daily GROUP BY code) WHERE n % 10 <> 0)",
@@ -106,7 +117,7 @@ query("store_filter_summary", sql.rounded([*LIVES, *kept_sql()], f"SELECT r.reas
 
 def _incremental(s, d) -> DataFrame:
     """One day changed, one gone; an automatic run brings the store up to date."""
-    store = synced(s, d)
+    store = new_store(s, d)
     changed = landed_bars(s, d).filter("date = '20240110'").withColumn("close", F.lit("7.5"))
     source.write(changed, store.landed, "kline_1d", "date", ["code"], overwrite=True)
     files.delete(s, f"{store.landed}/kline_1d/date=20240111")
@@ -133,5 +144,5 @@ def _checked(s, d) -> DataFrame:
 query("store_partition_issues", sql.rounded([], """SELECT * FROM (VALUES ('PARTITION_HASH_MISMATCH', 'ERROR', 'date=20240103'), ('PARTITION_ROW_COUNT_MISMATCH', 'ERROR', 'date=20240103'), ('PARTITION_MARKER_INVALID', 'ERROR', 'date=20240104'),
   ('PARTITION_MARKER_SCHEMA_INVALID', 'ERROR', 'date=20240105'), ('PARTITION_FILE_MISSING', 'ERROR', 'date=20240106'), ('INVALID_PARTITION_DATE', 'ERROR', 'date=2024-13')) t(issue_code, level, partition)"""))(_checked)
 query("store_partition_digests", sql.rounded([sql.TICKS, sql.DAILY_BARS], "SELECT 'date=' || strftime(trade_date, '%Y%m%d') AS partition, count(*) AS rows, NULL::VARCHAR AS problem FROM daily GROUP BY 1"))(
-    lambda s, d: source.verified(s, landed_tree(s, d), "kline_1d", "date").select("partition", "rows", "problem")
+    lambda s, d: source.verified(s, synced(s, d).landed, "kline_1d", "date").select("partition", "rows", "problem")
 )
