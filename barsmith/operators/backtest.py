@@ -90,7 +90,7 @@ def drawdown_episodes(curve: DataFrame) -> DataFrame:
     deepest = F.struct("drawdown", "idx")
     out = d.filter("drawdown < 0").groupBy("island").agg(
         F.min_by("previous", "idx").alias("peak_date"), F.min("target_date").alias("start_date"), F.min_by("target_date", deepest).alias("trough_date"), F.max_by("next", "idx").alias("recovery_date"),
-        F.min("drawdown").alias("depth"), (F.min_by("idx", deepest) - F.min("idx") + 1).alias("decline_days"), (F.max("idx") - F.min_by("idx", deepest) + 1).alias("to_end"), F.count(F.lit(1)).alias("days_under"),
+        F.min("drawdown").alias("depth"), (F.min_by("idx", deepest) - F.min("idx") + 1).cast("long").alias("decline_days"), (F.max("idx") - F.min_by("idx", deepest) + 1).cast("long").alias("to_end"), F.count(F.lit(1)).alias("days_under"),
     )
     recovered = F.col("recovery_date").isNotNull()
     return out.select(

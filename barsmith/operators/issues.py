@@ -91,7 +91,7 @@ def samples(issues: DataFrame, limit: int = 200) -> DataFrame:
     by = Window.partitionBy("issue_code")
     place = F.row_number().over(by.orderBy("code", "trade_date", "start_date", "field", "actual"))
     totals = issues.groupBy("issue_code").agg(F.count(F.lit(1)).alias("total"))
-    return issues.withColumn("place", place).filter(F.col("place") <= limit).join(totals, "issue_code")
+    return issues.withColumn("place", place).filter(F.col("place") <= limit).withColumn("place", F.col("place").cast("long")).join(totals, "issue_code")
 
 
 def status(issues: DataFrame) -> DataFrame:
