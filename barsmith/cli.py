@@ -20,7 +20,8 @@ from .sources import base
 
 #: A small demonstration grid, and the settings of a genetic demonstration.
 DEMO_SOURCES = ["close", "volume", "high", "low", "open"]
-DEMO_STAGES = [search.Stage((None, ("delta", {"periods": (1, 5)}))), search.Stage((None, ("ts_mean", {"window": (5, 20)}), ("ts_stddev", {"window": (5, 20)}))), search.Stage((None, ("cs_rank", {})))]
+DEMO_STAGES = [search.Stage((None, ("delta", {"periods": (1, 5)}))),
+    search.Stage((None, ("ts_mean", {"window": (5, 20)}), ("ts_stddev", {"window": (5, 20)}))), search.Stage((None, ("cs_rank", {})))]
 DEMO_GENETIC = {"sources": tuple(DEMO_SOURCES), "population": 96, "generations": 8, "max_evaluations": 500, "length_penalty": 0.001}
 
 
@@ -116,7 +117,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return int(report.status == "skipped_locked")
     if args.command == "check":
         store = DailyStore(spark, args.root, "")
-        check = DailyCheck(store.bars(suspended=True), store.table("instruments"), store.table("trading_calendar"), store.table("corporate_actions"), codes=tuple(args.codes), start=args.start, end=args.end)
+        check = DailyCheck(store.bars(suspended=True), store.table("instruments"), store.table("trading_calendar"), store.table("corporate_actions"),
+            codes=tuple(args.codes), start=args.start, end=args.end)
         summary = documents.audit_report(spark, args.report, check.run(), {}, {"root": args.root, "start": args.start, "end": args.end})
         print(json.dumps(summary, default=str))
         return int(summary["status"] == "failed")

@@ -429,5 +429,7 @@ def evaluate(frame: DataFrame, expressions: dict[str, Node | str]) -> DataFrame:
         inputs = {x for n in windows for x in n.inputs if names[x] not in out.columns}
         if inputs:
             out = out.select("*", *(inline(x, k).alias(names[x]) for x in sorted(inputs, key=lambda x: x.canonical)))
-        out = out.select("*", *(OPERATORS[n.operator].build(*(F.col(names[x]) for x in n.inputs), **dict(n.parameters)).alias(names[n]) for n in sorted(windows, key=lambda n: n.canonical)))
+        out = out.select("*",
+            *(OPERATORS[n.operator].build(*(F.col(names[x]) for x in n.inputs), **dict(n.parameters)).alias(names[n]) for n in sorted(windows,
+            key=lambda n: n.canonical)))
     return out.select(*[F.col(f"`{c}`") for c in frame.columns], *(inline(n, top + 1).cast("double").alias(name) for name, n in nodes.items()))

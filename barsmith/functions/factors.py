@@ -36,7 +36,8 @@ DAILY: dict[str, str] = {
     "alpha_001": f"cs_rank(ts_argmax(signed_power(where({_RET} < 0, ts_stddev({_RET}, window=20), close), exponent=2.0), window=5))",
     "alpha_002": "negative(ts_correlation(cs_rank(delta(log(volume), periods=2)), cs_rank((close - open) / open), window=6))",
 }
-INTRADAY = ("realized_vol", "downside_semivol", "intraday_path_efficiency", "last_30m_return", "last_30m_volume_ratio", "positive_bar_ratio", "signed_volume_imbalance", "close_to_vwap")
+INTRADAY = ("realized_vol", "downside_semivol", "intraday_path_efficiency", "last_30m_return", "last_30m_volume_ratio", "positive_bar_ratio",
+    "signed_volume_imbalance", "close_to_vwap")
 FACTORS: dict[str, dsl.Node | str] = dict(DAILY)
 #: How a factor scales when all prices of a code do: degree 0 unless listed; None: not homogeneous.
 PRICE_HOMOGENEITY: dict[str, int | None] = {"alpha_001": None}

@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Texts that stand for an open-ended lifecycle date.
-DATE_SENTINELS = ["", "nan", "none", "nat", "null", "0", "99999999", "19700101", "19700102", "19700103", "19700104", "19700105", "19700106", "19700427", "19700428"]
+DATE_SENTINELS = ["", "nan", "none", "nat", "null", "0", "99999999", "19700101", "19700102", "19700103", "19700104", "19700105", "19700106",
+    "19700427", "19700428"]
 #: First digits of the codes of each board, tried in this order.
 BOARD_PREFIXES = {
     "star": ["688", "689"],

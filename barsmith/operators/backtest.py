@@ -14,7 +14,8 @@ DAYS = 252
 
 
 def dedup_history(predictions: DataFrame, score: str = "score") -> DataFrame:
-    """Per (target_date, code) the row of highest finite score (or rows without one), with the number of different returns among its ties (NULL is one) and the return before it."""
+    """Per (target_date, code) the row of highest finite score (or rows without one), with the number of different returns among its ties (NULL is
+    one) and the return before it."""
     p = predictions.withColumn("__s", finite(F.col(score)))
     key = Window.partitionBy("target_date", "code")
     best = p.withColumn("__best", F.max("__s").over(key)).filter(F.col("__s").eqNullSafe(F.col("__best")))
@@ -51,7 +52,8 @@ def buckets(predictions: DataFrame, n: int, score: str = "score") -> DataFrame:
     held = F.least(F.lit(n), F.col("size"))
     start = F.floor((F.col("size") - held) / 2)
     names = F.array_compact(F.array(
-        F.when(F.col("place") <= n, "top"), F.when((F.col("place") > start) & (F.col("place") <= start + held), "middle"), F.when(F.col("place") > F.col("size") - n, "bottom")
+        F.when(F.col("place") <= n, "top"), F.when((F.col("place") > start) & (F.col("place") <= start + held), "middle"),
+        F.when(F.col("place") > F.col("size") - n, "bottom")
     ))
     return r.withColumn("bucket", F.explode(names))
 
@@ -82,19 +84,23 @@ def drawdown(curve: DataFrame) -> DataFrame:
 
 
 def drawdown_episodes(curve: DataFrame) -> DataFrame:
-    """Maximal runs of days below the peak: peak date (NULL before day one), first deepest day, recovery, depth, and days from peak to trough, trough to recovery (NULL if none) and in all."""
+    """Maximal runs of days below the peak: peak date (NULL before day one), first deepest day, recovery, depth, and days from peak to trough, trough
+    to recovery (NULL if none) and in all."""
     w = Window.orderBy("target_date")
     d = drawdown(curve).withColumn("idx", F.row_number().over(w))
     d = d.withColumn("island", F.sum(F.when(F.col("drawdown") >= 0, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     d = d.withColumn("previous", F.lag("target_date").over(w)).withColumn("next", F.lead("target_date").over(w))
     deepest = F.struct("drawdown", "idx")
     out = d.filter("drawdown < 0").groupBy("island").agg(
-        F.min_by("previous", "idx").alias("peak_date"), F.min("target_date").alias("start_date"), F.min_by("target_date", deepest).alias("trough_date"), F.max_by("next", "idx").alias("recovery_date"),
-        F.min("drawdown").alias("depth"), (F.min_by("idx", deepest) - F.min("idx") + 1).cast("long").alias("decline_days"), (F.max("idx") - F.min_by("idx", deepest) + 1).cast("long").alias("to_end"), F.count(F.lit(1)).alias("days_under"),
+        F.min_by("previous", "idx").alias("peak_date"), F.min("target_date").alias("start_date"),
+        F.min_by("target_date", deepest).alias("trough_date"), F.max_by("next", "idx").alias("recovery_date"),
+        F.min("drawdown").alias("depth"), (F.min_by("idx", deepest) - F.min("idx") + 1).cast("long").alias("decline_days"),
+        (F.max("idx") - F.min_by("idx", deepest) + 1).cast("long").alias("to_end"), F.count(F.lit(1)).alias("days_under"),
     )
     recovered = F.col("recovery_date").isNotNull()
     return out.select(
-        "peak_date", "start_date", "trough_date", "recovery_date", "depth", "days_under", "decline_days", F.when(recovered, F.col("to_end")).alias("recovery_days"),
+        "peak_date", "start_date", "trough_date", "recovery_date", "depth", "days_under", "decline_days",
+        F.when(recovered, F.col("to_end")).alias("recovery_days"),
         (F.col("days_under") + F.when(recovered, 1).otherwise(0)).alias("total_days"), recovered.alias("recovered"),
     )
 
@@ -102,13 +108,16 @@ def drawdown_episodes(curve: DataFrame) -> DataFrame:
 def drawdown_metrics(curve: DataFrame, value: str = "net") -> DataFrame:
     """One row: deepest, current and average drawdown, the deepest episode's days, the longest episode and the Calmar ratio."""
     d = drawdown(curve)
-    depth = d.agg(F.min("drawdown").alias("max_drawdown"), F.max_by("drawdown", "target_date").alias("current_drawdown"), F.avg("drawdown").alias("average_drawdown"))
+    depth = d.agg(F.min("drawdown").alias("max_drawdown"), F.max_by("drawdown", "target_date").alias("current_drawdown"),
+        F.avg("drawdown").alias("average_drawdown"))
     e = drawdown_episodes(curve)
     first = F.struct("depth", "start_date")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     days = e.agg(
-        zero(F.min_by("decline_days", first)).alias("max_drawdown_decline_days"), F.min_by("recovery_days", first).cast("long").alias("max_drawdown_recovery_days"),
-        zero(F.min_by("total_days", first)).alias("max_drawdown_total_days"), zero(F.max("total_days")).alias("longest_drawdown_days"), F.count(F.lit(1)).alias("episodes"),
+        zero(F.min_by("decline_days", first)).alias("max_drawdown_decline_days"),
+        F.min_by("recovery_days", first).cast("long").alias("max_drawdown_recovery_days"),
+        zero(F.min_by("total_days", first)).alias("max_drawdown_total_days"), zero(F.max("total_days")).alias("longest_drawdown_days"),
+        F.count(F.lit(1)).alias("episodes"),
     )
     annual = compound_metrics(curve, value).select("annual_return")
     out = depth.crossJoin(F.broadcast(days)).crossJoin(F.broadcast(annual))
@@ -126,16 +135,19 @@ def compound_metrics(daily: DataFrame, value: str = "net") -> DataFrame:
 
 def spread_metrics(selected: DataFrame) -> DataFrame:
     """Daily top minus bottom mean return, arithmetically annualised."""
-    day = selected.groupBy("target_date").agg(F.avg(F.when(F.col("bucket") == "top", F.col("target_return"))).alias("top"), F.avg(F.when(F.col("bucket") == "bottom", F.col("target_return"))).alias("bottom"))
+    day = selected.groupBy("target_date").agg(F.avg(F.when(F.col("bucket") == "top", F.col("target_return"))).alias("top"),
+        F.avg(F.when(F.col("bucket") == "bottom", F.col("target_return"))).alias("bottom"))
     s = F.col("top") - F.col("bottom")
-    return day.agg(F.count(s).alias("days"), (F.avg(s) * DAYS).alias("annual_spread"), (F.stddev_samp(s) * DAYS**0.5).alias("spread_volatility"), (ratio(F.avg(s), F.stddev_samp(s)) * DAYS**0.5).alias("spread_sharpe"))
+    return day.agg(F.count(s).alias("days"), (F.avg(s) * DAYS).alias("annual_spread"), (F.stddev_samp(s) * DAYS**0.5).alias("spread_volatility"),
+        (ratio(F.avg(s), F.stddev_samp(s)) * DAYS**0.5).alias("spread_sharpe"))
 
 
 def _deciled(predictions: DataFrame, score: str = "score") -> DataFrame:
     r = ranked(predictions, score)
     up = F.row_number().over(Window.partitionBy("target_date").orderBy(score, F.col("code").desc())) - 1
     r = r.withColumn("pos", up)
-    d = F.when(F.col("size") >= 10, F.floor(F.col("pos") * 10 / F.col("size")) + 1).when(F.col("size") == 1, 10).otherwise(F.rint(F.col("pos") * 9 / F.greatest(F.col("size") - 1, F.lit(1))) + 1)
+    d = F.when(F.col("size") >= 10, F.floor(F.col("pos") * 10 / F.col("size")) + 1).when(F.col("size") == 1,
+        10).otherwise(F.rint(F.col("pos") * 9 / F.greatest(F.col("size") - 1, F.lit(1))) + 1)
     return r.withColumn("decile", d.cast("int"))
 
 
@@ -149,9 +161,11 @@ def slippage_sensitivity(daily: DataFrame, levels: list[float], commission: floa
     """Total return per slippage level, recosted from daily gross means; no levels give no rows."""
     if not levels:
         return daily.sparkSession.createDataFrame([], "slippage double, days long, total_return double")
-    grid = F.explode(F.array(*[F.struct(F.lit(float(s)).alias("slippage"), F.lit(cost_multiplier(commission, s)).alias("m")) for s in sorted(set(levels))])).alias("x")
+    grid = F.explode(
+        F.array(*[F.struct(F.lit(float(s)).alias("slippage"), F.lit(cost_multiplier(commission, s)).alias("m")) for s in sorted(set(levels))])).alias("x")
     x = daily.select("gross", grid)
-    return x.groupBy(F.col("x.slippage").alias("slippage")).agg(F.count(F.lit(1)).alias("days"), (F.product((1 + F.col("gross")) * F.col("x.m")) - 1).alias("total_return"))
+    return x.groupBy(F.col("x.slippage").alias("slippage")).agg(F.count(F.lit(1)).alias("days"),
+        (F.product((1 + F.col("gross")) * F.col("x.m")) - 1).alias("total_return"))
 
 
 def top_vs_rest(predictions: DataFrame, n: int, score: str = "score") -> DataFrame:
@@ -185,7 +199,8 @@ def random_portfolios(predictions: DataFrame, n: int, simulations: int = 1000, s
     r = ranked(predictions).select("target_date", "place", "size", net(F.col("target_return"), commission, slippage).alias("r"))
     days = r.select("target_date", "size").distinct().withColumn("sim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(simulations - 1).cast("long"))))
     draws = days.select("sim", "target_date", F.explode(_drawn(seed, n)).alias("place"))
-    day = draws.join(r.select("target_date", F.col("place").cast("long").alias("place"), "r"), ["target_date", "place"]).groupBy("sim", "target_date").agg(F.avg("r").alias("net"))
+    day = draws.join(r.select("target_date", F.col("place").cast("long").alias("place"), "r"), ["target_date", "place"]).groupBy("sim",
+        "target_date").agg(F.avg("r").alias("net"))
     return day.groupBy("sim").agg(F.product(1 + F.col("net")).alias("equity"), F.count(F.lit(1)).alias("days"))
 
 
@@ -194,7 +209,8 @@ def random_baseline(portfolios: DataFrame, strategy: DataFrame) -> DataFrame:
     annual = portfolios.filter("equity > 0").select((F.pow("equity", DAYS / F.col("days")) - 1).alias("a"))
     x = annual.crossJoin(F.broadcast(strategy.select(F.col("annual_return").alias("own"))))
     return x.agg(
-        F.count(F.lit(1)).alias("simulations"), F.percentile("a", 0.05).alias("random_p05"), F.percentile("a", 0.5).alias("random_median"), F.percentile("a", 0.95).alias("random_p95"),
+        F.count(F.lit(1)).alias("simulations"), F.percentile("a", 0.05).alias("random_p05"), F.percentile("a", 0.5).alias("random_median"),
+        F.percentile("a", 0.95).alias("random_p95"),
         F.avg((F.col("a") <= F.col("own")).cast("double")).alias("strategy_percentile"),
     )
 
@@ -218,10 +234,12 @@ def daily_table(predictions: DataFrame, n: int, commission: float = 0.0, slippag
 
 def benchmark_metrics(table: DataFrame) -> DataFrame:
     """One row: the equal-weighted universe's compound metrics and both spreads' arithmetic ones."""
-    out = compound_metrics(table.select("target_date", F.col("universe_net").alias("net"))).select(F.col("total_return").alias("equal_weight_total_return"), F.col("sharpe").alias("equal_weight_sharpe"))
+    out = compound_metrics(table.select("target_date", F.col("universe_net").alias("net"))).select(
+        F.col("total_return").alias("equal_weight_total_return"), F.col("sharpe").alias("equal_weight_sharpe"))
     for s in ("top_minus_universe", "top_minus_bottom"):
         x = F.col(s)
-        spread = table.agg((F.avg(x) * DAYS).alias(f"{s}_annual"), (F.stddev_samp(x) * DAYS**0.5).alias(f"{s}_volatility"), (ratio(F.avg(x), F.stddev_samp(x)) * DAYS**0.5).alias(f"{s}_sharpe"), F.avg((x > 0).cast("double")).alias(f"{s}_win_rate"))
+        spread = table.agg((F.avg(x) * DAYS).alias(f"{s}_annual"), (F.stddev_samp(x) * DAYS**0.5).alias(f"{s}_volatility"),
+            (ratio(F.avg(x), F.stddev_samp(x)) * DAYS**0.5).alias(f"{s}_sharpe"), F.avg((x > 0).cast("double")).alias(f"{s}_win_rate"))
         out = out.crossJoin(F.broadcast(spread))
     return out
 
@@ -240,7 +258,8 @@ def selections(predictions: DataFrame, n: int, history: DataFrame, score: str =
     return top_n(predictions, n, score).join(history.select("target_date", "code", "previous_return"), ["target_date", "code"], "left")
 
 
-def run_top_n(predictions: DataFrame, n: int = 10, commission: float = 0.0, slippage: float = 0.0, levels: list[float] | None = None, simulations: int = 1000, seed: int = 42) -> dict[str, DataFrame]:
+def run_top_n(predictions: DataFrame, n: int = 10, commission: float = 0.0, slippage: float = 0.0, levels: list[float] | None = None,
+    simulations: int = 1000, seed: int = 42) -> dict[str, DataFrame]:
     """Every table of a backtest, lazily: daily, metrics, drawdowns, benchmarks, deciles, slippage, selections, random."""
     if n < 1 or simulations < 1 or not 0 <= commission < 1 or not 0 <= slippage < 1:
         raise ValueError("n and simulations at least 1, costs in [0, 1)")
@@ -252,7 +271,9 @@ def run_top_n(predictions: DataFrame, n: int = 10, commission: float = 0.0, slip
     curve = table.select("target_date", F.col("top_gross").alias("gross"), F.col("top_net").alias("net"), F.col("top_equity").alias("equity"))
     metrics = compound_metrics(curve)
     return {
-        "daily": table, "metrics": metrics, "drawdown_episodes": drawdown_episodes(curve), "drawdown_metrics": drawdown_metrics(curve), "benchmarks": benchmark_metrics(table), "deciles": decile_table(predictions),
-        "slippage": slippage_sensitivity(curve, [x for x in levels or [] if x != slippage], commission), "top_vs_rest": top_vs_rest(predictions, n), "selections": selections(predictions, n, history),
+        "daily": table, "metrics": metrics, "drawdown_episodes": drawdown_episodes(curve), "drawdown_metrics": drawdown_metrics(curve),
+        "benchmarks": benchmark_metrics(table), "deciles": decile_table(predictions),
+        "slippage": slippage_sensitivity(curve, [x for x in levels or [] if x != slippage], commission), "top_vs_rest": top_vs_rest(predictions, n),
+        "selections": selections(predictions, n, history),
         "random": random_baseline(random_portfolios(predictions, n, simulations, seed, commission, slippage), metrics),
     }

@@ -47,8 +47,10 @@ def integrity_rules() -> dict[str, Rule]:
     return {
         "DAILY_NULL_FIELD": Rule(c("code").isNull() | c("trade_date").isNull() | c("close").isNull(), "code/trade_date/close", "not null", F.lit("null")),
         "DAILY_NONPOSITIVE_PRICE": Rule(F.least("open", "high", "low", "close") <= 0, None, "open, high, low, close > 0", ohlc),
-        "DAILY_OHLC_VIOLATION": Rule((c("high") < F.greatest("open", "close", "low")) | (c("low") > F.least("open", "close", "high")), None, "low <= open, close <= high", ohlc),
-        "DAILY_NEGATIVE_QUANTITY": Rule((c("volume") < 0) | (c("amount") < 0), None, "volume, amount >= 0", said_all(("volume", c("volume")), ("amount", c("amount")))),
+        "DAILY_OHLC_VIOLATION": Rule((c("high") < F.greatest("open", "close", "low")) | (c("low") > F.least("open", "close", "high")), None,
+        "low <= open, close <= high", ohlc),
+        "DAILY_NEGATIVE_QUANTITY": Rule((c("volume") < 0) | (c("amount") < 0), None, "volume, amount >= 0",
+        said_all(("volume", c("volume")), ("amount", c("amount")))),
         "DAILY_INVALID_SUSPEND_FLAG": Rule(~c("suspend_flag").isin(0, 1), None, "0 or 1", said(c("suspend_flag"))),
         "DAILY_CODE_FORMAT_INVALID": Rule(c("code").isNotNull() & ~c("code").contains("."), None, "an exchange suffix", c("code")),
     }
@@ -64,14 +66,16 @@ def volume_rules(multiplier: Column | float = 1.0) -> dict[str, Rule]:
         "DAILY_ACTIVE_ZERO_AMOUNT": Rule(_active() & zero("amount") & ~zero("volume"), "amount", "> 0 unless suspended", turnover),
         "DAILY_SUSPENDED_WITH_TURNOVER": Rule(~_active() & (~zero("volume") | ~zero("amount")), None, "0 while suspended", turnover),
         "DAILY_VWAP_OUT_OF_RANGE": Rule(
-            _active() & priced & ((vwap < c("low") * 0.99) | (vwap > c("high") * 1.01)), None, F.concat(said(c("low")), F.lit(" to "), said(c("high"))), said(vwap)
+            _active() & priced & ((vwap < c("low") * 0.99) | (vwap > c("high") * 1.01)), None,
+            F.concat(said(c("low")), F.lit(" to "), said(c("high"))), said(vwap)
         ),
     }
 
 
 def rule_issues(bars: DataFrame, rules: dict[str, Rule]) -> DataFrame:
     """One issue per broken (row, rule), in a single scan."""
-    found = [F.when(r.broken, F.struct(*issue(k, code=c("code"), trade_date=c("trade_date"), field=r.field, expected=r.expected, actual=r.actual))) for k, r in rules.items()]
+    found = [F.when(r.broken, F.struct(*issue(k, code=c("code"), trade_date=c("trade_date"), field=r.field, expected=r.expected, actual=r.actual)))
+        for k, r in rules.items()]
     return bars.select(F.explode(F.array_compact(F.array(*found))).alias("x")).select("x.*")
 
 
@@ -81,8 +85,10 @@ def duplicate_keys(bars: DataFrame) -> DataFrame:
 
 
 def volume_unit(bars: DataFrame, candidates: tuple[float, ...] = (1.0, 100.0), tolerance: float = 0.2) -> DataFrame:
-    """One row: median of amount / (volume * close) over active days, the multiplier of the nearest candidate (1 if none is near, or without bars), ambiguous."""
-    m = bars.filter(_active() & (c("volume") > 0) & (c("close") > 0) & (c("amount") > 0)).agg(F.median(c("amount") / (c("volume") * c("close"))).alias("median"))
+    """One row: median of amount / (volume * close) over active days, the multiplier of the nearest candidate (1 if none is near, or without bars),
+    ambiguous."""
+    m = bars.filter(_active() & (c("volume") > 0) & (c("close") > 0) & (c("amount") > 0)).agg(
+        F.median(c("amount") / (c("volume") * c("close"))).alias("median"))
     away = [F.abs(c("median") / x - 1) for x in candidates]
     near = F.lit(candidates[-1])
     for x, a in zip(candidates[:-1], away[:-1], strict=True):
@@ -107,10 +113,12 @@ def calendar_issues(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     """Observed dates that the calendar lacks: one issue with their range and number, or that there is no calendar."""
     days = calendar.select("trade_date").distinct()
     n = days.agg(F.count(F.lit(1)).alias("n"))
-    odd = bars.select("trade_date").distinct().join(days, "trade_date", "left_anti").agg(F.count(F.lit(1)).alias("odd"), F.min("trade_date").alias("lo"), F.max("trade_date").alias("hi"))
+    odd = bars.select("trade_date").distinct().join(days, "trade_date", "left_anti").agg(F.count(F.lit(1)).alias("odd"),
+        F.min("trade_date").alias("lo"), F.max("trade_date").alias("hi"))
     x = odd.crossJoin(F.broadcast(n))
     missing = x.filter("n = 0").select(*issue("DAILY_CALENDAR_UNAVAILABLE", expected="a trading calendar", actual="0 dates"))
-    return missing.unionByName(x.filter("n > 0 AND odd > 0").select(*issue("DAILY_DATE_NOT_IN_CALENDAR", start_date=c("lo"), end_date=c("hi"), expected="all dates in the calendar", actual=c("odd").cast("string"))))
+    return missing.unionByName(x.filter("n > 0 AND odd > 0").select(*issue("DAILY_DATE_NOT_IN_CALENDAR", start_date=c("lo"), end_date=c("hi"),
+        expected="all dates in the calendar", actual=c("odd").cast("string"))))
 
 
 def effective_calendar(bars: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -128,9 +136,11 @@ def instrument_issues(instruments: DataFrame) -> DataFrame:
     totals = i.agg(F.count(F.lit(1)).alias("n"), F.count("expire_date").alias("gone"))
     return union(
         i.filter("open_date IS NULL").select(*issue("DAILY_OPEN_DATE_MISSING", dataset="instruments", code=c("code"), expected="open_date", actual="null")),
-        i.filter("expire_date < open_date").select(*issue("DAILY_INVALID_LIFECYCLE_RANGE", dataset="instruments", code=c("code"), expected="expire_date >= open_date", actual=dates)),
+        i.filter("expire_date < open_date").select(*issue("DAILY_INVALID_LIFECYCLE_RANGE", dataset="instruments", code=c("code"),
+        expected="expire_date >= open_date", actual=dates)),
         totals.filter("n = 0").select(*issue("DAILY_LIFECYCLE_UNAVAILABLE", dataset="instruments", expected="instruments", actual="0 rows")),
-        totals.filter("n > 0 AND gone = 0").select(*issue("DAILY_NO_DELISTED_SYMBOLS", dataset="instruments", expected="some expire_date", actual=F.concat(c("n").cast("string"), F.lit(" without")))),
+        totals.filter("n > 0 AND gone = 0").select(*issue("DAILY_NO_DELISTED_SYMBOLS", dataset="instruments", expected="some expire_date",
+        actual=F.concat(c("n").cast("string"), F.lit(" without")))),
     )
 
 
@@ -161,9 +171,11 @@ def coverage(expected: DataFrame, bars: DataFrame, key: str) -> DataFrame:
 
 def coverage_issues(by_date: DataFrame, threshold: float = 0.95, authoritative: bool = True) -> DataFrame:
     actual = F.concat(c("actual_rows").cast("string"), F.lit("/"), c("expected_rows").cast("string"))
-    return by_date.filter(c("coverage") < threshold).select(*issue("DAILY_COVERAGE_BELOW_THRESHOLD", trade_date=c("trade_date"), expected=f"at least {threshold:g}", actual=actual)).unionByName(
+    return by_date.filter(c("coverage") < threshold).select(*issue("DAILY_COVERAGE_BELOW_THRESHOLD", trade_date=c("trade_date"),
+        expected=f"at least {threshold:g}", actual=actual)).unionByName(
         by_date.filter("actual_rows = 0").select(
-            *issue("DAILY_CALENDAR_DATE_EMPTY", level="ERROR" if authoritative else "WARNING", trade_date=c("trade_date"), expected=F.concat(c("expected_rows").cast("string"), F.lit(" rows")), actual="0 rows")
+            *issue("DAILY_CALENDAR_DATE_EMPTY", level="ERROR" if authoritative else "WARNING", trade_date=c("trade_date"),
+            expected=F.concat(c("expected_rows").cast("string"), F.lit(" rows")), actual="0 rows")
         )
     )
 
@@ -172,12 +184,14 @@ def missing_spans(expected: DataFrame, bars: DataFrame) -> DataFrame:
     """code, first and last missing date, days of each run of consecutive missing calendar days."""
     gone = expected.join(bars.select("code", "trade_date").distinct(), ["code", "trade_date"], "left_anti")
     island = c("ordinal") - F.row_number().over(Window.partitionBy("code").orderBy("ordinal"))
-    spans = gone.withColumn("island", island).groupBy("code", "island").agg(F.min("trade_date").alias("first_missing"), F.max("trade_date").alias("last_missing"), F.count(F.lit(1)).alias("days"))
+    spans = gone.withColumn("island", island).groupBy("code", "island").agg(F.min("trade_date").alias("first_missing"),
+        F.max("trade_date").alias("last_missing"), F.count(F.lit(1)).alias("days"))
     return spans.drop("island")
 
 
 def missing_span_issues(spans: DataFrame, name: str = "DAILY_MISSING_SPAN") -> DataFrame:
-    return spans.select(*issue(name, code=c("code"), start_date=c("first_missing"), end_date=c("last_missing"), expected="a row a trading day", actual=F.concat(c("days").cast("string"), F.lit(" days missing"))))
+    return spans.select(*issue(name, code=c("code"), start_date=c("first_missing"), end_date=c("last_missing"), expected="a row a trading day",
+        actual=F.concat(c("days").cast("string"), F.lit(" days missing"))))
 
 
 def internal_gaps(expected: DataFrame, bars: DataFrame) -> DataFrame:
@@ -193,14 +207,16 @@ def lifecycle_issues(bars: DataFrame, instruments: DataFrame, calendar: DataFram
     before = (c("trade_date") < c("open_date")) & (F.coalesce(c("suspend_flag"), F.lit(0)) != 1)
     name = F.when(before, "DAILY_DATA_BEFORE_LISTING").when(c("trade_date") > c("expire_date"), "DAILY_DATA_AFTER_DELISTING")
     life = F.concat(c("open_date").cast("string"), F.lit(" to "), F.coalesce(c("expire_date").cast("string"), F.lit("open")))
-    outside = x.withColumn("name", name).filter("name IS NOT NULL").select(*issue(c("name"), level="ERROR", code=c("code"), trade_date=c("trade_date"), expected=life, actual=c("trade_date").cast("string")))
+    outside = x.withColumn("name", name).filter("name IS NOT NULL").select(*issue(c("name"), level="ERROR", code=c("code"),
+        trade_date=c("trade_date"), expected=life, actual=c("trade_date").cast("string")))
     unknown = bars.select("code").distinct().join(instruments.select("code"), "code", "left_anti")
     return outside.unionByName(unknown.select(*issue("DAILY_LIFECYCLE_UNKNOWN", code=c("code"), expected="an instrument", actual="none")))
 
 
 def delisted_without_bars(instruments: DataFrame, bars: DataFrame, start, end) -> DataFrame:
     """Instruments that were delisted from start to end and have no bar at all."""
-    gone = instruments.filter(c("expire_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).join(bars.select("code").distinct(), "code", "left_anti")
+    gone = instruments.filter(c("expire_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).join(bars.select("code").distinct(),
+        "code", "left_anti")
     return gone.select(*issue("DAILY_DELISTED_SYMBOL_MISSING", code=c("code"), trade_date=c("expire_date"), expected="bars before it", actual="0 rows"))
 
 
@@ -210,15 +226,18 @@ def delisted_without_bars(instruments: DataFrame, bars: DataFrame, start, end) -
 def continuity(bars: DataFrame, actions: DataFrame) -> DataFrame:
     """Bars with the close of the row before (suspended rows count) and the day's action, if any."""
     before = F.lag("close").over(Window.partitionBy("code").orderBy("trade_date"))
-    terms = [x for x in ("cash_dividend_per_share", "bonus_share_per_share", "capitalization_per_share", "rights_issue_per_share", "rights_issue_price") if x in actions.columns]
+    terms = [x for x in ("cash_dividend_per_share", "bonus_share_per_share", "capitalization_per_share", "rights_issue_per_share",
+        "rights_issue_price") if x in actions.columns]
     by_day = actions.select("code", c("ex_date").alias("trade_date"), "adjustment_factor", *terms)
     return bars.select("code", "trade_date", "close", "pre_close", "suspend_flag", before.alias("previous_close")).join(by_day, ["code", "trade_date"], "left")
 
 
 def pre_close_issues(chain: DataFrame, tolerance: float = 1e-4) -> DataFrame:
     gap = F.abs(c("pre_close") - c("previous_close"))
-    broken = _positive(c("previous_close")) & _positive(c("pre_close")) & c("adjustment_factor").isNull() & (gap > price_tolerance(c("previous_close"), tolerance))
-    return chain.filter(broken).select(*issue("DAILY_PRE_CLOSE_MISMATCH", code=c("code"), trade_date=c("trade_date"), field="pre_close", expected=said(c("previous_close")), actual=said(c("pre_close"))))
+    broken = _positive(c("previous_close")) & _positive(c("pre_close")) & c("adjustment_factor").isNull() & (
+        gap > price_tolerance(c("previous_close"), tolerance))
+    return chain.filter(broken).select(*issue("DAILY_PRE_CLOSE_MISMATCH", code=c("code"), trade_date=c("trade_date"), field="pre_close",
+        expected=said(c("previous_close")), actual=said(c("pre_close"))))
 
 
 def _events(chain: DataFrame) -> DataFrame:
@@ -228,14 +247,16 @@ def _events(chain: DataFrame) -> DataFrame:
 
 def adjust_audit(chain: DataFrame) -> DataFrame:
     """code, trade_date, observed ratio, declared factor and their relative deviation of each event."""
-    return _events(chain).select("code", "trade_date", "observed", c("adjustment_factor").alias("declared"), F.abs(ratio(c("observed"), c("adjustment_factor")) - 1).alias("deviation"))
+    return _events(chain).select("code", "trade_date", "observed", c("adjustment_factor").alias("declared"),
+        F.abs(ratio(c("observed"), c("adjustment_factor")) - 1).alias("deviation"))
 
 
 def adjust_factor_issues(chain: DataFrame, tolerance: float = 1e-4) -> DataFrame:
     """Events whose factor does not give the day's pre_close; prices are compared, not ratios, as cheap stocks are rounded to cents too."""
     implied = ratio(c("previous_close"), c("adjustment_factor"))
     broken = c("observed").isNotNull() & (F.abs(implied - c("pre_close")) > price_tolerance(c("pre_close"), tolerance))
-    return _events(chain).filter(broken).select(*issue("DAILY_ADJUST_FACTOR_MISMATCH", code=c("code"), trade_date=c("trade_date"), field="adjustment_factor", expected=said(c("observed")), actual=said(c("adjustment_factor"))))
+    return _events(chain).filter(broken).select(*issue("DAILY_ADJUST_FACTOR_MISMATCH", code=c("code"), trade_date=c("trade_date"),
+        field="adjustment_factor", expected=said(c("observed")), actual=said(c("adjustment_factor"))))
 
 
 def adjust_theory_issues(chain: DataFrame, tolerance: float = 1e-4) -> DataFrame:
@@ -246,14 +267,16 @@ def adjust_theory_issues(chain: DataFrame, tolerance: float = 1e-4) -> DataFrame
     x = _events(chain).withColumn("theory", theory)
     valid = _positive(c("theory")) & _positive(c("previous_close"))
     broken = valid & (F.abs(c("theory") - c("pre_close")) > price_tolerance(c("theory"), max(10 * tolerance, 1e-3)))
-    return x.filter(broken).select(*issue("DAILY_ADJUST_THEORY_MISMATCH", code=c("code"), trade_date=c("trade_date"), expected=said(ratio(c("previous_close"), c("theory"))), actual=said(c("observed"))))
+    return x.filter(broken).select(*issue("DAILY_ADJUST_THEORY_MISMATCH", code=c("code"), trade_date=c("trade_date"),
+        expected=said(ratio(c("previous_close"), c("theory"))), actual=said(c("observed"))))
 
 
 def actions_without_bar(actions: DataFrame, bars: DataFrame, instruments: DataFrame, calendar: DataFrame) -> DataFrame:
     """Actions within a life and the audited dates whose day has no bar."""
     ends = bars.agg(F.min("trade_date").alias("lo"), F.max("trade_date").alias("hi"))
     alive = actions.select("code", c("ex_date").alias("trade_date")).distinct().join(lives(instruments, calendar), "code").crossJoin(F.broadcast(ends))
-    alive = alive.filter("trade_date BETWEEN lo AND hi AND trade_date >= open_date AND (expire_date IS NULL OR trade_date <= expire_date)").select("code", "trade_date")
+    alive = alive.filter("trade_date BETWEEN lo AND hi AND trade_date >= open_date AND (expire_date IS NULL OR trade_date <= expire_date)").select(
+        "code", "trade_date")
     gone = alive.join(bars.select("code", "trade_date").distinct(), ["code", "trade_date"], "left_anti")
     return gone.select(*issue("DAILY_CORPORATE_ACTION_WITHOUT_BAR", code=c("code"), trade_date=c("trade_date"), expected="a bar on the ex date", actual="none"))
 
@@ -263,10 +286,12 @@ def sessions_since_listing(bars: DataFrame, instruments: DataFrame, calendar: Da
     days = ordinals(calendar)
     # the first calendar day on or after each open date: a running minimum over both, latest first
     opens = instruments.filter("open_date IS NOT NULL").select(c("open_date").alias("at"), "code", F.lit(None).cast("int").alias("ordinal"))
-    both = days.select(c("trade_date").alias("at"), F.lit(None).cast("string").alias("code"), "ordinal").unionByName(opens.select("at", F.lit(None).cast("string").alias("code"), "ordinal").distinct())
+    both = days.select(c("trade_date").alias("at"), F.lit(None).cast("string").alias("code"),
+        "ordinal").unionByName(opens.select("at", F.lit(None).cast("string").alias("code"), "ordinal").distinct())
     onward = Window.orderBy(c("at").desc(), c("ordinal").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     last = days.agg((F.max("ordinal") + 1).alias("after"))
-    found = both.withColumn("opened", F.min("ordinal").over(onward)).filter("ordinal IS NULL").crossJoin(F.broadcast(last)).select(c("at").alias("open_date"), F.coalesce("opened", "after").alias("opened"))
+    found = both.withColumn("opened", F.min("ordinal").over(onward)).filter("ordinal IS NULL").crossJoin(F.broadcast(last)).select(
+        c("at").alias("open_date"), F.coalesce("opened", "after").alias("opened"))
     listed = instruments.select("code", "open_date").join(found, "open_date").select("code", "opened")
     return bars.join(days, "trade_date", "left").join(listed, "code", "left").withColumn("sessions", c("ordinal") - c("opened")).drop("ordinal", "opened")
 
@@ -281,7 +306,8 @@ def price_limit_audit(chain: DataFrame, instruments: DataFrame, calendar: DataFr
 
 
 def price_limit_issues(violations: DataFrame, level: str = "WARNING") -> DataFrame:
-    return violations.select(*issue("DAILY_PRICE_LIMIT_VIOLATION", level=level, code=c("code"), trade_date=c("trade_date"), expected=F.concat(F.lit("at most "), said(c("limit_ratio"))), actual=said(c("pct_change"))))
+    return violations.select(*issue("DAILY_PRICE_LIMIT_VIOLATION", level=level, code=c("code"), trade_date=c("trade_date"),
+        expected=F.concat(F.lit("at most "), said(c("limit_ratio"))), actual=said(c("pct_change"))))
 
 
 # ---- against minute bars
@@ -295,9 +321,11 @@ def reconcile(minute_daily: DataFrame, bars: DataFrame, tolerance: float = 1e-3)
     unit = c("multiplier") if "multiplier" in bars.columns else F.lit(1.0)
     both = minute_daily.select("code").intersect(bars.select("code"))
     a = minute_daily.join(both, "code", "left_semi").select("code", "trade_date", c("close").alias("minute_close"), c("volume").alias("minute_volume"))
-    b = bars.join(both, "code", "left_semi").select("code", "trade_date", c("close").alias("daily_close"), (c("volume") * unit).alias("daily_volume"), F.coalesce("suspend_flag", F.lit(0)).alias("flag"))
+    b = bars.join(both, "code", "left_semi").select("code", "trade_date", c("close").alias("daily_close"), (c("volume") * unit).alias("daily_volume"),
+        F.coalesce("suspend_flag", F.lit(0)).alias("flag"))
     name = (
-        F.when(c("daily_close").isNull(), "CROSS_5M_MISSING_DAILY").when(c("minute_close").isNull() & (c("flag") == 0), "CROSS_5M_MISSING_INTRADAY").when(c("minute_close").isNull(), None)
+        F.when(c("daily_close").isNull(), "CROSS_5M_MISSING_DAILY").when(c("minute_close").isNull() & (c("flag") == 0),
+        "CROSS_5M_MISSING_INTRADAY").when(c("minute_close").isNull(), None)
         .when(F.abs(c("daily_close") - c("minute_close")) > tolerance * F.greatest(F.abs("daily_close"), F.lit(1e-9)), "CROSS_5M_CLOSE_MISMATCH")
         .when(F.abs(c("daily_volume") - c("minute_volume")) > tolerance * F.greatest("minute_volume", F.lit(1)), "CROSS_5M_VOLUME_MISMATCH")
     )
@@ -366,12 +394,15 @@ class DailyCheck:
             "integrity": duplicate_keys(b).unionByName(rule_issues(b, integrity_rules())),
             "volume": rule_issues(measured, volume_rules(c("multiplier"))).unionByName(volume_unit_issues(unit)),
             "coverage": union(
-                coverage_issues(coverage(expected, b, "trade_date"), self.coverage_threshold), missing_span_issues(missing_spans(expected, b)), lifecycle_issues(b, i, cal),
+                coverage_issues(coverage(expected, b, "trade_date"), self.coverage_threshold), missing_span_issues(missing_spans(expected, b)),
+                lifecycle_issues(b, i, cal),
                 gone.select(*issue("DAILY_DELISTED_SYMBOL_MISSING", code=c("code"), trade_date=c("expire_date"), expected="bars before it", actual="0 rows")),
             ),
             "prices": union(
-                pre_close_issues(chain, self.pre_close_tolerance), adjust_factor_issues(chain, self.adjust_tolerance), adjust_theory_issues(chain, self.adjust_tolerance),
-                actions_without_bar(self.actions, b, i, cal), price_limit_issues(price_limit_audit(chain, i, cal, self.limit_tolerance, self.apply_st), self.limit_level),
+                pre_close_issues(chain, self.pre_close_tolerance), adjust_factor_issues(chain, self.adjust_tolerance),
+                adjust_theory_issues(chain, self.adjust_tolerance),
+                actions_without_bar(self.actions, b, i, cal),
+                price_limit_issues(price_limit_audit(chain, i, cal, self.limit_tolerance, self.apply_st), self.limit_level),
             ),
         }
         if self.minutes is not None:

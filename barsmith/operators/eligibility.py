@@ -46,7 +46,8 @@ def _verdict(side: str, timing: str, options: Options) -> tuple[Column, Column]:
 
 
 def mark_eligibility(
-    dataset: DataFrame, context: DataFrame, filters: list[str], entry: str = "open", exit: str = "close", cutoff=None, missing: str = "allow", options: Options = Options()
+    dataset: DataFrame, context: DataFrame, filters: list[str], entry: str = "open", exit: str = "close", cutoff=None, missing: str = "allow",
+    options: Options = Options()
 ) -> DataFrame:
     """dataset with eligible and reason ("buy:...;sell:..."), and per side whether it was judged, blocked or unknown.
 
@@ -70,15 +71,19 @@ def mark_eligibility(
         why = F.when(c("__judged"), F.coalesce("__blocked", F.when(lost, F.lit("missing_context") if missing == "exclude" else F.lit(None))))
         out = out.withColumns({f"{side}_blocked": why, f"{side}_unknown": lost}).drop("__blocked", "__unknown")
     reason = F.concat_ws(";", *[F.concat(F.lit(f"{side}:"), c(f"{side}_blocked")) for side in ("buy", "sell")])
-    return out.select(*own, reason.alias("reason"), (reason == "").alias("eligible"), c("__judged").alias("judged"), *[f"{s}_{k}" for s in ("buy", "sell") for k in ("blocked", "unknown")])
+    return out.select(*own, reason.alias("reason"), (reason == "").alias("eligible"), c("__judged").alias("judged"),
+        *[f"{s}_{k}" for s in ("buy", "sell") for k in ("blocked", "unknown")])
 
 
 def statistics(marked: DataFrame, filters: list[str]) -> DataFrame:
     """filter, side, candidate_count, blocked_count, unknown_count of marked samples."""
     x = marked.filter("judged")
-    rows = F.explode(F.array(*[F.struct(F.lit(f).alias("filter"), F.lit(FILTERS[f]).alias("side"), c(f"{FILTERS[f]}_blocked").alias("blocked"), c(f"{FILTERS[f]}_unknown").alias("unknown")) for f in filters])).alias("x")
+    rows = F.explode(
+        F.array(*[F.struct(F.lit(f).alias("filter"), F.lit(FILTERS[f]).alias("side"), c(f"{FILTERS[f]}_blocked").alias("blocked"),
+        c(f"{FILTERS[f]}_unknown").alias("unknown")) for f in filters])).alias("x")
     count = lambda test: F.sum(F.when(test, 1).otherwise(0)).cast("long")
-    return x.select(rows).select("x.*").groupBy("filter", "side").agg(F.count(F.lit(1)).alias("candidate_count"), count(c("blocked").isNotNull()).alias("blocked_count"), count(c("unknown")).alias("unknown_count"))
+    return x.select(rows).select("x.*").groupBy("filter", "side").agg(F.count(F.lit(1)).alias("candidate_count"),
+        count(c("blocked").isNotNull()).alias("blocked_count"), count(c("unknown")).alias("unknown_count"))
 
 
 def checked(marked: DataFrame) -> DataFrame:

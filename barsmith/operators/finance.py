@@ -19,7 +19,8 @@ def parse(records: DataFrame, table: str, report: str, announce: str, values: li
     """code, report_date (the record key's where the field has none), announce_date, values of one table; records without any report date are left out."""
     wide = records.filter(c("table") == table).groupBy("code", "key").pivot("field", [report, announce, *values]).agg(F.max("value"))
     out = wide.select(
-        "code", F.coalesce(normalize_date(c(f"`{report}`")), normalize_date(c("key"))).alias("report_date"), normalize_date(c(f"`{announce}`")).alias("announce_date"), *[finite_number(c(f"`{v}`")).alias(v) for v in values]
+        "code", F.coalesce(normalize_date(c(f"`{report}`")), normalize_date(c("key"))).alias("report_date"),
+        normalize_date(c(f"`{announce}`")).alias("announce_date"), *[finite_number(c(f"`{v}`")).alias(v) for v in values]
     )
     return out.filter("report_date IS NOT NULL")
 
@@ -63,14 +64,17 @@ def point_in_time(parsed: dict[str, DataFrame], values: dict[str, list[str]], pa
     rows = pairs.select("code", c("trade_date").alias("at"), F.lit(0).alias("kind"))
     for t in names:
         key = F.struct("report_date", "announce_date", *values[t])
-        rows = rows.unionByName(parsed[t].filter("announce_date IS NOT NULL").select("code", c("announce_date").alias("at"), F.lit(1).alias("kind"), key.alias(f"r_{t}")), allowMissingColumns=True)
+        rows = rows.unionByName(parsed[t].filter("announce_date IS NOT NULL").select("code", c("announce_date").alias("at"), F.lit(1).alias("kind"),
+            key.alias(f"r_{t}")), allowMissingColumns=True)
     upto = Window.partitionBy("code").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
     seen = rows.withColumns({f"b_{t}": F.max(f"r_{t}").over(upto) for t in names}).filter("kind = 0")
     any_seen: Column = F.lit(False)
     for t in names:
         any_seen |= c(f"b_{t}").isNotNull()
-    return seen.select("code", c("at").alias("trade_date"), *[c(f"b_{t}.{x}").alias(f"{t}_{x}") for t in names for x in ("report_date", "announce_date", *values[t])], any_seen.cast("int").alias("has_finance"))
+    return seen.select("code", c("at").alias("trade_date"),
+        *[c(f"b_{t}.{x}").alias(f"{t}_{x}") for t in names for x in ("report_date", "announce_date", *values[t])], any_seen.cast("int").alias("has_finance"))
 
 
 def daily_issues(daily: DataFrame) -> DataFrame:
-    return daily.filter("has_finance = 0").select(*issue(F.lit("FINANCE_DAILY"), "finance_daily", "WARNING", code=c("code"), trade_date=F.try_to_date("trade_date", "yyyyMMdd"), actual="no visible record"))
+    return daily.filter("has_finance = 0").select(*issue(F.lit("FINANCE_DAILY"), "finance_daily", "WARNING", code=c("code"),
+        trade_date=F.try_to_date("trade_date", "yyyyMMdd"), actual="no visible record"))

@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 from ..functions.scalars import finite_number
 
 #: Reasons in the order in which they are tested.
-REASONS = ["trade_date_null", "trade_date_bad_length", "trade_date_unparsable", "unknown_code", "before_listing_padding", "before_listing_with_data", "after_delisting", "kept"]
+REASONS = ["trade_date_null", "trade_date_bad_length", "trade_date_unparsable", "unknown_code", "before_listing_padding", "before_listing_with_data",
+    "after_delisting", "kept"]
 
 
 def classify(rows: DataFrame, instruments: DataFrame) -> DataFrame:
     """rows (code, trade_date as yyyyMMdd text, volume) with parsed_date and reason; a changed lifecycle table is joined by code."""
     life = instruments.select(F.col("code").alias("__code"), "open_date", "expire_date")
-    x = rows.join(life, F.col("code") == F.col("__code"), "left").withColumn("parsed_date", F.try_to_date(F.when(F.length("trade_date") == 8, F.col("trade_date")), "yyyyMMdd"))
+    x = rows.join(life, F.col("code") == F.col("__code"), "left").withColumn("parsed_date",
+        F.try_to_date(F.when(F.length("trade_date") == 8, F.col("trade_date")), "yyyyMMdd"))
     reason = (
-        F.when(F.col("trade_date").isNull(), REASONS[0]).when(F.length("trade_date") != 8, REASONS[1]).when(F.col("parsed_date").isNull(), REASONS[2]).when(F.col("__code").isNull(), REASONS[3])
-        .when((F.col("parsed_date") < F.col("open_date")) & (F.coalesce(F.col("volume").cast("double"), F.lit(0.0)) == 0), REASONS[4]).when(F.col("parsed_date") < F.col("open_date"), REASONS[5])
+        F.when(F.col("trade_date").isNull(), REASONS[0]).when(F.length("trade_date") != 8, REASONS[1]).when(F.col("parsed_date").isNull(),
+        REASONS[2]).when(F.col("__code").isNull(), REASONS[3])
+        .when((F.col("parsed_date") < F.col("open_date")) & (F.coalesce(F.col("volume").cast("double"), F.lit(0.0)) == 0),
+        REASONS[4]).when(F.col("parsed_date") < F.col("open_date"), REASONS[5])
         .when(F.col("parsed_date") > F.col("expire_date"), REASONS[6]).otherwise(REASONS[7])
     )
     return x.select(*[F.col(f"`{c}`") for c in rows.columns], "parsed_date", reason.alias("reason"))
@@ -67,12 +71,15 @@ def upsert(state: DataFrame, changes: DataFrame, keys: list[str], removed: DataF
 
 def changed_partitions(before: DataFrame, now: DataFrame) -> DataFrame:
     """name, change (dirty, refreshed, removed) of partitions by fingerprint (bytes, sha256): refreshed has equal content, new stat."""
-    x = before.select("name", F.col("bytes").alias("b0"), F.col("sha256").alias("h0")).join(now.select("name", F.col("bytes").alias("b1"), F.col("sha256").alias("h1")), "name", "full")
-    change = F.when(F.col("h1").isNull(), "removed").when(F.col("h0").isNull() | (F.col("h0") != F.col("h1")), "dirty").when(F.col("b0") != F.col("b1"), "refreshed")
+    x = before.select("name", F.col("bytes").alias("b0"),
+        F.col("sha256").alias("h0")).join(now.select("name", F.col("bytes").alias("b1"), F.col("sha256").alias("h1")), "name", "full")
+    change = F.when(F.col("h1").isNull(), "removed").when(F.col("h0").isNull() | (F.col("h0") != F.col("h1")),
+        "dirty").when(F.col("b0") != F.col("b1"), "refreshed")
     return x.select("name", change.alias("change")).filter("change IS NOT NULL")
 
 
 def accumulate_calendar(snapshots: DataFrame) -> DataFrame:
     """trade_date, calendar_symbol from snapshots (trade_date as yyyyMMdd text, calendar_symbol, seq): unparsable dates go, the latest symbol wins."""
     day = F.try_to_date(F.when(F.length("trade_date") == 8, F.col("trade_date")), "yyyyMMdd")
-    return snapshots.select(day.alias("trade_date"), "calendar_symbol", "seq").filter("trade_date IS NOT NULL").groupBy("trade_date").agg(F.max_by("calendar_symbol", "seq").alias("calendar_symbol"))
+    return snapshots.select(day.alias("trade_date"), "calendar_symbol",
+        "seq").filter("trade_date IS NOT NULL").groupBy("trade_date").agg(F.max_by("calendar_symbol", "seq").alias("calendar_symbol"))

@@ -7,29 +7,47 @@ from pyspark.sql import functions as F
 
 #: Every issue code and its usual level.
 STORE_CODES = {
-    "CROSS_5M_CLOSE_MISMATCH": "WARNING", "CROSS_5M_MISSING_DAILY": "WARNING", "CROSS_5M_MISSING_INTRADAY": "WARNING", "CROSS_5M_UNAVAILABLE": "INFO", "CROSS_5M_VOLUME_MISMATCH": "WARNING",
-    "DAILY_ACTIVE_ZERO_AMOUNT": "ERROR", "DAILY_ACTIVE_ZERO_VOLUME": "ERROR", "DAILY_ADJUST_FACTOR_MISMATCH": "ERROR", "DAILY_ADJUST_THEORY_MISMATCH": "WARNING", "DAILY_CALENDAR_DATE_EMPTY": "ERROR",
-    "DAILY_CALENDAR_UNAVAILABLE": "ERROR", "DAILY_CODE_FORMAT_INVALID": "ERROR", "DAILY_CORPORATE_ACTION_WITHOUT_BAR": "WARNING", "DAILY_COVERAGE_BELOW_THRESHOLD": "ERROR", "DAILY_DATA_AFTER_DELISTING": "ERROR",
-    "DAILY_DATA_BEFORE_LISTING": "ERROR", "DAILY_DATE_NOT_IN_CALENDAR": "ERROR", "DAILY_DELISTED_SYMBOL_MISSING": "WARNING", "DAILY_DUPLICATE_KEY": "ERROR", "DAILY_INVALID_LIFECYCLE_RANGE": "ERROR",
-    "DAILY_INVALID_SUSPEND_FLAG": "ERROR", "DAILY_LIFECYCLE_UNAVAILABLE": "ERROR", "DAILY_LIFECYCLE_UNKNOWN": "WARNING", "DAILY_MISSING_SPAN": "ERROR", "DAILY_NEGATIVE_QUANTITY": "ERROR", "DAILY_NONPOSITIVE_PRICE": "ERROR",
-    "DAILY_NO_DELISTED_SYMBOLS": "WARNING", "DAILY_NULL_FIELD": "ERROR", "DAILY_OHLC_VIOLATION": "ERROR", "DAILY_OPEN_DATE_MISSING": "WARNING", "DAILY_PRE_CLOSE_MISMATCH": "ERROR", "DAILY_PRICE_LIMIT_VIOLATION": "WARNING",
+    "CROSS_5M_CLOSE_MISMATCH": "WARNING", "CROSS_5M_MISSING_DAILY": "WARNING", "CROSS_5M_MISSING_INTRADAY": "WARNING", "CROSS_5M_UNAVAILABLE": "INFO",
+    "CROSS_5M_VOLUME_MISMATCH": "WARNING",
+    "DAILY_ACTIVE_ZERO_AMOUNT": "ERROR", "DAILY_ACTIVE_ZERO_VOLUME": "ERROR", "DAILY_ADJUST_FACTOR_MISMATCH": "ERROR",
+    "DAILY_ADJUST_THEORY_MISMATCH": "WARNING", "DAILY_CALENDAR_DATE_EMPTY": "ERROR",
+    "DAILY_CALENDAR_UNAVAILABLE": "ERROR", "DAILY_CODE_FORMAT_INVALID": "ERROR", "DAILY_CORPORATE_ACTION_WITHOUT_BAR": "WARNING",
+    "DAILY_COVERAGE_BELOW_THRESHOLD": "ERROR", "DAILY_DATA_AFTER_DELISTING": "ERROR",
+    "DAILY_DATA_BEFORE_LISTING": "ERROR", "DAILY_DATE_NOT_IN_CALENDAR": "ERROR", "DAILY_DELISTED_SYMBOL_MISSING": "WARNING",
+    "DAILY_DUPLICATE_KEY": "ERROR", "DAILY_INVALID_LIFECYCLE_RANGE": "ERROR",
+    "DAILY_INVALID_SUSPEND_FLAG": "ERROR", "DAILY_LIFECYCLE_UNAVAILABLE": "ERROR", "DAILY_LIFECYCLE_UNKNOWN": "WARNING",
+    "DAILY_MISSING_SPAN": "ERROR", "DAILY_NEGATIVE_QUANTITY": "ERROR", "DAILY_NONPOSITIVE_PRICE": "ERROR",
+    "DAILY_NO_DELISTED_SYMBOLS": "WARNING", "DAILY_NULL_FIELD": "ERROR", "DAILY_OHLC_VIOLATION": "ERROR", "DAILY_OPEN_DATE_MISSING": "WARNING",
+    "DAILY_PRE_CLOSE_MISMATCH": "ERROR", "DAILY_PRICE_LIMIT_VIOLATION": "WARNING",
     "DAILY_SUSPENDED_WITH_TURNOVER": "ERROR", "DAILY_VOLUME_UNIT_AMBIGUOUS": "WARNING", "DAILY_VWAP_OUT_OF_RANGE": "WARNING",
 }
 SOURCE_CODES = {
-    "ABNORMAL_PRICE_JUMP": "WARNING", "ABNORMAL_VOLUME_SCALE": "WARNING", "ACTIVE_ZERO_AMOUNT": "ERROR", "ACTIVE_ZERO_VOLUME": "ERROR", "AUXILIARY_HASH_MISMATCH": "ERROR", "AUXILIARY_MARKER_INVALID": "ERROR",
-    "AUXILIARY_MARKER_MISSING": "ERROR", "AUXILIARY_MARKER_SCHEMA_INVALID": "ERROR", "CALENDAR_INFERRED_FROM_PARTITIONS": "ERROR", "DATA_AFTER_DELISTING": "ERROR", "DATA_BEFORE_LISTING": "ERROR",
-    "DATA_ON_NON_TRADING_DATE": "ERROR", "DATE_SYMBOLS_MISSING": "ERROR", "DUPLICATE_PARTITION_DATE": "ERROR", "EXPECTED_SYMBOLS_EMPTY": "ERROR", "EXPIRE_DATE_INVALID": "ERROR", "INSTRUMENT_INFO_COLUMNS_MISSING": "ERROR",
-    "INSTRUMENT_INFO_DUPLICATE": "ERROR", "INSTRUMENT_INFO_MISSING": "ERROR", "INSTRUMENT_INFO_OUTSIDE_SCOPE": "WARNING", "INSTRUMENT_INFO_ROW_COUNT_MISMATCH": "ERROR", "INSTRUMENT_INFO_UNREADABLE": "ERROR",
-    "INVALID_LIFECYCLE_RANGE": "ERROR", "INVALID_OHLC_RELATION": "ERROR", "INVALID_PARTITION_DATE": "ERROR", "INVALID_SUSPEND_FLAG": "ERROR", "KLINE_CODE_MISSING": "ERROR", "KLINE_COLUMNS_MISSING": "ERROR",
-    "KLINE_DATASET_MISSING": "ERROR", "KLINE_DATE_PARTITION_MISMATCH": "ERROR", "KLINE_DUPLICATE_KEY": "ERROR", "KLINE_FIELD_INVALID": "ERROR", "KLINE_MISSING_SPAN": "ERROR", "KLINE_PARTITION_UNREADABLE": "ERROR",
-    "KLINE_SYMBOL_OUTSIDE_SCOPE": "ERROR", "LOW_DATE_COVERAGE": "ERROR", "MISSING_DATE_PARTITION": "ERROR", "NEGATIVE_TURNOVER": "ERROR", "OPEN_DATE_INVALID": "ERROR", "OPEN_DATE_MISSING": "INFO",
-    "PARTITION_FILE_MISSING": "ERROR", "PARTITION_HASH_MISMATCH": "ERROR", "PARTITION_MARKER_INVALID": "ERROR", "PARTITION_MARKER_SCHEMA_INVALID": "ERROR", "PARTITION_ROW_COUNT_MISMATCH": "ERROR",
-    "PARTITION_SCOPE_MISMATCH": "ERROR", "PRE_CLOSE_DISCONTINUITY": "INFO", "PRE_CLOSE_DISCONTINUITY_EXPLAINED": "INFO", "STAGING_BATCHES_MISSING": "ERROR", "STAGING_BATCH_HASH_MISMATCH": "ERROR",
-    "STAGING_BATCH_HASH_MISSING": "ERROR", "STAGING_BATCH_METADATA_INVALID": "ERROR", "STAGING_BATCH_METADATA_MISSING": "ERROR", "STAGING_BATCH_ROW_COUNT_MISMATCH": "ERROR", "STAGING_DAILY_BATCH_GAPS": "ERROR",
-    "STAGING_JOB_AMBIGUOUS": "ERROR", "SUSPENDED_PRICE_NOT_FLAT": "WARNING", "SUSPENDED_WITH_TURNOVER": "ERROR", "SYMBOLS_MISSING_INSTRUMENT_INFO": "ERROR", "SYMBOL_ALL_DATA_MISSING": "ERROR",
+    "ABNORMAL_PRICE_JUMP": "WARNING", "ABNORMAL_VOLUME_SCALE": "WARNING", "ACTIVE_ZERO_AMOUNT": "ERROR", "ACTIVE_ZERO_VOLUME": "ERROR",
+    "AUXILIARY_HASH_MISMATCH": "ERROR", "AUXILIARY_MARKER_INVALID": "ERROR",
+    "AUXILIARY_MARKER_MISSING": "ERROR", "AUXILIARY_MARKER_SCHEMA_INVALID": "ERROR", "CALENDAR_INFERRED_FROM_PARTITIONS": "ERROR",
+    "DATA_AFTER_DELISTING": "ERROR", "DATA_BEFORE_LISTING": "ERROR",
+    "DATA_ON_NON_TRADING_DATE": "ERROR", "DATE_SYMBOLS_MISSING": "ERROR", "DUPLICATE_PARTITION_DATE": "ERROR", "EXPECTED_SYMBOLS_EMPTY": "ERROR",
+    "EXPIRE_DATE_INVALID": "ERROR", "INSTRUMENT_INFO_COLUMNS_MISSING": "ERROR",
+    "INSTRUMENT_INFO_DUPLICATE": "ERROR", "INSTRUMENT_INFO_MISSING": "ERROR", "INSTRUMENT_INFO_OUTSIDE_SCOPE": "WARNING",
+    "INSTRUMENT_INFO_ROW_COUNT_MISMATCH": "ERROR", "INSTRUMENT_INFO_UNREADABLE": "ERROR",
+    "INVALID_LIFECYCLE_RANGE": "ERROR", "INVALID_OHLC_RELATION": "ERROR", "INVALID_PARTITION_DATE": "ERROR", "INVALID_SUSPEND_FLAG": "ERROR",
+    "KLINE_CODE_MISSING": "ERROR", "KLINE_COLUMNS_MISSING": "ERROR",
+    "KLINE_DATASET_MISSING": "ERROR", "KLINE_DATE_PARTITION_MISMATCH": "ERROR", "KLINE_DUPLICATE_KEY": "ERROR", "KLINE_FIELD_INVALID": "ERROR",
+    "KLINE_MISSING_SPAN": "ERROR", "KLINE_PARTITION_UNREADABLE": "ERROR",
+    "KLINE_SYMBOL_OUTSIDE_SCOPE": "ERROR", "LOW_DATE_COVERAGE": "ERROR", "MISSING_DATE_PARTITION": "ERROR", "NEGATIVE_TURNOVER": "ERROR",
+    "OPEN_DATE_INVALID": "ERROR", "OPEN_DATE_MISSING": "INFO",
+    "PARTITION_FILE_MISSING": "ERROR", "PARTITION_HASH_MISMATCH": "ERROR", "PARTITION_MARKER_INVALID": "ERROR",
+    "PARTITION_MARKER_SCHEMA_INVALID": "ERROR", "PARTITION_ROW_COUNT_MISMATCH": "ERROR",
+    "PARTITION_SCOPE_MISMATCH": "ERROR", "PRE_CLOSE_DISCONTINUITY": "INFO", "PRE_CLOSE_DISCONTINUITY_EXPLAINED": "INFO",
+    "STAGING_BATCHES_MISSING": "ERROR", "STAGING_BATCH_HASH_MISMATCH": "ERROR",
+    "STAGING_BATCH_HASH_MISSING": "ERROR", "STAGING_BATCH_METADATA_INVALID": "ERROR", "STAGING_BATCH_METADATA_MISSING": "ERROR",
+    "STAGING_BATCH_ROW_COUNT_MISMATCH": "ERROR", "STAGING_DAILY_BATCH_GAPS": "ERROR",
+    "STAGING_JOB_AMBIGUOUS": "ERROR", "SUSPENDED_PRICE_NOT_FLAT": "WARNING", "SUSPENDED_WITH_TURNOVER": "ERROR",
+    "SYMBOLS_MISSING_INSTRUMENT_INFO": "ERROR", "SYMBOL_ALL_DATA_MISSING": "ERROR",
 }
 LEVELS = STORE_CODES | SOURCE_CODES
-COLUMNS = ["issue_code", "level", "dataset", "code", "trade_date", "start_date", "end_date", "field", "expected", "actual", "evidence", "source_file", "source_row"]
+COLUMNS = ["issue_code", "level", "dataset", "code", "trade_date", "start_date", "end_date", "field", "expected", "actual", "evidence", "source_file",
+    "source_row"]
 _TYPES = {"trade_date": "date", "start_date": "date", "end_date": "date", "source_row": "long"}
 SCHEMA = ", ".join(f"{c} {_TYPES.get(c, 'string')}" for c in COLUMNS)
 #: Topics of the split reports.
@@ -97,7 +115,8 @@ def samples(issues: DataFrame, limit: int = 200) -> DataFrame:
 def status(issues: DataFrame) -> DataFrame:
     """status (failed if there is any error), errors, warnings, info."""
     n = lambda level: F.coalesce(F.sum(F.when(F.col("level") == level, 1).otherwise(0)), F.lit(0)).cast("long")
-    return issues.agg(F.when(n("ERROR") > 0, "failed").otherwise("passed").alias("status"), n("ERROR").alias("errors"), n("WARNING").alias("warnings"), n("INFO").alias("info"))
+    return issues.agg(F.when(n("ERROR") > 0, "failed").otherwise("passed").alias("status"), n("ERROR").alias("errors"),
+        n("WARNING").alias("warnings"), n("INFO").alias("info"))
 
 
 def split(issues: DataFrame) -> dict[str, DataFrame]:

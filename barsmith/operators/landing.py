@@ -14,9 +14,11 @@ from .issues import issue, said, union
 
 c = F.col
 #: The vendor's names of the kline fields.
-KLINE_FIELDS = {"open": "open", "high": "high", "low": "low", "close": "close", "preClose": "pre_close", "volume": "volume", "amount": "amount", "suspendFlag": "suspend_flag"}
+KLINE_FIELDS = {"open": "open", "high": "high", "low": "low", "close": "close", "preClose": "pre_close", "volume": "volume", "amount": "amount",
+    "suspendFlag": "suspend_flag"}
 ACTION_TERMS = [
-    "cash_dividend_per_share", "bonus_share_per_share", "capitalization_per_share", "rights_issue_per_share", "rights_issue_price", "share_reform_flag", "adjustment_factor",
+    "cash_dividend_per_share", "bonus_share_per_share", "capitalization_per_share", "rights_issue_per_share", "rights_issue_price",
+    "share_reform_flag", "adjustment_factor",
 ]
 
 
@@ -24,7 +26,8 @@ ACTION_TERMS = [
 
 
 def parse_kline(raw: DataFrame, start: str, end: str) -> DataFrame:
-    """Vendor bars (code, time, vendor fields as text) to code, trade_date, numbers: dates from start to end; missing fields and what is no finite number become NULL."""
+    """Vendor bars (code, time, vendor fields as text) to code, trade_date, numbers: dates from start to end; missing fields and what is no finite
+    number become NULL."""
     day = normalize_date(c("time"))
     values = [(finite_number(c(f"`{v}`")) if v in raw.columns else F.lit(None).cast("double")).alias(n) for v, n in KLINE_FIELDS.items()]
     return raw.select("code", day.alias("trade_date"), *values).filter(c("trade_date").between(start, end))
@@ -45,7 +48,8 @@ def kline_issues(bars: DataFrame) -> DataFrame:
     found = [
         (~_complete(), issue("KLINE_FIELD_INVALID", "kline_1d", "WARNING", **key, field="open,high,low,close")),
         (_complete() & high, issue("INVALID_OHLC_RELATION", "kline_1d", "ERROR", **key, field="high", actual=said(c("high")))),
-        (_complete() & ~high & (c("low") > F.least("open", "close", "high")), issue("INVALID_OHLC_RELATION", "kline_1d", "ERROR", **key, field="low", actual=said(c("low")))),
+        (_complete() & ~high & (c("low") > F.least("open", "close", "high")),
+        issue("INVALID_OHLC_RELATION", "kline_1d", "ERROR", **key, field="low", actual=said(c("low")))),
         *[(c(n) < 0, issue("NEGATIVE_TURNOVER", "kline_1d", "ERROR", **key, field=n, actual=said(c(n)))) for n in ("volume", "amount")],
     ]
     rows = bars.select(F.explode(F.array_compact(F.array(*[F.when(t, F.struct(*x)) for t, x in found]))).alias("x")).select("x.*")
@@ -53,7 +57,8 @@ def kline_issues(bars: DataFrame) -> DataFrame:
 
 
 def corrected(bars: DataFrame) -> DataFrame:
-    """bars, with high raised to the largest of open, close and low, then low lowered to the least of open, close and that high; rows with all four prices only. old_high and old_low keep what was changed."""
+    """bars, with high raised to the largest of open, close and low, then low lowered to the least of open, close and that high; rows with all four
+    prices only. old_high and old_low keep what was changed."""
     high = F.when(_complete(), F.greatest("high", "open", "close", "low")).otherwise(c("high"))
     low = F.when(_complete(), F.least("low", "open", "close", high)).otherwise(c("low"))
     return bars.withColumns({"high": high, "low": low, "old_high": F.when(high != c("high"), c("high")), "old_low": F.when(low != c("low"), c("low"))})
@@ -61,7 +66,8 @@ def corrected(bars: DataFrame) -> DataFrame:
 
 def correction_log(fixed: DataFrame) -> DataFrame:
     """code, trade_date, field, original_value, corrected_value of corrected() rows."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), c(f"old_{f}").alias("original_value"), c(f).alias("corrected_value")) for f in ("high", "low")])).alias("x")
+    pairs = F.explode(
+        F.array(*[F.struct(F.lit(f).alias("field"), c(f"old_{f}").alias("original_value"), c(f).alias("corrected_value")) for f in ("high", "low")])).alias("x")
     return fixed.select("code", "trade_date", pairs).select("code", "trade_date", "x.*").filter("original_value IS NOT NULL")
 
 
@@ -86,7 +92,8 @@ def kline_batch(raw: DataFrame, codes: DataFrame, dates: DataFrame, instruments:
     empty = dates.join(bars.select("trade_date").distinct(), "trade_date", "left_anti")
     return {
         "bars": bars, "corrections": correction_log(fixed), "empty_dates": empty,
-        "issues": union(kline_issues(bars), missing_issues(bars, codes, dates, instruments), empty.select(*issue("MISSING_DATE_PARTITION", "kline_1d", trade_date=F.try_to_date("trade_date", "yyyyMMdd")))),
+        "issues": union(kline_issues(bars), missing_issues(bars, codes, dates, instruments),
+        empty.select(*issue("MISSING_DATE_PARTITION", "kline_1d", trade_date=F.try_to_date("trade_date", "yyyyMMdd")))),
     }
 
 
@@ -102,7 +109,8 @@ def lifecycle_frame(raw: DataFrame) -> DataFrame:
     x = x.withColumn("place", F.row_number().over(Window.partitionBy("code").orderBy("seq"))).filter("place = 1")
     return x.select(
         "code", text("instrument_name").alias("instrument_name"), date("open_date").alias("open_date"), date("expire_date").alias("expire_date"),
-        (optional_bool(c("is_trading")) if "is_trading" in have else F.lit(None).cast("boolean")).alias("is_trading"), text("instrument_status").alias("instrument_status"),
+        (optional_bool(c("is_trading")) if "is_trading" in have else F.lit(None).cast("boolean")).alias("is_trading"),
+        text("instrument_status").alias("instrument_status"),
         classify_board(c("code")).alias("board"), is_risk_warned(text("instrument_name")).alias("is_st"),
     )
 
@@ -113,7 +121,8 @@ def merged_history(refreshed: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def carried_universe(current: DataFrame, previous: DataFrame, end: str) -> DataFrame:
-    """code, carried: the current codes and those of the last snapshot that have a suffix and no, an unparsable or a recent expiry (the day before `end` or later)."""
+    """code, carried: the current codes and those of the last snapshot that have a suffix and no, an unparsable or a recent expiry (the day before
+    `end` or later)."""
     pool = current.select(F.upper(F.trim("code")).alias("code")).filter("code <> ''").distinct()
     expiry = F.trim(F.coalesce("expire_date", F.lit("")))
     parsed = F.try_to_date(F.when(expiry.rlike("^[0-9]{8}$"), expiry), "yyyyMMdd")
@@ -134,13 +143,15 @@ def parse_actions(raw: DataFrame, start: str, end: str) -> DataFrame:
 
 def action_issues(raw: DataFrame, start: str, end: str) -> DataFrame:
     short = raw.withColumn("ex_date", normalize_date(c("time"))).filter(c("ex_date").between(start, end) & (F.size("values") < len(ACTION_TERMS)))
-    return short.select(*issue(F.lit("ACTION_FIELDS_MISSING"), "corporate_actions", "WARNING", code=c("code"), trade_date=F.try_to_date("ex_date", "yyyyMMdd"), expected="7", actual=F.size("values").cast("string")))
+    return short.select(*issue(F.lit("ACTION_FIELDS_MISSING"), "corporate_actions", "WARNING", code=c("code"),
+        trade_date=F.try_to_date("ex_date", "yyyyMMdd"), expected="7", actual=F.size("values").cast("string")))
 
 
 def action_partitions(parsed: DataFrame, dates: DataFrame) -> DataFrame:
     """ex_date, rows of every partition to write: each trading date and each date with an action, empty ones too."""
     days = dates.select(c("trade_date").alias("ex_date")).unionByName(parsed.select("ex_date")).distinct()
-    return days.join(parsed.groupBy("ex_date").agg(F.count(F.lit(1)).alias("rows")), "ex_date", "left").select("ex_date", F.coalesce("rows", F.lit(0)).alias("rows"))
+    return days.join(parsed.groupBy("ex_date").agg(F.count(F.lit(1)).alias("rows")), "ex_date", "left").select("ex_date",
+        F.coalesce("rows", F.lit(0)).alias("rows"))
 
 
 # ---- jobs

@@ -29,7 +29,8 @@ def ohlcv(bars: DataFrame, *keys: str | Column) -> DataFrame:
     """open, high, low, close, volume per key; first and last by (trade_time, seq), so input order is irrelevant."""
     order = F.struct("trade_time", "seq")
     return bars.groupBy(*keys).agg(
-        F.min_by("open", order).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", order).alias("close"), F.sum("volume").alias("volume")
+        F.min_by("open", order).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", order).alias("close"),
+        F.sum("volume").alias("volume")
     )
 
 
@@ -73,7 +74,8 @@ def search_symbols(bars: DataFrame, text: str, limit: int) -> DataFrame:
 
 def inventory(bars: DataFrame, *keys: str | Column) -> DataFrame:
     return bars.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("code").alias("n_codes"), F.min("trade_time").alias("first_time"), F.max("trade_time").alias("last_time")
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("code").alias("n_codes"), F.min("trade_time").alias("first_time"),
+        F.max("trade_time").alias("last_time")
     )
 
 
@@ -137,7 +139,8 @@ def universe_as_of(instruments: DataFrame, as_of, min_listed_days: int = 0, boar
 
 
 def universe_over(instruments: DataFrame, start, end) -> DataFrame:
-    return instruments.filter((F.col("open_date") <= F.lit(end).cast("date")) & (F.col("expire_date").isNull() | (F.col("expire_date") >= F.lit(start).cast("date"))))
+    return instruments.filter((F.col("open_date") <= F.lit(end).cast("date"))
+        & (F.col("expire_date").isNull() | (F.col("expire_date") >= F.lit(start).cast("date"))))
 
 
 def point_in_time(reports: DataFrame, calendar: DataFrame, values: list[str]) -> DataFrame:
@@ -150,4 +153,5 @@ def point_in_time(reports: DataFrame, calendar: DataFrame, values: list[str]) ->
     days = calendar.select("code", F.col("trade_date").alias("__at"), F.lit(0).alias("__kind"))
     upto = Window.partitionBy("code").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
     out = days.unionByName(events, allowMissingColumns=True).withColumn("__best", F.max("__r").over(upto)).filter("__kind = 0")
-    return out.select("code", F.col("__at").alias("trade_date"), *(F.col(f"__best.{c}").alias(c) for c in ("report_date", "announce_date", *values)), F.col("__best").isNotNull().alias("has_finance"))
+    return out.select("code", F.col("__at").alias("trade_date"), *(F.col(f"__best.{c}").alias(c) for c in ("report_date", "announce_date", *values)),
+        F.col("__best").isNotNull().alias("has_finance"))

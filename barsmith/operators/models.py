@@ -128,7 +128,8 @@ def _long(train: DataFrame, features: list[str]) -> DataFrame:
     return train.select("__node", "label", pairs).select("__node", "label", "x.k", "x.v")
 
 
-def fit_tree(train: DataFrame, features: list[str], max_depth: int = 3, min_samples_leaf: int = 20, max_thresholds: int = 32) -> tuple[_Split | float, dict[str, float]]:
+def fit_tree(train: DataFrame, features: list[str], max_depth: int = 3, min_samples_leaf: int = 20, max_thresholds: int = 32) -> tuple[_Split | float,
+    dict[str, float]]:
     """A binary classification tree on label 0/1 by Gini gain, and its gain-weighted importances.
 
     A feature with more than max_thresholds values in a node is cut at that many inner quantiles, else between its
@@ -164,7 +165,8 @@ def fit_tree(train: DataFrame, features: list[str], max_depth: int = 3, min_samp
         cuts = F.create_map(*[x for (i, k), t in inner.items() for x in (F.lit(f"{i}:{k}"), F.array(*map(F.lit, t)))])
         key = F.concat_ws(":", "__node", "k")
         below = F.size(F.filter(F.try_element_at(cuts, key), lambda t: t < F.col("v")))
-        counted = rows.withColumn("cell", below).filter("cell >= 0").groupBy("__node", "k", "cell").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p")).collect()
+        counted = rows.withColumn("cell", below).filter("cell >= 0").groupBy("__node", "k", "cell").agg(F.count(F.lit(1)).alias("n"),
+            F.sum("label").alias("p")).collect()
         cells: dict[tuple[int, int], dict[int, tuple[float, float]]] = {}
         for r in counted:
             cells.setdefault((r["__node"], r.k), {})[r.cell] = (float(r.n), float(r.p))
@@ -238,28 +240,35 @@ def _linear(train: DataFrame, features: list[str], task: str, c: float, alpha: f
     if (value := _constant(train, "label")) is not None:
         return _flat(value, features)
     n = train.count()
-    logistic = LogisticRegression(featuresCol="__x", labelCol="label", regParam=1.0 / (c * n), elasticNetParam=0.0, maxIter=max_iter, tol=tol, standardization=False)
-    fitted = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="__raw"), StandardScaler(inputCol="__raw", outputCol="__x", withMean=True), logistic]).fit(train)
+    logistic = LogisticRegression(featuresCol="__x", labelCol="label", regParam=1.0 / (c * n), elasticNetParam=0.0, maxIter=max_iter, tol=tol,
+        standardization=False)
+    fitted = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="__raw"),
+        StandardScaler(inputCol="__raw", outputCol="__x", withMean=True), logistic]).fit(train)
     scale = fitted.stages[1].std.toArray()
-    return Fitted(_scored(fitted, features), normalised(np.abs(np.divide(fitted.stages[2].coefficients.toArray(), scale, out=np.zeros_like(scale), where=scale > 0)), features))
+    return Fitted(_scored(fitted, features),
+        normalised(np.abs(np.divide(fitted.stages[2].coefficients.toArray(), scale, out=np.zeros_like(scale), where=scale > 0)), features))
 
 
 def _boosting(classifier, regressor):
-    def fit(train: DataFrame, features: list[str], task: str, n_estimators: int, learning_rate: float, max_depth: int, min_child_samples: int, subsample: float, seed: int) -> Fitted:
+    def fit(train: DataFrame, features: list[str], task: str, n_estimators: int, learning_rate: float, max_depth: int, min_child_samples: int,
+        subsample: float, seed: int) -> Fitted:
         target = "label" if task == "classification" else "target_return"
         if (value := _constant(train, target)) is not None:
             return _flat(value, features)
         kind = classifier if task == "classification" else regressor
-        model = kind(featuresCol="__x", labelCol=target, maxIter=n_estimators, stepSize=learning_rate, maxDepth=max_depth, minInstancesPerNode=min_child_samples, subsamplingRate=subsample, seed=seed)
+        model = kind(featuresCol="__x", labelCol=target, maxIter=n_estimators, stepSize=learning_rate, maxDepth=max_depth,
+            minInstancesPerNode=min_child_samples, subsamplingRate=subsample, seed=seed)
         fitted = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="__x"), model]).fit(train)
         return Fitted(_scored(fitted, features), normalised(fitted.stages[1].featureImportances.toArray(), features))
 
     return fit
 
 
-register_model("gradient_boosting_tree", ("classification",), n_estimators=100, learning_rate=0.1, max_depth=3, min_child_samples=20, subsample=1.0, seed=42)(_boosting(GBTClassifier, GBTRegressor))
+register_model("gradient_boosting_tree", ("classification",), n_estimators=100, learning_rate=0.1, max_depth=3, min_child_samples=20, subsample=1.0,
+    seed=42)(_boosting(GBTClassifier, GBTRegressor))
 #: Spark's gradient boosting with the settings of the light library's regressor and classifier; it grows by level and has no dropout of trees.
-register_model("lightgbm", ("classification", "regression"), n_estimators=300, learning_rate=0.03, max_depth=5, min_child_samples=50, subsample=0.8, seed=42)(_boosting(GBTClassifier, GBTRegressor))
+register_model("lightgbm", ("classification", "regression"), n_estimators=300, learning_rate=0.03, max_depth=5, min_child_samples=50, subsample=0.8,
+    seed=42)(_boosting(GBTClassifier, GBTRegressor))
 
 
 # ---- ridge from moments
@@ -269,8 +278,10 @@ def _moments(data: DataFrame, features: list[str], *keys: str) -> DataFrame:
     """n, sums of features, of their products, of their products with the target, and of the target, as one array per key."""
     x = [F.col(f).cast("double") for f in features]
     y = F.col("target_return").cast("double")
-    parts = [F.count(F.lit(1)).cast("double"), F.sum(y), *[F.sum(a) for a in x], *[F.sum(a * y) for a in x], *[F.sum(a * b) for i, a in enumerate(x) for b in x[i:]]]
-    return data.groupBy(*keys).agg(F.min("target_return").alias("lo"), F.max("target_return").alias("hi"), F.max("target_end_date").alias("last_end"), *[p.alias(f"m{k}") for k, p in enumerate(parts)])
+    parts = [F.count(F.lit(1)).cast("double"), F.sum(y), *[F.sum(a) for a in x], *[F.sum(a * y) for a in x],
+        *[F.sum(a * b) for i, a in enumerate(x) for b in x[i:]]]
+    return data.groupBy(*keys).agg(F.min("target_return").alias("lo"), F.max("target_return").alias("hi"), F.max("target_end_date").alias("last_end"),
+        *[p.alias(f"m{k}") for k, p in enumerate(parts)])
 
 
 def solve_ridge(moments: np.ndarray, k: int, alpha: float) -> tuple[float, np.ndarray]:
@@ -315,17 +326,20 @@ def walk_forward_ridge(dataset: DataFrame, features: list[str], validation_start
     data = filled(dataset, features)
     daily = _moments(data, features, "target_end_date").withColumnRenamed("target_end_date", "at")
     size = 2 + 2 * len(features) + len(features) * (len(features) + 1) // 2
-    dates = data.filter(F.col("target_date") >= F.lit(validation_start).cast("date")).select(F.col("target_date").alias("at")).distinct().withColumn("asked", F.lit(True))
+    dates = data.filter(F.col("target_date") >= F.lit(validation_start).cast("date")).select(F.col("target_date").alias("at")).distinct().withColumn(
+        "asked", F.lit(True))
     both = daily.withColumn("asked", F.lit(False)).unionByName(dates, allowMissingColumns=True)
     both = both.withColumn("day", F.unix_date("at"))
     before = Window.orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
-    running = both.select("at", "asked", F.max("last_end").over(before).alias("training_end_date"), F.array(*[F.sum(f"m{k}").over(before) for k in range(size)]).alias("m")).filter("asked AND m[0] > 0")
+    running = both.select("at", "asked", F.max("last_end").over(before).alias("training_end_date"),
+        F.array(*[F.sum(f"m{k}").over(before) for k in range(size)]).alias("m")).filter("asked AND m[0] > 0")
 
     def solve(batches):
         for batch in batches:
             found = [solve_ridge(np.array(m), len(features), alpha) for m in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([int(m[0]) for m in batch.column(2).to_pylist()], pa.int64()), pa.array([[a, *w] for a, w in found], pa.list_(pa.float64()))],
+                [batch.column(0), batch.column(1), pa.array([int(m[0]) for m in batch.column(2).to_pylist()], pa.int64()),
+                pa.array([[a, *w] for a, w in found], pa.list_(pa.float64()))],
                 ["target_date", "training_end_date", "training_samples", "w"],
             )
 

@@ -19,7 +19,8 @@ def forward_targets(daily: DataFrame, kind: str) -> DataFrame:
         end, value = ahead("trade_date", 1), ratio(ahead("close", 1), ahead("open", 1)) - 1
     else:
         end, value = ahead("trade_date", 2), ratio(ahead(kind, 2), ahead(kind, 1)) - 1
-    out = daily.select("*", F.col("trade_date").alias("feature_date"), ahead("trade_date", 1).alias("target_date"), end.alias("target_end_date"), value.alias("target_return"))
+    out = daily.select("*", F.col("trade_date").alias("feature_date"), ahead("trade_date", 1).alias("target_date"), end.alias("target_end_date"),
+        value.alias("target_return"))
     return out.filter("target_end_date IS NOT NULL AND target_return IS NOT NULL")
 
 
@@ -31,7 +32,8 @@ def report_returns(daily: DataFrame) -> DataFrame:
     w = Window.partitionBy("code").orderBy("trade_date")
     c, o = F.col("close"), F.col("open")
     return daily.withColumns({
-        "previous_close_to_close_return": ratio(c, F.lag("close").over(w)) - 1, "previous_open_to_close_return": ratio(c, o) - 1, "target_close_to_previous_close_return": ratio(F.lead("close").over(w), c) - 1,
+        "previous_close_to_close_return": ratio(c, F.lag("close").over(w)) - 1, "previous_open_to_close_return": ratio(c, o) - 1,
+        "target_close_to_previous_close_return": ratio(F.lead("close").over(w), c) - 1,
     })
 
 
@@ -45,7 +47,8 @@ def direction_dataset(features: DataFrame, names: list[str], kind: str = "inday"
         raise ValueError("the threshold is a finite return, not below 0")
     out = forward_targets(report_returns(features), kind)
     reports = ["previous_close_to_close_return", "previous_open_to_close_return", "target_close_to_previous_close_return"]
-    return out.select("feature_date", "target_date", "target_end_date", "code", *names, *reports, "target_return", direction_label(F.col("target_return"), threshold).alias("label"))
+    return out.select("feature_date", "target_date", "target_end_date", "code", *names, *reports, "target_return",
+        direction_label(F.col("target_return"), threshold).alias("label"))
 
 
 def direction_label(value: Column, threshold: float = 0.005) -> Column:
@@ -63,7 +66,8 @@ def daily_ic(predictions: DataFrame, score: str, target: str = "target_return",
     """samples, ic and rank_ic per date over complete pairs."""
     pairs = predictions.select(date, finite(F.col(score)).alias("s"), finite(F.col(target)).alias("t")).filter("s IS NOT NULL AND t IS NOT NULL")
     pairs = pairs.withColumn("rs", average_rank(F.col("s"), date)).withColumn("rt", average_rank(F.col("t"), date))
-    return pairs.groupBy(date).agg(F.count(F.lit(1)).alias("samples"), correlation(F.col("s"), F.col("t")).alias("ic"), correlation(F.col("rs"), F.col("rt")).alias("rank_ic"))
+    return pairs.groupBy(date).agg(F.count(F.lit(1)).alias("samples"), correlation(F.col("s"), F.col("t")).alias("ic"),
+        correlation(F.col("rs"), F.col("rt")).alias("rank_ic"))
 
 
 def ic_summary(ic: DataFrame) -> DataFrame:
@@ -76,7 +80,8 @@ def ic_summary(ic: DataFrame) -> DataFrame:
 
 def period_summary(dataset: DataFrame) -> DataFrame:
     """One row: samples, different dates and codes, first and last date."""
-    return dataset.agg(F.count(F.lit(1)).alias("samples"), F.countDistinct("target_date").alias("dates"), F.countDistinct("code").alias("codes"), F.min("target_date").alias("first_date"), F.max("target_date").alias("last_date"))
+    return dataset.agg(F.count(F.lit(1)).alias("samples"), F.countDistinct("target_date").alias("dates"), F.countDistinct("code").alias("codes"),
+        F.min("target_date").alias("first_date"), F.max("target_date").alias("last_date"))
 
 
 def period_ic(ic: DataFrame, total_samples: DataFrame, min_daily_samples: int = 2) -> DataFrame:
@@ -85,9 +90,11 @@ def period_ic(ic: DataFrame, total_samples: DataFrame, min_daily_samples: int =
     x = ic.withColumn("thin", ~enough).withColumns({c: F.when(enough, F.col(c)) for c in ("ic", "rank_ic")})
     out = x.agg(
         F.count(F.lit(1)).alias("dates"), F.count("rank_ic").alias("rank_ic_dates"), F.sum(F.col("thin").cast("long")).alias("thin_dates"),
-        F.sum("samples").alias("samples"), F.count("ic").alias("ic_dates"), F.avg("samples").alias("mean_cross_section"), F.avg("ic").alias("mean_ic"), F.avg("rank_ic").alias("mean_rank_ic"),
+        F.sum("samples").alias("samples"), F.count("ic").alias("ic_dates"), F.avg("samples").alias("mean_cross_section"),
+        F.avg("ic").alias("mean_ic"), F.avg("rank_ic").alias("mean_rank_ic"),
         ratio(F.avg("ic"), F.stddev_samp("ic")).alias("icir"), ratio(F.avg("rank_ic"), F.stddev_samp("rank_ic")).alias("rank_icir"),
-        F.avg(F.when(F.col("ic").isNotNull(), (F.col("ic") > 0).cast("double"))).alias("positive_ic_ratio"), F.avg(F.when(F.col("rank_ic").isNotNull(), (F.col("rank_ic") > 0).cast("double"))).alias("positive_rank_ic_ratio"),
+        F.avg(F.when(F.col("ic").isNotNull(), (F.col("ic") > 0).cast("double"))).alias("positive_ic_ratio"),
+        F.avg(F.when(F.col("rank_ic").isNotNull(), (F.col("rank_ic") > 0).cast("double"))).alias("positive_rank_ic_ratio"),
     )
     return out.crossJoin(F.broadcast(total_samples)).withColumn("coverage", ratio(F.col("samples"), F.col("total"))).drop("total")
 
@@ -99,7 +106,8 @@ def auc(scored: DataFrame, score: str, label: str, ranges: int = 256) -> DataFra
     """
     by_score = scored.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
     edges = by_score.agg(F.percentile_approx("s", [k / ranges for k in range(1, ranges)], 10_000).alias("edges"))
-    by_score = by_score.crossJoin(F.broadcast(edges)).withColumn("range", F.size(F.filter("edges", lambda e: e < F.col("s")))).drop("edges").withColumn("neg", F.col("n") - F.col("pos"))
+    by_score = by_score.crossJoin(F.broadcast(edges)).withColumn("range",
+        F.size(F.filter("edges", lambda e: e < F.col("s")))).drop("edges").withColumn("neg", F.col("n") - F.col("pos"))
     totals = by_score.groupBy("range").agg(F.sum("neg").alias("neg_in"))
     ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("range", F.coalesce(F.sum("neg_in").over(ahead), F.lit(0)).alias("neg_before"))
@@ -124,14 +132,17 @@ def regression(scored: DataFrame, predicted: str, actual: str) -> DataFrame:
     n = F.count(F.lit(1))
     return scored.agg(
         n.alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - ratio(F.sum(e * e), F.var_pop(actual) * n)).alias("r2"),
-        F.avg(((F.col(predicted) > 0) == (F.col(actual) > 0)).cast("double")).alias("direction_accuracy"), correlation(F.col(predicted), F.col(actual)).alias("ic"),
+        F.avg(((F.col(predicted) > 0) == (F.col(actual) > 0)).cast("double")).alias("direction_accuracy"),
+        correlation(F.col(predicted), F.col(actual)).alias("ic"),
     )
 
 
 def accuracy_trend(scored: DataFrame, probability: str, label: str, date: str = "target_date") -> DataFrame:
-    by_day = scored.groupBy(date).agg(F.count(F.lit(1)).alias("samples"), F.avg(((F.col(probability) >= 0.5).cast("int") == F.col(label)).cast("double")).alias("accuracy"))
+    by_day = scored.groupBy(date).agg(F.count(F.lit(1)).alias("samples"),
+        F.avg(((F.col(probability) >= 0.5).cast("int") == F.col(label)).cast("double")).alias("accuracy"))
     w = Window.orderBy(date)
-    return by_day.select("*", (F.col("accuracy") - F.lag("accuracy").over(w)).alias("accuracy_change"), F.avg("accuracy").over(w.rowsBetween(-19, 0)).alias("rolling_accuracy"))
+    return by_day.select("*", (F.col("accuracy") - F.lag("accuracy").over(w)).alias("accuracy_change"),
+        F.avg("accuracy").over(w.rowsBetween(-19, 0)).alias("rolling_accuracy"))
 
 
 def rolling_ic(ic: DataFrame, date: str = "target_date") -> DataFrame:

@@ -132,17 +132,20 @@ def scores(context: Context, candidates: list[dsl.Node], period: str = "selectio
         long = wide.select("target_date", finite(c("target_return")).alias("t"), pairs).select("target_date", "t", "x.factor_id", "x.s")
         long = long.withColumns({"s": F.when(c("t").isNotNull(), c("s")), "t": F.when(c("s").isNotNull(), c("t"))})
         long = long.withColumn("rs", average_rank(c("s"), "factor_id", "target_date")).withColumn("rt", average_rank(c("t"), "factor_id", "target_date"))
-        got = long.groupBy("factor_id", "target_date").agg(F.count(F.lit(1)).alias("rows"), F.count("s").alias("samples"), correlation(c("s"), c("t")).alias("ic"), correlation(c("rs"), c("rt")).alias("rank_ic"))
+        got = long.groupBy("factor_id", "target_date").agg(F.count(F.lit(1)).alias("rows"), F.count("s").alias("samples"),
+            correlation(c("s"), c("t")).alias("ic"), correlation(c("rs"), c("rt")).alias("rank_ic"))
         out = got if out is None else out.unionByName(got)
     return out
 
 
 def metrics(daily: DataFrame, least_samples: int = 2) -> DataFrame:
-    """Per factor over a period: rows, valid values, coverage, mean IC and rank IC, their deviations, dates and ICIR; dates of fewer samples count as missing."""
+    """Per factor over a period: rows, valid values, coverage, mean IC and rank IC, their deviations, dates and ICIR; dates of fewer samples count
+    as missing."""
     enough = c("samples") >= least_samples
     x = daily.withColumns({n: F.when(enough, c(n)) for n in ("ic", "rank_ic")})
     out = x.groupBy("factor_id").agg(
-        F.sum("rows").alias("rows"), F.sum("samples").alias("valid"), F.avg("ic").alias("ic"), F.avg("rank_ic").alias("rank_ic"), F.stddev_samp("ic").alias("ic_std"), F.stddev_samp("rank_ic").alias("rank_ic_std"),
+        F.sum("rows").alias("rows"), F.sum("samples").alias("valid"), F.avg("ic").alias("ic"), F.avg("rank_ic").alias("rank_ic"),
+        F.stddev_samp("ic").alias("ic_std"), F.stddev_samp("rank_ic").alias("rank_ic_std"),
         F.count("rank_ic").alias("rank_ic_dates"),
     )
     return out.withColumns({"coverage": ratio(c("valid"), c("rows")), "rank_icir": ratio(c("rank_ic"), c("rank_ic_std"))})
@@ -152,7 +155,8 @@ def leaderboard(measured: DataFrame, min_coverage: float = 0.7, min_dates: int =
     """Selection metrics turned so that the rank IC is not negative (direction), with eligibility."""
     direction = F.when(c("rank_ic") < 0, -1).otherwise(1)
     return measured.select(
-        "factor_id", direction.alias("direction"), c("coverage").alias("selection_coverage"), c("rank_ic_dates").alias("selection_dates"), (c("ic") * direction).alias("selection_ic"), (c("rank_ic") * direction).alias("selection_rank_ic"),
+        "factor_id", direction.alias("direction"), c("coverage").alias("selection_coverage"), c("rank_ic_dates").alias("selection_dates"),
+        (c("ic") * direction).alias("selection_ic"), (c("rank_ic") * direction).alias("selection_rank_ic"),
         (c("rank_icir") * direction).alias("selection_rank_icir"), c("rank_ic_std").alias("selection_rank_ic_std"),
         F.coalesce(c("rank_ic").isNotNull() & (c("coverage") >= min_coverage) & (c("rank_ic_dates") >= min_dates), F.lit(False)).alias("eligible"),
     )
@@ -212,11 +216,13 @@ def _evaluated(score: Callable[[list[dsl.Node]], DataFrame], nodes: list[dsl.Nod
 
 
 def _ranked(rows: list[dict], key: str) -> list[dict]:
-    return sorted(rows, key=lambda r: (not r["eligible"], -r[key] if r[key] is not None and math.isfinite(r[key]) else math.inf, r["nodes"], r["depth"], r["factor_id"]))
+    return sorted(rows, key=lambda r: (not r["eligible"], -r[key] if r[key] is not None and math.isfinite(r[key]) else math.inf, r["nodes"],
+        r["depth"], r["factor_id"]))
 
 
 def _with_shape(rows: list[dict], candidates: dict[str, dsl.Node]) -> list[dict]:
-    return [r | {"expression": candidates[r["factor_id"]].canonical, "nodes": candidates[r["factor_id"]].node_count, "depth": candidates[r["factor_id"]].depth} for r in rows]
+    return [r | {"expression": candidates[r["factor_id"]].canonical, "nodes": candidates[r["factor_id"]].node_count,
+        "depth": candidates[r["factor_id"]].depth} for r in rows]
 
 
 def _freeze(context: Context, result: Result, holdout_top_k: int, model_top_k: int, model: Callable[[dsl.Node, Context], dict] | None) -> Result:
@@ -236,7 +242,8 @@ def _freeze(context: Context, result: Result, holdout_top_k: int, model_top_k: i
     return result
 
 
-def grid_search(context: Context, candidates: list[dsl.Node], objective: str = "selection_rank_ic", holdout_top_k: int = 1, model_top_k: int = 0, model=None, limit: int = 10_000, **eligibility) -> Result:
+def grid_search(context: Context, candidates: list[dsl.Node], objective: str = "selection_rank_ic", holdout_top_k: int = 1, model_top_k: int = 0,
+    model=None, limit: int = 10_000, **eligibility) -> Result:
     """Screen on selection, then the holdout for the best holdout_top_k, then a model for the best model_top_k."""
     if not objective.startswith("selection_"):
         raise ValueError("holdout metrics must not select")
@@ -258,7 +265,8 @@ def model_evaluator(model: str, task: str = "classification", mode: str = "singl
         if context.holdout_end is not None:
             data = data.filter(c("target_date") <= F.lit(context.holdout_end).cast("date"))
         predicted, _ = models.Experiment(features, model, task, context.holdout_start, mode, parameters=parameters).run(data)
-        row = (research.classification(predicted, "score", "label") if task == "classification" else research.regression(predicted, "score", "target_return")).first()
+        row = (research.classification(predicted, "score", "label") if task == "classification" else research.regression(predicted, "score",
+            "target_return")).first()
         return row.asDict()
 
     return evaluate
@@ -270,7 +278,8 @@ def daily_detail(context: Context, result: Result, k: int) -> DataFrame:
     for place, r in enumerate([r for r in result.rows if r["eligible"]][:k], 1):
         for period in ("selection", "holdout"):
             one = scores(context, [result.candidates[r["factor_id"]]], period)
-            one = one.select(F.lit(place).alias("selection_rank"), "factor_id", F.lit(period).alias("period"), "target_date", "samples", *[(c(n) * r["direction"]).alias(n) for n in ("ic", "rank_ic")])
+            one = one.select(F.lit(place).alias("selection_rank"), "factor_id", F.lit(period).alias("period"), "target_date", "samples",
+                *[(c(n) * r["direction"]).alias(n) for n in ("ic", "rank_ic")])
             out = one if out is None else out.unionByName(one)
     if out is None:
         raise ValueError("no eligible candidate")
@@ -292,13 +301,15 @@ def fingerprints(context: Context, candidates: list[dsl.Node], digits: int = 9)
     rounded = lambda x: F.round(x, digits) + 0.0
     digest = lambda x: F.concat_ws("-", F.bit_xor(F.xxhash64("code", "trade_date", x)), F.bit_xor(F.xxhash64("trade_date", x, "code")))
     return long.groupBy("factor_id").agg(
-        digest(rounded(c("s"))).alias("value_up"), digest(rounded(-c("s"))).alias("value_down"), digest(c("r")).alias("rank_up"), digest(c("n") + 1 - c("r")).alias("rank_down"),
+        digest(rounded(c("s"))).alias("value_up"), digest(rounded(-c("s"))).alias("value_down"), digest(c("r")).alias("rank_up"),
+        digest(c("n") + 1 - c("r")).alias("rank_down"),
     )
 
 
 def without_equals(rows: list[dict]) -> list[dict]:
     """Rows (factor_id, nodes, depth, eligible, fitness, value_key, rank_key) of which no two have equal values or ranks: the simplest stays."""
-    simplest = sorted(rows, key=lambda r: (r["nodes"], r["depth"], not r["eligible"], -(r["fitness"] if r["fitness"] is not None else -math.inf), r["factor_id"]))
+    simplest = sorted(rows, key=lambda r: (r["nodes"], r["depth"], not r["eligible"], -(r["fitness"] if r["fitness"] is not None else -math.inf),
+        r["factor_id"]))
     values, ranks, out = set(), set(), []
     for r in simplest:
         if r["value_key"] in values or r["rank_key"] in ranks:
@@ -317,7 +328,8 @@ _WINDOWS, _PERIODS = (5, 10, 20, 60), (1, 2, 5, 10, 20)
 
 def _operators() -> dict[str, dict[str, tuple]]:
     plain = {n: {} for n in ("add", "subtract", "multiply", "divide", "absolute", "negative", "cs_rank", "cs_zscore")}
-    return plain | {n: {"periods": _PERIODS} for n in ("delta", "returns")} | {n: {"window": _WINDOWS} for n in ("ts_mean", "ts_stddev", "ts_rank", "ts_correlation")}
+    return plain | {n: {"periods": _PERIODS} for n in ("delta", "returns")} | {n: {"window": _WINDOWS} for n in ("ts_mean", "ts_stddev", "ts_rank",
+        "ts_correlation")}
 
 
 @dataclass(frozen=True)
@@ -462,7 +474,8 @@ class Generator:
         """Add a tree for each source and operator that none of the chosen has, as far as there is room."""
         columns = set().union(*(n.columns for n, _ in chosen.values())) if chosen else set()
         used = {x.operator for n, _ in chosen.values() for x in self.subtrees(n)}
-        wanted = [lambda s=s: dsl.column(s) for s in self.config.sources if s not in columns] + [lambda o=o: self.grow(1, o) for o in self.config.operators if o not in used]
+        wanted = [lambda s=s: dsl.column(s) for s in self.config.sources if s not in columns] + [lambda o=o: self.grow(1, o)
+            for o in self.config.operators if o not in used]
         self.random.shuffle(wanted)
         for make in wanted:
             n = make()
@@ -489,15 +502,18 @@ def fitness(row: dict, config: GeneticConfig) -> float | None:
             return None
         error = spread / math.sqrt(dates)
     return (
-        value - config.stability_weight * error - config.length_penalty * max(0, row["nodes"] - config.free_nodes) - config.depth_penalty * max(0, row["depth"] - 1 - config.free_depth)
+        value - config.stability_weight * error - config.length_penalty * max(0, row["nodes"] - config.free_nodes) - config.depth_penalty * max(0,
+        row["depth"] - 1 - config.free_depth)
         - config.coverage_penalty * max(0.0, config.target_coverage - coverage)
     )
 
 
-def genetic_search(context: Context, config: GeneticConfig = GeneticConfig(), holdout_top_k: int = 1, model_top_k: int = 0, model=None, progress: Callable[[dict], None] | None = None) -> Result:
+def genetic_search(context: Context, config: GeneticConfig = GeneticConfig(), holdout_top_k: int = 1, model_top_k: int = 0, model=None,
+    progress: Callable[[dict], None] | None = None) -> Result:
     """Evolve expressions by their selection fitness; each generation is one scoring and one fingerprint job, memoised by id.
 
-    Equal candidates (by values or daily ranks) count once, the simplest. It ends after the generations, the evaluations, or `patience` generations without progress.
+    Equal candidates (by values or daily ranks) count once, the simplest. It ends after the generations, the evaluations, or `patience` generations
+    without progress.
     """
     if missing := set(config.sources) - set(context.frame.columns):
         raise ValueError(f"no such columns: {sorted(missing)}")
@@ -517,7 +533,8 @@ def genetic_search(context: Context, config: GeneticConfig = GeneticConfig(), ho
             for r in rows:
                 p, side = prints.get(r["factor_id"], {}), "up" if r["direction"] > 0 else "down"
                 value = fitness(r, config)
-                seen[r["factor_id"]] = r | {"fitness": value, "eligible": value is not None, "origin": people[r["factor_id"]][1], "generation": generation, "value_key": p.get(f"value_{side}", r["factor_id"]), "rank_key": p.get(f"rank_{side}", r["factor_id"])}
+                seen[r["factor_id"]] = r | {"fitness": value, "eligible": value is not None, "origin": people[r["factor_id"]][1],
+                    "generation": generation, "value_key": p.get(f"value_{side}", r["factor_id"]), "rank_key": p.get(f"rank_{side}", r["factor_id"])}
         ranked = _ranked(without_equals([seen[i] for i in people if i in seen]), "fitness")
         able = [candidates[r["factor_id"]] for r in ranked if r["eligible"]]
         now = ranked[0]["fitness"] if able else -math.inf

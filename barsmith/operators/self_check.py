@@ -24,7 +24,8 @@ def column_issues(names: list[str], rows: DataFrame) -> DataFrame:
     missing = sorted(set(COLUMNS) - set(names))
     parts = rows.select("partition_date").distinct()
     text = F.lit(", ".join(missing))
-    found = parts.select(*issue("KLINE_COLUMNS_MISSING", DATASET, trade_date=F.try_to_date("partition_date", "yyyyMMdd"), expected=", ".join(sorted(COLUMNS)), actual=text))
+    found = parts.select(*issue("KLINE_COLUMNS_MISSING", DATASET, trade_date=F.try_to_date("partition_date", "yyyyMMdd"),
+        expected=", ".join(sorted(COLUMNS)), actual=text))
     return found if missing else found.limit(0)
 
 
@@ -37,7 +38,8 @@ def day(text: Column) -> Column:
 def prepared(rows: DataFrame) -> DataFrame:
     """rows with raw texts as r_*, numbers, code in upper case, part_date and row_date."""
     out = rows.select("*", *[c(n).alias(f"r_{n}") for n in NUMBERS])
-    return out.withColumns({n: finite_number(c(n)) for n in NUMBERS} | {"code": F.upper(F.trim("code")), "part_date": F.try_to_date("partition_date", "yyyyMMdd"), "row_date": day(c("trade_date"))})
+    return out.withColumns({n: finite_number(c(n)) for n in NUMBERS} | {"code": F.upper(F.trim("code")),
+        "part_date": F.try_to_date("partition_date", "yyyyMMdd"), "row_date": day(c("trade_date"))})
 
 
 # ---- lives
@@ -47,10 +49,12 @@ def lifecycle(instruments: DataFrame, calendar: DataFrame) -> DataFrame:
     """code, open_date, expire_date and what is odd about them, from landed rows (code, open_date, expire_date as text, seq); the first row of a code counts."""
     by = Window.partitionBy("code").orderBy("seq")
     first = calendar.agg(F.min("trade_date").alias("first"))
-    i = instruments.withColumn("code", F.upper(F.trim("code"))).withColumn("place", F.row_number().over(by)).withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("code")))
+    i = instruments.withColumn("code", F.upper(F.trim("code"))).withColumn("place", F.row_number().over(by)).withColumn("rows",
+        F.count(F.lit(1)).over(Window.partitionBy("code")))
     for name in ("open_date", "expire_date"):
         raw = c(f"r_{name}")
-        i = i.withColumnRenamed(name, f"r_{name}").withColumn(name, F.when(~is_date_sentinel(raw), day(raw))).withColumn(f"{name}_invalid", ~is_date_sentinel(raw) & c(name).isNull())
+        i = i.withColumnRenamed(name, f"r_{name}").withColumn(name, F.when(~is_date_sentinel(raw), day(raw))).withColumn(f"{name}_invalid",
+            ~is_date_sentinel(raw) & c(name).isNull())
     i = i.withColumn("open_missing", c("open_date").isNull())
     return i.crossJoin(F.broadcast(first)).withColumn("open_date", F.coalesce("open_date", "first")).drop("first")
 
@@ -75,8 +79,10 @@ def scope_issues(symbols: DataFrame, instruments: DataFrame) -> DataFrame:
     absent = symbols.join(known, "code", "left_anti").agg(F.count(F.lit(1)).alias("n"), F.min("code").alias("x"))
     extra = known.join(symbols, "code", "left_anti").agg(F.count(F.lit(1)).alias("n"), F.min("code").alias("x"))
     none = symbols.agg(F.count(F.lit(1)).alias("n"))
-    say = lambda df, test, name: df.filter(test).select(*issue(name, "instrument_info", actual=c("n").cast("string"), evidence=c("x") if "x" in df.columns else None))
-    return union(say(none, "n = 0", "EXPECTED_SYMBOLS_EMPTY"), say(absent, "n > 0", "SYMBOLS_MISSING_INSTRUMENT_INFO"), say(extra, "n > 0", "INSTRUMENT_INFO_OUTSIDE_SCOPE"))
+    say = lambda df, test, name: df.filter(test).select(*issue(name, "instrument_info", actual=c("n").cast("string"),
+        evidence=c("x") if "x" in df.columns else None))
+    return union(say(none, "n = 0", "EXPECTED_SYMBOLS_EMPTY"), say(absent, "n > 0", "SYMBOLS_MISSING_INSTRUMENT_INFO"),
+        say(extra, "n > 0", "INSTRUMENT_INFO_OUTSIDE_SCOPE"))
 
 
 # ---- rows
@@ -89,7 +95,8 @@ def placed(ready: DataFrame, symbols: DataFrame, life: DataFrame) -> DataFrame:
     x = ready.join(scope, "code", "left").join(spans, "code", "left").withColumn("open_date", F.coalesce("open_date", "part_date"))
     missing = F.coalesce(F.lower("code").isin("", "nan"), F.lit(True))
     problem = (
-        F.when(missing, "KLINE_CODE_MISSING").when(c("in_scope").isNull(), "KLINE_SYMBOL_OUTSIDE_SCOPE").when(~F.coalesce(c("row_date") == c("part_date"), F.lit(False)), "KLINE_DATE_PARTITION_MISMATCH")
+        F.when(missing, "KLINE_CODE_MISSING").when(c("in_scope").isNull(),
+        "KLINE_SYMBOL_OUTSIDE_SCOPE").when(~F.coalesce(c("row_date") == c("part_date"), F.lit(False)), "KLINE_DATE_PARTITION_MISMATCH")
     )
     x = x.withColumn("problem", problem)
     inside = (c("part_date") >= c("open_date")) & (c("expire_date").isNull() | (c("part_date") <= c("expire_date")))
@@ -112,15 +119,18 @@ def row_issues(rows: DataFrame) -> DataFrame:
     wrong = F.when(c("problem") == "KLINE_DATE_PARTITION_MISMATCH", c("trade_date")).otherwise(c("code"))
     active, suspended = c("suspend_flag") == 0, c("suspend_flag") == 1
     rules = [
-        (c("problem").isNotNull(), _row(c("problem"), field=F.when(c("problem") == "KLINE_DATE_PARTITION_MISMATCH", "trade_date").otherwise("code"), actual=wrong)),
+        (c("problem").isNotNull(), _row(c("problem"), field=F.when(c("problem") == "KLINE_DATE_PARTITION_MISMATCH", "trade_date").otherwise("code"),
+        actual=wrong)),
         *[(c("alive") & c(n).isNull(), _row("KLINE_FIELD_INVALID", field=n, expected="a finite number", actual=c(f"r_{n}"))) for n in NUMBERS],
-        (judged & ((c("high") < F.greatest("open", "low", "close")) | (c("low") > F.least("open", "high", "close"))), _row("INVALID_OHLC_RELATION", field="open,high,low,close", actual=ohlc)),
+        (judged & ((c("high") < F.greatest("open", "low", "close")) | (c("low") > F.least("open", "high", "close"))),
+        _row("INVALID_OHLC_RELATION", field="open,high,low,close", actual=ohlc)),
         (judged & ((c("volume") < 0) | (c("amount") < 0)), _row("NEGATIVE_TURNOVER", field="volume,amount", actual=turnover)),
         (judged & ~c("suspend_flag").isin(0, 1), _row("INVALID_SUSPEND_FLAG", field="suspend_flag", actual=said(c("suspend_flag")))),
         (judged & active & (c("volume") <= 0), _row("ACTIVE_ZERO_VOLUME", field="volume", actual=turnover)),
         (judged & active & (c("amount") <= 0), _row("ACTIVE_ZERO_AMOUNT", field="amount", actual=turnover)),
         (judged & suspended & ((c("volume") != 0) | (c("amount") != 0)), _row("SUSPENDED_WITH_TURNOVER", field="suspend_flag,volume,amount", actual=turnover)),
-        (judged & suspended & ~((c("open") == c("high")) & (c("high") == c("low")) & (c("low") == c("close"))), _row("SUSPENDED_PRICE_NOT_FLAT", field="open,high,low,close", actual=ohlc)),
+        (judged & suspended & ~((c("open") == c("high")) & (c("high") == c("low")) & (c("low") == c("close"))),
+        _row("SUSPENDED_PRICE_NOT_FLAT", field="open,high,low,close", actual=ohlc)),
     ]
     return rows.select(F.explode(F.array_compact(F.array(*[F.when(test, F.struct(*columns)) for test, columns in rules]))).alias("x")).select("x.*")
 
@@ -128,7 +138,8 @@ def row_issues(rows: DataFrame) -> DataFrame:
 def duplicate_issues(ready: DataFrame) -> DataFrame:
     """Each row of a (code, trade_date) that a partition has twice or more."""
     keys = ready.groupBy("partition_date", "code", "trade_date").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    same = ready["partition_date"].eqNullSafe(keys["partition_date"]) & ready["code"].eqNullSafe(keys["code"]) & ready["trade_date"].eqNullSafe(keys["trade_date"])
+    same = ready["partition_date"].eqNullSafe(keys["partition_date"]) & ready["code"].eqNullSafe(keys["code"]) & ready["trade_date"].eqNullSafe(
+        keys["trade_date"])
     return ready.join(keys, same, "left_semi").select(*_row("KLINE_DUPLICATE_KEY", field="code,trade_date", expected="one row"))
 
 
@@ -137,9 +148,11 @@ def outside_life_issues(rows: DataFrame) -> DataFrame:
     before = (c("part_date") < c("open_date")) & (F.coalesce(c("suspend_flag"), F.lit(0.0)) != 1)
     name = F.when(before, "DATA_BEFORE_LISTING").when(c("part_date") > c("expire_date"), "DATA_AFTER_DELISTING")
     x = rows.filter("problem IS NULL").withColumn("name", name).filter("name IS NOT NULL")
-    first = x.groupBy("code", "name").agg(F.min("part_date").alias("part_date"), F.min("open_date").alias("open_date"), F.min("expire_date").alias("expire_date"))
+    first = x.groupBy("code", "name").agg(F.min("part_date").alias("part_date"), F.min("open_date").alias("open_date"),
+        F.min("expire_date").alias("expire_date"))
     limit = F.when(c("name") == "DATA_BEFORE_LISTING", c("open_date")).otherwise(c("expire_date")).cast("string")
-    return first.select(*issue(c("name"), DATASET, "ERROR", code=c("code"), trade_date=c("part_date"), field="trade_date", expected=limit, actual=c("part_date").cast("string")))
+    return first.select(*issue(c("name"), DATASET, "ERROR", code=c("code"), trade_date=c("part_date"), field="trade_date", expected=limit,
+        actual=c("part_date").cast("string")))
 
 
 def continuity_issues(rows: DataFrame, actions: DataFrame, jump: float = 0.5, scale: float = 100.0, window: int = 20, least: int = 10) -> DataFrame:
@@ -155,13 +168,16 @@ def continuity_issues(rows: DataFrame, actions: DataFrame, jump: float = 0.5, sc
     broken = nonzero("pre_close") & nonzero("before") & (F.abs(ratio(c("pre_close"), c("before")) - 1) > 1e-6)
     moved = ratio(c("close"), c("pre_close")) - 1
     name = F.when(c("explained"), "PRE_CLOSE_DISCONTINUITY_EXPLAINED").otherwise("PRE_CLOSE_DISCONTINUITY")
-    breaks = x.filter(broken).select(*issue(name, DATASET, "INFO", code=c("code"), trade_date=c("part_date"), field="pre_close", expected=said(c("before")), actual=said(c("pre_close"))))
-    jumps = alive.filter(nonzero("close") & nonzero("pre_close") & (F.abs(moved) > jump)).select(*issue("ABNORMAL_PRICE_JUMP", DATASET, code=c("code"), trade_date=c("part_date"), field="close,pre_close", actual=said(moved)))
+    breaks = x.filter(broken).select(*issue(name, DATASET, "INFO", code=c("code"), trade_date=c("part_date"), field="pre_close",
+        expected=said(c("before")), actual=said(c("pre_close"))))
+    jumps = alive.filter(nonzero("close") & nonzero("pre_close") & (F.abs(moved) > jump)).select(*issue("ABNORMAL_PRICE_JUMP", DATASET,
+        code=c("code"), trade_date=c("part_date"), field="close,pre_close", actual=said(moved)))
     past = order.rowsBetween(-window, -1)
     valid = alive.filter((c("volume") > 0) & (c("suspend_flag") == 0))
     v = valid.withColumn("n", F.count(F.lit(1)).over(past)).withColumn("median", F.percentile("volume", 0.5).over(past)).filter(c("n") >= least)
     v = v.withColumn("times", F.greatest(ratio(c("volume"), c("median")), ratio(c("median"), c("volume"))))
-    scales = v.filter(c("times") >= scale).select(*issue("ABNORMAL_VOLUME_SCALE", DATASET, code=c("code"), trade_date=c("part_date"), field="volume", expected=said(c("median")), actual=said(c("volume"))))
+    scales = v.filter(c("times") >= scale).select(*issue("ABNORMAL_VOLUME_SCALE", DATASET, code=c("code"), trade_date=c("part_date"), field="volume",
+        expected=said(c("median")), actual=said(c("volume"))))
     return union(breaks, jumps, scales)
 
 
@@ -189,7 +205,8 @@ def scan_issues(rows: DataFrame, partitions: DataFrame, life: DataFrame, symbols
         gap.select(*issue("DATE_SYMBOLS_MISSING", DATASET, trade_date=c("trade_date"), actual=share)),
         by_date.filter(c("coverage") < threshold).select(*issue("LOW_DATE_COVERAGE", DATASET, trade_date=c("trade_date"), actual=share)),
         missing_span_issues(spans, "KLINE_MISSING_SPAN").withColumn("dataset", F.lit(DATASET)),
-        by_code.filter("actual_rows = 0").join(ends, "code").select(*issue("SYMBOL_ALL_DATA_MISSING", DATASET, code=c("code"), start_date=c("lo"), end_date=c("hi"), expected=c("expected_rows").cast("string"), actual="0")),
+        by_code.filter("actual_rows = 0").join(ends, "code").select(*issue("SYMBOL_ALL_DATA_MISSING", DATASET, code=c("code"), start_date=c("lo"),
+        end_date=c("hi"), expected=c("expected_rows").cast("string"), actual="0")),
     )
 
 
@@ -199,7 +216,8 @@ def symbol_statistics(rows: DataFrame, life: DataFrame, symbols: DataFrame, cale
     lives = symbols.select("code").distinct().join(life.filter("place = 1").select("code", "open_date", "expire_date"), "code", "left")
     here = rows.filter("problem IS NULL")
     counted = here.filter("alive").groupBy("code").agg(
-        F.sum(F.when(c("suspend_flag") == 1, 1).otherwise(0)).alias("suspended_rows"), F.sum(F.when((c("suspend_flag") == 0) & (c("volume") <= 0), 1).otherwise(0)).alias("active_zero_volume_rows")
+        F.sum(F.when(c("suspend_flag") == 1, 1).otherwise(0)).alias("suspended_rows"),
+        F.sum(F.when((c("suspend_flag") == 0) & (c("volume") <= 0), 1).otherwise(0)).alias("active_zero_volume_rows")
     )
     out = coverage(expected_bars(lives, days), here.select("code", c("part_date").alias("trade_date")).distinct(), "code").join(counted, "code", "left")
     return out.withColumns({n: F.coalesce(n, F.lit(0)).cast("long") for n in ("suspended_rows", "active_zero_volume_rows")})

@@ -169,7 +169,8 @@ class DailyStore:
         """Landed rows of those months with the reason why each is kept or not."""
         prefixes = tuple(f"{y:04d}{m:02d}" for y, m in months)
         found = [p for p in source.partitions(self.spark, self.landed, "kline_1d", "date") if p.value.startswith(prefixes) and p.bytes] if prefixes else []
-        rows = source.read(self.spark, self.landed, "kline_1d", KLINE, found).withColumn("code", F.upper(F.trim("code"))).withColumn("trade_date", F.trim("trade_date"))
+        rows = source.read(self.spark, self.landed, "kline_1d", KLINE, found).withColumn("code", F.upper(F.trim("code"))).withColumn("trade_date",
+            F.trim("trade_date"))
         return ingest.classify(rows, self.lifecycle())
 
     @staticmethod
@@ -187,7 +188,8 @@ class DailyStore:
         rows = self.store_rows(classified, self.errata).withColumn("year", F.year("trade_date")).withColumn("month", F.month("trade_date"))
         rows = rows.repartition("year", "month").sortWithinPartitions("year", "month", "code", "trade_date")
         (
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("year", "month").parquet(f"{self.root}/bars_1d")
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("year",
+            "month").parquet(f"{self.root}/bars_1d")
         )
         written = {(r.year, r.month) for r in rows.select("year", "month").distinct().collect()}  # one per month
         for y, m in set(months) - written:
@@ -208,7 +210,8 @@ class DailyStore:
             whole = True
         mine = [p for p in parts if p.bytes and (whole or p.value in changed)]
         raw = source.read(self.spark, self.landed, "corporate_actions", ["code", "ex_date", *ACTION_TERMS], mine)
-        new = raw.select(F.upper(F.trim("code")).alias("code"), F.try_to_date(F.trim("ex_date"), "yyyyMMdd").alias("ex_date"), *[finite_number(c(t)).alias(t) for t in ACTION_TERMS]).filter("ex_date IS NOT NULL")
+        new = raw.select(F.upper(F.trim("code")).alias("code"), F.try_to_date(F.trim("ex_date"), "yyyyMMdd").alias("ex_date"),
+            *[finite_number(c(t)).alias(t) for t in ACTION_TERMS]).filter("ex_date IS NOT NULL")
         if whole:
             return new
         return old.filter(~F.date_format("ex_date", "yyyyMMdd").isin(sorted(gone | changed))).unionByName(new)
@@ -246,7 +249,8 @@ class DailyStore:
         delta = self.detect(mode, verify)
         months = delta.months()
         if mode == "rebuild":  # shards whose source is gone
-            landed = {(int(p.value[:4]), int(p.value[4:6])) for p in source.partitions(self.spark, self.landed, "kline_1d", "date") if len(p.value) == 8 and p.value.isdigit()}
+            landed = {(int(p.value[:4]), int(p.value[4:6])) for p in source.partitions(self.spark, self.landed, "kline_1d", "date")
+                if len(p.value) == 8 and p.value.isdigit()}
             months = sorted(set(months) | (set(self.months()) - landed))
         if delta.empty() and not months:
             return Report("up_to_date", scanned=delta.scanned, pending=delta.pending, message="short circuit" if delta.short_circuited else "no change")
@@ -276,20 +280,25 @@ class DailyStore:
         rows_after, anchor = 0, ""
         if self.months():
             bars = self.spark.read.parquet(f"{self.root}/bars_1d")
-            inventory = bars.groupBy("year", "month").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("code").alias("symbols"), F.countDistinct("trade_date").alias("trading_days"), F.min("trade_date").alias("min_date"), F.max("trade_date").alias("max_date"))
+            inventory = bars.groupBy("year", "month").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("code").alias("symbols"),
+                F.countDistinct("trade_date").alias("trading_days"), F.min("trade_date").alias("min_date"), F.max("trade_date").alias("max_date"))
             publish("monthly_inventory", inventory)
             flagged = F.sum(F.when(F.coalesce("suspend_flag", F.lit(0)) == 1, 1).otherwise(0))
-            publish("symbols", bars.groupBy("code").agg(F.min("trade_date").alias("first_date"), F.max("trade_date").alias("last_date"), F.count(F.lit(1)).alias("bar_count"), flagged.alias("suspended_days")))
+            publish("symbols", bars.groupBy("code").agg(F.min("trade_date").alias("first_date"), F.max("trade_date").alias("last_date"),
+                F.count(F.lit(1)).alias("bar_count"), flagged.alias("suspended_days")))
             tables_now = self.spark.read.parquet(f"{self.root}/{tables['monthly_inventory']}").agg(F.sum("rows"), F.max("max_date")).first()
             rows_after, anchor = int(tables_now[0]), str(tables_now[1])
         else:
             for name in ("monthly_inventory", "symbols"):
                 tables.pop(name, None)
-        runs = self.spark.createDataFrame([(run, mode, "synced", delta.scanned, len(delta.dirty), len(delta.removed), len(months), rows_after, started.isoformat())], RUNS)
+        runs = self.spark.createDataFrame(
+            [(run, mode, "synced", delta.scanned, len(delta.dirty), len(delta.removed), len(months), rows_after, started.isoformat())], RUNS)
         publish("sync_runs", self.table("sync_runs", RUNS).unionByName(runs))
-        meta = current["metadata"] | self._watermark() | {"last_run": run, "source": self.landed, "adjust_anchor_date": anchor, "lifecycle_filter": "instruments", "adjust_policy": "raw"}
+        meta = current["metadata"] | self._watermark() | {"last_run": run, "source": self.landed, "adjust_anchor_date": anchor,
+            "lifecycle_filter": "instruments", "adjust_policy": "raw"}
         files.write_text(self.spark, f"{self.root}/catalog/CURRENT.json", json.dumps({"tables": tables, "metadata": meta}, sort_keys=True))
-        return Report("synced", run, delta.scanned, len(delta.dirty), len(delta.removed), tuple(months), rows_after, delta.pending, filtered, f"{len(months)} months, {rows_after} rows")
+        return Report("synced", run, delta.scanned, len(delta.dirty), len(delta.removed), tuple(months), rows_after, delta.pending, filtered,
+            f"{len(months)} months, {rows_after} rows")
 
 
 def filter_summary(filtered: dict[str, int]) -> list[str]:

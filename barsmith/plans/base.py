@@ -46,8 +46,10 @@ def audited(s, d) -> DataFrame:
     hit = lambda k: F.col("volume") % k == 0
     x = daily(s, d).withColumn("pre_close", F.when(hit(7), 1.03).otherwise(1.0) * F.lag("close").over(Window.partitionBy("code").orderBy("trade_date")))
     return x.select(
-        "code", "trade_date", "open", F.when(hit(13), F.col("low") * 0.9).otherwise(F.col("high")).alias("high"), "low", "close", F.when(hit(17), 0).otherwise(F.col("volume")).alias("volume"),
-        (F.col("close") * F.when(hit(19), 0).otherwise(F.col("volume"))).alias("amount"), F.when(hit(11), 1).when(hit(23), 5).otherwise(0).alias("suspend_flag"), "pre_close",
+        "code", "trade_date", "open", F.when(hit(13), F.col("low") * 0.9).otherwise(F.col("high")).alias("high"), "low", "close",
+        F.when(hit(17), 0).otherwise(F.col("volume")).alias("volume"),
+        (F.col("close") * F.when(hit(19), 0).otherwise(F.col("volume"))).alias("amount"),
+        F.when(hit(11), 1).when(hit(23), 5).otherwise(0).alias("suspend_flag"), "pre_close",
     )
 
 

@@ -94,16 +94,20 @@ CALENDAR = "calendar AS (SELECT DISTINCT trade_date FROM daily WHERE day(trade_d
 
 def actions(s, d) -> DataFrame:
     """One corporate action per code and day: the last signup."""
-    e = read_table(s, d, "events").filter("event_type = 'signup'").select(F.col("user_id").cast("string").alias("code"), F.to_date("ts").alias("ex_date"), F.get_json_object("props", "$.k").cast("long").alias("k"), "event_id")
+    e = read_table(s, d, "events").filter("event_type = 'signup'").select(F.col("user_id").cast("string").alias("code"),
+        F.to_date("ts").alias("ex_date"), F.get_json_object("props", "$.k").cast("long").alias("k"), "event_id")
     one = e.groupBy("code", "ex_date").agg(F.max_by("k", "event_id").alias("k"))
     return one.select(
-        store_code().alias("code"), "ex_date", (1 + c("k") / 1000).alias("adjustment_factor"), (c("k") / 1000).alias("cash_dividend_per_share"), (c("k") % 4 / 10).alias("bonus_share_per_share"),
+        store_code().alias("code"), "ex_date", (1 + c("k") / 1000).alias("adjustment_factor"), (c("k") / 1000).alias("cash_dividend_per_share"),
+        (c("k") % 4 / 10).alias("bonus_share_per_share"),
         F.lit(None).cast("double").alias("capitalization_per_share"), (c("k") % 3 / 20).alias("rights_issue_per_share"), F.lit(5.0).alias("rights_issue_price"),
     )
 
 
-ACTIONS = f"""actions AS (SELECT {CODE_SQL} AS code, ex_date, 1 + k / 1000::DOUBLE AS adjustment_factor, k / 1000::DOUBLE AS cash, (k % 4) / 10::DOUBLE AS bonus, (k % 3) / 20::DOUBLE AS rights, 5.0::DOUBLE AS price
-  FROM (SELECT user_id::VARCHAR AS code, ts::DATE AS ex_date, arg_max(json_extract_string(props, '$.k')::BIGINT, event_id) AS k FROM events WHERE event_type = 'signup' GROUP BY 1, 2))"""
+ACTIONS = f"""actions AS (SELECT {CODE_SQL} AS code, ex_date, 1 + k / 1000::DOUBLE AS adjustment_factor, k / 1000::DOUBLE AS cash, (k % 4) /
+    10::DOUBLE AS bonus, (k % 3) / 20::DOUBLE AS rights, 5.0::DOUBLE AS price
+  FROM (SELECT user_id::VARCHAR AS code, ts::DATE AS ex_date, arg_max(json_extract_string(props, '$.k')::BIGINT, event_id) AS k FROM events WHERE
+  event_type = 'signup' GROUP BY 1, 2))"""
 
 
 SHOWN = ["issue_code", "level", "code", "trade_date", "start_date", "end_date", "field", "expected", "actual"]

@@ -27,8 +27,12 @@ def landed_bars(s, d) -> DataFrame:
     v = c("volume")
     day = F.date_format("trade_date", "yyyyMMdd")
     return daily(s, d).select(
-        day.alias("date"), F.concat(F.lit("c"), "code").alias("code"), F.when(v % 31 == 0, "2024011").when(v % 37 == 0, "20241332").otherwise(day).alias("trade_date"), _text(c("open")).alias("open"), _text(c("high")).alias("high"),
-        _text(c("low")).alias("low"), _text(c("close")).alias("close"), F.lit(None).cast("string").alias("pre_close"), F.when(v % 3 == 0, "0").otherwise(_text(v + 0.6)).alias("volume"), F.lit("1.5").alias("amount"), F.when(v % 11 == 0, "1").otherwise("0").alias("suspend_flag"),
+        day.alias("date"), F.concat(F.lit("c"), "code").alias("code"),
+        F.when(v % 31 == 0, "2024011").when(v % 37 == 0, "20241332").otherwise(day).alias("trade_date"), _text(c("open")).alias("open"),
+        _text(c("high")).alias("high"),
+        _text(c("low")).alias("low"), _text(c("close")).alias("close"), F.lit(None).cast("string").alias("pre_close"),
+        F.when(v % 3 == 0, "0").otherwise(_text(v + 0.6)).alias("volume"), F.lit("1.5").alias("amount"),
+        F.when(v % 11 == 0, "1").otherwise("0").alias("suspend_flag"),
     )
 
 
@@ -36,15 +40,18 @@ def landed_lives(s, d) -> DataFrame:
     n = c("code").cast("long")
     first = daily(s, d).groupBy("code").agg(F.min("trade_date").alias("first")).filter(n % 10 != 0)
     return first.select(
-        F.lit("latest").alias("snapshot"), F.concat(F.lit("C"), "code").alias("code"), F.lit("name").alias("instrument_name"), F.date_format(F.date_add("first", F.when(n % 7 == 0, 3).otherwise(0)), "yyyyMMdd").alias("open_date"),
-        F.when(n % 5 == 0, F.lit(SPLIT.strftime("%Y%m%d"))).otherwise("99999999").alias("expire_date"), F.lit("1").alias("is_trading"), F.lit("ok").alias("instrument_status"),
+        F.lit("latest").alias("snapshot"), F.concat(F.lit("C"), "code").alias("code"), F.lit("name").alias("instrument_name"),
+        F.date_format(F.date_add("first", F.when(n % 7 == 0, 3).otherwise(0)), "yyyyMMdd").alias("open_date"),
+        F.when(n % 5 == 0, F.lit(SPLIT.strftime("%Y%m%d"))).otherwise("99999999").alias("expire_date"), F.lit("1").alias("is_trading"),
+        F.lit("ok").alias("instrument_status"),
     )
 
 
 def landed_actions(s, d) -> DataFrame:
     v = c("volume")
     day = F.date_format("trade_date", "yyyyMMdd")
-    return daily(s, d).filter(v % 9 == 0).select(day.alias("ex_date"), F.concat(F.lit("c"), "code").alias("code"), *[F.lit("1.25" if t == "adjustment_factor" else "0").alias(t) for t in ACTION_TERMS])
+    return daily(s, d).filter(v % 9 == 0).select(day.alias("ex_date"), F.concat(F.lit("c"), "code").alias("code"),
+        *[F.lit("1.25" if t == "adjustment_factor" else "0").alias(t) for t in ACTION_TERMS])
 
 
 def landed_tree(s, d) -> str:
@@ -53,7 +60,8 @@ def landed_tree(s, d) -> str:
     source.write(landed_bars(s, d), root, "kline_1d", "date", ["code"])
     source.write(landed_lives(s, d), root, "instrument_info", "snapshot", ["code"])
     source.write(landed_actions(s, d), root, "corporate_actions", "ex_date", ["code"])
-    days = daily(s, d).select(F.lit("latest").alias("snapshot"), F.date_format("trade_date", "yyyyMMdd").alias("trade_date"), F.lit("SH").alias("calendar_symbol")).distinct()
+    days = daily(s, d).select(F.lit("latest").alias("snapshot"), F.date_format("trade_date", "yyyyMMdd").alias("trade_date"),
+        F.lit("SH").alias("calendar_symbol")).distinct()
     source.write(days, root, "trading_calendar", "snapshot", ["trade_date"])
     return root
 
@@ -78,31 +86,47 @@ def synced(s, d) -> daily_store.DailyStore:
 
 LIVES = [
     sql.TICKS, sql.DAILY_BARS,
-    f"lf AS (SELECT code, (first + CASE WHEN n % 7 = 0 THEN 3 ELSE 0 END)::DATE AS open_date, CASE WHEN n % 5 = 0 THEN DATE '{SPLIT}' END AS expire_date FROM (SELECT code, code::BIGINT AS n, min(trade_date) AS first FROM daily GROUP BY code) WHERE n % 10 <> 0)",
+    f"lf AS (SELECT code, (first + CASE WHEN n % 7 = 0 THEN 3 ELSE 0 END)::DATE AS open_date, CASE WHEN n % 5 = 0 THEN DATE '{SPLIT}' END AS "
+    f"expire_date FROM (SELECT code, code::BIGINT AS n, min(trade_date) AS first FROM daily GROUP BY code) WHERE n % 10 <> 0)",
 ]
 
 
 def kept_sql(source_cte: str = "daily") -> list[str]:
     return [
-        f"""jd AS (SELECT b.*, CASE WHEN b.volume % 31 = 0 THEN 'trade_date_bad_length' WHEN b.volume % 37 = 0 THEN 'trade_date_unparsable' WHEN l.code IS NULL THEN 'unknown_code' WHEN b.trade_date < l.open_date AND b.volume % 3 = 0 THEN 'before_listing_padding'
-          WHEN b.trade_date < l.open_date THEN 'before_listing_with_data' WHEN b.trade_date > l.expire_date THEN 'after_delisting' ELSE 'kept' END AS reason FROM {source_cte} b LEFT JOIN lf l ON l.code = b.code)""",
-        """kp AS (SELECT 'C' || code AS code, trade_date, CAST(open AS DECIMAL(24,4))::DOUBLE AS open, CAST(close AS DECIMAL(24,4))::DOUBLE AS close, CASE WHEN volume % 3 = 0 THEN 0 ELSE volume + 1 END::BIGINT AS volume, CASE WHEN volume % 11 = 0 THEN 1 ELSE 0 END::TINYINT AS suspend_flag FROM jd WHERE reason = 'kept')""",
+        f"""jd AS (SELECT b.*, CASE WHEN b.volume % 31 = 0 THEN 'trade_date_bad_length' WHEN b.volume % 37 = 0 THEN 'trade_date_unparsable' WHEN
+        l.code IS NULL THEN 'unknown_code' WHEN b.trade_date < l.open_date AND b.volume % 3 = 0 THEN 'before_listing_padding'
+          WHEN b.trade_date < l.open_date THEN 'before_listing_with_data' WHEN b.trade_date > l.expire_date THEN 'after_delisting' ELSE 'kept' END AS
+          reason FROM {source_cte} b LEFT JOIN lf l ON l.code = b.code)""",
+        """kp AS (SELECT 'C' || code AS code, trade_date, CAST(open AS DECIMAL(24,4))::DOUBLE AS open, CAST(close AS DECIMAL(24,4))::DOUBLE AS close,
+        CASE WHEN volume % 3 = 0 THEN 0 ELSE volume + 1 END::BIGINT AS volume, CASE WHEN volume % 11 = 0 THEN 1 ELSE 0 END::TINYINT AS suspend_flag
+        FROM jd WHERE reason = 'kept')""",
     ]
 
 
 _BARS = ["code", "trade_date", "open", "close", "volume", "suspend_flag"]
 query("store_rebuild", sql.rounded([*LIVES, *kept_sql()], "SELECT * FROM kp", "open close"))(lambda s, d: synced(s, d).bars(suspended=True).select(*_BARS))
-query("store_bars_scan", sql.rounded([*LIVES, *kept_sql()], "SELECT * FROM kp WHERE trade_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-20' AND suspend_flag = 0 AND code IN ('C1', 'C2', 'C3', 'C11')", "open close"))(
+query("store_bars_scan",
+    sql.rounded([*LIVES, *kept_sql()],
+    "SELECT * FROM kp WHERE trade_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-20' AND suspend_flag = 0 AND code IN ('C1', 'C2', 'C3', 'C11')",
+    "open close"))(
     lambda s, d: synced(s, d).bars("2024-01-10", "2024-01-20", [" c1", "C2", "C3", "C11"]).select(*_BARS)
 )
-query("store_symbols", sql.rounded([*LIVES, *kept_sql()], "SELECT code, min(trade_date) AS first_date, max(trade_date) AS last_date, count(*) AS bar_count, sum(suspend_flag)::BIGINT AS suspended_days FROM kp GROUP BY 1"))(lambda s, d: synced(s, d).table("symbols"))
-query("store_inventory", sql.rounded([*LIVES, *kept_sql()], "SELECT year(trade_date)::INT AS year, month(trade_date)::INT AS month, count(*) AS rows, count(DISTINCT code) AS symbols, count(DISTINCT trade_date) AS trading_days, min(trade_date) AS min_date, max(trade_date) AS max_date FROM kp GROUP BY 1, 2"))(
+query("store_symbols",
+    sql.rounded([*LIVES, *kept_sql()], "SELECT code, min(trade_date) AS first_date, max(trade_date) AS last_date, count(*) AS bar_count, "
+    "sum(suspend_flag)::BIGINT AS suspended_days FROM kp GROUP BY 1"))(lambda s, d: synced(s, d).table("symbols"))
+query("store_inventory",
+    sql.rounded([*LIVES, *kept_sql()],
+    "SELECT year(trade_date)::INT AS year, month(trade_date)::INT AS month, count(*) AS rows, count(DISTINCT code) AS symbols, "
+    "count(DISTINCT trade_date) AS trading_days, min(trade_date) AS min_date, max(trade_date) AS max_date FROM kp GROUP BY 1, 2"))(
     lambda s, d: synced(s, d).table("monthly_inventory")
 )
-query("store_actions", sql.rounded([sql.TICKS, sql.DAILY_BARS], "SELECT 'C' || code AS code, trade_date AS ex_date, 1.25::DOUBLE AS adjustment_factor FROM daily WHERE volume % 9 = 0", "adjustment_factor"))(
+query("store_actions",
+    sql.rounded([sql.TICKS, sql.DAILY_BARS],
+    "SELECT 'C' || code AS code, trade_date AS ex_date, 1.25::DOUBLE AS adjustment_factor FROM daily WHERE volume % 9 = 0", "adjustment_factor"))(
     lambda s, d: synced(s, d).table("corporate_actions").select("code", "ex_date", "adjustment_factor")
 )
-query("store_calendar", sql.rounded([sql.TICKS, sql.DAILY_BARS], "SELECT DISTINCT trade_date, 'SH' AS calendar_symbol FROM daily"))(lambda s, d: synced(s, d).table("trading_calendar"))
+query("store_calendar", sql.rounded([sql.TICKS, sql.DAILY_BARS], "SELECT DISTINCT trade_date, 'SH' AS calendar_symbol FROM daily"))(
+    lambda s, d: synced(s, d).table("trading_calendar"))
 
 
 def _filtered(s, d) -> DataFrame:
@@ -111,8 +135,11 @@ def _filtered(s, d) -> DataFrame:
     return s.createDataFrame(list(report.filtered.items()), "reason string, n long")
 
 
-_REASONS = "['trade_date_null', 'trade_date_bad_length', 'trade_date_unparsable', 'unknown_code', 'before_listing_padding', 'before_listing_with_data', 'after_delisting', 'kept']"
-query("store_filter_summary", sql.rounded([*LIVES, *kept_sql()], f"SELECT r.reason, count(j.reason) AS n FROM (SELECT unnest({_REASONS}) AS reason) r LEFT JOIN jd j ON j.reason = r.reason GROUP BY 1"))(_filtered)
+_REASONS = ("['trade_date_null', 'trade_date_bad_length', 'trade_date_unparsable', 'unknown_code', 'before_listing_padding', "
+    "'before_listing_with_data', 'after_delisting', 'kept']")
+query("store_filter_summary",
+    sql.rounded([*LIVES, *kept_sql()],
+    f"SELECT r.reason, count(j.reason) AS n FROM (SELECT unnest({_REASONS}) AS reason) r LEFT JOIN jd j ON j.reason = r.reason GROUP BY 1"))(_filtered)
 
 
 def _incremental(s, d) -> DataFrame:
@@ -125,7 +152,9 @@ def _incremental(s, d) -> DataFrame:
     return store.bars(suspended=True).select(*_BARS)
 
 
-query("store_incremental", sql.rounded([*LIVES, "changed AS (SELECT * REPLACE (CASE WHEN trade_date = DATE '2024-01-10' THEN 7.5 ELSE close END AS close) FROM daily WHERE trade_date <> DATE '2024-01-11')", *kept_sql("changed")], "SELECT * FROM kp", "open close"))(_incremental)
+query("store_incremental",
+    sql.rounded([*LIVES, "changed AS (SELECT * REPLACE (CASE WHEN trade_date = DATE '2024-01-10' THEN 7.5 ELSE close END AS close) FROM daily WHERE "
+    "trade_date <> DATE '2024-01-11')", *kept_sql("changed")], "SELECT * FROM kp", "open close"))(_incremental)
 
 
 def _checked(s, d) -> DataFrame:
@@ -141,8 +170,12 @@ def _checked(s, d) -> DataFrame:
     return source.partition_issues(s, root, "kline_1d", "date").select("issue_code", "level", F.col("source_file").alias("partition"))
 
 
-query("store_partition_issues", sql.rounded([], """SELECT * FROM (VALUES ('PARTITION_HASH_MISMATCH', 'ERROR', 'date=20240103'), ('PARTITION_ROW_COUNT_MISMATCH', 'ERROR', 'date=20240103'), ('PARTITION_MARKER_INVALID', 'ERROR', 'date=20240104'),
-  ('PARTITION_MARKER_SCHEMA_INVALID', 'ERROR', 'date=20240105'), ('PARTITION_FILE_MISSING', 'ERROR', 'date=20240106'), ('INVALID_PARTITION_DATE', 'ERROR', 'date=2024-13')) t(issue_code, level, partition)"""))(_checked)
-query("store_partition_digests", sql.rounded([sql.TICKS, sql.DAILY_BARS], "SELECT 'date=' || strftime(trade_date, '%Y%m%d') AS partition, count(*) AS rows, NULL::VARCHAR AS problem FROM daily GROUP BY 1"))(
+query("store_partition_issues", sql.rounded([], """SELECT * FROM (VALUES ('PARTITION_HASH_MISMATCH', 'ERROR', 'date=20240103'),
+    ('PARTITION_ROW_COUNT_MISMATCH', 'ERROR', 'date=20240103'), ('PARTITION_MARKER_INVALID', 'ERROR', 'date=20240104'),
+  ('PARTITION_MARKER_SCHEMA_INVALID', 'ERROR', 'date=20240105'), ('PARTITION_FILE_MISSING', 'ERROR', 'date=20240106'), ('INVALID_PARTITION_DATE',
+  'ERROR', 'date=2024-13')) t(issue_code, level, partition)"""))(_checked)
+query("store_partition_digests",
+    sql.rounded([sql.TICKS, sql.DAILY_BARS],
+    "SELECT 'date=' || strftime(trade_date, '%Y%m%d') AS partition, count(*) AS rows, NULL::VARCHAR AS problem FROM daily GROUP BY 1"))(
     lambda s, d: source.verified(s, synced(s, d).landed, "kline_1d", "date").select("partition", "rows", "problem")
 )

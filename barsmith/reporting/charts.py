@@ -35,11 +35,14 @@ def ticks(low: float, high: float, count: int = 5) -> list[float]:
 
 
 def _frame(title: str, body: list[str], height: int = HEIGHT) -> str:
-    head = f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {WIDTH} {height}" role="img" aria-label="{escape(title)}" font-family="sans-serif" font-size="12">'
-    return "\n".join([head, f'<rect width="{WIDTH}" height="{height}" fill="#ffffff"/>', f'<text x="{LEFT}" y="22" font-size="15" font-weight="bold">{escape(title)}</text>', *body, "</svg>"])
+    head = (f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {WIDTH} {height}" role="img" aria-label="{escape(title)}" font-family="sans-serif" '
+        f'font-size="12">')
+    return "\n".join([head, f'<rect width="{WIDTH}" height="{height}" fill="#ffffff"/>',
+        f'<text x="{LEFT}" y="22" font-size="15" font-weight="bold">{escape(title)}</text>', *body, "</svg>"])
 
 
-def line_chart(title: str, days: Sequence[dt.date], series: dict[str, Sequence[float | None]], percent: bool = False, marks: dict[dt.date, str] | None = None, fill: bool = False) -> str:
+def line_chart(title: str, days: Sequence[dt.date], series: dict[str, Sequence[float | None]], percent: bool = False,
+    marks: dict[dt.date, str] | None = None, fill: bool = False) -> str:
     """Lines over dates, broken where a value is None; marks: vertical lines with a label; fill: shade down from zero."""
     _checked(days, series)
     known = [v for values in series.values() for v in values if v is not None]
@@ -52,7 +55,8 @@ def line_chart(title: str, days: Sequence[dt.date], series: dict[str, Sequence[f
     said = lambda v: f"{v:.1%}" if percent else f"{v:g}"
     body = []
     for v in scale:
-        body += [f'<line x1="{LEFT}" x2="{WIDTH - RIGHT}" y1="{y(v):.1f}" y2="{y(v):.1f}" stroke="#e3e6ea"/>', f'<text x="{LEFT - 6}" y="{y(v) + 4:.1f}" text-anchor="end">{said(v)}</text>']
+        body += [f'<line x1="{LEFT}" x2="{WIDTH - RIGHT}" y1="{y(v):.1f}" y2="{y(v):.1f}" stroke="#e3e6ea"/>',
+            f'<text x="{LEFT - 6}" y="{y(v) + 4:.1f}" text-anchor="end">{said(v)}</text>']
     for k in sorted({round(i * (len(days) - 1) / 5) for i in range(6)}):
         body.append(f'<text x="{x(k):.1f}" y="{HEIGHT - BOTTOM + 18}" text-anchor="middle">{days[k]:%Y-%m-%d}</text>')
     for n, (name, values) in enumerate(series.items()):
@@ -67,13 +71,16 @@ def line_chart(title: str, days: Sequence[dt.date], series: dict[str, Sequence[f
         for part in parts:
             points = " ".join(f"{a:.1f},{b:.1f}" for a, b in part)
             if fill:
-                body.append(f'<polygon points="{part[0][0]:.1f},{y(min(max(0.0, low), high)):.1f} {points} {part[-1][0]:.1f},{y(min(max(0.0, low), high)):.1f}" fill="{colour}" fill-opacity="0.2"/>')
-            body.append(f'<polyline points="{points}" fill="none" stroke="{colour}" stroke-width="1.8"/>' if len(part) > 1 else f'<circle cx="{part[0][0]:.1f}" cy="{part[0][1]:.1f}" r="2.5" fill="{colour}"/>')
+                body.append(f'<polygon points="{part[0][0]:.1f},{y(min(max(0.0, low), high)):.1f} {points} '
+                    f'{part[-1][0]:.1f},{y(min(max(0.0, low), high)):.1f}" fill="{colour}" fill-opacity="0.2"/>')
+            body.append(f'<polyline points="{points}" fill="none" stroke="{colour}" stroke-width="1.8"/>' if len(part) > 1
+                else f'<circle cx="{part[0][0]:.1f}" cy="{part[0][1]:.1f}" r="2.5" fill="{colour}"/>')
         body.append(f'<text x="{LEFT + 8 + 150 * n}" y="{HEIGHT - 8}" fill="{colour}">{escape(name)}</text>')
     for day, label in (marks or {}).items():
         k = next((i for i, d in enumerate(days) if d >= day), None)
         if k is not None:
-            body += [f'<line x1="{x(k):.1f}" x2="{x(k):.1f}" y1="{TOP}" y2="{HEIGHT - BOTTOM}" stroke="#5c6770" stroke-dasharray="4 3"/>', f'<text x="{x(k) + 4:.1f}" y="{TOP + 12}">{escape(label)}</text>']
+            body += [f'<line x1="{x(k):.1f}" x2="{x(k):.1f}" y1="{TOP}" y2="{HEIGHT - BOTTOM}" stroke="#5c6770" stroke-dasharray="4 3"/>',
+                f'<text x="{x(k) + 4:.1f}" y="{TOP + 12}">{escape(label)}</text>']
     return _frame(title, body)
 
 
@@ -88,7 +95,9 @@ def bar_chart(title: str, values: dict[str, float], percent: bool = False) -> st
     for k, (name, v) in enumerate(values.items()):
         top = TOP + 24 * k
         a, b = sorted((x(0.0), x(v)))
-        body += [f'<text x="212" y="{top + 14}" text-anchor="end">{escape(name[:32])}</text>', f'<rect x="{a:.1f}" y="{top}" width="{max(b - a, 0.5):.1f}" height="18" fill="{COLOURS[0] if v >= 0 else COLOURS[1]}"/>', f'<text x="{b + 5:.1f}" y="{top + 14}">{f"{v:.2%}" if percent else f"{v:.4f}"}</text>']
+        body += [f'<text x="212" y="{top + 14}" text-anchor="end">{escape(name[:32])}</text>',
+            f'<rect x="{a:.1f}" y="{top}" width="{max(b - a, 0.5):.1f}" height="18" fill="{COLOURS[0] if v >= 0 else COLOURS[1]}"/>',
+            f'<text x="{b + 5:.1f}" y="{top + 14}">{f"{v:.2%}" if percent else f"{v:.4f}"}</text>']
     return _frame(title, body, TOP + 24 * len(values) + 16)
 
 
@@ -123,7 +132,8 @@ def slippage_chart(rows: list[dict], levels: list[float], cost: dict[float, floa
 def rolling_ic_chart(rows: list[dict], holdout_start: dt.date | None = None) -> str:
     """Rolling 20 and 60 day rank IC, the holdout's first day marked."""
     series = {f"rank IC {n}": [r[f"rank_ic_{n}"] for r in rows] for n in (20, 60)}
-    return line_chart("Rolling rank IC", [r["target_date"] for r in rows], {k: v for k, v in series.items() if any(x is not None for x in v)}, marks={holdout_start: "holdout"} if holdout_start else None)
+    return line_chart("Rolling rank IC", [r["target_date"] for r in rows], {k: v for k, v in series.items() if any(x is not None for x in v)},
+        marks={holdout_start: "holdout"} if holdout_start else None)
 
 
 def objective_chart(rows: list[dict], objective: str = "selection_rank_ic", k: int = 20) -> str:

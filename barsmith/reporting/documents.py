@@ -78,8 +78,10 @@ class Document:
                 lines = "".join("<tr>" + "".join(f"<td>{escape(shown(r.get(n)))}</td>" for n in names) + "</tr>" for r in rows)
                 body.append(f"<table><thead><tr>{head}</tr></thead><tbody>{lines}</tbody></table>" if rows else "<p>No rows.</p>")
             body.append("</section>")
-        style = "body{font-family:sans-serif;max-width:960px;margin:2em auto}table{border-collapse:collapse}td,th{border:1px solid #ccd;padding:2px 8px;text-align:right}svg{width:100%}"
-        return f'<!doctype html><html lang="en"><head><meta charset="utf-8"><title>{escape(self.title)}</title><style>{style}</style></head><body>{"".join(body)}</body></html>'
+        style = ("body{font-family:sans-serif;max-width:960px;margin:2em auto}table{border-collapse:collapse}td,th{border:1px solid #ccd;padding:2px "
+            "8px;text-align:right}svg{width:100%}")
+        return (f'<!doctype html><html lang="en"><head><meta '
+            f'charset="utf-8"><title>{escape(self.title)}</title><style>{style}</style></head><body>{"".join(body)}</body></html>')
 
     def write(self, spark: SparkSession, folder: str) -> list[str]:
         """report.md, report.html and the charts; the paths written."""
@@ -117,7 +119,8 @@ def audit_report(spark: SparkSession, folder: str, issues: DataFrame, tables: di
     codes = {r.issue_code: r.n for r in frames.summary(issues).orderBy("issue_code").collect()}  # one row per code
     summary = {**status, **scope, "issue_codes": codes, "finished_at": dt.datetime.now(dt.timezone.utc).isoformat(timespec="seconds")}
     files.write_text(spark, f"{folder}/summary.json", json.dumps(summary, default=str, indent=1, sort_keys=True))
-    doc = Document("Audit").add("Summary", rows=[{"item": k, "value": v if not isinstance(v, dict) else len(v)} for k, v in summary.items()]).add("Issues by code", rows=[{"code": k, "issues": n} for k, n in codes.items()])
+    doc = Document("Audit").add("Summary", rows=[{"item": k, "value": v if not isinstance(v, dict) else len(v)} for k, v in summary.items()]).add(
+        "Issues by code", rows=[{"code": k, "issues": n} for k, n in codes.items()])
     files.write_text(spark, f"{folder}/summary.md", doc.markdown())
     for name, df in {"issues": issues, **tables}.items():
         df.write.mode("overwrite").option("header", "true").csv(f"{folder}/{name}")
@@ -129,17 +132,22 @@ def backtest_report(tables: dict[str, DataFrame], top: int) -> Document:
     from . import charts
 
     daily = sorted(rows_of(tables["daily"]), key=lambda r: r["target_date"])
-    doc = Document(f"Top {top} backtest").add("Metrics", rows=rows_of(tables["metrics"])).add("Equity", chart=charts.equity_chart(daily)).add("Drawdown", chart=charts.drawdown_chart(daily), rows=rows_of(tables["drawdown_metrics"]))
-    doc.add("Drawdown episodes", rows=rows_of(tables["drawdown_episodes"])).add("Benchmarks", rows=rows_of(tables["benchmarks"])).add("Random baseline", rows=rows_of(tables["random"]))
-    doc.add("Deciles", rows=sorted(rows_of(tables["deciles"]), key=lambda r: r["decile"])).add("Top against the rest", rows=rows_of(tables["top_vs_rest"])).add("Slippage", rows=rows_of(tables["slippage"]))
-    return doc.add("Selections", rows=sorted(rows_of(tables["selections"]), key=lambda r: (r["target_date"], r["place"])), columns=["target_date", "place", "code", "score", "target_return", "previous_return"])
+    doc = Document(f"Top {top} backtest").add("Metrics", rows=rows_of(tables["metrics"])).add("Equity",
+        chart=charts.equity_chart(daily)).add("Drawdown", chart=charts.drawdown_chart(daily), rows=rows_of(tables["drawdown_metrics"]))
+    doc.add("Drawdown episodes", rows=rows_of(tables["drawdown_episodes"])).add("Benchmarks",
+        rows=rows_of(tables["benchmarks"])).add("Random baseline", rows=rows_of(tables["random"]))
+    doc.add("Deciles", rows=sorted(rows_of(tables["deciles"]), key=lambda r: r["decile"])).add("Top against the rest",
+        rows=rows_of(tables["top_vs_rest"])).add("Slippage", rows=rows_of(tables["slippage"]))
+    return doc.add("Selections", rows=sorted(rows_of(tables["selections"]), key=lambda r: (r["target_date"], r["place"])),
+        columns=["target_date", "place", "code", "score", "target_return", "previous_return"])
 
 
 def search_report(result, rolling: list[dict] | None = None, holdout_start=None, command: str = "") -> Document:
     """A search's document: leaderboard, objective, rolling IC of the best, history, errors and how to repeat it."""
     from . import charts
 
-    shown_columns = [c for c in ("factor_id", "expression", "nodes", "direction", "selection_rank_ic", "selection_rank_icir", "holdout_rank_ic", "fitness", "eligible") if any(c in r for r in result.rows)]
+    shown_columns = [c for c in ("factor_id", "expression", "nodes", "direction", "selection_rank_ic", "selection_rank_icir", "holdout_rank_ic",
+        "fitness", "eligible") if any(c in r for r in result.rows)]
     doc = Document("Expression search").add("Leaderboard", rows=result.rows[:100], columns=shown_columns)
     if any(r.get("selection_rank_ic") is not None for r in result.rows):
         doc.add("Objective", chart=charts.objective_chart(result.rows))

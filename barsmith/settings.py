@@ -100,7 +100,8 @@ class RunSettings:
         return {"symbols": sorted({s.strip().upper() for s in self.symbols}), "sector": self.sector, "expired_sectors": sorted(self.expired_sectors)}
 
     def dates(self, last_complete: str, now: dt.datetime) -> tuple[str, str] | None:
-        """(start, end) of a run: an incremental one goes on after the last complete date, to lag_days before today (a day more before the cutoff); None if there is nothing to do."""
+        """(start, end) of a run: an incremental one goes on after the last complete date, to lag_days before today (a day more before the cutoff);
+        None if there is nothing to do."""
         lag = self.lag_days + (1 if now.time() < dt.time.fromisoformat(self.lag_cutoff) else 0)
         end = self.end_date or (now.date() - dt.timedelta(days=lag)).strftime("%Y%m%d")
         start = self.start_date

@@ -36,7 +36,8 @@ class MarketDataSource(ABC):
     def load_bars(self, codes: list[str] | None, start, end) -> DataFrame: ...
 
     @abstractmethod
-    def build_features(self, bars: DataFrame, names: list[str] | None = None, expressions: dict | None = None, cache: factors.FactorCache | None = None) -> DataFrame: ...
+    def build_features(self, bars: DataFrame, names: list[str] | None = None, expressions: dict | None = None,
+        cache: factors.FactorCache | None = None) -> DataFrame: ...
 
     def cache_namespace(self) -> str:
         """What sets this source's numbers apart from those of the same name elsewhere."""
@@ -90,7 +91,8 @@ class MarketServiceSource(MarketDataSource):
         return read_bars(self.spark, self.path)
 
     def metadata(self) -> dict:
-        return self._bars().agg(F.min("trade_time").alias("first_time"), F.max("trade_time").alias("last_time"), F.count(F.lit(1)).alias("rows"), F.countDistinct("code").alias("symbols")).first().asDict()
+        return self._bars().agg(F.min("trade_time").alias("first_time"), F.max("trade_time").alias("last_time"), F.count(F.lit(1)).alias("rows"),
+            F.countDistinct("code").alias("symbols")).first().asDict()
 
     def list_symbols(self, limit: int) -> list[str]:
         return [r.code for r in market.search_symbols(self._bars(), "", limit).collect()]
@@ -157,7 +159,8 @@ class DailySource(MarketDataSource):
                 raise ValueError("qfq needs adjust_anchor: the store has recorded none")
 
     def metadata(self) -> dict:
-        bars = self.store.table("monthly_inventory").agg(F.min("min_date").alias("first_date"), F.max("max_date").alias("last_date"), F.sum("rows").alias("rows")).first()
+        bars = self.store.table("monthly_inventory").agg(F.min("min_date").alias("first_date"), F.max("max_date").alias("last_date"),
+            F.sum("rows").alias("rows")).first()
         return self.store.metadata() | bars.asDict()
 
     def universe(self, start=None, end=None) -> DataFrame:
@@ -190,5 +193,6 @@ class DailySource(MarketDataSource):
         return factors.build(bars, chosen, None, expressions)
 
     def cache_namespace(self) -> str:
-        parts = [self.name, self.adjust, str(self.adjust_anchor or "-"), "with_suspended" if self.include_suspended else "no_suspended", "adjusted_volume" if self.adjust_volume else "raw_volume"]
+        parts = [self.name, self.adjust, str(self.adjust_anchor or "-"), "with_suspended" if self.include_suspended else "no_suspended",
+            "adjusted_volume" if self.adjust_volume else "raw_volume"]
         return "/".join(parts)

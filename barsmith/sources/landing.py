@@ -20,7 +20,8 @@ CONTRACTS = {
     "instrument_info": ["code", "instrument_name", "open_date", "expire_date", "is_trading", "instrument_status"],
     "trading_calendar": ["trade_date", "calendar_symbol"],
     "corporate_actions": [
-        "code", "ex_date", "cash_dividend_per_share", "bonus_share_per_share", "capitalization_per_share", "rights_issue_per_share", "rights_issue_price", "share_reform_flag", "adjustment_factor",
+        "code", "ex_date", "cash_dividend_per_share", "bonus_share_per_share", "capitalization_per_share", "rights_issue_per_share",
+        "rights_issue_price", "share_reform_flag", "adjustment_factor",
     ],
 }
 c = F.col
@@ -54,7 +55,8 @@ def partitions(spark: SparkSession, root: str, dataset: str, key: str) -> list[P
         n, t = data.get(folder, (0, 0))
         data[folder] = (n + e.bytes, max(t, e.modified))
     marks = {e.path.rsplit("/", 1)[0]: e.modified for e in files.listed(spark, f"{root}/{dataset}/{key}=*/{MARKER}")}
-    return [Partition(dataset, e.name, e.path, *data.get(e.path, (None, None)), marks.get(e.path)) for e in files.listed(spark, f"{root}/{dataset}/{key}=*") if e.folder]
+    return [Partition(dataset, e.name, e.path, *data.get(e.path, (None, None)), marks.get(e.path)) for e in files.listed(spark,
+        f"{root}/{dataset}/{key}=*") if e.folder]
 
 
 def marker(spark: SparkSession, p: Partition) -> dict | None:
@@ -90,11 +92,13 @@ def read(spark: SparkSession, root: str, dataset: str, columns: list[str], value
 
 
 def digests(spark: SparkSession, root: str, dataset: str) -> DataFrame:
-    """partition (key=value), rows (lines but for the header), bytes and sha256 of the dataset's files; a partition of several files has the digest of their digests."""
+    """partition (key=value), rows (lines but for the header), bytes and sha256 of the
+    dataset's files; a partition of several files has the digest of their digests."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").load(f"{root}/{dataset}")
     text = c("content").cast("string")
     lines = F.size(F.split(F.regexp_replace(text, "\n+$", ""), "\n")) - 1
-    one = raw.select(F.element_at(F.split("path", "/"), -2).alias("partition"), c("length").alias("bytes"), F.sha2("content", 256).alias("sha"), F.greatest(lines, F.lit(0)).alias("rows"), "path")
+    one = raw.select(F.element_at(F.split("path", "/"), -2).alias("partition"), c("length").alias("bytes"), F.sha2("content", 256).alias("sha"),
+        F.greatest(lines, F.lit(0)).alias("rows"), "path")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "sha"))), lambda x: x["sha"]), "")
     out = one.groupBy("partition").agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("files"), joined.alias("all"))
     return out.select("partition", "rows", "bytes", F.when(c("files") == 1, c("all")).otherwise(F.sha2("all", 256)).alias("sha256"))
@@ -103,10 +107,12 @@ def digests(spark: SparkSession, root: str, dataset: str) -> DataFrame:
 def identity(df: DataFrame, partition: str, keys: list[str]) -> DataFrame:
     """partition value and an order-free digest of its key columns."""
     row = F.xxhash64(*[F.coalesce(c(k).cast("string"), F.lit("\0")) for k in keys])
-    return df.groupBy(c(partition).cast("string").alias("value")).agg(F.sha2(F.concat_ws("-", F.count(F.lit(1)), F.bit_xor(row), F.sum(F.pmod(row, F.lit(1 << 31)))), 256).alias("identity"))
+    return df.groupBy(c(partition).cast("string").alias("value")).agg(
+        F.sha2(F.concat_ws("-", F.count(F.lit(1)), F.bit_xor(row), F.sum(F.pmod(row, F.lit(1 << 31)))), 256).alias("identity"))
 
 
-def write(df: DataFrame, root: str, dataset: str, partition: str, keys: list[str], columns: list[str] | None = None, scope: dict | None = None, overwrite: bool = False) -> dict[str, str]:
+def write(df: DataFrame, root: str, dataset: str, partition: str, keys: list[str], columns: list[str] | None = None, scope: dict | None = None,
+    overwrite: bool = False) -> dict[str, str]:
     """Land df (rows with `partition`) and mark its partitions; {value: "written" or "skipped"}.
 
     A partition with a marker of the same scope is skipped unless overwrite; one of another scope is refused. A key may
@@ -150,7 +156,8 @@ def write(df: DataFrame, root: str, dataset: str, partition: str, keys: list[str
         if not fs.rename(old, new):
             raise OSError(f"cannot move {target}")
         d = fs_digest[v]
-        files.write_text(spark, f"{target}/{MARKER}", json.dumps({"rows": int(d.rows), "sha256": d.sha256, "identity_sha256": names[v], "partition_scope": scope or {}}, sort_keys=True))
+        files.write_text(spark, f"{target}/{MARKER}",
+            json.dumps({"rows": int(d.rows), "sha256": d.sha256, "identity_sha256": names[v], "partition_scope": scope or {}}, sort_keys=True))
     files.delete(spark, stage)
     return out
 
@@ -195,18 +202,21 @@ def verified(spark: SparkSession, root: str, dataset: str, key: str, pattern: st
                 problem = f"{kind}_MARKER_SCHEMA_INVALID"
             elif problem is None:
                 said_rows = m.get("rows") if isinstance(m.get("rows"), int) else -1
-                said_sha, scope = str(m.get("sha256", "")), json.dumps(m["partition_scope"], sort_keys=True) if isinstance(m.get("partition_scope"), dict) else None
+                said_sha, scope = str(m.get("sha256", "")), json.dumps(m["partition_scope"], sort_keys=True) if isinstance(m.get("partition_scope"),
+                    dict) else None
         if scope is not None:
             scopes.append(scope)
         rows.append((p.name, p.value, problem, said_rows, said_sha, scope))
     schema = "partition string, value string, listed string, marker_rows long, marker_sha256 string, scope string"
     told = spark.createDataFrame(rows, schema)
-    have = digests(spark, root, dataset) if any(p.bytes is not None for p in found) else spark.createDataFrame([], "partition string, rows long, bytes long, sha256 string")
+    have = digests(spark, root, dataset) if any(p.bytes is not None for p in found) else spark.createDataFrame([],
+        "partition string, rows long, bytes long, sha256 string")
     x = told.join(have, "partition", "left")
     first = F.lit(scopes[0] if scopes else None).cast("string")
     checks = F.array_compact(F.array(
         c("listed"), F.when(c("listed").isNull() & (c("marker_sha256") != c("sha256")), f"{kind}_HASH_MISMATCH"),
-        *([] if auxiliary else [F.when(c("listed").isNull() & (c("marker_rows") != c("rows")), "PARTITION_ROW_COUNT_MISMATCH"), F.when(c("scope") != first, "PARTITION_SCOPE_MISMATCH")]),
+        *([] if auxiliary else [F.when(c("listed").isNull() & (c("marker_rows") != c("rows")), "PARTITION_ROW_COUNT_MISMATCH"),
+        F.when(c("scope") != first, "PARTITION_SCOPE_MISMATCH")]),
     ))
     return x.withColumn("problems", checks).withColumn("problem", F.try_element_at("problems", F.lit(1)))
 
@@ -214,14 +224,18 @@ def verified(spark: SparkSession, root: str, dataset: str, key: str, pattern: st
 def partition_issues(spark: SparkSession, root: str, dataset: str, key: str, auxiliary: bool = False) -> DataFrame:
     """Issues of a dataset's partitions; of a missing dataset one."""
     if not partitions(spark, root, dataset, key):
-        return spark.createDataFrame([("KLINE_DATASET_MISSING", "ERROR", dataset, None, None, None, None, None, f"{key}=*", "none", None, f"{root}/{dataset}", None)], ISSUE_SCHEMA)
+        return spark.createDataFrame(
+            [("KLINE_DATASET_MISSING", "ERROR", dataset, None, None, None, None, None, f"{key}=*", "none", None, f"{root}/{dataset}", None)], ISSUE_SCHEMA)
     v = verified(spark, root, dataset, key, r".+" if auxiliary else r"\d{8}", auxiliary).withColumn("issue_code", F.explode("problems"))
     none = F.lit(None)
     return v.select(
-        "issue_code", F.lit("ERROR").alias("level"), F.lit(dataset).alias("dataset"), none.cast("string").alias("code"), F.try_to_date("value", "yyyyMMdd").alias("trade_date"), none.cast("date").alias("start_date"),
-        none.cast("date").alias("end_date"), F.when(c("issue_code").endswith("HASH_MISMATCH"), "sha256").when(c("issue_code").endswith("ROW_COUNT_MISMATCH"), "rows").alias("field"),
+        "issue_code", F.lit("ERROR").alias("level"), F.lit(dataset).alias("dataset"), none.cast("string").alias("code"),
+        F.try_to_date("value", "yyyyMMdd").alias("trade_date"), none.cast("date").alias("start_date"),
+        none.cast("date").alias("end_date"),
+        F.when(c("issue_code").endswith("HASH_MISMATCH"), "sha256").when(c("issue_code").endswith("ROW_COUNT_MISMATCH"), "rows").alias("field"),
         F.when(c("issue_code").endswith("ROW_COUNT_MISMATCH"), c("marker_rows").cast("string")).otherwise(c("marker_sha256")).alias("expected"),
-        F.when(c("issue_code").endswith("ROW_COUNT_MISMATCH"), c("rows").cast("string")).otherwise(c("sha256")).alias("actual"), none.cast("string").alias("evidence"), c("partition").alias("source_file"), none.cast("long").alias("source_row"),
+        F.when(c("issue_code").endswith("ROW_COUNT_MISMATCH"), c("rows").cast("string")).otherwise(c("sha256")).alias("actual"),
+        none.cast("string").alias("evidence"), c("partition").alias("source_file"), none.cast("long").alias("source_row"),
     )
 
 
@@ -247,10 +261,12 @@ def staging_issues(spark: SparkSession, root: str) -> DataFrame:
     flat = {e.name.removesuffix(".csv") for e in files.listed(spark, f"{root}/kline_1d/batch_*.csv")}
     found = {}
     if folders:
-        raw = spark.read.format("binaryFile").option("pathGlobFilter", "batch_*.csv").option("recursiveFileLookup", "true").load(root).filter(c("path").contains("/kline_daily_"))
+        raw = spark.read.format("binaryFile").option("pathGlobFilter", "batch_*.csv").option("recursiveFileLookup",
+            "true").load(root).filter(c("path").contains("/kline_daily_"))
         text = F.regexp_replace(c("content").cast("string"), "\n+$", "")
         tail = F.array_join(F.slice(F.split("path", "/"), -2, 2), "/")
-        found = {r.tail: r for r in raw.select(tail.alias("tail"), F.sha2("content", 256).alias("sha"), (F.size(F.split(text, "\n")) - 1).alias("rows")).collect()}  # one per batch file
+        found = {r.tail: r for r in raw.select(tail.alias("tail"), F.sha2("content", 256).alias("sha"),
+            (F.size(F.split(text, "\n")) - 1).alias("rows")).collect()}  # one per batch file
     gaps = []
     for f in folders:
         date = f.name.removeprefix("kline_daily_")

@@ -20,7 +20,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_bars(spark: SparkSession, path: str, start: dt.datetime | None = None, end: dt.datetime | None = None, codes: list[str] | None = None, closed: bool = False, schema: T.StructType | None = None) -> DataFrame:
+def read_bars(spark: SparkSession, path: str, start: dt.datetime | None = None, end: dt.datetime | None = None, codes: list[str] | None = None,
+    closed: bool = False, schema: T.StructType | None = None) -> DataFrame:
     """Bars of a year=/month= store: [start, end) or, if closed, [start, end]; the range also prunes partitions.
 
     Months written at different times may differ in columns: give the schema then (columns a month lacks are NULL), so that no footers are read to find it.
@@ -45,7 +46,8 @@ def read_landing_csv(spark: SparkSession, path: str, columns: list[str]) -> Data
 
 
 def read_zipped_csv(spark: SparkSession, pattern: str, columns: list[str], encoding: str = "utf-8-sig") -> DataFrame:
-    """Rows of every CSV member of the zip files that match: all text, with archive and member. Archives are opened on executors, one at a time and member by member."""
+    """Rows of every CSV member of the zip files that match: all text, with archive and member. Archives are opened on executors, one at a time and
+    member by member."""
     ship(spark)
     raw = spark.read.format("binaryFile").load(pattern).select("path", "content")
 
@@ -67,17 +69,20 @@ def read_zipped_csv(spark: SparkSession, pattern: str, columns: list[str], encod
 
 
 def normalised_bars(raw: DataFrame) -> DataFrame:
-    """Vendor minute rows, all text (code, trade_time as yyyy-MM-dd HH:mm[:ss] or yyyyMMddHHmm[ss], prices, volume, amount), as the store has them: times parsed, volume rounded, unparsable values NULL."""
+    """Vendor minute rows, all text (code, trade_time as yyyy-MM-dd HH:mm[:ss] or yyyyMMddHHmm[ss], prices, volume, amount), as the store has them:
+    times parsed, volume rounded, unparsable values NULL."""
     text = F.regexp_replace(F.col("trade_time"), "[^0-9]", "")
     time = F.try_to_timestamp(F.rpad(F.when(F.length(text) >= 12, text), 14, "0"), F.lit("yyyyMMddHHmmss"))
     number = lambda n: F.col(n).cast("string").try_cast("double").alias(n)
-    out = raw.select(F.upper(F.trim("code")).alias("code"), time.alias("trade_time"), *map(number, ("open", "high", "low", "close")), F.round(F.col("volume").cast("string").try_cast("double")).cast("long").alias("volume"), number("amount"))
+    out = raw.select(F.upper(F.trim("code")).alias("code"), time.alias("trade_time"), *map(number, ("open", "high", "low", "close")),
+        F.round(F.col("volume").cast("string").try_cast("double")).cast("long").alias("volume"), number("amount"))
     return out.filter("code <> '' AND trade_time IS NOT NULL").withColumn("trade_date", F.to_date("trade_time"))
 
 
 def partition_digests(spark: SparkSession, path: str) -> DataFrame:
     """path, bytes and sha256 of every file below path, for verification against markers."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes"),
+        F.sha2("content", 256).alias("sha256"))
 
 
 def invalid_bars(bars: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ def stream_kline(bars: DataFrame, period: str, lateness: str = "1 day") -> DataF
     """Streaming bars (code, trade_time, seq, open, high, low, close, volume) to K-lines; rows later than `lateness` are dropped."""
     order = F.struct("trade_time", "seq")
     agg = bars.withWatermark("trade_time", lateness).groupBy("code", F.window("trade_time", MINUTES[period]).alias("w")).agg(
-        F.min_by("open", order).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", order).alias("close"), F.sum("volume").alias("volume")
+        F.min_by("open", order).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", order).alias("close"),
+        F.sum("volume").alias("volume")
     )
     return agg.select("code", F.col("w.start").alias("bucket"), "open", "high", "low", "close", F.round("volume").cast("long").alias("volume"))
 

@@ -22,7 +22,8 @@ def bars(mutations=None, drop=()):
         for k, day in enumerate(DAYS):
             if (code, k) in drop:
                 continue
-            row = {"code": code, "trade_date": day, "open": price, "high": price, "low": price, "close": price, "pre_close": price, "volume": 1000.0, "amount": price * 1000.0, "suspend_flag": 0}
+            row = {"code": code, "trade_date": day, "open": price, "high": price, "low": price, "close": price, "pre_close": price, "volume": 1000.0,
+                "amount": price * 1000.0, "suspend_flag": 0}
             out.append(tuple((row | (mutations or {}).get((code, k), {}))[c.split()[0]] for c in BARS.split(", ")))
     return out
 
@@ -32,11 +33,13 @@ def lives(changes=None):
     return [(code, *(changes or {}).get(code, (dt.date(2000, 1, 4), end)), board, False) for code, (board, end) in base.items()]
 
 
-ACTIONS = "code string, ex_date date, adjustment_factor double, cash_dividend_per_share double, bonus_share_per_share double, capitalization_per_share double, rights_issue_per_share double, rights_issue_price double"
+ACTIONS = ("code string, ex_date date, adjustment_factor double, cash_dividend_per_share double, bonus_share_per_share double, "
+    "capitalization_per_share double, rights_issue_per_share double, rights_issue_price double")
 
 
 def found(spark, rows=None, life=None, days=None, actions=(), **settings):
-    args = [spark.createDataFrame(rows if rows is not None else bars(), BARS), spark.createDataFrame(life or lives(), LIVES), spark.createDataFrame([(d,) for d in (DAYS if days is None else days)], "trade_date date"), spark.createDataFrame(list(actions), ACTIONS)]
+    args = [spark.createDataFrame(rows if rows is not None else bars(), BARS), spark.createDataFrame(life or lives(), LIVES),
+        spark.createDataFrame([(d,) for d in (DAYS if days is None else days)], "trade_date date"), spark.createDataFrame(list(actions), ACTIONS)]
     return sorted((r.issue_code, r.code) for r in check.DailyCheck(*args, **settings).run().collect())
 
 
@@ -71,7 +74,8 @@ def test_each_mutation_gives_its_own_issues(spark):
     for n, (changes, _) in enumerate(MUTATIONS):
         code = f"60{n:04d}.SH"
         for k, day in enumerate(DAYS):
-            row = {"code": code, "trade_date": day, "open": 10.0, "high": 10.0, "low": 10.0, "close": 10.0, "pre_close": 10.0, "volume": 1000.0, "amount": 10000.0, "suspend_flag": 0} | changes.get(k, {})
+            row = {"code": code, "trade_date": day, "open": 10.0, "high": 10.0, "low": 10.0, "close": 10.0, "pre_close": 10.0, "volume": 1000.0,
+                "amount": 10000.0, "suspend_flag": 0} | changes.get(k, {})
             rows.append(tuple(row[c.split()[0]] for c in BARS.split(", ")))
         life.append((code, dt.date(2000, 1, 4), DAYS[-1], "main", False))
     bare = [(*r[:1], *r[1:]) for r in rows if r[0] == "600007.SH"]
@@ -111,7 +115,8 @@ def test_calendar(spark):
 
 
 def test_actions(spark):
-    ex = {("600000.SH", 3): {"pre_close": 9.52} | {c: 9.52 for c in ("open", "high", "low", "close")} | {"amount": 9520.0}, **{("600000.SH", k): {c: 9.52 for c in ("open", "high", "low", "close", "pre_close")} | {"amount": 9520.0} for k in (4, 5)}}
+    ex = {("600000.SH", 3): {"pre_close": 9.52} | {c: 9.52 for c in ("open", "high", "low", "close")} | {"amount": 9520.0},
+        **{("600000.SH", k): {c: 9.52 for c in ("open", "high", "low", "close", "pre_close")} | {"amount": 9520.0} for k in (4, 5)}}
     right = [(C, DAYS[3], 10 / 9.52, 0.48, 0.0, 0.0, 0.0, 0.0)]
     assert found(spark, bars(ex), actions=right) == []
     assert found(spark, bars(ex)) == [("DAILY_PRE_CLOSE_MISMATCH", C)]
@@ -122,9 +127,12 @@ def test_actions(spark):
 
 def test_limits_by_date_and_age(spark):
     cases = [
-        ("star", dt.date(2019, 7, 19), 100, False, None), ("star", dt.date(2020, 1, 2), 4, False, None), ("star", dt.date(2020, 1, 2), 5, False, 0.2), ("star", dt.date(2020, 1, 2), None, False, 0.2),
-        ("chinext", dt.date(2020, 8, 21), 3, False, 0.1), ("chinext", dt.date(2020, 8, 21), 0, False, None), ("chinext", dt.date(2020, 8, 24), 3, False, None), ("chinext", dt.date(2020, 8, 24), 9, True, 0.2),
-        ("chinext", dt.date(2020, 8, 21), 9, True, 0.05), ("bse", dt.date(2024, 1, 2), 0, False, None), ("bse", dt.date(2024, 1, 2), 1, False, 0.3), ("main", dt.date(2024, 1, 2), 0, False, None),
+        ("star", dt.date(2019, 7, 19), 100, False, None), ("star", dt.date(2020, 1, 2), 4, False, None), ("star", dt.date(2020, 1, 2), 5, False, 0.2),
+        ("star", dt.date(2020, 1, 2), None, False, 0.2),
+        ("chinext", dt.date(2020, 8, 21), 3, False, 0.1), ("chinext", dt.date(2020, 8, 21), 0, False, None),
+        ("chinext", dt.date(2020, 8, 24), 3, False, None), ("chinext", dt.date(2020, 8, 24), 9, True, 0.2),
+        ("chinext", dt.date(2020, 8, 21), 9, True, 0.05), ("bse", dt.date(2024, 1, 2), 0, False, None), ("bse", dt.date(2024, 1, 2), 1, False, 0.3),
+        ("main", dt.date(2024, 1, 2), 0, False, None),
         ("main", dt.date(2024, 1, 2), 1, False, 0.1), ("main", dt.date(2024, 1, 2), 1, True, 0.05), ("unknown", dt.date(2024, 1, 2), 100, False, None),
     ]
     df = spark.createDataFrame([(k, *x) for k, x in enumerate(cases)], "k int, board string, d date, n int, st boolean, want double")
@@ -134,7 +142,8 @@ def test_limits_by_date_and_age(spark):
 
 def test_sessions_since_listing(spark):
     days = spark.createDataFrame([(d,) for d in DAYS], "trade_date date")
-    life = spark.createDataFrame([("A", DAYS[0]), ("B", dt.date(2024, 1, 6)), ("C", None), ("D", dt.date(2024, 3, 1)), ("E", dt.date(2023, 1, 1))], "code string, open_date date")
+    life = spark.createDataFrame([("A", DAYS[0]), ("B", dt.date(2024, 1, 6)), ("C", None), ("D", dt.date(2024, 3, 1)), ("E", dt.date(2023, 1, 1))],
+        "code string, open_date date")
     rows = spark.createDataFrame([(c, DAYS[4]) for c in "ABCDE"] + [("A", dt.date(2024, 1, 6))], "code string, trade_date date")
     got = {(r.code, r.trade_date): r.sessions for r in check.sessions_since_listing(rows, life, days).collect()}
     assert [got[c, DAYS[4]] for c in "ABCDE"] == [4, 0, None, -2, 4] and got["A", dt.date(2024, 1, 6)] is None
@@ -142,7 +151,8 @@ def test_sessions_since_listing(spark):
 
 def test_settings_are_checked(spark):
     args = [None] * 4
-    for bad in ({"coverage_threshold": 0}, {"pre_close_tolerance": -1}, {"limit_level": "INFO"}, {"start": "2024-02-01", "end": "2024-01-01"}, {"cross_tolerance": 0}):
+    for bad in ({"coverage_threshold": 0}, {"pre_close_tolerance": -1}, {"limit_level": "INFO"}, {"start": "2024-02-01", "end": "2024-01-01"},
+        {"cross_tolerance": 0}):
         with pytest.raises(ValueError):
             check.DailyCheck(*args, **bad)
 

@@ -15,7 +15,9 @@ def day(n):
     return dt.date(2024, 1, n)
 
 
-@pytest.mark.parametrize("name", ["report_returns", "finance_pit_wide", "experiment_walk_forward", "search_equivalence_dedup", "selfcheck_rows", "landing_kline_batch", "bt_random_baseline", "flagship_top_n", "kline_60m", "kline_pre_close_chain", "op_ts_rank", "factors_ma", "auc_tie_aware", "bt_drawdown_episodes", "audit_missing_spans", "selfcheck_pre_close", "ingest_calendar_accumulate", "finance_pit_asof", "stream_kline"])
+@pytest.mark.parametrize("name", ["report_returns", "finance_pit_wide", "experiment_walk_forward", "search_equivalence_dedup", "selfcheck_rows",
+    "landing_kline_batch", "bt_random_baseline", "flagship_top_n", "kline_60m", "kline_pre_close_chain", "op_ts_rank", "factors_ma", "auc_tie_aware",
+    "bt_drawdown_episodes", "audit_missing_spans", "selfcheck_pre_close", "ingest_calendar_accumulate", "finance_pit_asof", "stream_kline"])
 def test_against_sql(spark, name):
     got = entry.queries()[name](spark, SF)
     con = duckdb.connect()
@@ -32,7 +34,8 @@ def test_against_sql(spark, name):
 
 
 def test_adjustment_compounds_and_needs_anchor(spark):
-    bars = spark.createDataFrame([("A", day(n), 10.0, 10.0, 10.0, 10.0, 5.0) for n in (1, 2, 3, 4)], "code string, trade_date date, open double, high double, low double, close double, volume double")
+    bars = spark.createDataFrame([("A", day(n), 10.0, 10.0, 10.0, 10.0, 5.0) for n in (1, 2, 3, 4)],
+        "code string, trade_date date, open double, high double, low double, close double, volume double")
     acts = spark.createDataFrame([("A", day(2), 1.1), ("A", day(4), 1.2), ("A", day(3), -1.0)], "code string, ex_date date, adjustment_factor double")
     got = [round(r.close, 9) for r in market.adjust(bars, acts, "hfq").orderBy("trade_date").collect()]
     assert got == [10.0, 11.0, 11.0, 13.2]

@@ -15,7 +15,8 @@ def dataset(spark, n=600, seed=3):
     x = np.round(rng.normal(size=(n, 2)), 2)
     r = 0.02 * (x[:, 0] > 0.3) + 0.01 * x[:, 1] * (x[:, 0] <= 0.3) + rng.normal(size=n) * 0.005
     days = [dt.date(2024, 1, 1) + dt.timedelta(int(k)) for k in np.arange(n) // 60]
-    rows = [(d, d, f"c{k}", float(v[0]), float(v[1]), float(t), int(t - 0.005 > 8 * 2.220446049250313e-16)) for k, (d, v, t) in enumerate(zip(days, x, r, strict=True))]
+    rows = [(d, d, f"c{k}", float(v[0]), float(v[1]), float(t), int(t - 0.005 > 8 * 2.220446049250313e-16))
+        for k, (d, v, t) in enumerate(zip(days, x, r, strict=True))]
     return spark.createDataFrame(rows, SCHEMA), x, r, np.array([y[-1] for y in rows])
 
 
@@ -76,20 +77,23 @@ def test_ridge_and_walk_forward(spark):
     data, x, r, _ = dataset(spark)
     fitted = models.fit_ridge(data, ["a", "b"], 2.0)
     c, w = ridge(x, r, 2.0)
-    assert np.allclose([q.score for q in fitted.score(data.orderBy("target_date")).collect()], [q.score for q in data.withColumn("score", models._linear_score(c, w, ["a", "b"])).orderBy("target_date").collect()], atol=1e-10)
+    assert np.allclose([q.score for q in fitted.score(data.orderBy("target_date")).collect()],
+        [q.score for q in data.withColumn("score", models._linear_score(c, w, ["a", "b"])).orderBy("target_date").collect()], atol=1e-10)
     start = dt.date(2024, 1, 8)
     got = {q.code: q for q in models.walk_forward_ridge(data, ["a", "b"], start, 1.0).collect()}
     assert len(got) == 180
     for k in (420, 470, 500, 599):
         day = k // 60
         c, w = ridge(x[: day * 60], r[: day * 60], 1.0)
-        assert abs(got[f"c{k}"].score - (c + x[k] @ w)) < 1e-10 and got[f"c{k}"].training_samples == day * 60 and got[f"c{k}"].training_end_date == dt.date(2024, 1, day)
+        assert abs(got[f"c{k}"].score - (c + x[k] @ w)) < 1e-10 and got[f"c{k}"].training_samples == day * 60 and got[
+            f"c{k}"].training_end_date == dt.date(2024, 1, day)
 
 
 def test_constant_targets(spark):
     data, *_ = dataset(spark, 120)
     flat = data.withColumn("target_return", data.a * 0 + 0.25).withColumn("label", data.label * 0)
-    for name, task, want in (("logistic_regression", "classification", 0.0), ("logistic_regression", "regression", 0.25), ("gradient_boosting_tree", "classification", 0.0)):
+    for name, task, want in (("logistic_regression", "classification", 0.0), ("logistic_regression", "regression", 0.25),
+        ("gradient_boosting_tree", "classification", 0.0)):
         fitted = models.MODELS[name].fit(flat, ["a", "b"], task, **models.model_parameters(name))
         assert {r.score for r in fitted.score(flat).collect()} == {want} and set(fitted.importances.values()) == {0.0}
 
@@ -123,7 +127,8 @@ def test_contract(spark):
         models.Experiment(["a"], validation_start=dt.date(2024, 1, 2)).run(data.withColumn("label", 1 - data.label))
     with pytest.raises(ValueError, match="no samples from"):
         models.Experiment(["a"], validation_start=dt.date(2025, 1, 2), mode="single").run(data)
-    for bad in ({"model": "nothing"}, {"model": "factor_passthrough"}, {"mode": "twice"}, {"parameters": {"max_depth": 0}}, {"parameters": {"depth": 1}}, {"parameters": {"max_depth": True}}):
+    for bad in ({"model": "nothing"}, {"model": "factor_passthrough"}, {"mode": "twice"}, {"parameters": {"max_depth": 0}},
+        {"parameters": {"depth": 1}}, {"parameters": {"max_depth": True}}):
         with pytest.raises(ValueError):
             models.Experiment(["a"], **bad)
     with pytest.raises(ValueError, match="exists"):
@@ -132,7 +137,8 @@ def test_contract(spark):
         models.finite_features(data, ["a"], (3,))
 
 
-CONTEXT = "execution_date date, code string, execution_open double, execution_close double, execution_pre_close double, execution_board string, execution_is_st boolean, execution_sessions_since_listing int, execution_has_corporate_action boolean, execution_suspended boolean"
+CONTEXT = ("execution_date date, code string, execution_open double, execution_close double, execution_pre_close double, execution_board string, "
+    "execution_is_st boolean, execution_sessions_since_listing int, execution_has_corporate_action boolean, execution_suspended boolean")
 
 
 def test_eligibility(spark):
@@ -140,18 +146,23 @@ def test_eligibility(spark):
     rows = [(d[0], d[1], "UP"), (d[0], d[1], "DOWN"), (d[0], d[1], "OK"), (d[0], d[1], "HALT"), (d[0], d[1], "GONE"), (d[2], d[4], "LATE")]
     data = spark.createDataFrame(rows, "target_date date, target_end_date date, code string")
     row = lambda day, code, o, c, halt=False: (day, code, o, c, 10.0, "main", False, 100, False, halt)
-    ctx = spark.createDataFrame([row(d[0], "UP", 11.0, 10.0), row(d[1], "UP", 10.0, 10.0), row(d[0], "DOWN", 10.0, 10.0), row(d[1], "DOWN", 10.0, 9.0), row(d[0], "OK", 10.99, 9.0), row(d[1], "OK", 11.0, 9.01), row(d[0], "HALT", 10.0, 10.0), row(d[1], "HALT", 10.0, 10.0, True)], CONTEXT)
+    ctx = spark.createDataFrame([row(d[0], "UP", 11.0, 10.0), row(d[1], "UP", 10.0, 10.0), row(d[0], "DOWN", 10.0, 10.0),
+        row(d[1], "DOWN", 10.0, 9.0), row(d[0], "OK", 10.99, 9.0), row(d[1], "OK", 11.0, 9.01), row(d[0], "HALT", 10.0, 10.0),
+        row(d[1], "HALT", 10.0, 10.0, True)], CONTEXT)
     both = list(eligibility.FILTERS)
     marked = eligibility.mark_eligibility(data, ctx, both, cutoff=d[3])
     got = {r.code: (r.eligible, r.reason) for r in marked.collect()}
-    assert got == {"UP": (False, "buy:limit_up_buy"), "DOWN": (False, "sell:limit_down_sell"), "OK": (True, ""), "HALT": (False, "sell:suspended_sell"), "GONE": (True, ""), "LATE": (True, "")}
+    assert got == {"UP": (False, "buy:limit_up_buy"), "DOWN": (False, "sell:limit_down_sell"), "OK": (True, ""),
+        "HALT": (False, "sell:suspended_sell"), "GONE": (True, ""), "LATE": (True, "")}
     stats = {r["filter"]: (r.side, r.candidate_count, r.blocked_count, r.unknown_count) for r in eligibility.statistics(marked, both).collect()}
     assert stats == {"limit_up_buy": ("buy", 5, 1, 1), "limit_down_sell": ("sell", 5, 2, 1)}
-    assert {r.code for r in eligibility.mark_eligibility(data, ctx, both, cutoff=d[3], missing="exclude").filter("NOT eligible").collect()} == {"UP", "DOWN", "HALT", "GONE"}
+    assert {r.code for r in eligibility.mark_eligibility(data, ctx, both, cutoff=d[3], missing="exclude").filter("NOT eligible").collect()} == {"UP",
+        "DOWN", "HALT", "GONE"}
     with pytest.raises(ValueError, match="1 samples"):
         eligibility.checked(eligibility.mark_eligibility(data, ctx, both, cutoff=d[3], missing="error"))
     assert {r.reason for r in eligibility.mark_eligibility(data, ctx, ["limit_down_sell"], cutoff=d[3]).collect() if r.code == "UP"} == {""}
     assert eligibility.training_rows(marked).count() == 3
-    for bad in (lambda: eligibility.mark_eligibility(data, ctx, ["x"]), lambda: eligibility.mark_eligibility(data, ctx, both, missing="x"), lambda: eligibility.training_rows(data), lambda: eligibility.Options(tick=0)):
+    for bad in (lambda: eligibility.mark_eligibility(data, ctx, ["x"]), lambda: eligibility.mark_eligibility(data, ctx, both, missing="x"),
+        lambda: eligibility.training_rows(data), lambda: eligibility.Options(tick=0)):
         with pytest.raises(ValueError):
             bad()

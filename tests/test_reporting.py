@@ -24,7 +24,8 @@ def test_ticks_cover_the_range():
 def test_line_charts_check_their_input():
     svg = charts.line_chart("A & B", DAYS, {"x": [1.0, None, 2.0], "y": [1.0, 1.5, 2.0]}, marks={DAYS[1]: "holdout"})
     assert svg.startswith("<svg") and svg.count("<polyline") == 1 and svg.count("<circle") == 2 and "A &amp; B" in svg and "holdout" in svg
-    for days, series in ((DAYS[::-1], {"x": [1.0, 2.0, 3.0]}), (DAYS, {"x": [1.0]}), (DAYS, {"x": [1.0, float("nan"), 2.0]}), ([], {}), (DAYS, {"x": [None] * 3})):
+    for days, series in ((DAYS[::-1], {"x": [1.0, 2.0, 3.0]}), (DAYS, {"x": [1.0]}), (DAYS, {"x": [1.0, float("nan"), 2.0]}), ([], {}),
+        (DAYS, {"x": [None] * 3})):
         with pytest.raises(ValueError):
             charts.line_chart("t", days, series)
 
@@ -47,12 +48,14 @@ def test_bars_and_other_charts():
 
 
 def test_documents(spark, tmp_path):
-    doc = documents.Document("Report <1>").add("Table one", rows=[{"a": 1.23456, "b": None, "c": "x|y"}]).add("Empty", rows=[]).add("Chart", chart=charts.bar_chart("b", {"a": 1.0}))
+    doc = documents.Document("Report <1>").add("Table one", rows=[{"a": 1.23456, "b": None, "c": "x|y"}]).add("Empty", rows=[]).add("Chart",
+        chart=charts.bar_chart("b", {"a": 1.0}))
     text = doc.markdown()
     assert "| 1.2346 | - | x\\|y |" in text and "_No rows._" in text and "![Chart](chart.svg)" in text and "- [Table one](#table-one)" in text
     page = doc.html()
     assert "Report &lt;1&gt;" in page and "<svg" in page and page.count("<table>") == 1
-    assert [p.rsplit("/", 1)[1] for p in doc.write(spark, f"file://{tmp_path}/r")] == ["report.md", "report.html", "chart.svg"] and (tmp_path / "r/report.md").read_text() == text
+    assert [p.rsplit("/", 1)[1] for p in doc.write(spark, f"file://{tmp_path}/r")] == ["report.md", "report.html",
+        "chart.svg"] and (tmp_path / "r/report.md").read_text() == text
     assert documents.reproduction("m", {"codes": ["a b", "c"], "dry_run": True, "none": None, "n": 3}) == "python -m m --codes 'a b' c --dry-run --n 3"
     with pytest.raises(ValueError, match="more than"):
         documents.rows_of(spark.range(5), 4)
@@ -62,7 +65,8 @@ def test_settings():
     text = '{ "symbols": ["a.SZ"], // one\n "sector": "x//y", /* two\n lines */ "batch_size": 10, "start_date": "20240102", "note": "é \\" // kept" }'
     s = RunSettings.parse(text)
     assert s.sector == "x//y" and s.batch_size == 10 and s.extra == {"note": 'é " // kept'} and s.scope()["symbols"] == ["A.SZ"]
-    for bad in ('{"symbols": ["a"], "mode": "x"}', '{"symbols": ["a"], "start_date": "2024"}', "{}", "[1]", "{", '{"symbols": ["a"], "datasets": ["y"]}', '{"symbols": ["a"], "lag_cutoff": "25:00"}', "{} /* "):
+    for bad in ('{"symbols": ["a"], "mode": "x"}', '{"symbols": ["a"], "start_date": "2024"}', "{}", "[1]", "{",
+        '{"symbols": ["a"], "datasets": ["y"]}', '{"symbols": ["a"], "lag_cutoff": "25:00"}', "{} /* "):
         with pytest.raises(ValueError):
             RunSettings.parse(bad)
     assert without_comments('{"a": "/* no */"} // yes') == '{"a": "/* no */"} '

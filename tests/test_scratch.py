@@ -9,7 +9,8 @@ from barsmith import scratch, shipping
 
 def session(master, found=None):
     conf = SimpleNamespace(get=lambda *a: found)
-    return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, applicationId=f"app-{master}", getConf=lambda: SimpleNamespace(get=lambda *a: None)))
+    return SimpleNamespace(conf=conf,
+        sparkContext=SimpleNamespace(master=master, applicationId=f"app-{master}", getConf=lambda: SimpleNamespace(get=lambda *a: None)))
 
 
 def test_shared_folder():

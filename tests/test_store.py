@@ -19,7 +19,8 @@ def kline(spark, rows):
     return spark.createDataFrame(data, "date string, " + ", ".join(f"{n} string" for n in KLINE))
 
 
-BARS = [("20240102", "600000.sh", 10.0, 100.4, 0), ("20240102", "000001.SZ", 20.0, 50.6, 0), ("20240103", "600000.SH", 10.5, 0, 1), ("20240103", "000001.SZ", 21.0, 60, 0), ("20240201", "000001.SZ", 22.0, 70, 0), ("20240201", "999999.XX", 1.0, 1, 0)]
+BARS = [("20240102", "600000.sh", 10.0, 100.4, 0), ("20240102", "000001.SZ", 20.0, 50.6, 0), ("20240103", "600000.SH", 10.5, 0, 1),
+    ("20240103", "000001.SZ", 21.0, 60, 0), ("20240201", "000001.SZ", 22.0, 70, 0), ("20240201", "999999.XX", 1.0, 1, 0)]
 LIVES = [("latest", "600000.SH", "pf", "20240103", "99999999", "1", ""), ("latest", "000001.SZ", "pa", "19910403", "19700427", "1", "")]
 
 
@@ -31,12 +32,16 @@ def land(spark, root, rows=BARS, **k):
 def tree(spark, tmp_path):
     root = f"file://{tmp_path}/landed"
     land(spark, root)
-    lives = spark.createDataFrame(LIVES, "snapshot string, code string, instrument_name string, open_date string, expire_date string, is_trading string, instrument_status string")
+    lives = spark.createDataFrame(LIVES, "snapshot string, code string, instrument_name string, open_date string, expire_date string, "
+        "is_trading string, instrument_status string")
     landing.write(lives, root, "instrument_info", "snapshot", ["code"])
-    days = spark.createDataFrame([("latest", d, "SH") for d in ("20240102", "20240103", "20240201")], "snapshot string, trade_date string, calendar_symbol string")
+    days = spark.createDataFrame([("latest", d, "SH") for d in ("20240102", "20240103", "20240201")],
+        "snapshot string, trade_date string, calendar_symbol string")
     landing.write(days, root, "trading_calendar", "snapshot", ["trade_date"])
-    terms = "ex_date string, code string, cash_dividend_per_share string, bonus_share_per_share string, capitalization_per_share string, rights_issue_per_share string, rights_issue_price string, share_reform_flag string, adjustment_factor string"
-    landing.write(spark.createDataFrame([("20240103", "000001.SZ", "0", "0", "0", "0", "0", "0", "1.5")], terms), root, "corporate_actions", "ex_date", ["code"])
+    terms = ("ex_date string, code string, cash_dividend_per_share string, bonus_share_per_share string, capitalization_per_share string, "
+        "rights_issue_per_share string, rights_issue_price string, share_reform_flag string, adjustment_factor string")
+    landing.write(spark.createDataFrame([("20240103", "000001.SZ", "0", "0", "0", "0", "0", "0", "1.5")], terms), root, "corporate_actions",
+        "ex_date", ["code"])
     return DailyStore(spark, f"file://{tmp_path}/store", root)
 
 
@@ -44,13 +49,15 @@ def content(store):
     return sorted((r.code, r.trade_date.isoformat(), r.close, r.volume) for r in store.bars(suspended=True).collect())
 
 
-KEPT = [("000001.SZ", "2024-01-02", 20.0, 51), ("000001.SZ", "2024-01-03", 21.0, 60), ("000001.SZ", "2024-02-01", 22.0, 70), ("600000.SH", "2024-01-03", 10.5, 0)]
+KEPT = [("000001.SZ", "2024-01-02", 20.0, 51), ("000001.SZ", "2024-01-03", 21.0, 60), ("000001.SZ", "2024-02-01", 22.0, 70),
+    ("600000.SH", "2024-01-03", 10.5, 0)]
 
 
 def test_sync_from_nothing_then_nothing_to_do(tree):
     report = tree.sync()
     assert (report.status, report.months, report.rows_after) == ("synced", ((2024, 1), (2024, 2)), 4)
-    assert report.filtered["before_listing_with_data"] == 1 and report.filtered["unknown_code"] == 1 and report.filtered["kept"] == 4 and report.filtered["after_delisting"] == 0
+    assert report.filtered["before_listing_with_data"] == 1 and report.filtered["unknown_code"] == 1 and report.filtered[
+        "kept"] == 4 and report.filtered["after_delisting"] == 0
     assert content(tree) == KEPT and [r.code for r in tree.bars(codes=["600000.sh"]).collect()] == []
     assert tree.sync().status == "up_to_date"
     assert tree.metadata()["adjust_anchor_date"] == "2024-02-01" and tree.table("sync_runs").count() == 1
@@ -124,14 +131,17 @@ def test_staged_batches(spark, tmp_path):
 
     good = "code,close\nA,1\n"
     meta = json.dumps({"rows": 1, "sha256": hashlib.sha256(good.encode()).hexdigest()})
-    for name, text in {"batch_0.csv": good, "batch_0.meta.json": meta, "batch_1.csv": good, "batch_2.csv": good, "batch_2.meta.json": "[", "batch_3.csv": good, "batch_3.meta.json": json.dumps({"rows": 7}), "batch_4.csv": good, "batch_4.meta.json": json.dumps({"rows": 1, "sha256": "x"})}.items():
+    for name, text in {"batch_0.csv": good, "batch_0.meta.json": meta, "batch_1.csv": good, "batch_2.csv": good, "batch_2.meta.json": "[",
+        "batch_3.csv": good, "batch_3.meta.json": json.dumps({"rows": 7}), "batch_4.csv": good,
+        "batch_4.meta.json": json.dumps({"rows": 1, "sha256": "x"})}.items():
         write(f"kline_daily_20240102/{name}", text)
     write("kline_daily_20240103/note.txt", "")
     write("kline_daily_2024/batch_0.csv", good)
     write("kline_1d/batch_9.csv", good)
     got = sorted((r.issue_code, r.source_file.rsplit("/", 1)[-1]) for r in landing.staging_issues(spark, root).collect())
     assert [c for c, _ in got] == [
-        "INVALID_PARTITION_DATE", "STAGING_BATCHES_MISSING", "STAGING_BATCH_HASH_MISMATCH", "STAGING_BATCH_HASH_MISSING", "STAGING_BATCH_METADATA_INVALID", "STAGING_BATCH_METADATA_MISSING", "STAGING_BATCH_ROW_COUNT_MISMATCH", "STAGING_DAILY_BATCH_GAPS",
+        "INVALID_PARTITION_DATE", "STAGING_BATCHES_MISSING", "STAGING_BATCH_HASH_MISMATCH", "STAGING_BATCH_HASH_MISSING",
+        "STAGING_BATCH_METADATA_INVALID", "STAGING_BATCH_METADATA_MISSING", "STAGING_BATCH_ROW_COUNT_MISMATCH", "STAGING_DAILY_BATCH_GAPS",
     ]
     top = f"file://{tmp_path}"
     assert landing.staging_job(spark, top).endswith("/staging/job")
@@ -146,7 +156,8 @@ def test_daily_source(spark, tree):
     assert source.list_symbols(10) == ["000001.SZ", "600000.SH"] and source.metadata()["last_date"] == dt.date(2024, 2, 1)
     assert [r.close for r in source.load_bars(["000001.SZ"], "2024-01-02", "2024-02-01").orderBy("trade_date").collect()] == [20.0, 31.5, 33.0]
     anchored = base.open_source(spark, "qmt_daily", root=tree.root, landed=tree.landed, adjust="qfq")
-    assert [round(r.close, 9) for r in anchored.load_bars(["000001.SZ"], "2024-01-02", "2024-02-01").orderBy("trade_date").collect()] == [round(20 / 1.5, 9), 21.0, 22.0]
+    assert [round(r.close, 9) for r in anchored.load_bars(["000001.SZ"], "2024-01-02", "2024-02-01").orderBy("trade_date").collect()] == [
+        round(20 / 1.5, 9), 21.0, 22.0]
     assert anchored.cache_namespace() == "qmt_daily/qfq/2024-02-01/no_suspended/raw_volume" and source.cache_namespace() != anchored.cache_namespace()
     assert source.calendar("2024-01-01", "2024-01-31").count() == 2 and source.actions(end="2024-01-02").count() == 0
     with pytest.raises(ValueError, match="minute bars"):
@@ -179,6 +190,8 @@ def test_stream_keeps_files_and_drops_late_rows(spark, tmp_path):
 
 
 def test_minute_rows(spark):
-    raw = spark.createDataFrame([(" a ", "2024-01-02 09:35", "1", "2", "0.5", "1.5", "10.5", "x"), ("b", "20240102", "1", "1", "1", "1", "1", "1"), ("", "2024-01-02 09:35:00", "1", "1", "1", "1", "1", "1")], "code string, trade_time string, open string, high string, low string, close string, volume string, amount string")
+    raw = spark.createDataFrame([(" a ", "2024-01-02 09:35", "1", "2", "0.5", "1.5", "10.5", "x"), ("b", "20240102", "1", "1", "1", "1", "1", "1"),
+        ("", "2024-01-02 09:35:00", "1", "1", "1", "1", "1", "1")],
+        "code string, trade_time string, open string, high string, low string, close string, volume string, amount string")
     got = readers.normalised_bars(raw).collect()
     assert len(got) == 1 and (got[0].code, got[0].trade_time, got[0].volume, got[0].amount) == ("A", dt.datetime(2024, 1, 2, 9, 35), 11, None)
