@@ -25,7 +25,8 @@ _PLACE = ["key", "turn", "role"]
 def _hashed(turns: DataFrame) -> DataFrame:
     """conv_id, turn, role, text, a and b (hashes of role and text), key (the conversation: its id, or the row's hash where that is null)."""
     missing = F.when(F.col("role").isNull(), 1).otherwise(0) + F.when(F.col("text").isNull(), 2).otherwise(0)
-    rows = turns.select("conv_id", "turn", "role", "text", F.xxhash64(missing, "role", F.lit(0), "text").alias("a"), F.xxhash64("text", F.lit(1), "role", missing).alias("b"))
+    rows = turns.select("conv_id", "turn", "role", "text", F.xxhash64(missing, "role", F.lit(0), "text").alias("a"),
+        F.xxhash64("text", F.lit(1), "role", missing).alias("b"))
     own = F.concat(F.lit("\0row "), F.xxhash64("turn", "a", "b").cast("string"))
     return rows.withColumn("key", F.coalesce(F.col("conv_id").cast("string"), own))
 
@@ -44,7 +45,8 @@ def rolling(turns: DataFrame) -> DataFrame:
     ties = rows.groupBy(*_PLACE).agg(F.count(F.lit(1)).alias("several")).filter("several > 1")
     texts = hashed.join(ties, _same(hashed, ties, ["turn", "role"]), "left_semi").select(*_PLACE, "a", "b", "text").distinct()
     ranks = texts.select(*_PLACE, "a", "b", F.row_number().over(Window.partitionBy(*_PLACE).orderBy(F.col("text").asc_nulls_first())).alias("k"))
-    ranked = rows.join(ranks, _same(rows, ranks, ["turn", "role", "a", "b"]), "left").select(*[rows[c] for c in ("conv_id", *_PLACE, "a", "b")], F.coalesce(ranks["k"], F.lit(0)).alias("k"))
+    ranked = rows.join(ranks, _same(rows, ranks, ["turn", "role", "a", "b"]), "left").select(*[rows[c] for c in ("conv_id", *_PLACE, "a", "b")],
+        F.coalesce(ranks["k"], F.lit(0)).alias("k"))
     whole = Window.partitionBy("key")
     upto = whole.orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), "k").rowsBetween(Window.unboundedPreceding, 0)
     return (
@@ -68,7 +70,8 @@ def collapse(turns: DataFrame) -> DataFrame:
     said = F.array_sort(F.collect_set(F.struct("turn", "role", "text")))
     blank = F.lit("")
     text = F.transform(said, lambda x: F.concat(F.lit(OPEN), F.coalesce(x["role"], blank), F.lit("\n"), F.coalesce(x["text"], blank), F.lit(CLOSE)))
-    return own.groupBy("key").agg(F.max("conv_id").alias("conv_id"), F.size(said).cast("long").alias("n_turns"), F.array_join(text, "").alias("rendered")).drop("key")
+    return own.groupBy("key").agg(F.max("conv_id").alias("conv_id"), F.size(said).cast("long").alias("n_turns"),
+        F.array_join(text, "").alias("rendered")).drop("key")
 
 
 def op7_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:

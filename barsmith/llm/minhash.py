@@ -106,7 +106,8 @@ def signatures(docs: DataFrame, width: int, coordinates: int = COORDINATES) -> D
                     fp[0, full] = np.add.reduceat(mix(s + np.uint64(17)), begin)
                     fp[1, full] = np.add.reduceat(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)), begin)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * coordinates, pa.int32()), pa.array(sig.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), *(pa.array(x.view(np.int64)) for x in fp), lists], ["doc_id", "n_shingles", "fp1", "fp2", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), *(pa.array(x.view(np.int64)) for x in fp), lists],
+                    ["doc_id", "n_shingles", "fp1", "fp2", "sig"])
 
     return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, fp1 long, fp2 long, sig array<int>")
 
@@ -254,7 +255,8 @@ def _across(matches: int, percent: int):
             some = np.flatnonzero(label != np.arange(len(rep)))
             if len(some):
                 u, v = rep[order[some]], rep[order[label[some]]]
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), kv)), pa.array(np.zeros(len(u), bool))], ["u", "v", "kv", "centre"])
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), kv)), pa.array(np.zeros(len(u), bool))],
+                    ["u", "v", "kv", "centre"])
 
     return run
 
@@ -310,7 +312,8 @@ def shingle_sets(docs: DataFrame, width: int, ids: DataFrame) -> DataFrame:
             for i, j, data, off in text_slices(batch.column(1)):
                 s, d = shingles(data, off, width)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(d, minlength=j - i))])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(s.view(np.int64)))], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(s.view(np.int64)))], ["doc_id", "shingles"])
 
     return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, shingles array<long>")
 
@@ -339,7 +342,8 @@ def _refined(rows: DataFrame, matches: int, chunk: int) -> DataFrame:
     big = c("f") > REFINE * chunk
     others = F.filter("shared", lambda e: e != c("kv"))
     posted = F.slice(others, F.lit(1), F.greatest(F.size(others) - (matches - 2), F.lit(0)))
-    sub = rows.filter(big).select("rep", "shared", "comp", "kv", F.explode(posted).alias("e")).select(F.xxhash64("kv", "e").alias("kv"), "rep", "shared", "comp")
+    sub = rows.filter(big).select("rep", "shared", "comp", "kv", F.explode(posted).alias("e")).select(F.xxhash64("kv", "e").alias("kv"), "rep",
+        "shared", "comp")
     met = sub.groupBy("kv").agg(F.count(F.lit(1)).alias("f"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("kv", "f")
     return rows.filter(~big).unionByName(sub.join(met, "kv"))
 
@@ -349,12 +353,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
     matches = matches_needed(percent / 100, coordinates)
     sets = stored(signatures(docs, width, coordinates), "signatures")
     named = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = stored(named.groupBy("n_shingles", "fp1", "fp2").agg(F.min(F.struct("doc_id", "sig")).alias("x")).select("n_shingles", "fp1", "fp2", F.col("x.doc_id").alias("rep"), F.col("x.sig").alias("sig")), "classes")
+    classes = stored(named.groupBy("n_shingles", "fp1", "fp2").agg(F.min(F.struct("doc_id", "sig")).alias("x")).select("n_shingles", "fp1", "fp2",
+        F.col("x.doc_id").alias("rep"), F.col("x.sig").alias("sig")), "classes")
     posted = postings(classes.select("rep", "sig"), matches)
     chunks = F.when(F.col("f") > star, F.ceil(F.col("f") / chunk)).otherwise(1)
     salt = F.pmod(F.xxhash64("rep"), chunks).cast("long")
     first = stored(_sorted_lists(posted.select("kv", salt.alias("salt"), "f", "rep", "shared")).mapInArrow(tidy(_merge(matches, star)), PAIRS), "first")
-    centres = first.filter("centre").select("kv", F.col("u").alias("rep")).join(posted.filter(F.col("f") > chunk).select("kv", "rep", "f", "shared"), ["kv", "rep"])
+    centres = first.filter("centre").select("kv", F.col("u").alias("rep")).join(posted.filter(F.col("f") > chunk).select("kv", "rep", "f", "shared"),
+        ["kv", "rep"])
     second = _sorted_lists(centres.select("kv", F.lit(0).cast("long").alias("salt"), "f", "rep", "shared")).mapInArrow(tidy(_merge(matches, star)), PAIRS)
     ids = stored(posted.select(F.col("rep").alias("doc_id")).distinct(), "ids")
     sets_of = stored(shingle_sets(docs, width, ids), "sets")
@@ -370,9 +376,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
         rows = stored(known.join(split, "kv", "left_semi"), "rows")
         scratch += [so_far, known, split, rows]
         rows = _refined(rows, matches, chunk)
-        rows = rows.join(sets_of, F.col("rep") == F.col("doc_id")).withColumn("blocks", F.ceil(F.col("f") / chunk)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("long"))
+        rows = rows.join(sets_of, F.col("rep") == F.col("doc_id")).withColumn("blocks", F.ceil(F.col("f") / chunk)).withColumn("block",
+            F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("long"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        rows = rows.select("kv", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("salt"), "rep", "comp", "block", "shared", "shingles")
+        rows = rows.select("kv", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("salt"), "rep", "comp", "block",
+            "shared", "shingles")
         more = _sorted_lists(rows).mapInArrow(tidy(_across(matches, percent)), PAIRS).select("u", "v").distinct()
         more = stored(more, "links")
         scratch.append(more)
@@ -404,11 +412,13 @@ def op5_minhash_inverted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_OP5 = r"""
-WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(ws) >= 3 THEN list_distinct([ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FOR i IN range(1, len(ws) - 1)])
   WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w),
 x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
-p AS (SELECT a.doc_id AS i, b.doc_id AS j, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+p AS (SELECT a.doc_id AS i, b.doc_id AS j, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id <>
+    b.doc_id GROUP BY 1, 2),
 l AS (SELECT i, j FROM p WHERE 100 * c >= 85 * (n + m - c)),
 r AS (SELECT doc_id AS node, doc_id AS root FROM s UNION SELECT l.j, r.root FROM r JOIN l ON l.i = r.node),
 k AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)

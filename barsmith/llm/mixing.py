@@ -62,7 +62,9 @@ def targets(by_source: DataFrame) -> DataFrame:
     t = t.withColumn("capped", F.lit(CAP) * F.col("source_size") * F.col("left_weight") <= F.col("weight") * (F.col("total") - F.col("spent")))
     t = t.withColumn("free_words", F.col("total") - F.coalesce(F.sum(F.when(F.col("capped"), F.lit(CAP) * F.col("source_size"))).over(everything), F.lit(0)))
     t = t.withColumn("free_weight", F.sum(F.when(~F.col("capped"), F.col("weight"))).over(everything))
-    target = F.when(F.col("capped"), (F.lit(CAP) * F.col("source_size")).cast("double")).otherwise((F.col("weight") * F.col("free_words")).cast("double") / F.col("free_weight").cast("double"))
+    target = F.when(F.col("capped"),
+        (F.lit(CAP) * F.col("source_size")).cast("double")).otherwise(
+        (F.col("weight") * F.col("free_words")).cast("double") / F.col("free_weight").cast("double"))
     return t.select("source", "source_size", target.alias("target"), "rank")
 
 
@@ -75,7 +77,8 @@ def training_time(share: Column, slope: Column) -> Column:
 def _measured(docs: DataFrame) -> DataFrame:
     """docs with __size (words), __tie (hash of the text), __h (hash of the id) and __s (source)."""
     source = F.struct(F.col("source").isNull().alias("missing"), F.coalesce("source", F.lit("")).alias("name"))
-    return docs.withColumns({"__size": size_of(), "__tie": F.xxhash64("text"), "__h": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.xxhash64("text").cast("string")))), "__s": source})
+    return docs.withColumns({"__size": size_of(), "__tie": F.xxhash64("text"),
+        "__h": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.xxhash64("text").cast("string")))), "__s": source})
 
 
 def _prefix_sums(parts: DataFrame, run: int = RUN) -> DataFrame:
@@ -97,7 +100,8 @@ def assign_positions(measured: DataFrame, buckets: int, keep: list[str]) -> Data
     sums = parts.groupBy("__s").agg(F.sum("__words").alias("source_size")).withColumn("source", F.when(~F.col("__s.missing"), F.col("__s.name")))
     source = F.struct(F.col("source").isNull().alias("missing"), F.coalesce("source", F.lit("")).alias("name"))
     t = targets(sums.select("source", "source_size")).select(source.alias("__s"), "source_size", "target", "rank")
-    small = parts.join(t, "__s").select("__s", "__b", "__before", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("rank").alias("__rank"))
+    small = parts.join(t, "__s").select("__s", "__b", "__before", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"),
+        F.col("rank").alias("__rank"))
     inside = Window.partitionBy("__s", "__b").orderBy("__h", "__tie").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("__upto", F.sum("__size").over(inside)).join(small, ["__s", "__b"], "left")
     middle = F.col("__before") + F.col("__upto") - F.col("__size") / 2
@@ -136,8 +140,10 @@ def training_order(docs: DataFrame, rows_a_bucket: int = ROWS_A_BUCKET) -> DataF
     # texts are read once: what follows reads some 70 bytes a row
     slim = stored(_measured(docs.select("doc_id", "source", "text")).drop("text", "source"), "sizes")
     placed = assign_positions(slim, buckets, ["doc_id", "__h", "__tie"])
-    copies = placed.select("*", F.posexplode_outer("__mix.positions").alias("__copy", "__position")).withColumn("__range", F.floor(F.col("__position") * buckets))
-    counts = copies.filter("__position IS NOT NULL").groupBy("__range").agg(F.count(F.lit(1)).alias("__words")).select(F.lit(0).alias("__s"), F.col("__range").alias("__b"), "__words")
+    copies = placed.select("*", F.posexplode_outer("__mix.positions").alias("__copy", "__position")).withColumn("__range",
+        F.floor(F.col("__position") * buckets))
+    counts = copies.filter("__position IS NOT NULL").groupBy("__range").agg(F.count(F.lit(1)).alias("__words")).select(F.lit(0).alias("__s"),
+        F.col("__range").alias("__b"), "__words")
     lead = _prefix_sums(counts).select(F.col("__b").alias("__range"), F.col("__before").alias("__lead"))
     # copies without a position are dealt out by id: null would be one range
     own_range = F.coalesce("__range", -1 - F.pmod(F.xxhash64("__h"), F.lit(buckets)))
@@ -162,16 +168,20 @@ WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
 w AS (SELECT *, (k % 3 + 1)::BIGINT AS weight, sum(source_size) OVER ()::BIGINT AS total FROM s),
 o AS (SELECT *, sum(weight) OVER later::BIGINT AS left_weight, 3 * (sum(source_size) OVER upto - source_size)::BIGINT AS spent FROM w
-  WINDOW later AS (ORDER BY source_size / weight, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), upto AS (ORDER BY source_size / weight, k ROWS UNBOUNDED PRECEDING)),
+  WINDOW later AS (ORDER BY source_size / weight, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), upto AS (ORDER BY source_size / weight, k ROWS
+  UNBOUNDED PRECEDING)),
 c AS (SELECT *, 3 * source_size * left_weight <= weight * (total - spent) AS capped FROM o),
-t AS (SELECT source, source_size, k, CASE WHEN capped THEN (3 * source_size)::DOUBLE ELSE (weight * (total - coalesce(sum(3 * source_size) FILTER (capped) OVER (), 0)))::BIGINT::DOUBLE
+t AS (SELECT source, source_size, k, CASE WHEN capped THEN (3 * source_size)::DOUBLE ELSE (weight * (total - coalesce(sum(3 * source_size) FILTER
+    (capped) OVER (), 0)))::BIGINT::DOUBLE
   / (sum(weight) FILTER (NOT capped) OVER ())::DOUBLE END AS target FROM c),
 m AS (SELECT d.doc_id, d.size, t.source_size, t.target, [0.0, -0.5, 0.5][t.k % 3 + 1]::DOUBLE AS slope, md5(d.doc_id::VARCHAR) AS h,
   sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(d.doc_id::VARCHAR) ROWS UNBOUNDED PRECEDING)::BIGINT - d.size / 2.0::DOUBLE AS mid
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-y AS (SELECT m.*, i, (mid + i * source_size) / target AS share, 1 - slope AS b FROM m, (VALUES (0), (1), (2)) v(i) WHERE size > 0 AND mid + i * source_size < target),
+y AS (SELECT m.*, i, (mid + i * source_size) / target AS share, 1 - slope AS b FROM m, (VALUES (0), (1), (2)) v(i) WHERE size > 0 AND mid + i *
+    source_size < target),
 p AS (SELECT *, CASE WHEN slope = 0 THEN share ELSE (sqrt(b * b + 4 * slope * share) - b) / (2 * slope) END AS position FROM y),
 n AS (SELECT *, row_number() OVER (ORDER BY position, h) - 1 AS place FROM p),
-g AS (SELECT doc_id, count(*) AS copies, min(position) AS first_position, max(position) AS last_position, min(place)::BIGINT AS first_place FROM n GROUP BY doc_id)
+g AS (SELECT doc_id, count(*) AS copies, min(position) AS first_position, max(position) AS last_position, min(place)::BIGINT AS first_place FROM n
+    GROUP BY doc_id)
 SELECT m.doc_id, m.size, m.source_size, m.target, (m.size * coalesce(g.copies, 0))::BIGINT AS taken, g.first_position, g.last_position, g.first_place
 FROM m LEFT JOIN g ON g.doc_id = m.doc_id"""

@@ -186,7 +186,8 @@ class Pieces:
 
         shape = (len(size), width - 1)
         best, into = offers(
-            symbol[:, :-1].reshape(-1), symbol[:, 1:].reshape(-1), np.broadcast_to(np.arange(width - 1), shape).reshape(-1), stop[:, 1:].reshape(-1), np.repeat(keys, width - 1)
+            symbol[:, :-1].reshape(-1), symbol[:, 1:].reshape(-1), np.broadcast_to(np.arange(width - 1), shape).reshape(-1), stop[:, 1:].reshape(-1),
+            np.repeat(keys, width - 1)
         )
         best, into = best.reshape(shape), into.reshape(shape)
         while True:
@@ -282,7 +283,8 @@ class Encoder:
             exact = np.ones(len(counts), bool)
         else:
             ends, lead = np.cumsum(counts), np.concatenate([[0], np.cumsum(lengths)])
-            exact = np.array([spelt[lead[e - c] : lead[e]].tobytes() == spaced[a:b].tobytes() for e, c, a, b in zip(ends, counts, at[:-1], at[1:], strict=True)], bool)
+            exact = np.array([spelt[lead[e - c] : lead[e]].tobytes() == spaced[a:b].tobytes() for e, c, a, b in zip(ends, counts, at[:-1], at[1:],
+                strict=True)], bool)
         return ids, counts, exact
 
 
@@ -311,7 +313,8 @@ def encode(docs: DataFrame, model_path: str, seed: int = SEED, dropout: float =
                 view = memoryview(ids.tobytes())
                 crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(counts), pa.array(crc, pa.int64()), pa.array(exact), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))],
+                    [batch.column(0).slice(i, j - i), pa.array(counts), pa.array(crc, pa.int64()), pa.array(exact),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))],
                     ["doc_id", "n_tokens", "ids_crc32", "decodes", "ids"],
                 )
 

@@ -70,7 +70,8 @@ def _counter(trusted: np.ndarray, buckets: int):
 
 
 def log_ratios(docs: DataFrame, trusted: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
-    """log(p_target / p_raw) of each bucket, drawn to 0 where the target is expected to hold few: log((count + s) / (expected + s)); `buckets` numbers however many documents there are."""
+    """log(p_target / p_raw) of each bucket, drawn to 0 where the target is expected to hold few: log((count + s) / (expected + s)); `buckets`
+    numbers however many documents there are."""
     counts = docs.select("doc_id", "text").mapInArrow(tidy(_counter(trusted, buckets)), "bucket long, raw long, target long")
     rows = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(buckets), np.zeros(buckets)
@@ -159,7 +160,8 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buck
                 llr = np.bincount(doc, ratios.value[bucket], j - i) / np.maximum(grams, 1)
                 failed = (out["n_words"] < 10) | (100 * out["n_repeat_words"] > 20 * out["n_words"])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), *(pa.array(x.astype(np.int64)) for x in out.values()), pa.array(llr, mask=grams == 0), pa.array(failed), pa.array(~failed & (llr >= threshold))],
+                    [ids.slice(i, j - i), *(pa.array(x.astype(np.int64)) for x in out.values()), pa.array(llr, mask=grams == 0), pa.array(failed),
+                    pa.array(~failed & (llr >= threshold))],
                     ["doc_id", *out, "llr", "base_failed", "kept"],
                 )
 

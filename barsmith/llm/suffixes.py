@@ -68,13 +68,15 @@ _ROWS = "key long, seg1 long, seg2 long, doc long, at long, least int, most int,
 
 
 def _row(keys, one, two, doc, at, least, most, length: int) -> pa.RecordBatch:
-    """Neighbouring rows of one class in one document whose windows overlap (runs of a byte or a short period) are one: `rows` of them, the last `reach` bytes on."""
+    """Neighbouring rows of one class in one document whose windows overlap (runs of a byte or a short period) are one: `rows` of them, the last
+    `reach` bytes on."""
     new = np.ones(len(at), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] - at[:-1] > length)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
     return pa.RecordBatch.from_arrays(
-        [*(pa.array(x[first].view(np.int64)) for x in (keys, one, two)), pa.array(doc[first]), pa.array(at[first]), *(pa.array(x, pa.int32()) for x in (least[first], most[first], last - first + 1, at[last] - at[first]))],
+        [*(pa.array(x[first].view(np.int64)) for x in (keys, one, two)), pa.array(doc[first]), pa.array(at[first]),
+        *(pa.array(x, pa.int32()) for x in (least[first], most[first], last - first + 1, at[last] - at[first]))],
         ["key", "seg1", "seg2", "doc", "at", "least", "most", "rows", "reach"],
     )
 
@@ -138,7 +140,8 @@ def _refined(length: int, core: int, grain: int):
                 block = (np.arange(len(k)) - np.repeat(np.cumsum(pieces) - pieces, pieces) + low[k]) * grain
                 if len(k):
                     yield _cut_rows(
-                        spans, off[owner[k] - i], at[here][k], np.maximum(block, least[here][k]).astype(np.int64), np.minimum(block + grain - 1, most[here][k]).astype(np.int64), ids[owner[k]], length, grain
+                        spans, off[owner[k] - i], at[here][k], np.maximum(block, least[here][k]).astype(np.int64),
+                        np.minimum(block + grain - 1, most[here][k]).astype(np.int64), ids[owner[k]], length, grain
                     )
 
     return run
@@ -304,7 +307,8 @@ def _segments(length: int):
                     ends = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
                     segments = pa.Array.from_buffers(pa.binary(), len(size), [None, ends.buffers()[1], pa.py_buffer(raw.tobytes())])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[here]), pa.array(ids[own]), pa.array(at[here]), pa.array(least[here], pa.int32()), pa.array(most[here], pa.int32()), segments], ["key", "doc", "at", "least", "most", "raw"]
+                        [pa.array(key[here]), pa.array(ids[own]), pa.array(at[here]), pa.array(least[here], pa.int32()),
+                        pa.array(most[here], pa.int32()), segments], ["key", "doc", "at", "least", "most", "raw"]
                     )
 
     return run
@@ -361,7 +365,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, grou
     for grain in (*grains, None):
         classes = stored(rows.groupBy("key", "seg1", "seg2").agg(F.sum("rows").alias("n"), F.min(F.struct("doc", "at", "least", "most")).alias("x")), "classes")
         several = stored(classes.filter("n > 1").select("key", "seg1", "seg2"), "several")
-        found.append(stored(rows.join(several, ["key", "seg1", "seg2"], "left_semi").select("doc", (F.col("at") - F.col("most")).alias("s"), (F.col("at") + F.col("reach") - F.col("least") + length).alias("e")), "spans"))
+        found.append(stored(rows.join(several, ["key", "seg1", "seg2"], "left_semi").select("doc", (F.col("at") - F.col("most")).alias("s"),
+            (F.col("at") + F.col("reach") - F.col("least") + length).alias("e")), "spans"))
         drop_stored(rows, several)
         if grain is None and grains[-1] == 1:
             break
@@ -369,8 +374,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, grou
         met = stored(classes.select("key", "x.*").join(heads, "key"), "met")
         drop_stored(classes, heads)
         some = met if grain is None else met.filter(F.col("classes") <= group)
-        parts = _with_text(docs, some.select("doc", "key", "at", "least", "most")).mapInArrow(tidy(_segments(length)), "key long, doc long, at long, least int, most int, raw binary")
-        found.append(stored(parts.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key").mapInArrow(tidy(_decide(length)), _SPANS), "spans"))
+        parts = _with_text(docs, some.select("doc", "key", "at", "least", "most")).mapInArrow(tidy(_segments(length)),
+            "key long, doc long, at long, least int, most int, raw binary")
+        found.append(stored(parts.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key").mapInArrow(tidy(_decide(length)),
+            _SPANS), "spans"))
         hot = met.filter(F.col("classes") > group)
         if grain is None or not hot.limit(1).count():
             break
@@ -400,7 +407,8 @@ def _passage_rows(window: int, core: int):
                         found.append((at + a + s, np.full(len(at), i + d), at + s))
                 if found:
                     place, doc, at = map(np.concatenate, zip(*found, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(spans(place, place + core).view(np.int64)), pa.array(ids[doc]), pa.array(at)], ["key", "doc", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(spans(place, place + core).view(np.int64)), pa.array(ids[doc]), pa.array(at)],
+                        ["key", "doc", "at"])
 
     return run
 
@@ -435,7 +443,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, core: int = CORE, group: int =
     shared = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL").limit(1).count()
     own = docs.select("doc_id", "text", (F.xxhash64("doc_id", "text") if shared else F.col("doc_id").cast("long")).alias("doc"))
     spans = repeated_spans(own.select("doc", "text"), length, core, group).select("doc", "s", "e", F.lit(False).alias("words"))
-    passages = shared_passages(own.select("doc", "text"), window, core_words).select("doc", F.col("at").alias("s"), (F.col("at") + core_words).alias("e"), F.lit(True).alias("words"))
+    passages = shared_passages(own.select("doc", "text"), window, core_words).select("doc", F.col("at").alias("s"),
+        (F.col("at") + core_words).alias("e"), F.lit(True).alias("words"))
     lists = spans.unionByName(passages).groupBy("doc").agg(F.collect_list(F.struct("s", "e", "words")).alias("x"))
     joined = own.join(lists, "doc", "left").select("doc_id", "text", "x")
 
@@ -462,7 +471,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, core: int = CORE, group: int =
                     passage = per_document(_cover(lead + starts[here][word], lead + ends[here][word], int(first[-1])).astype(np.int64), first)
                 kept = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.array(kept_off, pa.int32()).buffers()[1], pa.py_buffer(raw)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(np.diff(off)), pa.array(n_removed), pa.array(per_document(begin.astype(np.int64), off)), pa.array(digest), pa.array(passage), kept],
+                    [batch.column(0).slice(i, j - i), pa.array(np.diff(off)), pa.array(n_removed),
+                    pa.array(per_document(begin.astype(np.int64), off)), pa.array(digest), pa.array(passage), kept],
                     ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", "kept"],
                 )
 

@@ -24,9 +24,12 @@ from .common import LOWER, table, text_slices, tidy
 #: Fixed values: (verdict, host, path) rules; (term, weight), weight 0: strict.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 VOCABULARY = [
-    ("adult", 0), ("casino", 0), ("escort", 0), ("hentai", 0), ("keygen", 0), ("malware", 0), ("porn", 0), ("sexcam", 0), ("viagra", 0), ("warez", 0), ("xxx", 0),
-    ("ad", 1), ("ads", 1), ("banner", 1), ("bonus", 1), ("cam", 1), ("cheap", 1), ("click", 1), ("coupon", 1), ("deal", 1), ("free", 1), ("hot", 1), ("popup", 1), ("sponsored", 1), ("track", 1), ("tracker", 1), ("win", 1),
-    ("bet", 2), ("betting", 2), ("crack", 2), ("dating", 2), ("jackpot", 2), ("loan", 2), ("nude", 2), ("payday", 2), ("pills", 2), ("poker", 2), ("sex", 2), ("slots", 2), ("torrent", 2),
+    ("adult", 0), ("casino", 0), ("escort", 0), ("hentai", 0), ("keygen", 0), ("malware", 0), ("porn", 0), ("sexcam", 0), ("viagra", 0), ("warez", 0),
+    ("xxx", 0),
+    ("ad", 1), ("ads", 1), ("banner", 1), ("bonus", 1), ("cam", 1), ("cheap", 1), ("click", 1), ("coupon", 1), ("deal", 1), ("free", 1), ("hot", 1),
+    ("popup", 1), ("sponsored", 1), ("track", 1), ("tracker", 1), ("win", 1),
+    ("bet", 2), ("betting", 2), ("crack", 2), ("dating", 2), ("jackpot", 2), ("loan", 2), ("nude", 2), ("payday", 2), ("pills", 2), ("poker", 2),
+    ("sex", 2), ("slots", 2), ("torrent", 2),
 ]
 SOFT_LIMIT = 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -69,7 +72,8 @@ def judge(pages: DataFrame, vocabulary: list[tuple[str, int]] = VOCABULARY, limi
         for batch in batches:
             for i, j, data, off in text_slices(batch.column(1)):
                 strict, soft = counted(data, off, terms)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(strict, pa.int64()), pa.array(soft, pa.int64())], ["page_id", "url", "n_strict", "soft_weight"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(strict, pa.int64()),
+                    pa.array(soft, pa.int64())], ["page_id", "url", "n_strict", "soft_weight"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
     met = pages.select("page_id", "url").mapInArrow(tidy(run), f"page_id {kind}, url string, n_strict long, soft_weight long")
@@ -86,7 +90,8 @@ def judge(pages: DataFrame, vocabulary: list[tuple[str, int]] = VOCABULARY, limi
         rule = F.when(fits, host + path) if rule is None else rule.when(fits, host + path)
         verdict = F.when(fits, decision) if verdict is None else verdict.when(fits, decision)
     bad = (F.col("n_strict") > 0) | (F.col("soft_weight") >= limit)
-    return parts.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(bad, "block").otherwise("allow")).alias("verdict"), "n_strict", "soft_weight")
+    return parts.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(bad, "block").otherwise("allow")).alias("verdict"),
+        "n_strict", "soft_weight")
 
 
 def op9_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +99,8 @@ def op9_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_op9() -> str:
-    when_rule = "\n".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for _, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2])))
+    when_rule = "\n".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for _, h, p in sorted(RULES,
+        key=lambda r: -len(r[1] + r[2])))
     when_verdict = "\n".join(f"WHEN rule = '{h}{p}' THEN '{v}'" for v, h, p in RULES)
     words = ", ".join(f"('{t}', {w})" for t, w in VOCABULARY)
     return f"""
@@ -106,4 +112,5 @@ t(term, weight) AS (VALUES {words}),
 m AS (SELECT DISTINCT low, term, weight FROM b JOIN t ON contains(low, term) AND regexp_matches(low, '(^|[^a-z0-9])' || term || '($|[^a-z0-9])')),
 n AS (SELECT low, count(*) FILTER (weight = 0)::BIGINT AS n_strict, sum(weight)::BIGINT AS soft_weight FROM m GROUP BY low),
 c AS (SELECT b.*, coalesce(n_strict, 0) AS n_strict, coalesce(soft_weight, 0) AS soft_weight, CASE {when_rule} END AS rule FROM b LEFT JOIN n USING (low))
-SELECT page_id, host, path, rule, CASE {when_verdict} WHEN n_strict > 0 OR soft_weight >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict, n_strict, soft_weight FROM c"""
+SELECT page_id, host, path, rule, CASE {when_verdict} WHEN n_strict > 0 OR soft_weight >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict,
+    n_strict, soft_weight FROM c"""

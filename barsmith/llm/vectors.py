@@ -96,7 +96,8 @@ class _Links:
     def table(self, key: tuple, unsure: np.ndarray) -> pa.Table:
         some = np.flatnonzero((self.links > 0) | unsure)
         a, b, dims = (np.full(len(some), k.as_py()) for k in key)
-        return pa.table({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "dims": pa.array(dims, pa.int32()), "rep": self.rep[some], "links": self.links[some], "root": self.rep[self.label[some]], "unsure": unsure[some]})
+        return pa.table({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "dims": pa.array(dims, pa.int32()), "rep": self.rep[some],
+            "links": self.links[some], "root": self.rep[self.label[some]], "unsure": unsure[some]})
 
 
 MET = "a int, b int, dims int, rep long, links long, root long, unsure boolean"
@@ -153,21 +154,24 @@ def _quantise(batches):
                 some = row[k : k + 1024]
                 q, scale, length, error = quantised(units(np.stack([flat[e - d : e] for e in ends[some].tolist()]).astype(np.float64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rep[some]), pa.array(n[some]), pa.array(block[some]), pa.array(dims[some]), pa.array([x.tobytes() for x in q], pa.binary()), *map(pa.array, (scale, length, error))],
+                    [pa.array(rep[some]), pa.array(n[some]), pa.array(block[some]), pa.array(dims[some]),
+                    pa.array([x.tobytes() for x in q], pa.binary()), *map(pa.array, (scale, length, error))],
                     ["rep", "n", "block", "dims", "q", "scale", "length", "error"],
                 )
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, least_blocks: int = LEAST_BLOCKS) -> DataFrame:
     """vec_id, n_links, component_id, kept of each row of embeddings (vec_id, embedding)."""
-    usable = F.expr("embedding IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists(embedding, x -> x <> 0)")
+    usable = F.expr("embedding IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < "
+        "double('infinity')) AND exists(embedding, x -> x <> 0)")
     rows = embeddings.select("vec_id", "embedding", F.coalesce(usable, F.lit(False)).alias("usable")).withColumn("h", F.xxhash64("embedding"))
     some = rows.filter("usable AND vec_id IS NOT NULL")
     classes = stored(some.groupBy("h", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "vectors")
     blocks = max(least_blocks, -(-classes.count() // block))
     dealt = classes.select("rep", "n", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int").alias("block"), F.size("embedding").alias("dims"), "embedding")
     small = stored(dealt.mapInArrow(tidy(_quantise), "rep long, n long, block int, dims int, q binary, scale double, length double, error double"), "quantised")
-    tiles = small.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("*", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")).drop("other")
+    tiles = small.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("*", F.least("block", "other").alias("a"),
+        F.greatest("block", "other").alias("b")).drop("other")
     met = stored(tiles.groupBy("a", "b", "dims").applyInArrow(_tile(threshold), MET), "met")
     doubt = met.filter("unsure").select("a", "b", "rep").join(dealt, "rep")
     settled = stored(doubt.groupBy("a", "b", "dims").applyInArrow(_settle(threshold), MET), "settled")
@@ -175,9 +179,11 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, block:
     links = both.groupBy("rep").agg(F.sum("links").alias("links"))
     comps = components(both.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     labels = classes.select("h", "embedding", "rep", "n").join(links, "rep", "left").join(comps, F.col("node") == F.col("rep"), "left")
-    labels = stored(labels.select("h", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component")), "labels")
+    labels = stored(labels.select("h", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"),
+        F.coalesce("component", "rep").alias("component")), "labels")
     drop_stored(classes, small, met, settled, comps)
-    out = rows.select("vec_id", F.when(F.col("usable"), F.col("h")).alias("h"), F.when(F.col("usable"), F.col("embedding")).alias("embedding")).join(labels, ["h", "embedding"], "left")
+    out = rows.select("vec_id", F.when(F.col("usable"), F.col("h")).alias("h"),
+        F.when(F.col("usable"), F.col("embedding")).alias("embedding")).join(labels, ["h", "embedding"], "left")
     component = F.coalesce("component", "vec_id")
     own = F.col("vec_id").isNotNull()
     return out.select(
@@ -192,7 +198,8 @@ def op4_int8_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_OP4 = """
 WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-u AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND
+    len(list_filter(e, lambda x: x <> 0)) > 0),
 l AS (SELECT a.vec_id AS i, b.vec_id AS j FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
 r AS (SELECT vec_id AS node, vec_id AS root FROM v UNION SELECT l.j, r.root FROM r JOIN l ON l.i = r.node),
 c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)

@@ -303,7 +303,8 @@ def shard_encoder(path: str) -> ShardEncoder:
 def write_shards(docs: DataFrame, tokenizer: str, path: str, shard_tokens: int = SHARD_TOKENS, slices: int | None = None) -> None:
     """Write docs (doc_id, text) as wavelet-matrix files under path, ids ascending along shards (null first)."""
     n = slices or partitions(docs.sparkSession)
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    ordered = docs.select("doc_id", "text").repartitionByRange(n,
+        F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
 
     def run(batches):
         from pyspark import TaskContext
@@ -316,7 +317,8 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, shard_tokens: int =
             nonlocal number, held, ids, sizes, names
             whole, size = np.concatenate(ids), np.concatenate(sizes)
             out = pa.RecordBatch.from_arrays(
-                [pa.array([task], pa.int32()), pa.array([number], pa.int32()), pa.array([len(names)], pa.int64()), pa.array([len(whole)], pa.int64()), pa.array([pack(names, size, whole)], pa.binary())],
+                [pa.array([task], pa.int32()), pa.array([number], pa.int32()), pa.array([len(names)], pa.int64()), pa.array([len(whole)], pa.int64()),
+                pa.array([pack(names, size, whole)], pa.binary())],
                 ["task", "number", "n_docs", "n_tokens", "payload"],
             )
             number, held, ids, sizes, names = number + 1, 0, [], [], []
@@ -335,14 +337,16 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, shard_tokens: int =
         if names:
             yield close()
 
-    ordered.mapInArrow(tidy(run), "task int, number int, n_docs long, n_tokens long, payload binary").write.option("compression", "uncompressed").option("maxRecordsPerFile", 1).parquet(path)
+    ordered.mapInArrow(tidy(run), "task int, number int, n_docs long, n_tokens long, payload binary").write.option("compression",
+        "uncompressed").option("maxRecordsPerFile", 1).parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
     """Per document, decoded from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, shard."""
     shards = spark.read.parquet(path)
     before = Window.orderBy("task", "number").rowsBetween(Window.unboundedPreceding, -1)
-    starts = shards.select("task", "number", "n_tokens").withColumn("before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).select("task", "number", "before")
+    starts = shards.select("task", "number", "n_tokens").withColumn("before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).select("task",
+        "number", "before")
 
     def run(batches):
         for batch in batches:
@@ -354,12 +358,14 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
                 view = memoryview(ids.tobytes())
                 crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, pa.int64()), pa.array(begins), pa.array(sizes.astype(np.int64)), pa.array(crc, pa.int64()), pa.array([task] * len(crc), pa.int32()), pa.array([number] * len(crc), pa.int32())],
+                    [pa.array(doc_ids, pa.int64()), pa.array(begins), pa.array(sizes.astype(np.int64)), pa.array(crc, pa.int64()),
+                    pa.array([task] * len(crc), pa.int32()), pa.array([number] * len(crc), pa.int32())],
                     ["doc_id", "inside", "n_tokens", "ids_crc32", "task", "number"],
                 )
 
     docs = shards.select("task", "number", "payload").mapInArrow(tidy(run), "doc_id long, inside long, n_tokens long, ids_crc32 long, task int, number int")
-    return docs.join(starts, ["task", "number"]).select("doc_id", (F.col("inside") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", F.struct("task", "number").alias("shard"))
+    return docs.join(starts, ["task", "number"]).select("doc_id", (F.col("inside") + F.col("before")).alias("start"), "n_tokens", "ids_crc32",
+        F.struct("task", "number").alias("shard"))
 
 
 def op3_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

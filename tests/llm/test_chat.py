@@ -25,15 +25,18 @@ def test_random_logs(spark):
     for c in range(150):
         for k in range(rng.randint(1, 6)):
             for _ in range(rng.choice([1, 1, 1, 2])):
-                turns.append((c, rng.choice([k, None]) if rng.random() < 0.05 else k, rng.choice(["user", "assistant", None]) if rng.random() < 0.1 else ["user", "assistant"][k % 2], rng.choice(["a", "b", "", None])))
+                turns.append((c, rng.choice([k, None]) if rng.random() < 0.05 else k,
+                    rng.choice(["user", "assistant", None]) if rng.random() < 0.1 else ["user", "assistant"][k % 2], rng.choice(["a", "b", "", None])))
     got = chat.collapse(spark.createDataFrame([(*t, "x") for t in turns], SCHEMA)).collect()
     assert {r.conv_id: r.rendered for r in got} == by_hand(turns) and len(got) < 150
     assert all(r.n_turns == r.rendered.count("<|im_start|>") for r in got)
 
 
 def test_nulls_ties_and_repeats(spark):
-    turns = [(1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (4, 0, "user", None), (5, 0, "user", ""), (5, 0, "user", ""), (6, 1, "user", "a"), (6, 2, "assistant", "c")]
-    turns += [(None, 0, None, "z"), (None, 0, None, "z"), (None, 0, "user", "a"), (None, 5, None, "y"), (7, 0, "user", "t2"), (7, 0, "user", "t1"), (8, 0, "user", "t1")]
+    turns = [(1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (4, 0, "user", None),
+        (5, 0, "user", ""), (5, 0, "user", ""), (6, 1, "user", "a"), (6, 2, "assistant", "c")]
+    turns += [(None, 0, None, "z"), (None, 0, None, "z"), (None, 0, "user", "a"), (None, 5, None, "y"), (7, 0, "user", "t2"), (7, 0, "user", "t1"),
+        (8, 0, "user", "t1")]
     got = chat.collapse(spark.createDataFrame([(*t, None) for t in turns], SCHEMA)).collect()
     assert {r.conv_id for r in got} == {2, 4, 5, 6, 7, None}
     said = {r.conv_id: r.rendered for r in got}

@@ -62,7 +62,8 @@ def test_positions_and_places(spark, rows_a_bucket):
     for k, (p, _, i) in reversed(list(enumerate(order))):
         want_place = k if p == got[i].positions[0] else None
         if want_place is not None:
-            assert (placed[i].first_place, placed[i].first_position, placed[i].last_position, placed[i].taken) == (k, p, got[i].positions[-1], got[i]["size"] * len(got[i].positions))
+            assert (placed[i].first_place, placed[i].first_position, placed[i].last_position, placed[i].taken) == (k, p, got[i].positions[-1],
+                got[i]["size"] * len(got[i].positions))
     assert [r.doc_id for r in mixing.curriculum(docs_of(spark), rows_a_bucket).collect()] == [i for _, _, i in order]
 
 

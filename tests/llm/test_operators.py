@@ -10,7 +10,8 @@ import pytest
 from barsmith.llm import components, minhash
 
 SF = "/root/testdata/sf0.001"
-EDGE = [None, "", " \n ", "one", "one two", "a" * 3000, "é" * 900, "the same line\nthe same line\n" * 30, "password: hunter22, AKIA" + "A1" * 9 + " and " + "0f" * 15]
+EDGE = [None, "", " \n ", "one", "one two", "a" * 3000, "é" * 900, "the same line\nthe same line\n" * 30,
+    "password: hunter22, AKIA" + "A1" * 9 + " and " + "0f" * 15]
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -48,7 +49,8 @@ def test_minhash(spark, monkeypatch, width, percent, star, chunk, refine):
     docs = docs_of(spark).orderBy("doc_id").toPandas()
     base = docs.text[0].split()
     texts = [*docs.text, *(" ".join(base[:k] + ["changed"] + base[k + 1 :]) for k in range(0, min(len(base), 40), 4)), None, "", "one", "ONE", "one two"]
-    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), width, percent, star=star, chunk=chunk).orderBy("doc_id").collect()
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), width, percent, star=star,
+        chunk=chunk).orderBy("doc_id").collect()
     assert [(r.n_shingles, r.component_id) for r in got] == brute_components(texts, width, percent)
 
 
@@ -71,7 +73,8 @@ def test_minhash_edges(spark):
     rows = spark.createDataFrame([(i, t, i, "x") for i, t in texts], "doc_id long, text string, kept long, component_id string")
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in minhash.near_duplicates(rows).collect()) == [(0, 0), (1, 1), (1, 1), (1, 1), (2, 1), (3, 3)]
     left = minhash.keep_one(rows)
-    assert left.columns == rows.columns and sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (1, "v w x y z"), (3, "")]
+    assert left.columns == rows.columns and sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, "a b c d e f"), (1, "a b c d e f"),
+        (1, "a b c d e f"), (1, "v w x y z"), (3, "")]
 
 
 def test_components_of_a_chain(spark):

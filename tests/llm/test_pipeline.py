@@ -76,7 +76,8 @@ def test_run_is_the_stages_in_a_row(spark):
 def test_odd_and_empty_tables(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long, kept string"
     words = " ".join(f"word{k} thing{k % 7}" for k in range(30))
-    rows = [(1, words, "en", "a", 5, "x"), (1, words, "en", "a", 5, "x"), (2, words + " end", "en", None, 5, "x"), (3, None, None, None, None, None), (4, "", "en", "a", 0, "x"), (None, words + " null id", "en", "a", 5, "x"), (5, words[::-1] + " token=abcdef123", "en", "b", 5, "x")]
+    rows = [(1, words, "en", "a", 5, "x"), (1, words, "en", "a", 5, "x"), (2, words + " end", "en", None, 5, "x"), (3, None, None, None, None, None),
+        (4, "", "en", "a", 0, "x"), (None, words + " null id", "en", "a", 5, "x"), (5, words[::-1] + " token=abcdef123", "en", "b", 5, "x")]
     for data in (rows, []):
         docs = spark.createDataFrame(data, schema)
         for _, stage in cp.STAGES[:-1]:

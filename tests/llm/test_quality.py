@@ -21,7 +21,8 @@ def test_base_statistics(spark):
         rep = {i + k for i in range(len(w) - 4) if seen[tuple(w[i : i + 5])] > 1 for k in range(5)}
         lines = [x for x in t.split("\n") if WORD.search(x.encode())]
         r = got[d.doc_id]
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(rep))
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t),
+            len(lines) - len(set(lines)), len(rep))
         assert r.base_failed == (len(w) < 10 or 100 * len(rep) > 20 * len(w))
         assert r.kept == (not r.base_failed and r.llr >= quality.THRESHOLD)
 
@@ -35,8 +36,10 @@ def test_ratio_without_hashing(spark):
     """With so many buckets that hardly any n-grams share one, scores are those of plain counts."""
     buckets = 1 << 22
     rows = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(25).collect()
-    docs = spark.createDataFrame([(r.doc_id, r.text) for r in rows] + [(None, "A null id"), (2**62 + 1, "wide id"), (2**62, "WIDE id again")], "doc_id long, text string")
-    some = spark.createDataFrame([(r.doc_id, 1, 0) for r in rows[:12]] + [(2**62 + 1, 1, 0), (None, 1, 0), (rows[20].doc_id, 1, 0), (rows[20].doc_id, 0, 0)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(r.doc_id, r.text) for r in rows] + [(None, "A null id"), (2**62 + 1, "wide id"), (2**62, "WIDE id again")],
+        "doc_id long, text string")
+    some = spark.createDataFrame([(r.doc_id, 1, 0) for r in rows[:12]] + [(2**62 + 1, 1, 0), (None, 1, 0), (rows[20].doc_id, 1, 0),
+        (rows[20].doc_id, 0, 0)], "doc_id long, quality int, toxic int")
     fits = {r.doc_id for r in some.filter(~quality.held_out()).collect()} - {None, rows[20].doc_id}
     assert 2 < len(fits) < 13
     texts = [(r.doc_id, r.text) for r in docs.collect()]
@@ -59,7 +62,8 @@ def test_threshold_on_held_out_labels(spark, folder, least, most):
         pytest.skip("not here")
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     judged = quality.judge(spark.read.parquet(f"{folder}/documents.parquet"), labels).filter("NOT base_failed")
-    unseen = labels.filter(quality.held_out()).join(judged, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"), F.count(F.lit(1)).alias("n")).collect()
+    unseen = labels.filter(quality.held_out()).join(judged, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"),
+        F.count(F.lit(1)).alias("n")).collect()
     got = {r.quality: (r.kept, r.n) for r in unseen}
     assert got[1][0] > 0.99 and got[0][0] < most and min(n for _, n in got.values()) > least
 

@@ -41,7 +41,8 @@ def test_suffix_dedup_brute_force(spark, group):
     rng = random.Random(5)
     vocabulary = ["".join(rng.choice("abcd") for _ in range(rng.randint(2, 6))) for _ in range(40)]
     passage = " ".join(rng.choice(vocabulary) for _ in range(20))
-    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(3, 40))) + (passage if rng.random() < 0.5 else "") + " ".join(rng.choice(vocabulary[:6]) for _ in range(20)) for _ in range(80)] + ["a" * 200, "", None, "x" * 39]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(3, 40))) + (passage if rng.random() < 0.5 else "")
+        + " ".join(rng.choice(vocabulary[:6]) for _ in range(20)) for _ in range(80)] + ["a" * 200, "", None, "x" * 39]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = suffixes.dedup(rows, 40, 10, group).orderBy("doc_id").collect()
     assert [(r.n_removed, r.kept_sha256) for r in got] == brute_removed(texts, 40)
