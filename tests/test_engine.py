@@ -17,7 +17,7 @@ def day(n):
 
 @pytest.mark.parametrize("name", ["report_returns", "finance_pit_wide", "experiment_walk_forward", "search_equivalence_dedup", "selfcheck_rows",
     "landing_kline_batch", "bt_random_baseline", "flagship_top_n", "kline_60m", "kline_pre_close_chain", "op_ts_rank", "factors_ma", "auc_tie_aware",
-    "bt_drawdown_episodes", "audit_missing_spans", "selfcheck_pre_close", "ingest_calendar_accumulate", "finance_pit_asof", "stream_kline"])
+    "bt_drawdown_episodes", "audit_missing_spans", "selfcheck_continuity", "ingest_calendar_accumulate", "finance_pit_asof", "stream_kline"])
 def test_against_sql(spark, name):
     got = entry.queries()[name](spark, SF)
     con = duckdb.connect()
