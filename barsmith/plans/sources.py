@@ -56,7 +56,7 @@ query("source_minute_features",
 
 def _daily_source(s, d, **options) -> base.MarketDataSource:
     held = store.synced(s, d)
-    return base.open_source(s, "qmt_daily", root=held.root, landed=held.landed, **options)
+    return base.open_source(s, "qmt_daily", root=held.root, landed=held.landed, broken="drop", **options)
 
 
 ADJUSTED = [
@@ -64,7 +64,8 @@ ADJUSTED = [
     "ac AS (SELECT 'C' || code AS code, trade_date AS ex_date FROM daily WHERE volume % 9 = 0)",
     "fq AS (SELECT k.*, pow(1.25, (SELECT count(*) FROM ac WHERE ac.code = k.code AND ac.ex_date <= k.trade_date)) AS hfq, pow(1.25, "
     "(SELECT count(*) FROM ac WHERE ac.code = k.code AND ac.ex_date <= DATE '2024-01-15')) AS anchor FROM kp k WHERE suspend_flag = 0 AND trade_date "
-    "BETWEEN DATE '2024-01-08' AND DATE '2024-01-26')",
+    "BETWEEN DATE '2024-01-08' AND DATE '2024-01-26' AND (k.code, k.trade_date) IN (SELECT 'C' || code, trade_date FROM daily WHERE volume >= 0 AND "
+    "CAST(low AS DECIMAL(24,4)) > 0 AND high >= greatest(open, close, low) AND low <= least(open, close, high)))",
 ]
 for _mode, _factor in (("hfq", "hfq"), ("qfq", "hfq / anchor"), ("none", "1.0::DOUBLE")):
     query(f"source_daily_{_mode}",

@@ -132,7 +132,10 @@ class MarketServiceSource(MarketDataSource):
 @register_source
 @dataclass
 class DailySource(MarketDataSource):
-    """Daily bars of a synced store: adjusted, by default backwards; suspended days and adjusted volume on request."""
+    """Daily bars of a synced store: adjusted, by default backwards; suspended days and adjusted volume on request.
+
+    Rows that break the bar contract raise, or with broken="drop" are left out.
+    """
 
     spark: SparkSession
     root: str
@@ -142,6 +145,7 @@ class DailySource(MarketDataSource):
     include_suspended: bool = False
     adjust_volume: bool = False
     sync: bool = False
+    broken: str = "raise"
 
     name = "qmt_daily"
     frequency = "1d"
@@ -183,7 +187,7 @@ class DailySource(MarketDataSource):
         bars = self.store.bars(start, end, codes, self.include_suspended)
         until = max(str(end)[:10], str(self.adjust_anchor or "")[:10])
         out = market.adjust(bars, self.actions(codes, until), self.adjust, self.adjust_anchor, self.adjust_volume)
-        return validated(out)
+        return validated(out, broken=self.broken)
 
     def build_features(self, bars, names=None, expressions=None, cache=None) -> DataFrame:
         chosen = factors.select_factors(names if names is not None or not expressions else [], False)
@@ -194,5 +198,5 @@ class DailySource(MarketDataSource):
 
     def cache_namespace(self) -> str:
         parts = [self.name, self.adjust, str(self.adjust_anchor or "-"), "with_suspended" if self.include_suspended else "no_suspended",
-            "adjusted_volume" if self.adjust_volume else "raw_volume"]
+            "adjusted_volume" if self.adjust_volume else "raw_volume"] + (["sound_rows"] if self.broken == "drop" else [])
         return "/".join(parts)

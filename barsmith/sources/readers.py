@@ -9,7 +9,7 @@ import itertools
 import zipfile
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,21 +85,29 @@ def partition_digests(spark: SparkSession, path: str) -> DataFrame:
         F.sha2("content", 256).alias("sha256"))
 
 
-def invalid_bars(bars: DataFrame) -> DataFrame:
-    """Rows that break the bar contract: missing or non-positive prices, negative volume, inconsistent high or low."""
+def broken_bar() -> Column:
+    """Whether a row breaks the bar contract: missing or non-positive prices, negative volume, inconsistent high or low; never NULL."""
     prices = ("open", "high", "low", "close")
-    missing = F.lit(False)
+    bad = (F.col("volume") < 0) | (F.col("high") < F.greatest("open", "close", "low")) | (F.col("low") > F.least("open", "close", "high"))
     for c in (*prices, "volume"):
-        missing |= F.col(c).isNull()
-    bad = missing | (F.col("volume") < 0) | (F.col("high") < F.greatest("open", "close", "low")) | (F.col("low") > F.least("open", "close", "high"))
+        bad |= F.col(c).isNull()
     for c in prices:
         bad |= F.col(c) <= 0
-    return bars.filter(F.coalesce(bad, F.lit(True)))
+    return F.coalesce(bad, F.lit(True))
+
+
+def invalid_bars(bars: DataFrame) -> DataFrame:
+    """Rows that break the bar contract."""
+    return bars.filter(broken_bar())
 
 
-def validated(bars: DataFrame, key: tuple[str, ...] = ("code", "trade_date")) -> DataFrame:
-    """bars, or ValueError if any row breaks the contract or a key repeats (one aggregation each)."""
-    if n := invalid_bars(bars).count():
+def validated(bars: DataFrame, key: tuple[str, ...] = ("code", "trade_date"), broken: str = "raise") -> DataFrame:
+    """bars, or ValueError if any row breaks the contract (with broken="drop" such rows go) or a key repeats (one aggregation each)."""
+    if broken not in ("raise", "drop"):
+        raise ValueError("broken is raise or drop")
+    if broken == "drop":
+        bars = bars.filter(~broken_bar())
+    elif n := invalid_bars(bars).count():
         raise ValueError(f"{n} rows break the bar contract")
     if bars.groupBy(*key).count().filter("count > 1").limit(1).count():
         raise ValueError(f"repeated {key}")
