@@ -85,9 +85,9 @@ def inventory(bars: DataFrame, *keys: str | Column) -> DataFrame:
 def cumulative_factors(actions: DataFrame) -> DataFrame:
     """code, ex_date, hfq: running product of a code's factors, one row per date; invalid factors count 1."""
     valid = F.when(finite(F.col("adjustment_factor")) > 0, F.col("adjustment_factor")).otherwise(1.0)
-    by_day = actions.groupBy("code", "ex_date").agg(F.sum(F.ln(valid)).alias("log_factor"))
+    by_day = actions.groupBy("code", "ex_date").agg(F.product(valid).alias("factor"))
     running = Window.partitionBy("code").orderBy("ex_date").rowsBetween(Window.unboundedPreceding, 0)
-    return by_day.select("code", "ex_date", F.exp(F.sum("log_factor").over(running)).alias("hfq"))
+    return by_day.select("code", "ex_date", F.product("factor").over(running).alias("hfq"))
 
 
 def asof_factor(bars: DataFrame, cumulative: DataFrame) -> DataFrame:

@@ -62,3 +62,18 @@ def test_store_round_trip(spark, tmp_path):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_broken_bars_raise_or_go(spark):
+    schema = "code string, trade_date date, open double, high double, low double, close double, volume long"
+    rows = [("A", day(1), 1.0, 2.0, 1.0, 2.0, 5), ("A", day(2), 1.0, 2.0, 0.0, 2.0, 5), ("A", day(3), 1.0, 1.5, 1.0, 2.0, 5),
+        ("A", day(4), 1.0, 2.0, 1.0, 2.0, -1), ("A", day(5), None, 2.0, 1.0, 2.0, 5), ("A", day(6), 1.0, 2.0, 1.0, 2.0, None)]
+    bars = spark.createDataFrame(rows, schema)
+    with pytest.raises(ValueError, match="5 rows"):
+        readers.validated(bars)
+    assert [r.trade_date for r in readers.validated(bars, broken="drop").collect()] == [day(1)]
+    with pytest.raises(ValueError, match="raise or drop"):
+        readers.validated(bars, broken="keep")
+    with pytest.raises(ValueError, match="repeated"):
+        readers.validated(bars.unionAll(bars), broken="drop")
+    assert readers.validated(bars.limit(0)).count() == 0
