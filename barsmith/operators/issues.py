@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,8 +62,14 @@ TOPICS = {
 
 
 def said(value: Column) -> Column:
-    """A number as text with four decimals, NULL as "null"."""
-    return F.coalesce(value.cast("decimal(24,4)").cast("string"), F.lit("null"))
+    """A number as text with four decimals, NULL as "null".
+
+    As in SQL, ten thousand times the double is rounded half away from zero; a cast would round the shortest text of the double, whose ties fall
+    elsewhere. Numbers whose ten thousandfold has no fraction left as a double are cast.
+    """
+    number = value.cast("double")
+    scaled = F.round(number * 10_000.0).cast("decimal(24,0)") * F.lit(Decimal("0.0001"))
+    return F.coalesce(F.when(F.abs(number) < 1e11, scaled).otherwise(value.cast("decimal(24,4)")).cast("decimal(24,4)").cast("string"), F.lit("null"))
 
 
 def said_all(*parts: tuple[str, Column] | Column) -> Column:
