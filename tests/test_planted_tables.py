@@ -29,3 +29,8 @@ def against_sql(spark, folder, name, events):
 def test_theory_at_a_tie(spark, tmp_path, k, close, expected):
     rows = against_sql(spark, tmp_path, "audit_adjust_theory", [(1, 1, "click", close, 1), (2, 1, "signup", close, k)])
     assert [(r["code"], r["expected"], r["actual"]) for r in rows] == [("000001.SH", expected, "1.0000")]
+
+
+def test_price_limit_at_a_tie(spark, tmp_path):
+    rows = against_sql(spark, tmp_path, "audit_price_limits", [(1, 1, "click", 8.0, 1), (2, 1, "click", 16.29, 1)])
+    assert [(r["code"], r["expected"], r["actual"]) for r in rows] == [("000001.SH", "at most 0.1000", "1.0362")]
