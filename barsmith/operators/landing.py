@@ -100,13 +100,16 @@ def kline_batch(raw: DataFrame, codes: DataFrame, dates: DataFrame, instruments:
 # ---- instruments
 
 
-def lifecycle_frame(raw: DataFrame) -> DataFrame:
-    """The instrument snapshot, all text, as the store has it: dates, flags, board and warning; the first row of a code, empty codes left out."""
+def lifecycle_frame(raw: DataFrame, key: str = "code") -> DataFrame:
+    """The instrument snapshot, all text, as the store has it: dates, flags, board and warning; the first row (by seq) of a key, empty codes left out.
+
+    key: what tells instruments apart, the normalised code as in the store, or another column where codes are not unique.
+    """
     have = set(raw.columns)
     text = lambda n: F.trim(F.coalesce(c(n), F.lit(""))) if n in have else F.lit("")
     date = lambda n: normalize_lifecycle_date(c(n)) if n in have else F.lit(None).cast("date")
     x = raw.withColumn("code", F.upper(F.trim("code"))).filter("code <> ''")
-    x = x.withColumn("place", F.row_number().over(Window.partitionBy("code").orderBy("seq"))).filter("place = 1")
+    x = x.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("seq"))).filter("place = 1")
     return x.select(
         "code", text("instrument_name").alias("instrument_name"), date("open_date").alias("open_date"), date("expire_date").alias("expire_date"),
         (optional_bool(c("is_trading")) if "is_trading" in have else F.lit(None).cast("boolean")).alias("is_trading"),

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from barsmith.operators import landing
 
 
 def against_sql(spark, folder, name, events):
@@ -34,3 +35,14 @@ def test_theory_at_a_tie(spark, tmp_path, k, close, expected):
 def test_price_limit_at_a_tie(spark, tmp_path):
     rows = against_sql(spark, tmp_path, "audit_price_limits", [(1, 1, "click", 8.0, 1), (2, 1, "click", 16.29, 1)])
     assert [(r["code"], r["expected"], r["actual"]) for r in rows] == [("000001.SH", "at most 0.1000", "1.0362")]
+
+
+def test_every_instrument_has_a_life(spark, tmp_path):
+    users = [1001, 1005, 1009, 12, 100]
+    rows = against_sql(spark, tmp_path, "landing_lifecycle_frame", [(n, u, "click", 5.0, 1) for n, u in enumerate(users, 1)])
+    assert len(rows) == len(users) and sum(r["code"] == "600100.SH" for r in rows) == 3
+
+
+def test_first_row_of_a_repeated_code(spark):
+    raw = spark.createDataFrame([("600000.sh", "second", 2), (" 600000.SH", "first", 1), ("", "none", 0)], "code string, instrument_name string, seq long")
+    assert [(r.code, r.instrument_name) for r in landing.lifecycle_frame(raw).collect()] == [("600000.SH", "first")]
