@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import warnings
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import files
@@ -163,6 +163,11 @@ class FactorCache:
         return out
 
 
+def _quotient(a: Column, b: Column) -> Column:
+    """a / b as floating point has it: infinite, or NaN for 0 / 0, where b is 0."""
+    return F.when(b == 0, a * float("inf")).otherwise(F.try_divide(a, b))
+
+
 def intraday(bars: DataFrame, last: int = 6) -> DataFrame:
     """The eight intraday factors per (code, trade_date) of bars (code, trade_date, trade_time, seq, open, close, volume)."""
     day = Window.partitionBy("code", "trade_date")
@@ -180,7 +185,7 @@ def intraday(bars: DataFrame, last: int = 6) -> DataFrame:
         some(F.count(F.lit(1)) > 2, F.stddev_samp("ret")).alias("realized_vol"),
         F.sqrt(F.avg(F.pow(F.least("move", F.lit(0.0)), 2))).alias("downside_semivol"),
         ratio(end - first, F.when(F.sum(step) > 0, F.sum(step))).alias("intraday_path_efficiency"),
-        (ratio(end, F.min_by(F.when(late, F.col("close")), F.when(late, F.struct("trade_time", "seq")))) - 1).alias("last_30m_return"),
+        (_quotient(end, F.min_by(F.when(late, F.col("close")), F.when(late, F.struct("trade_time", "seq")))) - 1).alias("last_30m_return"),
         ratio(F.sum(F.when(late, F.col("volume"))), volume).alias("last_30m_volume_ratio"),
         F.avg(F.when(F.col("ret").isNotNull(), F.when(F.col("ret") > 0, 1.0).otherwise(0.0))).alias("positive_bar_ratio"),
         some(volume > 0, ratio(F.sum(F.signum("move") * F.col("volume")), volume)).alias("signed_volume_imbalance"),

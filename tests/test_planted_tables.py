@@ -46,3 +46,9 @@ def test_every_instrument_has_a_life(spark, tmp_path):
 def test_first_row_of_a_repeated_code(spark):
     raw = spark.createDataFrame([("600000.sh", "second", 2), (" 600000.SH", "first", 1), ("", "none", 0)], "code string, instrument_name string, seq long")
     assert [(r.code, r.instrument_name) for r in landing.lifecycle_frame(raw).collect()] == [("600000.SH", "first")]
+
+
+def test_returns_from_a_price_of_nothing(spark, tmp_path):
+    closes = {1: [0.0, 5.0], 2: [0.0], 3: [0.0, 0.0], 4: [2.0, 3.0], 5: [3.0, 0.0], 6: [0.0, 1.0, 1.0, 1.0, 1.0, 1.0, 2.0]}
+    rows = against_sql(spark, tmp_path, "factors_intraday_path", [(1, u, "click", x, 1) for u, prices in closes.items() for x in prices])
+    assert [str(r["last_30m_return"]) for r in rows] == ["inf", "nan", "nan", "0.5", "-1.0", "1.0"]
