@@ -52,3 +52,8 @@ def test_returns_from_a_price_of_nothing(spark, tmp_path):
     closes = {1: [0.0, 5.0], 2: [0.0], 3: [0.0, 0.0], 4: [2.0, 3.0], 5: [3.0, 0.0], 6: [0.0, 1.0, 1.0, 1.0, 1.0, 1.0, 2.0]}
     rows = against_sql(spark, tmp_path, "factors_intraday_path", [(1, u, "click", x, 1) for u, prices in closes.items() for x in prices])
     assert [str(r["last_30m_return"]) for r in rows] == ["inf", "nan", "nan", "0.5", "-1.0", "1.0"]
+
+
+def test_scope_beyond_a_thousand_codes(spark, tmp_path):
+    rows = against_sql(spark, tmp_path, "selfcheck_scope_extra", [(1, u, "click", 5.0, 1) for u in (7, 20, 21, 23, 999, 1000, 1007, 1019, 1021, 2001, 2046)])
+    assert [(r["issue_code"], r["actual"]) for r in rows] == [("INSTRUMENT_INFO_OUTSIDE_SCOPE", "5")]
