@@ -57,3 +57,9 @@ def test_returns_from_a_price_of_nothing(spark, tmp_path):
 def test_scope_beyond_a_thousand_codes(spark, tmp_path):
     rows = against_sql(spark, tmp_path, "selfcheck_scope_extra", [(1, u, "click", 5.0, 1) for u in (7, 20, 21, 23, 999, 1000, 1007, 1019, 1021, 2001, 2046)])
     assert [(r["issue_code"], r["actual"]) for r in rows] == [("INSTRUMENT_INFO_OUTSIDE_SCOPE", "5")]
+
+
+def test_equal_rows_of_lost_codes_all_count(spark, tmp_path):
+    # volumes of 59 lose their code, those of 61 get one out of scope
+    rows = against_sql(spark, tmp_path, "selfcheck_summary", [(1, u, "click", 5.0, k) for u, k in ((1, 59), (2, 59), (3, 59), (4, 61), (5, 61), (6, 1))])
+    assert {r["issue_code"]: r["n"] for r in rows}.items() >= {"KLINE_CODE_MISSING": 3, "KLINE_SYMBOL_OUTSIDE_SCOPE": 2, "KLINE_DUPLICATE_KEY": 5}.items()
