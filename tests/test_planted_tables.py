@@ -63,3 +63,8 @@ def test_equal_rows_of_lost_codes_all_count(spark, tmp_path):
     # volumes of 59 lose their code, those of 61 get one out of scope
     rows = against_sql(spark, tmp_path, "selfcheck_summary", [(1, u, "click", 5.0, k) for u, k in ((1, 59), (2, 59), (3, 59), (4, 61), (5, 61), (6, 1))])
     assert {r["issue_code"]: r["n"] for r in rows}.items() >= {"KLINE_CODE_MISSING": 3, "KLINE_SYMBOL_OUTSIDE_SCOPE": 2, "KLINE_DUPLICATE_KEY": 5}.items()
+
+
+def test_price_jump_at_a_tie(spark, tmp_path):
+    rows = against_sql(spark, tmp_path, "selfcheck_continuity", [(1, 1, "click", 8.0, 1), (2, 1, "click", 16.29, 1)])
+    assert [(r["issue_code"], r["code"], r["actual"]) for r in rows] == [("ABNORMAL_PRICE_JUMP", "C1", "1.0362")]
