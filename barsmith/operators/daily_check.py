@@ -224,8 +224,8 @@ def delisted_without_bars(instruments: DataFrame, bars: DataFrame, start, end) -
 
 
 def continuity(bars: DataFrame, actions: DataFrame) -> DataFrame:
-    """Bars with the close of the row before (suspended rows count) and the day's action, if any."""
-    before = F.lag("close").over(Window.partitionBy("code").orderBy("trade_date"))
+    """Bars with the close of the row before (suspended rows count, rows without a date come last) and the day's action, if any."""
+    before = F.lag("close").over(Window.partitionBy("code").orderBy(c("trade_date").asc_nulls_last()))
     terms = [x for x in ("cash_dividend_per_share", "bonus_share_per_share", "capitalization_per_share", "rights_issue_per_share",
         "rights_issue_price") if x in actions.columns]
     by_day = actions.select("code", c("ex_date").alias("trade_date"), "adjustment_factor", *terms)
@@ -281,8 +281,9 @@ def actions_without_bar(actions: DataFrame, bars: DataFrame, instruments: DataFr
     return gone.select(*issue("DAILY_CORPORATE_ACTION_WITHOUT_BAR", code=c("code"), trade_date=c("trade_date"), expected="a bar on the ex date", actual="none"))
 
 
-def sessions_since_listing(bars: DataFrame, instruments: DataFrame, calendar: DataFrame) -> DataFrame:
-    """bars with sessions: trading days since the first one on or after open_date (NULL if unknown or off the calendar)."""
+def sessions_since_listing(bars: DataFrame, instruments: DataFrame, calendar: DataFrame, *kept: str) -> DataFrame:
+    """bars with sessions: trading days since the first one on or after open_date (NULL if unknown or off the calendar); kept are columns of
+    instruments to add. A bar comes once for each instrument of its code."""
     days = ordinals(calendar)
     # the first calendar day on or after each open date: a running minimum over both, latest first
     opens = instruments.filter("open_date IS NOT NULL").select(c("open_date").alias("at"), "code", F.lit(None).cast("int").alias("ordinal"))
@@ -292,14 +293,14 @@ def sessions_since_listing(bars: DataFrame, instruments: DataFrame, calendar: Da
     last = days.agg((F.max("ordinal") + 1).alias("after"))
     found = both.withColumn("opened", F.min("ordinal").over(onward)).filter("ordinal IS NULL").crossJoin(F.broadcast(last)).select(
         c("at").alias("open_date"), F.coalesce("opened", "after").alias("opened"))
-    listed = instruments.select("code", "open_date").join(found, "open_date").select("code", "opened")
+    listed = instruments.select("code", "open_date", *kept).join(found, "open_date", "left").select("code", "opened", *kept)
     return bars.join(days, "trade_date", "left").join(listed, "code", "left").withColumn("sessions", c("ordinal") - c("opened")).drop("ordinal", "opened")
 
 
 def price_limit_audit(chain: DataFrame, instruments: DataFrame, calendar: DataFrame, tolerance: float = 0.005, apply_st: bool = False) -> DataFrame:
     """code, trade_date, pct_change, limit_ratio of active days without an action that moved beyond their limit."""
     valid = _active() & c("adjustment_factor").isNull() & _positive(c("previous_close")) & _positive(c("close"))
-    x = sessions_since_listing(chain.filter(valid), instruments, calendar).join(instruments.select("code", "board", "is_st"), "code", "left")
+    x = sessions_since_listing(chain.filter(valid), instruments, calendar, "board", "is_st")
     limit = limit_ratio(F.coalesce("board", F.lit("unknown")), c("trade_date"), c("sessions"), c("is_st") if apply_st else None)
     x = x.select("code", "trade_date", (c("close") / c("previous_close") - 1).alias("pct_change"), limit.alias("limit_ratio"))
     return x.filter(F.abs("pct_change") > c("limit_ratio") + tolerance)

@@ -61,15 +61,22 @@ TOPICS = {
 }
 
 
-def said(value: Column) -> Column:
-    """A number as text with four decimals, NULL as "null".
+def four_decimals(value: Column) -> Column:
+    """A double as text with four decimals.
 
-    As in SQL, ten thousand times the double is rounded half away from zero; a cast would round the shortest text of the double, whose ties fall
-    elsewhere. Numbers whose ten thousandfold has no fraction left as a double are cast.
+    As in SQL, ten thousand times the double is rounded half away from zero and taken exactly, in two halves; a cast would round the shortest text of
+    the double, whose ties fall elsewhere and whose digits end sooner. What has more than 24 digits is left to the cast.
     """
-    number = value.cast("double")
-    scaled = F.round(number * 10_000.0).cast("decimal(24,0)") * F.lit(Decimal("0.0001"))
-    return F.coalesce(F.when(F.abs(number) < 1e11, scaled).otherwise(value.cast("decimal(24,4)")).cast("decimal(24,4)").cast("string"), F.lit("null"))
+    scaled, half = F.round(value.cast("double") * 10_000.0), 4294967296
+    high = (scaled / float(half)).cast("long")
+    low = (scaled - high.cast("double") * float(half)).cast("long")
+    exact = (high.cast("decimal(15,0)") * F.lit(Decimal(half)) + low.cast("decimal(10,0)")) * F.lit(Decimal("0.0001"))
+    return F.when(F.abs(scaled) < 1e24, exact.cast("decimal(24,4)")).otherwise(value.cast("decimal(24,4)")).cast("string")
+
+
+def said(value: Column) -> Column:
+    """A number as text with four decimals, NULL as "null"."""
+    return F.coalesce(four_decimals(value), F.lit("null"))
 
 
 def said_all(*parts: tuple[str, Column] | Column) -> Column:

@@ -26,10 +26,10 @@ def _bucket(period: str) -> Column:
 
 
 def ohlcv(bars: DataFrame, *keys: str | Column) -> DataFrame:
-    """open, high, low, close, volume per key; first and last by (trade_time, seq), so input order is irrelevant."""
-    order = F.struct("trade_time", "seq")
+    """open, high, low, close, volume per key; first and last by (trade_time, seq) of those not NULL, so input order is irrelevant."""
+    at = lambda n: F.when(F.col(n).isNotNull(), F.struct("trade_time", "seq"))
     return bars.groupBy(*keys).agg(
-        F.min_by("open", order).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", order).alias("close"),
+        F.min_by("open", at("open")).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", at("close")).alias("close"),
         F.sum("volume").alias("volume")
     )
 

@@ -28,7 +28,7 @@ CODE_SQL = "CASE WHEN code::BIGINT % 29 = 0 THEN lpad(code, 6, '0') ELSE lpad(co
 def store(s, d) -> DataFrame:
     """Daily bars of the store with defects of every kind, chosen by volume."""
     hit = lambda k: c("volume") % k == 0
-    x = daily(s, d).withColumn("before", F.lag("close").over(Window.partitionBy("code").orderBy("trade_date")))
+    x = daily(s, d).withColumn("before", F.lag("close").over(Window.partitionBy("code").orderBy(c("trade_date").asc_nulls_last())))
     none = F.lit(None).cast("double")
     return x.select(
         store_code().alias("code"),
@@ -93,10 +93,10 @@ CALENDAR = "calendar AS (SELECT DISTINCT trade_date FROM daily WHERE day(trade_d
 
 
 def actions(s, d) -> DataFrame:
-    """One corporate action per code and day: the last signup."""
+    """One corporate action per code and day: the last signup that gives a number."""
     e = read_table(s, d, "events").filter("event_type = 'signup'").select(F.col("user_id").cast("string").alias("code"),
         F.to_date("ts").alias("ex_date"), F.get_json_object("props", "$.k").cast("long").alias("k"), "event_id")
-    one = e.groupBy("code", "ex_date").agg(F.max_by("k", "event_id").alias("k"))
+    one = e.groupBy("code", "ex_date").agg(F.max_by("k", F.when(c("k").isNotNull(), c("event_id"))).alias("k"))
     return one.select(
         store_code().alias("code"), "ex_date", (1 + c("k") / 1000).alias("adjustment_factor"), (c("k") / 1000).alias("cash_dividend_per_share"),
         (c("k") % 4 / 10).alias("bonus_share_per_share"),

@@ -4,9 +4,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from barsmith.operators import landing
+from barsmith.operators import daily_check, landing
 
 
 def against_sql(spark, folder, name, events):
@@ -37,6 +38,38 @@ def test_price_limit_at_a_tie(spark, tmp_path):
     assert [(r["code"], r["expected"], r["actual"]) for r in rows] == [("000001.SH", "at most 0.1000", "1.0362")]
 
 
+def test_price_limit_of_a_day_that_ends_without_a_price(spark, tmp_path):
+    rows = against_sql(spark, tmp_path, "audit_price_limits", [(1, 1, "click", 8.0, 1), (2, 1, "click", 12.0, 1), (2, 1, "click", None, 1)])
+    assert [(r["code"], r["actual"]) for r in rows] == [("000001.SH", "0.5000")]
+
+
+def test_price_limit_beside_an_action_without_a_number(spark, tmp_path):
+    # the last signup of day 2 gives none, the one before it does: still an action; that of day 3 gives none at all
+    events = [(1, 1, "click", 8.0, 1), (2, 1, "signup", 12.0, 1), (2, 1, "signup", 12.0, "null"), (3, 1, "signup", 18.0, "null")]
+    rows = against_sql(spark, tmp_path, "audit_price_limits", events)
+    assert [(r["trade_date"].day, r["actual"]) for r in rows] == [(3, "0.5000")]
+
+
+def test_price_limit_of_a_repeated_instrument(spark, tmp_path):
+    # both numbers are cut to one code: main since day 1, bse since day 2
+    events = [(1, 1_000_001, "click", 8.0, 1), (2, 1_000_003, "click", 16.0, 1), (3, 1_000_001, "click", 8.0, 1)]
+    rows = against_sql(spark, tmp_path, "audit_price_limits", events)
+    assert sorted((r["trade_date"].day, r["expected"]) for r in rows) == [(2, "at most 0.1000"), (3, "at most 0.1000"), (3, "at most 0.3000")]
+
+
+def test_price_limit_of_a_huge_move(spark, tmp_path):
+    rows = against_sql(spark, tmp_path, "audit_price_limits", [(1, 1, "click", 0.07, 1), (2, 1, "click", 497_093_963_955.1, 1)])
+    assert [r["actual"] for r in rows] == ["7101342342214.7128"]
+
+
+def test_row_without_a_date_is_not_the_row_before(spark):
+    bars = spark.createDataFrame([("A", None, 5.0, None, 0), ("A", "2024-01-02", 8.0, None, 0)],
+        "code string, trade_date string, close double, pre_close double, suspend_flag int").withColumn("trade_date", F.col("trade_date").cast("date"))
+    actions = spark.createDataFrame([], "code string, ex_date date, adjustment_factor double")
+    got = daily_check.continuity(bars, actions).collect()
+    assert sorted((r["close"], r["previous_close"]) for r in got if r["trade_date"]) == [(8.0, None)]
+
+
 def test_every_instrument_has_a_life(spark, tmp_path):
     users = [1001, 1005, 1009, 12, 100]
     rows = against_sql(spark, tmp_path, "landing_lifecycle_frame", [(n, u, "click", 5.0, 1) for n, u in enumerate(users, 1)])
