@@ -21,19 +21,20 @@ def landed_once(s, d) -> DataFrame:
     v = c("volume")
     hit = lambda k: v % k == 0
     text = lambda x: x.cast("decimal(24,4)").cast("string")
-    before = F.lag("close").over(Window.partitionBy("code").orderBy("trade_date"))
+    price = issue_frames.four_decimals
+    before = F.lag("close").over(Window.partitionBy("code").orderBy(c("trade_date").asc_nulls_last()))
     part = F.date_format("trade_date", "yyyyMMdd")
     return daily(s, d).withColumn("before", before).select(
         part.alias("partition_date"),
         F.when(hit(59), "").when(hit(61), "OUT").otherwise(F.concat(F.lit(" c"), "code")).alias("code"),
         F.when(hit(67), "20240101").otherwise(part).alias("trade_date"),
-        text(c("open")).alias("open"),
-        F.when(hit(13), text(c("low") * 0.9)).otherwise(text(c("high"))).alias("high"),
-        text(c("low")).alias("low"),
-        F.when(hit(37), "n/a").otherwise(text(c("close"))).alias("close"),
-        text(F.coalesce(F.when(hit(7), 2.5).when(hit(5), 1.01).otherwise(1.0) * c("before"), c("close"))).alias("pre_close"),
+        price(c("open")).alias("open"),
+        F.when(hit(13), price(c("low") * 0.9)).otherwise(price(c("high"))).alias("high"),
+        price(c("low")).alias("low"),
+        F.when(hit(37), "n/a").otherwise(price(c("close"))).alias("close"),
+        price(F.coalesce(F.when(hit(7), 2.5).when(hit(5), 1.01).otherwise(1.0) * c("before"), c("close"))).alias("pre_close"),
         F.when(hit(17), "0").when(hit(41), text(-v)).when(hit(19), "inf").when(hit(47), text(v * 900)).otherwise(text(v)).alias("volume"),
-        F.when(hit(23), "0").otherwise(text(c("close") * v)).alias("amount"),
+        F.when(hit(23), "0").otherwise(price(c("close") * v)).alias("amount"),
         F.when(hit(11), "1").when(hit(29), "2").otherwise("0").alias("suspend_flag"),
         F.concat(F.lit("date="), part, F.lit("/data.csv")).alias("source_file"),
         v.alias("source_row"),
